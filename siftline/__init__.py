@@ -1,3 +1,10 @@
 """siftline: screening, curation and audit of large candidate collections on Spark DataFrames."""
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that run in Python workers travel by value, so executors need no copy of the package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

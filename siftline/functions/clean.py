@@ -303,8 +303,8 @@ def pretty_bytes(col) -> Column:
     n = _c(col).cast("double")
     out = F.when(F.abs(n) < 1024, F.format_string("%.0f B", n))
     for power, unit in enumerate(("KiB", "MiB", "GiB"), start=1):
-        out = out.when(F.abs(n) < 1024.0 ** (power + 1), F.format_string(f"%.3f {unit}", n / 1024.0**power))
-    return out.otherwise(F.format_string("%.3f TiB", n / 1024.0**4))
+        out = out.when(F.abs(n) < 1024.0 ** (power + 1), F.format_string(f"%.3f {unit}", F.bround(n / 1024.0**power, 3)))
+    return out.otherwise(F.format_string("%.3f TiB", F.bround(n / 1024.0**4, 3)))
 
 
 # Tolerances of the field comparison.

@@ -38,10 +38,14 @@ def require_columns(df: DataFrame, required: Sequence[str], exact: bool = False)
 
 
 def column_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """One row per required or unexpected column with its state (V2)."""
+    """One row per required or unexpected column: its state and how many rows fill it (V2)."""
     names = list(dict.fromkeys([*required, *df.columns]))
-    state = lambda c: "ok" if c in required and c in df.columns else "missing" if c in required else "unexpected"
-    return df.sparkSession.createDataFrame([(c, state(c)) for c in names], "column_name string, state string")
+    counts = df.agg(*[(F.count(c) if c in df.columns else F.lit(0)).cast("long").alias(f"_c{i}") for i, c in enumerate(names)])
+    rows = []
+    for i, c in enumerate(names):
+        state = "missing" if c not in df.columns else "ok" if c in required else "unexpected"
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(state).alias("state"), F.col(f"_c{i}").alias("filled")))
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def unique_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.clean import semantic_equal
 from siftline.operators.ordered import number_rows
+from siftline.session import literal_rows
 
 
 def enrich(df: DataFrame, dim: DataFrame, key, how: str = "left") -> DataFrame:
@@ -71,7 +72,26 @@ def cross_matrix(items: DataFrame, panel: DataFrame, panel_order: Sequence, task
     return slots.join(numbered, "panel_no").withColumn(name, task_id)
 
 
-def near_pairs(df: DataFrame, id_col: str, value: str, radius: float, block: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_on: Sequence[str], limit: int = 20_000) -> DataFrame:
+    """Equi-join that splits crowded keys of the left side.
+
+    Keys with more than ``limit`` left rows are listed with their number of salts; left rows take
+    one salt, right rows of these keys are copied to each. Other keys are joined as they are.
+    """
+    crowded = (
+        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+        .select(*keys, F.ceil(F.col("_n") / limit).cast("long").alias("_salts"))
+    )
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+    spread = left.join(crowded, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_on), salts)).drop("_salts")
+    copied = right.join(crowded, list(keys), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
+    ).drop("_salts")
+    return spread.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
+def near_pairs(df: DataFrame, id_col: str, value: str, radius: float, block: Sequence[str] = (), carry: Sequence[str] = (),
+               limit: int = 20_000) -> DataFrame:
     """Pairs a < b inside a block whose values differ by at most ``radius``.
 
     Values fall into bands as wide as the radius; a row meets its own and the next band only, so
@@ -81,7 +101,7 @@ def near_pairs(df: DataFrame, id_col: str, value: str, radius: float, block: Seq
     keep = [id_col, value, *carry]
     a = df.select(*block, *[F.col(c).alias(f"{c}_a") for c in keep], F.explode(F.array(band, band + 1)).alias("_band"), band.alias("_home"))
     b = df.select(*block, *[F.col(c).alias(f"{c}_b") for c in keep], band.alias("_band"))
-    pairs = a.join(b, [*block, "_band"])
+    pairs = salted_join(a, b, [*block, "_band"], [f"{id_col}_a"], limit)
     dist = F.abs(F.col(f"{value}_a") - F.col(f"{value}_b"))
     # Same band: keep one orientation. Next band: a is always the lower value.
     once = (F.col("_home") < F.col("_band")) | (F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
@@ -94,30 +114,22 @@ def near_pairs(df: DataFrame, id_col: str, value: str, radius: float, block: Seq
     return pairs.select(*block, *ordered, dist.alias("difference"))
 
 
-def grid_cells(xyz: Sequence[str], cutoff: float) -> list[Column]:
-    return [F.floor(F.col(c) / F.lit(cutoff)).cast("long") for c in xyz]
-
-
 def range_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], xyz: Sequence[str], cutoff: float,
-                carry_a: Sequence[str], carry_b: Sequence[str], salts: int = 1) -> DataFrame:
+                carry_a: Sequence[str], carry_b: Sequence[str], limit: int = 20_000) -> DataFrame:
     """Points of ``a`` and ``b`` no farther apart than ``cutoff``, within equal keys.
 
     Space is cut into cells as wide as the cutoff; ``b`` is copied to the 27 cells around its own
-    and the exact distance is tested after an equi-join on the cell. ``salts`` splits crowded
-    cells: ``a`` gets one of the salts, ``b`` all of them.
+    and the exact distance is tested after an equi-join on the cell, crowded cells being salted.
     """
-    shift = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    left = a.select(*keys, *[F.col(c).alias(f"{c}_a") for c in (*xyz, *carry_a)],
-                    *[g.alias(f"_c{i}") for i, g in enumerate(grid_cells(xyz, cutoff))],
-                    (F.pmod(F.xxhash64(*carry_a), F.lit(salts))).alias("_salt"))
-    right = b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in (*xyz, *carry_b)],
-                     *[g.alias(f"_g{i}") for i, g in enumerate(grid_cells(xyz, cutoff))])
+    cells = [F.floor(F.col(c) / F.lit(cutoff)).cast("long") for c in xyz]
+    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    left = a.select(*keys, *[F.col(c).alias(f"{c}_a") for c in (*xyz, *carry_a)], *[g.alias(f"_c{i}") for i, g in enumerate(cells)])
+    right = b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in (*xyz, *carry_b)], *[g.alias(f"_g{i}") for i, g in enumerate(cells)])
     for i in range(3):
-        right = right.withColumn(f"_d{i}", F.explode(shift)).withColumn(f"_c{i}", F.col(f"_g{i}") + F.col(f"_d{i}")).drop(f"_d{i}")
-    right = right.drop("_g0", "_g1", "_g2").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        right = right.withColumn(f"_d{i}", F.explode(around)).withColumn(f"_c{i}", F.col(f"_g{i}") + F.col(f"_d{i}")).drop(f"_d{i}", f"_g{i}")
     squared = sum(((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in xyz), F.lit(0.0))
-    joined = left.join(right, [*keys, "_c0", "_c1", "_c2", "_salt"])
-    return joined.filter(squared <= cutoff**2).drop("_c0", "_c1", "_c2", "_salt").withColumn("distance", F.sqrt(squared))
+    joined = salted_join(left, right, [*keys, "_c0", "_c1", "_c2"], [f"{c}_a" for c in carry_a], limit)
+    return joined.filter(squared <= cutoff**2).drop("_c0", "_c1", "_c2").withColumn("distance", F.sqrt(squared))
 
 
 def path_prefixes(path: Column) -> Column:
@@ -155,7 +167,7 @@ def match_patterns(df: DataFrame, path: str, patterns: dict[str, str], name: str
 
 def match_counts(matched: DataFrame, expected: dict[str, int], name: str = "pattern_id") -> DataFrame:
     """Matches per pattern against the expected number."""
-    want = matched.sparkSession.createDataFrame(list(expected.items()), f"{name} string, expected_count long")
+    want = literal_rows(matched.sparkSession, list(expected.items()), [name, "expected_count"])
     got = matched.groupBy(name).agg(F.count(F.lit(1)).alias("match_count"))
     return want.join(got, name, "left").withColumn("match_count", F.coalesce("match_count", F.lit(0))).withColumn(
         "matches", F.col("match_count") == F.col("expected_count")

@@ -1,9 +1,10 @@
 """Ordered work inside groups of any size.
 
-A window over a hot key sorts the whole key in one task. Here rows are range partitioned on
-(group, order) and written once, so a hot group spreads over many chunks; each chunk knows its own
-totals, and the small table of chunk totals carries numbers, sums and previous rows across chunks.
-Windows run per (chunk, group), never per group.
+A window over a hot key sorts the whole key in one task. The size of the largest group is counted
+first (a map-side combined count of the keys). Within ``PLAIN_GROUP_ROWS`` a plain window is used.
+Beyond it rows are range partitioned on (group, order) and written once, so a hot group spreads
+over many chunks; each chunk knows its own totals, and the small table of chunk totals carries
+numbers, sums and previous rows across chunks. Windows then run per (chunk, group) only.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siftline.session import stage_table
 
+PLAIN_GROUP_ROWS = 1_000_000
 _OFFSET_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
@@ -23,6 +25,12 @@ def sort_column(item) -> Column:
     return F.col(item).asc_nulls_last() if isinstance(item, str) else item
 
 
+def groups_fit(df: DataFrame, by: Sequence[str], bound: int) -> bool:
+    """True when no group has more than ``bound`` rows."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) <= bound
+
+
 def chunked(df: DataFrame, by: Sequence[str], order: Sequence, chunks: int | None = None) -> DataFrame:
     """Rows in (by, order) order with ``_at`` (position) and ``_chunk`` (range partition)."""
     spark = df.sparkSession
@@ -53,10 +61,17 @@ def _before(by: Sequence[str]):
 
 def running(
     df: DataFrame, by: Sequence[str], order: Sequence, sums: dict[str, Column] | None = None,
-    row_name: str = "row_no",
+    row_name: str = "row_no", bound: int = PLAIN_GROUP_ROWS,
 ) -> DataFrame:
     """Row number and running sums in ``order`` inside each group; ``order`` must be total."""
     sums = sums or {}
+    if groups_fit(df, by, bound):
+        spec = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*[sort_column(c) for c in order])
+        upto = spec.rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(
+            "*", F.row_number().over(spec).cast("long").alias(row_name),
+            *[F.coalesce(F.sum(v).over(upto), F.lit(0)).alias(k) for k, v in sums.items()],
+        )
     rows = chunked(df.withColumns({f"_v_{k}": v for k, v in sums.items()}) if sums else df, by, order)
     segments = rows.groupBy("_chunk", *by).agg(
         F.min("_at").alias("_start"), F.count(F.lit(1)).alias("_rows"),
@@ -79,13 +94,16 @@ def running(
     return out.select(*df.columns, row_name, *sums)
 
 
-def number_rows(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "row_no") -> DataFrame:
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "row_no", bound: int = PLAIN_GROUP_ROWS) -> DataFrame:
     """1..N inside each group (or over the table for ``by=[]``)."""
-    return running(df, by, order, row_name=name)
+    return running(df, by, order, row_name=name, bound=bound)
 
 
-def lagged(df: DataFrame, by: Sequence[str], order: Sequence, cols: Sequence[str]) -> DataFrame:
+def lagged(df: DataFrame, by: Sequence[str], order: Sequence, cols: Sequence[str], bound: int = PLAIN_GROUP_ROWS) -> DataFrame:
     """Adds ``prev_<col>``: the value one row earlier in the group, NULL on its first row."""
+    if groups_fit(df, by, bound):
+        spec = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*[sort_column(c) for c in order])
+        return df.select("*", *[F.lag(c).over(spec).alias(f"prev_{c}") for c in cols])
     rows = chunked(df, by, order)
     segments = rows.groupBy("_chunk", *by).agg(
         F.max_by(F.struct(*cols), F.col("_at")).alias("_last")
@@ -100,10 +118,11 @@ def lagged(df: DataFrame, by: Sequence[str], order: Sequence, cols: Sequence[str
     return out.select(*df.columns, *[f"prev_{c}" for c in cols])
 
 
-def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str], bound: int = PLAIN_GROUP_ROWS) -> DataFrame:
     """Exact interpolated medians per group, one row per group, columns ``median_<col>``.
 
-    Equal values are counted first, so only distinct values are ordered.
+    Equal values are counted first, so only distinct values are ordered. Groups with more than
+    ``bound`` distinct values take the middle ranks from chunked running counts.
     """
     long = df.select(
         *by,
@@ -111,14 +130,18 @@ def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
             F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols
         ])).alias("_m"),
     ).select(*by, "_m.metric", "_m.value")
-    counts = (
-        long.filter(F.col("value").isNotNull()).groupBy(*by, "metric", "value")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage_table(
+        long.filter(F.col("value").isNotNull()).groupBy(*by, "metric", "value").agg(F.count(F.lit(1)).alias("_n")),
+        "values",
     )
     keys = [*by, "metric"]
-    placed = running(counts, keys, ["value"], {"_upto": F.col("_n")})
-    # The group total is the largest running sum; both sides hold one row per distinct value.
-    totals = placed.groupBy(*keys).agg(F.max("_upto").alias("_total"))
+    if groups_fit(counts, keys, bound):
+        return counts.groupBy(*by).agg(*[
+            F.percentile(F.when(F.col("metric") == c, F.col("value")), F.lit(0.5), F.col("_n")).alias(f"median_{c}")
+            for c in cols
+        ])
+    placed = running(counts, keys, ["value"], {"_upto": F.col("_n")}, bound=bound)
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     renamed = totals.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_total")
     cond = F.lit(True)
     for c in keys:
@@ -128,7 +151,7 @@ def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     hi = F.floor(F.col("_total") / 2) + 1
     first = F.col("_upto") - F.col("_n") + 1
     picked = joined.filter((F.col("_upto") >= lo) & (first <= hi))
-    # A single value covering both middle ranks and two values covering one each both average.
+    # One value covering both middle ranks, or two values covering one each: the mean either way.
     return picked.groupBy(*by).agg(
         *[F.avg(F.when(F.col("metric") == c, F.col("value"))).alias(f"median_{c}") for c in cols]
     )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.clean import padded_id
 from siftline.operators.ordered import chunk_digest, medians, number_rows, running
+from siftline.session import literal_rows
 
 
 def _on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -191,7 +192,7 @@ def crosstab_fixed(df: DataFrame, a: str, b: str, dom_a: Sequence, dom_b: Sequen
     counts = df.filter(F.col(a).isin(*dom_a)).groupBy(a).agg(
         *[F.sum((F.col(b) == v).cast("long")).alias(str(v)) for v in dom_b]
     )
-    rows = df.sparkSession.createDataFrame([(v,) for v in dom_a], f"{a} {df.schema[a].dataType.simpleString()}")
+    rows = literal_rows(df.sparkSession, [(v,) for v in dom_a], [a])
     return rows.join(counts, a, "left").select(a, *[F.coalesce(F.col(str(v)), F.lit(0)).alias(str(v)) for v in dom_b])
 
 
@@ -257,7 +258,8 @@ STATISTIC_PREFIXES = ("Average_", "1_", "2_", "3_", "4_", "5_")
 def failure_counters(df: DataFrame, id_col: str, failed: str, prefixes: Sequence[str] = STATISTIC_PREFIXES) -> DataFrame:
     """Failures per base rule; each design counts once per base rule."""
     pattern = "^(?:" + "|".join(prefixes) + ")"
-    base = df.select(id_col, F.regexp_replace(F.explode(failed), pattern, "").alias("base_rule")).distinct()
+    each = df.select(id_col, F.explode(failed).alias("_f"))
+    base = each.select(id_col, F.regexp_replace("_f", pattern, "").alias("base_rule")).distinct()
     return base.groupBy("base_rule").agg(F.count(F.lit(1)).alias("failed_designs"))
 
 

@@ -8,6 +8,7 @@ from siftline.operators import summary
 from siftline.operators.ordered import running
 from siftline.operators.rules import classify
 from siftline.plans.registry import query
+from siftline.session import literal_rows
 
 
 @query("group_summary", """
@@ -187,13 +188,13 @@ def weighted_macro(spark, t):
 
 @query("schema_census", """
 WITH r AS (SELECT label::VARCHAR AS role, vec_id::VARCHAR AS file, 'embedding' AS name, len(embedding)::VARCHAR AS shape, 'float32' AS dtype FROM embeddings
-  UNION ALL SELECT label::VARCHAR, vec_id::VARCHAR, 'extra', '1x2', 'int64' FROM embeddings WHERE vec_id % 3 = 0),
+  UNION ALL SELECT label::VARCHAR, vec_id::VARCHAR, 'extra', '1x2', 'int64' FROM embeddings WHERE embedding[1] > 0),
 f AS (SELECT role, file, string_agg(name || ':' || shape || ':' || dtype, ';' ORDER BY name || ':' || shape || ':' || dtype) AS signature FROM r GROUP BY 1, 2)
 SELECT role, signature, count(*) AS file_count, min(file) AS example FROM f GROUP BY 1, 2""")
 def schema_census(spark, t):
-    base = t.embeddings.select(F.col("label").cast("string").alias("role"), F.col("vec_id").cast("string").alias("file"), "vec_id", F.size("embedding").alias("n"))
+    base = t.embeddings.select(F.col("label").cast("string").alias("role"), F.col("vec_id").cast("string").alias("file"), F.element_at("embedding", 1).alias("lead"), F.size("embedding").alias("n"))
     main = base.select("role", "file", F.lit("embedding").alias("name"), F.array("n").alias("shape"), F.lit("float32").alias("dtype"))
-    extra = base.filter("vec_id % 3 = 0").select("role", "file", F.lit("extra").alias("name"), F.array(F.lit(1), F.lit(2)).alias("shape"), F.lit("int64").alias("dtype"))
+    extra = base.filter("lead > 0").select("role", "file", F.lit("extra").alias("name"), F.array(F.lit(1), F.lit(2)).alias("shape"), F.lit("int64").alias("dtype"))
     return summary.schema_census(main.unionAll(extra))
 
 
@@ -241,7 +242,7 @@ def lineage_complete(spark, t):
 @query("cohort_compare", """
 SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 2000) AS survivors, round(median(n_chars), 4) AS median_n_chars, CASE lang WHEN 'en' THEN 'main' WHEN 'de' THEN 'probe' END AS profile FROM documents GROUP BY 1""")
 def cohort_compare(spark, t):
-    config = spark.createDataFrame([("en", "main"), ("de", "probe")], "lang string, profile string")
+    config = literal_rows(spark, [("en", "main"), ("de", "probe")], ["lang", "profile"])
     out = summary.compare_cohorts(t.documents.select("lang", "n_chars"), "lang", {"n": F.count(F.lit(1)), "survivors": F.count_if(F.col("n_chars") > 2000)}, ["n_chars"], config)
     return out.withColumn("median_n_chars", F.round("median_n_chars", 4))
 

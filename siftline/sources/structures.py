@@ -158,9 +158,12 @@ def _npz_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         yield pd.DataFrame({"file": path, "name": k, "sample_index": np.arange(a.size), "value": a.astype("float64")})
 
 
-def read_npz(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+def npz_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Array schema rows, and one row per sample of every one-dimensional numeric array."""
-    files = spark.read.format("binaryFile").load(paths).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("file"), "content"
-    )
     return files.mapInPandas(_npz_schema, NPZ_SCHEMA_ROWS), files.mapInPandas(_npz_values, NPZ_VALUE_ROWS)
+
+
+def read_npz(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """``npz_tables`` over NPZ files."""
+    files = spark.read.format("binaryFile").load(paths)
+    return npz_tables(files.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "content"))

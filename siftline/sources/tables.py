@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from siftline.operators.checks import require_columns, unique_violations
 from siftline.operators.ranking import order_total
+from siftline.session import literal_rows
 
 _BOM = "﻿"
 
@@ -32,20 +33,22 @@ def read_contract_tsv(spark: SparkSession, path, schema, sep: str = "\t") -> Dat
     return spark.read.options(header=True, sep=sep, enforceSchema=False, mode="FAILFAST", emptyValue="", nullValue="\x00").schema(schema).csv(path)
 
 
-def read_json(spark: SparkSession, path, schema, explode: str | None = None) -> DataFrame:
-    """JSON documents under a schema; one array may be exploded to rows (S3)."""
-    df = spark.read.options(multiLine=True, mode="FAILFAST").schema(schema).json(path)
+def read_json(spark: SparkSession, path, schema, explode: str | None = None, per_line: bool = False) -> DataFrame:
+    """JSON documents, one per file or one per line; one array may be exploded to rows (S3)."""
+    df = spark.read.options(multiLine=not per_line, mode="FAILFAST").schema(schema).json(path)
     return df if explode is None else df.select(F.explode(explode).alias("item")).select("item.*")
 
 
 def read_jsonl(spark: SparkSession, path, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed lines, and rejected lines with file and byte order position."""
+    """Parsed lines, and rejected lines with their file."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
     lines = lines.filter(F.trim("value") != "")
     parsed = lines.withColumn(
         "_e", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     )
-    bad = F.col("_e").isNull() | F.col("_e._corrupt_record").isNotNull()
+    # The parser ignores text after the first object; as a list member it is malformed.
+    single = F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1
+    bad = F.col("_e").isNull() | F.col("_e._corrupt_record").isNotNull() | ~F.coalesce(single, F.lit(False))
     fields = [f.name for f in T.StructType.fromDDL(schema).fields]
     return parsed.filter(~bad).select(*[F.col(f"_e.{f}").alias(f) for f in fields]), parsed.filter(bad).select("file", "value")
 
@@ -84,7 +87,7 @@ def write_registry(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]],
     for name, df in tables.items():
         write_new(df, f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    write_new(spark.createDataFrame(sorted(meta.items()), "key string, value string"), f"{path}/metadata")
+    write_new(literal_rows(spark, sorted(meta.items()), ["key", "value"]), f"{path}/metadata")
 
 
 def write_new(df: DataFrame, path: str, fmt: str = "parquet") -> None:
