@@ -45,6 +45,11 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; a plain column would be inlined at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def null_token(col, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
     """Trimmed text, or NULL for any missing-value spelling."""
     text = F.trim(_c(col).cast("string"))

@@ -132,7 +132,7 @@ def rank_rows(df: DataFrame, order: Sequence, name: str = "final_rank") -> DataF
 def share(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     """Each value over the table total, from one scalar subquery."""
     total = df.select(F.sum(value).alias("t")).scalar()
-    return df.withColumn(name, F.col(value) / total)
+    return df.withColumn(name, F.try_divide(F.col(value), total))
 
 
 def first_n_distinct(df: DataFrame, by: Sequence[str], key: Sequence[str], order: Sequence[str], n: int,

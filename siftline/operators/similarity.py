@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions.clean import let
 from siftline.operators.joins import range_pairs, salted_join
 
 
@@ -54,16 +55,16 @@ def shape_signature(coords: DataFrame, id_col: str) -> DataFrame:
             m[a + b] = F.avg(F.col(a) * F.col(b)) - F.avg(a) * F.avg(b)
     sums = coords.groupBy(id_col).agg(n.alias("points"), *[v.alias(k) for k, v in m.items()])
     # Eigenvalues of the symmetric 3x3 covariance in closed form. Each step is bound once by
-    # ``_let``; as plain columns the steps would be inlined into each other many times over.
+    # ``let``; as plain columns the steps would be inlined into each other many times over.
     def eigen(m: Column) -> Column:
         q = (m["xx"] + m["yy"] + m["zz"]) / 3.0
         off = m["xy"] ** 2 + m["xz"] ** 2 + m["yz"] ** 2
-        return _let(F.struct(q.alias("q"), off.alias("off")), lambda c: scaled(m, c))
+        return let(F.struct(q.alias("q"), off.alias("off")), lambda c: scaled(m, c))
 
     def scaled(m: Column, c: Column) -> Column:
         q = c["q"]
         spread = (m["xx"] - q) ** 2 + (m["yy"] - q) ** 2 + (m["zz"] - q) ** 2 + 2.0 * c["off"]
-        return _let(F.sqrt(F.greatest(spread, F.lit(0.0)) / 6.0), lambda p: turned(m, q, p))
+        return let(F.sqrt(F.greatest(spread, F.lit(0.0)) / 6.0), lambda p: turned(m, q, p))
 
     def turned(m: Column, q: Column, p: Column) -> Column:
         x, y, z = m["xx"] - q, m["yy"] - q, m["zz"] - q
@@ -71,24 +72,19 @@ def shape_signature(coords: DataFrame, id_col: str) -> DataFrame:
             x * (y * z - m["yz"] ** 2) - m["xy"] * (m["xy"] * z - m["yz"] * m["xz"]) + m["xz"] * (m["xy"] * m["yz"] - y * m["xz"])
         )
         half = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2.0 * p * p * p)))
-        return _let(F.when(p > 0, F.acos(half) / 3.0).otherwise(0.0), lambda t: roots(q, p, t))
+        return let(F.when(p > 0, F.acos(half) / 3.0).otherwise(0.0), lambda t: roots(q, p, t))
 
     def roots(q: Column, p: Column, t: Column) -> Column:
         e1 = q + 2.0 * p * F.cos(t)
         e3 = q + 2.0 * p * F.cos(t + 2.0 * math.pi / 3.0)
         return F.array(*[F.sqrt(F.greatest(e, F.lit(0.0))) for e in (e1, 3.0 * q - e1 - e3, e3)])
 
-    values = _let(F.struct(*m), eigen)
+    values = let(F.struct(*m), eigen)
     return sums.select(id_col, "points", values.alias("s")).select(
         id_col, "points", *[F.col("s")[i].alias(f"s{i + 1}") for i in range(3)]
     )
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def shape_candidates(anchors: DataFrame, id_col: str, required: int, max_rmsd: float) -> DataFrame:
     """Pairs (id_a < id_b) whose anchor RMSD may lie below ``max_rmsd``; none that does is lost.
 

@@ -93,7 +93,7 @@ def structure_profile(atoms: DataFrame, expected: DataFrame | None = None) -> Da
     )
     if expected is None:
         return out
-    return out.join(expected, "structure_id", "left").withColumn("coverage", F.col("residue_count") / F.col("expected_residues"))
+    return out.join(expected, "structure_id", "left").withColumn("coverage", F.try_divide(F.col("residue_count"), F.col("expected_residues")))
 
 
 def bond_pairs(atoms: DataFrame, lo: float, hi: float, atom: str = "SG", comp: str = "CYS") -> DataFrame:
@@ -268,7 +268,10 @@ def normalize_domain(atoms: DataFrame, chains: DataFrame, spec: DomainSpec, mode
 
 
 def structure_qc(residues: DataFrame, atoms: DataFrame, spec: DomainSpec) -> DataFrame:
-    """Rule rows (structure_id, rule_id, severity, detail) from residues and their atoms."""
+    """Rule rows (structure_id, rule_id, severity, detail) from residues and their atoms.
+
+    Every rule reads the residues: pass staged tables (``stage_table``), not long derivations.
+    """
     def listed(cond: Column, rule: str, severity: str, limit: int = 12) -> DataFrame:
         hit = residues.filter(cond).select("structure_id", "label_seq_id", "position")
         few = F.slice(F.array_sort(F.collect_list(F.struct("label_seq_id", "position"))), 1, limit)

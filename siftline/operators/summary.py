@@ -240,7 +240,7 @@ def panel_margin(
 
 def weighted_macro(df: DataFrame, partition: Sequence[str], group: str, x: str, w: str) -> DataFrame:
     """Weighted mean inside each source group, then plain mean over groups."""
-    inner = df.groupBy(*partition, group).agg((F.sum(F.col(w) * F.col(x)) / F.sum(w)).alias("_m"))
+    inner = df.groupBy(*partition, group).agg(F.try_divide(F.sum(F.col(w) * F.col(x)), F.sum(w)).alias("_m"))
     return inner.groupBy(*partition).agg(F.count(F.lit(1)).alias("group_count"), F.avg("_m").alias("macro_mean"))
 
 

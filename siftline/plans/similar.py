@@ -10,7 +10,7 @@ from siftline.plans.joins import points
 from siftline.plans.registry import query
 
 # Settings of the shape queries: shared positions needed, anchors, and the three scales.
-MIN_COMMON, ANCHORS, SCALES = 4, 4, (1.2, 0.16, 0.08)
+MIN_COMMON, ANCHORS, SCALES = 4, 4, (1.2, 0.16, 0.065)
 
 
 def shapes(t):

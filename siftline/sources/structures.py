@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions.clean import finite, null_token
+from siftline.functions.clean import finite, let, null_token
 
 # Fields of an atom line as (name, first column, width), columns counted from 1.
 ATOM_FIELDS = (
@@ -68,29 +68,29 @@ def parse_loops(files: DataFrame, id_col: str, text: str, category: str, columns
     cat = category.replace(".", r"\.")
     body = F.regexp_replace(text, r"\r\n?", "\n")
     # A loop runs until the next loop_, data_ or comment line, or the next tag of another category.
-    loop = F.regexp_extract(body, rf"(?ms)^loop_[ \t]*\n((?:\s*{cat}\.\S+[ \t]*\n)+.*?)(?=^(?:loop_|data_|#|_)|\z)", 1)
-    head = F.regexp_extract_all(loop, F.lit(rf"(?m)^\s*{cat}\.(\S+)[ \t]*$"), F.lit(1))
-    tail = F.regexp_replace(loop, rf"(?m)^\s*{cat}\.\S+[ \t]*$", "")
-    tokens = F.regexp_extract_all(tail, F.lit(_TOKEN), F.lit(0))
-    width = F.size(head)
-    cells = F.when(
-        (width > 0) & (F.size(tokens) >= width),
-        F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(tokens) / width).cast("int") - 1),
-            lambda i: F.slice(tokens, i * width + 1, width),
-        ),
+    head = F.regexp_extract_all("_loop", F.lit(rf"(?m)^\s*{cat}\.(\S+)[ \t]*$"), F.lit(1))
+    tail = F.regexp_replace("_loop", rf"(?m)^\s*{cat}\.\S+[ \t]*$", "")
+    pairs = F.regexp_extract_all("_body", F.lit(rf"(?ms)^{cat}\.(\S+)\s+(?:{_TOKEN.removeprefix('(?ms)')})"), F.lit(0))
+
+    def rows_of(p: Column) -> Column:
+        """Tokens cut into rows as wide as the header; a key-value block is a single row."""
+        width = F.size(p["names"])
+        whole = F.floor(F.size(p["tokens"]) / width).cast("int")
+        return F.struct(
+            p["names"].alias("names"),
+            F.when((width > 0) & (whole > 0), F.transform(F.sequence(F.lit(0), whole - 1), lambda i: F.slice(p["tokens"], i * width + 1, width))).alias("rows"),
+        )
+
+    texts = files.select(id_col, body.alias("_body")).select(
+        id_col, "_body", F.regexp_extract("_body", rf"(?ms)^loop_[ \t]*\n((?:\s*{cat}\.\S+[ \t]*\n)+.*?)(?=^(?:loop_|data_|#|_)|\z)", 1).alias("_loop")
     )
-    pairs = F.regexp_extract_all(body, F.lit(rf"(?ms)^{cat}\.(\S+)\s+(?:{_TOKEN.removeprefix('(?ms)')})"), F.lit(0))
-    single = F.when((width <= 0) & (F.size(pairs) > 0), pairs)
-    base = files.select(
-        id_col, head.alias("_head"), cells.alias("_cells"), single.alias("_pairs"),
-    ).filter(F.col("_cells").isNotNull() | F.col("_pairs").isNotNull())
-    names = F.when(F.col("_pairs").isNotNull(), F.transform("_pairs", lambda p: F.regexp_extract(p, rf"^{cat}\.(\S+)", 1))).otherwise(F.col("_head"))
-    rows = F.when(
-        F.col("_pairs").isNotNull(),
-        F.array(F.transform("_pairs", lambda p: F.regexp_replace(p, rf"(?s)^{cat}\.\S+\s+", ""))),
-    ).otherwise(F.col("_cells"))
-    flat = base.select(id_col, names.alias("_names"), F.posexplode(rows).alias("row_order", "_row"))
+    looped = F.struct(head.alias("names"), F.regexp_extract_all(tail, F.lit(_TOKEN), F.lit(0)).alias("tokens"))
+    single = let(pairs, lambda ps: F.struct(
+        F.transform(ps, lambda p: F.regexp_extract(p, rf"^{cat}\.(\S+)", 1)).alias("names"),
+        F.transform(ps, lambda p: F.regexp_replace(p, rf"(?s)^{cat}\.\S+\s+", "")).alias("tokens"),
+    ))
+    parts = texts.select(id_col, let(F.when(F.col("_loop") != "", looped).otherwise(single), rows_of).alias("_t"))
+    flat = parts.select(id_col, F.col("_t.names").alias("_names"), F.posexplode("_t.rows").alias("row_order", "_row"))
     at = {c: F.array_position("_names", c) for c in columns}
     return flat.select(
         id_col, "row_order",
