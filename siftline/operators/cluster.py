@@ -54,7 +54,7 @@ def threshold_clusters(edges: DataFrame, nodes: DataFrame, id_col: str, threshol
         )
         grouped = flipped.groupBy("lo", "hi", "lo_size", "hi_size").agg(F.max("distance").alias("distance"), F.sum("n").alias("n"))
         links = cut(grouped.filter(F.col("n") == F.col("lo_size") * F.col("hi_size")).select("lo", "hi", "distance", "n", "lo_size", "hi_size"))
-    return members
+    return members.select(id_col, "cluster")
 
 
 def number_clusters(members: DataFrame, id_col: str, prefix: str = "FWC") -> DataFrame:

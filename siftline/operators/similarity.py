@@ -91,8 +91,9 @@ def shape_candidates(anchors: DataFrame, id_col: str, required: int, max_rmsd: f
     Structures without all anchors are at the sentinel distance from every other and have no pairs.
     """
     sig = shape_signature(anchors, id_col).filter(F.col("points") == required)
-    slack = max_rmsd * (1 + 1e-9) + 1e-9  # the closed form is exact to rounding only
-    near = range_pairs(sig, sig, [], ["s1", "s2", "s3"], slack, [id_col], [id_col])
+    # The closed form is off by up to 2e-4 of the largest value where eigenvalues meet.
+    scale = sig.agg(F.max("s1")).first()[0] or 0.0
+    near = range_pairs(sig, sig, [], ["s1", "s2", "s3"], max_rmsd + 5e-4 * scale + 1e-12, [id_col], [id_col])
     return near.filter(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).select(
         F.col(f"{id_col}_a").alias("id_a"), F.col(f"{id_col}_b").alias("id_b")
     )
@@ -238,9 +239,14 @@ def _lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("long")
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, as an Arrow UDF."""
+
+    @F.pandas_udf("long")
+    def kernel(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_lcs_length(p, q) for p, q in zip(x, y)], dtype="int64")
+
+    return kernel(a, b)
 
 
 def lcs_similarity(pairs: DataFrame, a: str = "text_a", b: str = "text_b", name: str = "similarity") -> DataFrame:
@@ -320,13 +326,17 @@ def _align(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return result
 
 
-@F.pandas_udf("double")
-def alignment_identity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matches over alignment length of the best global alignment; affine gaps.
+def alignment_identity(a, b) -> Column:
+    """Matches over alignment length of the best global alignment, affine gaps, as an Arrow UDF.
 
     Ties prefer a letter pair, then a gap in the second text, then a gap in the first.
     """
-    return pd.Series(_align(list(a), list(b)))
+
+    @F.pandas_udf("double")
+    def kernel(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(_align(list(x), list(y)))
+
+    return kernel(a, b)
 
 
 def align_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:

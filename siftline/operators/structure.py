@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.clean import bucket, distance3, letters, null_token, parse_position
+from siftline.functions.clean import RESIDUE_LETTERS, bucket, distance3, letters, null_token, parse_position
 from siftline.operators.joins import range_pairs
 from siftline.operators.ranking import best_per_key, first_n_distinct
 
@@ -58,6 +58,8 @@ def choose_conformer(atoms: DataFrame, keys: Sequence[str] = RESIDUE) -> DataFra
     chosen = best_per_key(scored, list(keys), order).select(*keys, F.col("_alt").alias("selected_altloc"))
     kept = rows.join(chosen, list(keys), "left").withColumn("selected_altloc", F.coalesce("selected_altloc", F.lit("")))
     kept = kept.filter((F.col("_alt") == "") | (F.col("_alt") == F.col("selected_altloc")))
+    # A name left over twice is resolved by occupancy and flagged.
+    kept = kept.withColumn("repeated_name", F.count(F.lit(1)).over(Window.partitionBy(*keys, "atom_name")) > 1)
     unique = best_per_key(kept, [*keys, "atom_name"], [F.col("occupancy").desc(), (F.col("_alt") == "").desc(), "line_order"])
     return unique.drop("_alt")
 
@@ -211,6 +213,10 @@ class DomainSpec:
     canonical: tuple[int, int] = (23, 104)
     canonical_distance: tuple[float, float] = (1.8, 2.5)
     peptide_bond: tuple[float, float] = (1.0, 1.8)
+    allowed_residues: tuple[str, ...] = tuple(RESIDUE_LETTERS)
+    length_range: tuple[int, int] = (0, 10_000)
+    max_first: int = 10_000
+    min_last: int = -10_000
     occupancy_hard: float = 0.5
     occupancy_soft: float = 0.7
 
@@ -238,125 +244,151 @@ def choose_chain(atoms: DataFrame, wanted: DataFrame, spec: DomainSpec) -> DataF
     return out.select("structure_id", F.when(F.col("_n") == 1, F.col("_c.label_asym_id")).alias("label_asym_id"), status.alias("status"))
 
 
-def normalize_domain(atoms: DataFrame, chains: DataFrame, spec: DomainSpec, model: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Domain atoms with one conformer and 1..N numbering, and the residue map."""
+def _domain_rows(atoms: DataFrame, chains: DataFrame, model: int) -> DataFrame:
+    """Polymer atoms of the chosen chains in one model, with their parsed positions."""
     picked = chains.filter("status = 'OK'").select("structure_id", "label_asym_id")
     # An absent group or model number does not exclude an atom.
     polymer = F.coalesce(F.col("group_PDB"), F.lit("ATOM")) == "ATOM"
     in_model = F.coalesce(F.col("model_num"), F.lit(model)) == model
     rows = atoms.filter(polymer & in_model & F.col("label_seq_id").isNotNull()).join(picked, ["structure_id", "label_asym_id"])
-    rows = rows.withColumn("_pos", parse_position("auth_seq_id", "ins_code"))
-    identity = rows.groupBy(*RESIDUE).agg(
-        (F.min("comp_id") == F.max("comp_id")).alias("_one_comp"), (F.count_distinct("_pos") == 1).alias("_one_pos"), F.min("_pos").alias("_p")
-    ).filter("_one_comp AND _one_pos").select(*RESIDUE, F.col("_p.base").alias("base"), F.col("_p.insertion").alias("insertion"))
-    inside = identity.filter(F.col("base").between(spec.first, spec.last))
+    return rows.withColumn("_pos", parse_position("auth_seq_id", "ins_code"))
+
+
+def _identities(rows: DataFrame) -> DataFrame:
+    """Per residue: its position, and whether component and position are unique."""
+    return rows.groupBy(*RESIDUE).agg(
+        F.min("_pos").alias("_p"), ((F.min("comp_id") == F.max("comp_id")) & (F.min("_pos") == F.max("_pos"))).alias("_unique")
+    )
+
+
+def identity_problems(atoms: DataFrame, chains: DataFrame, model: int = 1) -> DataFrame:
+    """Rule rows for residues with several components or positions, or none."""
+    bad = _identities(_domain_rows(atoms, chains, model)).filter(~F.coalesce("_unique", F.lit(False)))
+    return bad.select(
+        "structure_id", F.lit("residue_identity_ambiguous").alias("rule_id"), F.lit("hard").alias("severity"),
+        F.concat(F.lit("label_seq="), F.col("label_seq_id").cast("string")).alias("detail"),
+    )
+
+
+def normalize_domain(atoms: DataFrame, chains: DataFrame, spec: DomainSpec, model: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Domain atoms with one conformer and 1..N numbering, and the residue map.
+
+    The residue map also carries the C, N and SG points of each residue, which the rules need.
+    """
+    rows = _domain_rows(atoms, chains, model)
+    inside = _identities(rows).filter("_unique").select(*RESIDUE, F.col("_p.base").alias("base"), F.col("_p.insertion").alias("insertion"))
+    inside = inside.filter(F.col("base").between(spec.first, spec.last))
     filled = rows.drop("_pos").join(inside, list(RESIDUE)).withColumns({
         "occupancy_missing": F.col("occupancy").isNull(), "occupancy": F.coalesce("occupancy", F.lit(1.0)), "b_factor": F.coalesce("b_factor", F.lit(0.0)),
     })
     one = choose_conformer(filled)
-    position = F.concat(F.col("base").cast("string"), F.col("insertion"))
+    lost = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
+    origin = (F.abs("x") < 1e-8) & (F.abs("y") < 1e-8) & (F.abs("z") < 1e-8)
+    point = lambda name: F.max(F.when(F.col("atom_name") == name, F.struct("x", "y", "z"))).alias(f"point_{name}")
     residues = one.groupBy(*RESIDUE, "label_asym_id", "base", "insertion", "selected_altloc").agg(
         F.min("comp_id").alias("comp_id"), _has_all(BACKBONE).alias("backbone_complete"), F.avg("occupancy").alias("mean_occupancy"),
         F.max("occupancy_missing").alias("occupancy_missing"), F.avg("b_factor").alias("mean_b_factor"),
-        F.sum(is_heavy().cast("long")).alias("kept_atom_count"),
-    ).withColumns({"position": position, "region": bucket("base", spec.regions, "OUTSIDE_VARIABLE"), "one_letter": letters("comp_id")})
-    w = Window.partitionBy("structure_id").orderBy("label_seq_id")  # a domain has at most a few hundred residues
+        F.sum(is_heavy().cast("long")).alias("kept_atom_count"), F.max("repeated_name").alias("repeated_name"),
+        F.max(lost | origin).alias("bad_coordinate"), point("C"), point("N"), point("SG"),
+    ).withColumns({
+        "position": F.concat(F.col("base").cast("string"), F.col("insertion")), "region": bucket("base", spec.regions, "OUTSIDE_VARIABLE"),
+        "one_letter": letters("comp_id"),
+    })
+    w = Window.partitionBy("structure_id").orderBy("label_seq_id")  # at most one residue per position and insertion
     residue_map = residues.withColumn("ordinal", F.row_number().over(w))
     numbers = residue_map.select(*RESIDUE, F.col("ordinal").alias("normalized_label_seq_id"), "position", "region")
-    kept = one.filter(is_heavy()).join(numbers, list(RESIDUE))
-    return kept, residue_map
+    return one.filter(is_heavy()).join(numbers, list(RESIDUE)), residue_map
 
 
-def structure_qc(residues: DataFrame, atoms: DataFrame, spec: DomainSpec) -> DataFrame:
-    """Rule rows (structure_id, rule_id, severity, detail) from residues and their atoms.
+def structure_qc(residues: DataFrame, spec: DomainSpec) -> DataFrame:
+    """Rule rows (structure_id, rule_id, severity, detail) of every structure.
 
-    Every rule reads the residues: pass staged tables (``stage_table``), not long derivations.
+    Neighbours are compared in one window and all rules of a structure come from one aggregation;
+    its lists hold at most the residues of one domain.
     """
-    def listed(cond: Column, rule: str, severity: str, limit: int = 12) -> DataFrame:
-        hit = residues.filter(cond).select("structure_id", "label_seq_id", "position")
-        few = F.slice(F.array_sort(F.collect_list(F.struct("label_seq_id", "position"))), 1, limit)
-        return hit.groupBy("structure_id").agg(F.array_join(F.transform(few, lambda p: p["position"]), ",").alias("detail")).select(
-            "structure_id", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), "detail"
-        )
-
-    framework, design = F.col("region").startswith("FR"), F.col("region").startswith("CDR")
-    occ = F.col("mean_occupancy")
-    rules = [
-        listed(framework & ~F.col("backbone_complete"), "framework_backbone_incomplete", "hard"),
-        listed(design & ~F.col("backbone_complete"), "design_region_backbone_incomplete", "hard"),
-        listed(occ < spec.occupancy_hard, f"residue_mean_occupancy_below_{spec.occupancy_hard:g}", "hard"),
-        listed((occ >= spec.occupancy_hard) & (occ < spec.occupancy_soft), f"residue_mean_occupancy_below_{spec.occupancy_soft:g}", "soft"),
-    ]
-    flags = residues.groupBy("structure_id").agg(
-        F.max("occupancy_missing").alias("missing"), F.max(F.col("selected_altloc") != "").alias("alt"),
-        F.array_except(F.array(*[F.lit(a) for a in spec.required_anchors]).cast("array<int>"), F.collect_set("base")).alias("lost"),
-    )
-    plain = F.array_compact(F.array(
-        F.when(F.col("missing"), F.struct(F.lit("atom_occupancy_missing_assumed_1.0").alias("rule_id"), F.lit("soft").alias("severity"), F.lit("").alias("detail"))),
-        F.when(F.col("alt"), F.struct(F.lit("altloc_residue_conformer_selected").alias("rule_id"), F.lit("soft").alias("severity"), F.lit("").alias("detail"))),
-        F.when(F.size("lost") > 0, F.struct(F.lit("missing_anchors").alias("rule_id"), F.lit("hard").alias("severity"),
-                                            F.array_join(F.array_sort("lost").cast("array<string>"), ",").alias("detail"))),
-    ))
-    rules.append(flags.select("structure_id", F.inline(plain)))
-    repeats = residues.groupBy("structure_id", "position").agg(F.count(F.lit(1)).alias("n"), F.min("base").alias("b")).filter("n > 1")
-    few = F.slice(F.array_sort(F.collect_list(F.struct("b", "position"))), 1, 12)
-    rules.append(repeats.groupBy("structure_id").agg(F.array_join(F.transform(few, lambda p: p["position"]), ",").alias("detail")).select(
-        "structure_id", F.lit("duplicate_position").alias("rule_id"), F.lit("hard").alias("severity"), "detail"))
-    rules += [_breaks(residues, atoms, spec), _canonical_bond(residues, atoms, spec)]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-def _breaks(residues: DataFrame, atoms: DataFrame, spec: DomainSpec) -> DataFrame:
-    """Numbering gaps and broken peptide bonds between neighbouring residues."""
-    ends = atoms.filter(F.col("atom_name").isin("C", "N")).groupBy(*RESIDUE).agg(*[
-        F.max(F.when(F.col("atom_name") == n, F.struct("x", "y", "z"))).alias(f"end_{n}") for n in ("C", "N")
-    ])
     w = Window.partitionBy("structure_id").orderBy("label_seq_id")
-    rows = residues.select(*RESIDUE, "position").join(ends, list(RESIDUE), "left").select(
-        "*", F.lag("label_seq_id").over(w).alias("_seq"), F.lag("position").over(w).alias("_pos"), F.lag("end_C").over(w).alias("_c")
-    ).filter(F.col("_seq").isNotNull())
-    gap = F.col("label_seq_id") != F.col("_seq") + 1
-    d = distance3("_c.x", "_c.y", "_c.z", "end_N.x", "end_N.y", "end_N.z")
+    rows = residues.withColumns({
+        "_seq": F.lag("label_seq_id").over(w), "_pos": F.lag("position").over(w), "_c": F.lag("point_C").over(w),
+        "_same": F.count(F.lit(1)).over(Window.partitionBy("structure_id", "position")),
+    })
+    gap = F.coalesce(F.col("label_seq_id") != F.col("_seq") + 1, F.lit(False))
+    d = distance3("_c.x", "_c.y", "_c.z", "point_N.x", "point_N.y", "point_N.z")
+    broken = F.col("_seq").isNotNull() & ~gap & F.coalesce(~d.between(*spec.peptide_bond), F.lit(False))
     arrow = F.concat("_pos", F.lit("->"), "position")
-    rule = F.when(gap, "unresolved_sequence_gap").when(d.isNotNull() & ~d.between(*spec.peptide_bond), "peptide_bond_break")
-    text = F.when(gap, arrow).otherwise(F.concat(arrow, F.lit(":"), F.format_string("%.3f", d)))
-    hits = rows.select("structure_id", "label_seq_id", rule.alias("rule_id"), text.alias("t")).filter("rule_id IS NOT NULL")
-    few = F.slice(F.array_sort(F.collect_list(F.struct("label_seq_id", "t"))), 1, 8)
-    return hits.groupBy("structure_id", "rule_id").agg(F.array_join(F.transform(few, lambda p: p["t"]), ",").alias("detail")).select(
-        "structure_id", "rule_id", F.lit("hard").alias("severity"), "detail"
-    )
-
-
-def _canonical_bond(residues: DataFrame, atoms: DataFrame, spec: DomainSpec) -> DataFrame:
-    """State of the canonical disulfide of each structure; nothing when it is sound."""
-    sg = atoms.filter(F.col("atom_name") == "SG").groupBy(*RESIDUE).agg(F.max(F.struct("x", "y", "z")).alias("sg"))
-    base = residues.filter("insertion = ''").join(sg, list(RESIDUE), "left")
-    cols = []
+    framework, design, occ = F.col("region").startswith("FR"), F.col("region").startswith("CDR"), F.col("mean_occupancy")
+    low, soft = spec.occupancy_hard, spec.occupancy_soft
+
+    def listed(cond: Column, text: Column, limit: int, key: str = "label_seq_id") -> Column:
+        """First members in residue order as text, NULL when there is none."""
+        few = F.slice(F.array_sort(F.array_distinct(F.collect_list(F.when(cond, F.struct(F.col(key).alias("k"), text.alias("t")))))), 1, limit)
+        return F.when(F.size(few) > 0, F.array_join(F.transform(few, lambda e: e["t"]), ","))
+
+    lists = {
+        ("duplicate_imgt_position", "hard"): listed(F.col("_same") > 1, F.col("position"), 12, "base"),
+        ("framework_backbone_incomplete", "hard"): listed(framework & ~F.col("backbone_complete"), F.col("position"), 12),
+        ("design_region_backbone_incomplete", "hard"): listed(design & ~F.col("backbone_complete"), F.col("position"), 12),
+        (f"residue_mean_occupancy_below_{low:g}", "hard"): listed(occ < low, F.col("position"), 12),
+        (f"residue_mean_occupancy_below_{soft:g}", "soft"): listed((occ >= low) & (occ < soft), F.col("position"), 12),
+        ("unresolved_sequence_gap", "hard"): listed(gap, arrow, 8),
+        ("peptide_bond_break", "hard"): listed(broken, F.concat(arrow, F.lit(":"), F.format_string("%.3f", d)), 8),
+        ("nonstandard_variable_residue", "hard"): listed(~F.col("comp_id").isin(*spec.allowed_residues), F.col("comp_id"), 1 << 20, "comp_id"),
+    }
+    flags = {
+        ("invalid_or_zero_coordinates", "hard"): F.max("bad_coordinate"),
+        ("duplicate_atom_name_resolved_by_occupancy", "soft"): F.max("repeated_name"),
+        ("atom_occupancy_missing_assumed_1.0", "soft"): F.max("occupancy_missing"),
+        ("altloc_residue_conformer_selected", "soft"): F.max(F.col("selected_altloc") != ""),
+        ("struct_conn_reconstructed_from_geometry", "soft"): F.count(F.lit(1)) > 0,
+    }
+    anchors = F.array_sort(F.array_except(F.array(*[F.lit(a) for a in spec.required_anchors]).cast("array<int>"), F.collect_set("base")))
+    ends = []
     for i, b in enumerate(spec.canonical):
-        cols += [F.max(F.when(F.col("base") == b, F.col("comp_id"))).alias(f"c{i}"), F.max(F.when(F.col("base") == b, F.col("sg"))).alias(f"s{i}")]
-    ends = residues.select("structure_id").distinct().join(base.groupBy("structure_id").agg(*cols), "structure_id", "left")
-    d = distance3("s0.x", "s0.y", "s0.z", "s1.x", "s1.y", "s1.z")
-    rule = (
+        there = (F.col("base") == b) & (F.col("insertion") == "")
+        ends += [F.max(F.when(there, F.col("comp_id"))).alias(f"c{i}"), F.max(F.when(there, F.col("point_SG"))).alias(f"s{i}")]
+    stats = rows.groupBy("structure_id").agg(
+        *[c.alias(f"_l{i}") for i, c in enumerate(lists.values())], *[c.alias(f"_f{i}") for i, c in enumerate(flags.values())],
+        anchors.alias("_anchors"), F.count(F.lit(1)).alias("_length"), F.min("base").alias("_first"), F.max("base").alias("_last"), *ends,
+    )
+    ss = distance3("s0.x", "s0.y", "s0.z", "s1.x", "s1.y", "s1.z")
+    bond = (
         F.when(F.col("c0").isNull() | F.col("c1").isNull(), "canonical_disulfide_positions_missing")
-        .when((F.col("c0") != "CYS") | (F.col("c1") != "CYS"), "canonical_positions_not_cysteine")
-        .when(d.isNull(), "canonical_disulfide_sg_missing").when(~d.between(*spec.canonical_distance), "canonical_disulfide_distance_invalid")
+        .when((F.col("c0") != "CYS") | (F.col("c1") != "CYS"), "canonical_imgt_23_104_not_cysteine")
+        .when(ss.isNull(), "canonical_disulfide_sg_missing").when(~ss.between(*spec.canonical_distance), "canonical_disulfide_distance_invalid")
     )
-    detail = F.when(rule == "canonical_disulfide_distance_invalid", F.format_string("%.3f", d)).otherwise("")
-    return ends.select("structure_id", rule.alias("rule_id"), F.lit("hard").alias("severity"), detail.alias("detail")).filter("rule_id IS NOT NULL")
+    bond_detail = F.when(bond == "canonical_disulfide_distance_invalid", F.format_string("%.3f", ss)).otherwise("")
+    text = lambda c: c.cast("string")
+    n, first, last = F.col("_length"), F.col("_first"), F.col("_last")
+
+    def rule(cond: Column, name, severity: str, detail: Column) -> Column:
+        label = F.lit(name) if isinstance(name, str) else name
+        return F.when(cond, F.struct(label.alias("rule_id"), F.lit(severity).alias("severity"), detail.alias("detail")))
+
+    found = [rule(F.col(f"_l{i}").isNotNull(), name, sev, F.col(f"_l{i}")) for i, (name, sev) in enumerate(lists)]
+    found += [rule(F.col(f"_f{i}"), name, sev, F.lit("")) for i, (name, sev) in enumerate(flags)]
+    found += [
+        rule(F.size("_anchors") > 0, "missing_imgt_anchors", "hard", F.array_join(F.col("_anchors").cast("array<string>"), ",")),
+        rule(~n.between(*spec.length_range), "variable_length_out_of_range", "hard", text(n)),
+        rule(first > spec.max_first, "n_terminal_framework_truncated", "hard", F.concat(F.lit("first_imgt="), text(first))),
+        rule(last < spec.min_last, "c_terminal_framework_truncated", "hard", F.concat(F.lit("last_imgt="), text(last))),
+        rule(bond.isNotNull(), bond, "hard", bond_detail),
+    ]
+    return stats.select("structure_id", F.inline(F.array_compact(F.array(*found))))
+
 
+def reason_lists(qc: DataFrame, chains: DataFrame) -> DataFrame:
+    """Hard and soft reasons of each structure, sorted and joined, with its status.
 
-def reason_lists(qc: DataFrame, structures: DataFrame) -> DataFrame:
-    """Hard and soft reasons of each structure, sorted and joined, with its status."""
-    text = F.when(F.col("detail") == "", F.col("rule_id")).otherwise(F.concat("rule_id", F.lit(":"), "detail"))
-    lists = qc.withColumn("_t", text).groupBy("structure_id").agg(*[
+    ``chains``: structure_id and status of the chain choice; a status other than OK is a hard
+    reason, and a chosen chain without any rule row has no residues in the domain.
+    """
+    detailed = F.when(F.col("detail") == "", F.col("rule_id")).otherwise(F.concat("rule_id", F.lit(":"), "detail"))
+    lists = qc.withColumn("_t", detailed).groupBy("structure_id").agg(*[
         F.array_sort(F.collect_set(F.when(F.col("severity") == s, F.col("_t")))).alias(s) for s in ("hard", "soft")
     ])
-    out = structures.select("structure_id").distinct().join(lists, "structure_id", "left")
+    out = chains.select("structure_id", "status").join(lists, "structure_id", "left")
     empty = F.array().cast("array<string>")
-    out = out.withColumns({s: F.coalesce(s, empty) for s in ("hard", "soft")})
+    alone = F.when(F.col("status") != "OK", F.array("status")).when(F.col("hard").isNull(), F.array(F.lit("no_variable_domain_residues"))).otherwise(empty)
+    out = out.withColumns({"hard": F.array_sort(F.concat(F.coalesce("hard", empty), alone)), "soft": F.coalesce("soft", empty)})
     return out.select(
         "structure_id", F.when(F.size("hard") == 0, "PASS").otherwise("FAIL").alias("hard_status"), F.size("hard").alias("hard_reason_count"),
         F.array_join("hard", " | ").alias("hard_reasons"), F.size("soft").alias("soft_flag_count"), F.array_join("soft", " | ").alias("soft_flags"),

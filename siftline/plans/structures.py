@@ -141,23 +141,24 @@ def max_coord_error(spark, t):
 def domain(t):
     a = atoms(t, one_chain=True)
     wanted = t.embeddings.select(F.col("vec_id").alias("structure_id"), F.lit("H").alias("chain"))
-    chains = structure.choose_chain(a, wanted, SPEC)
-    return structure.normalize_domain(a, chains, SPEC)
+    chains = stage_table(structure.choose_chain(a, wanted, SPEC), "chains")
+    return a, chains, *structure.normalize_domain(a, chains, SPEC)
 
 
 @query("normalize_domain", f"""
 WITH r AS (SELECT DISTINCT structure_id, label_seq_id, comp_id FROM ({_FULL}))
 SELECT structure_id, label_seq_id AS ordinal, label_seq_id, ['10', '23', '30', '50', '104'][label_seq_id] AS position, ['FR1', 'FR1', 'CDR1', 'FR2', 'FR3'][label_seq_id] AS region, CASE comp_id WHEN 'CYS' THEN 'C' WHEN 'ALA' THEN 'A' WHEN 'GLY' THEN 'G' ELSE 'S' END AS one_letter FROM r""")
 def normalize_domain(spark, t):
-    return domain(t)[1].select("structure_id", "ordinal", "label_seq_id", "position", "region", "one_letter")
+    return domain(t)[3].select("structure_id", "ordinal", "label_seq_id", "position", "region", "one_letter")
 
 
 @query("structure_qc")
 def structure_qc(spark, t):
-    kept, residues = (stage_table(d, "domain") for d in domain(t))
-    qc = structure.structure_qc(residues, kept, SPEC)
+    a, chains, kept, residues = domain(t)
+    residues = stage_table(residues, "residues")
     bonds = structure.bond_rules(structure.bond_pairs(kept, 0.1, 0.3), residues, ("23", "104"))
-    return structure.reason_lists(qc.unionByName(bonds), residues)
+    qc = structure.structure_qc(residues, SPEC).unionByName(bonds).unionByName(structure.identity_problems(a, chains))
+    return structure.reason_lists(qc, chains)
 
 
 # ---- parsers on texts written from the same atoms ----

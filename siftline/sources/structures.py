@@ -42,7 +42,7 @@ def parse_atom_lines(files: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def read_pdb_atoms(spark: SparkSession, paths) -> DataFrame:
     """Atoms of fixed-width structure files, one file per input row."""
-    files = spark.read.option("wholetext", True).text(paths).select(
+    files = spark.read.text(paths, wholetext=True).select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("structure_id"), "value"
     )
     return parse_atom_lines(files, "structure_id", "value")
@@ -124,7 +124,7 @@ def atom_site(files: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def read_mmcif(spark: SparkSession, paths, categories: dict[str, Sequence[str]], wanted: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables of the named categories; ``wanted`` ids are selected before anything is parsed."""
-    files = spark.read.option("wholetext", True).text(paths).select(
+    files = spark.read.text(paths, wholetext=True).select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("structure_id"), "value"
     )
     if wanted is not None:

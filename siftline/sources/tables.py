@@ -17,15 +17,14 @@ _BOM = "﻿"
 
 def read_table(spark: SparkSession, path, required: Sequence[str] = (), sep: str = ",") -> DataFrame:
     """All-string scan that keeps empty strings; BOM, duplicate and missing columns are handled."""
-    # A marker no file holds as nullValue: the default would turn "" into NULL.
-    reader = spark.read.options(header=True, sep=sep, inferSchema=False, emptyValue="", nullValue="\x00", quote='"', escape='"', multiLine=False)
     head = spark.read.options(header=False, sep=sep, inferSchema=False, emptyValue="", quote='"', escape='"').csv(path).limit(1).first()
     names = [(v or "").lstrip(_BOM) for v in (head or [])]
     if len(set(names)) != len(names):
         raise ValueError(f"duplicate columns: {sorted({n for n in names if names.count(n) > 1})}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = reader.option("enforceSchema", True).schema(schema).csv(path)
-    return require_columns(df, required)
+    df = spark.read.options(header=True, sep=sep, emptyValue="", quote='"', escape='"').schema(schema).csv(path)
+    # The scan reads an empty cell as NULL; a string table has no NULLs.
+    return require_columns(df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names]), required)
 
 
 def read_contract_tsv(spark: SparkSession, path, schema, sep: str = "\t") -> DataFrame:
