@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings that mean "missing" in the source tables.
 MISSING_TOKENS = ("", ".", "?", "NA", "N/A", "NULL", "NONE")
@@ -66,8 +67,16 @@ def finite(col) -> Column:
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
 
+def finite_of(df: DataFrame, name: str) -> Column:
+    """``finite`` that leaves out the text steps when the column already is a number."""
+    if not isinstance(df.schema[name].dataType, T.NumericType):
+        return finite(name)
+    number = F.col(name).cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+
+
 def to_finite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: finite(c) for c in cols})
+    return df.withColumns({c: finite_of(df, c) for c in cols})
 
 
 def parse_bool(col, strict: bool = False) -> Column:

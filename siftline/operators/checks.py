@@ -103,7 +103,9 @@ def validate_events(lines: DataFrame, text: str, schema: str, rules: dict[str, C
 
     The key set is checked on the raw JSON, so an unknown key is a reason as well.
     """
-    parsed = lines.withColumn("_e", F.from_json(text, schema)).withColumn("_keys", F.json_object_keys(text))
+    # As the output of a generator the parsed line is computed once, not once per rule.
+    once = F.struct(F.from_json(text, schema).alias("_e"), F.json_object_keys(text).alias("_keys"))
+    parsed = lines.select("*", F.inline(F.array(once)))
     want = F.array(*[F.lit(k) for k in keys])
     reasons = [
         F.when(F.col("_keys").isNull(), F.lit("not_an_object")),

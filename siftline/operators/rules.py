@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.clean import finite
+from siftline.functions.clean import finite_of
 from siftline.operators.ordered import number_rows
 
 
@@ -74,7 +74,7 @@ def flag_all(df: DataFrame, flags: dict[str, Column], keep_all: str = "pass_all"
 def apply_rules(df: DataFrame, id_cols: Sequence[str], rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     """Long pass/fail rows and the wide verdict, both in one scan and without a shuffle."""
     ordered = sorted(rules, key=lambda r: r.order)
-    values = {r.value_column: finite(r.value_column) for r in ordered}
+    values = {r.value_column: finite_of(df, r.value_column) for r in ordered}
     entries = [
         F.struct(
             F.lit(r.order).alias("rule_order"), F.lit(r.label).alias("label"),

@@ -85,16 +85,28 @@ def shape_signature(coords: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def shape_candidates(anchors: DataFrame, id_col: str, required: int, max_rmsd: float) -> DataFrame:
+def shape_candidates(anchors: DataFrame, id_col: str, position: str, required: int, max_rmsd: float) -> DataFrame:
     """Pairs (id_a < id_b) whose anchor RMSD may lie below ``max_rmsd``; none that does is lost.
 
+    Two exact lower bounds: the signatures find near pairs through a grid join, then the distances
+    between the anchors must agree, as sqrt(sum of squared differences) / anchors <= RMSD.
     Structures without all anchors are at the sentinel distance from every other and have no pairs.
     """
     sig = shape_signature(anchors, id_col).filter(F.col("points") == required)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).cast("string").alias("p"), "x", "y", "z")))
+    points = anchors.groupBy(id_col).agg(ordered.alias("_p")).filter(F.size("_p") == required)
+    names, gaps = [], []
+    for i in range(required):
+        for j in range(i + 1, required):
+            names.append(f"g{i}_{j}")
+            gaps.append(F.sqrt(sum(((F.col("_p")[i][c] - F.col("_p")[j][c]) ** 2 for c in "xyz"), F.lit(0.0))).alias(names[-1]))
+    sig = sig.join(points.select(id_col, *gaps), id_col)
     # The closed form is off by up to 2e-4 of the largest value where eigenvalues meet.
     scale = sig.agg(F.max("s1")).first()[0] or 0.0
-    near = range_pairs(sig, sig, [], ["s1", "s2", "s3"], max_rmsd + 5e-4 * scale + 1e-12, [id_col], [id_col])
-    return near.filter(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).select(
+    near = range_pairs(sig, sig, [], ["s1", "s2", "s3"], max_rmsd + 5e-4 * scale + 1e-12, [id_col, *names], [id_col, *names])
+    spread = sum(((F.col(f"{g}_a") - F.col(f"{g}_b")) ** 2 for g in names), F.lit(0.0))
+    limit = (required * max_rmsd) ** 2 * (1 + 1e-9) + 1e-18
+    return near.filter((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (spread <= limit)).select(
         F.col(f"{id_col}_a").alias("id_a"), F.col(f"{id_col}_b").alias("id_b")
     )
 
@@ -226,6 +238,12 @@ def attach_texts(pairs: DataFrame, texts: DataFrame, id_col: str, text: str) ->
     return pairs.join(side("a"), "id_a").join(side("b"), "id_b")
 
 
+def _within(pairs: DataFrame, budget: Column) -> DataFrame:
+    """Pairs within the edit budget, by Spark's own bounded edit distance, before any Python runs."""
+    limited = pairs.withColumn("_budget", F.floor(budget + 1e-9).cast("int"))
+    return limited.filter(F.call_function("levenshtein", "text_a", "text_b", "_budget") >= 0).drop("_budget")
+
+
 def _lcs_length(a: str, b: str) -> int:
     """Longest common subsequence by bit vectors: one big-integer step per letter of ``b``."""
     masks: dict[str, int] = {}
@@ -261,7 +279,9 @@ def lcs_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> Dat
     """All pairs of distinct texts whose common-subsequence similarity reaches the threshold."""
     # At most la + lb - 2*t*max edits, and the longer text has at most n/t letters.
     near = edit_candidates(texts, id_col, text, 2 * (1 - threshold) / threshold, threshold)
-    return lcs_similarity(attach_texts(near, texts, id_col, text)).filter(F.col("similarity") >= threshold - 1e-12).select("id_a", "id_b", "similarity")
+    la, lb = F.length("text_a"), F.length("text_b")
+    budget = la + lb - 2 * threshold * F.greatest(la, lb)
+    return lcs_similarity(_within(attach_texts(near, texts, id_col, text), budget)).filter(F.col("similarity") >= threshold - 1e-12).select("id_a", "id_b", "similarity")
 
 
 # Match, mismatch, gap opening and gap extension scores, times ten.
@@ -343,7 +363,8 @@ def align_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> D
     """All pairs of distinct texts whose alignment identity reaches the threshold."""
     # L - m edits at most, with m >= t*L and L >= the longer text.
     near = edit_candidates(texts, id_col, text, (1 - threshold) / threshold, threshold)
-    both = attach_texts(near, texts, id_col, text)
+    budget = F.least(F.length("text_a"), F.length("text_b")) * ((1 - threshold) / threshold)
+    both = _within(attach_texts(near, texts, id_col, text), budget)
     return both.select("id_a", "id_b", alignment_identity("text_a", "text_b").alias("identity")).filter(F.col("identity") >= threshold - 1e-12)
 
 

@@ -10,7 +10,7 @@ from siftline.plans.joins import points
 from siftline.plans.registry import query
 
 # Settings of the shape queries: shared positions needed, anchors, and the three scales.
-MIN_COMMON, ANCHORS, SCALES = 4, 4, (1.2, 0.16, 0.065)
+MIN_COMMON, ANCHORS, SCALES = 4, 4, (1.2, 0.16, 0.045)
 
 
 def shapes(t):
@@ -26,7 +26,7 @@ def shapes(t):
 def shape_pairs(t, limit: float = 1.0):
     pts = shapes(t)
     anchors = pts.filter(F.col("pos") <= ANCHORS)
-    candidates = similarity.shape_candidates(anchors, "vec_id", ANCHORS, limit * SCALES[2])
+    candidates = similarity.shape_candidates(anchors, "vec_id", "pos", ANCHORS, limit * SCALES[2])
     profiles = similarity.point_profiles(pts, "vec_id", "pos", "letter", F.col("pos") <= ANCHORS)
     scored = similarity.superpose_pairs(candidates, profiles, "vec_id", ANCHORS, MIN_COMMON)
     return scored.withColumn("distance", similarity.combined_distance("identity", "rmsd", "anchor_rmsd", SCALES)).filter(F.col("distance") < limit)

@@ -65,7 +65,7 @@ def test_superposition_matches_brute_force(spark, shapes):
 def test_candidates_lose_no_pair(spark, shapes):
     df, table = shapes
     for limit in (0.2, 0.5):
-        got = {tuple(r) for r in similarity.shape_candidates(df.filter("pos <= 4"), "sid", 4, limit).collect()}
+        got = {tuple(r) for r in similarity.shape_candidates(df.filter("pos <= 4"), "sid", "pos", 4, limit).collect()}
         want = {(i, j) for i, j in itertools.combinations(range(40), 2) if expected(table, i, j)[2] < limit}
         assert want <= got and len(got) < 40 * 39 / 2 and want
 
