@@ -57,6 +57,16 @@ def threshold_clusters(edges: DataFrame, nodes: DataFrame, id_col: str, threshol
     return members.select(id_col, "cluster")
 
 
+def expand_members(members: DataFrame, copies: DataFrame, id_col: str) -> DataFrame:
+    """Members of clusters found among representatives, with all their copies.
+
+    ``copies``: id and representative, as ``collapse_copies`` gives them. Copies are at distance 0,
+    so complete linkage would have put them together first.
+    """
+    named = members.select(F.col(id_col).alias("representative"), "cluster")
+    return copies.join(named, "representative").select(id_col, "cluster")
+
+
 def number_clusters(members: DataFrame, id_col: str, prefix: str = "FWC") -> DataFrame:
     """Cluster ids in the order of each cluster's smallest member."""
     return number_groups(members, "cluster", id_col, prefix, name="cluster_id")

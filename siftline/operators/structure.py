@@ -149,19 +149,23 @@ def hotspot_contacts(atoms: DataFrame, targets: DataFrame, design: DataFrame, cu
     """Smallest heavy-atom and CA distances of each target residue to the design residues.
 
     ``targets`` and ``design`` name residues by (structure_id, label_asym_id, label_seq_id). The
-    design atoms of a structure are grouped to arrays, bounded by the length of a chain, and
-    scanned in place; target × design atom pairs are never rows.
+    few named target atoms of a structure travel as an array to its design atoms, which stay where
+    they are; the minima are combined before the shuffle.
     """
     heavy = atoms.filter(is_heavy() & (F.coalesce("occupancy", F.lit(1.0)) > 0))
     keys = ["structure_id", "label_asym_id", "label_seq_id"]
-    spot = heavy.join(targets.select(*keys), keys, "left_semi").select(*keys, "atom_name", "x", "y", "z")
-    near = heavy.join(design.select(*keys), keys, "left_semi").groupBy("structure_id").agg(
-        F.collect_list(F.struct("x", "y", "z")).alias("_all"), F.collect_list(F.when(F.col("atom_name") == "CA", F.struct("x", "y", "z"))).alias("_ca"),
+    is_ca = (F.col("atom_name") == "CA").alias("ca")
+    spots = heavy.join(targets.select(*keys), keys, "left_semi").groupBy("structure_id").agg(
+        F.collect_list(F.struct("label_asym_id", "label_seq_id", is_ca, "x", "y", "z")).alias("_spots")
+    )
+    near = heavy.join(design.select(*keys), keys, "left_semi").select("structure_id", is_ca, "x", "y", "z").join(spots, "structure_id")
+    squared = lambda s: (s["x"] - F.col("x")) ** 2 + (s["y"] - F.col("y")) ** 2 + (s["z"] - F.col("z")) ** 2
+    scored = near.select("structure_id", "ca", F.inline(F.transform("_spots", lambda s: F.struct(
+        s["label_asym_id"].alias("label_asym_id"), s["label_seq_id"].alias("label_seq_id"), s["ca"].alias("spot_ca"), squared(s).alias("d")
+    ))))
+    out = scored.groupBy(*keys).agg(
+        F.sqrt(F.min("d")).alias("min_heavy_atom_distance"), F.sqrt(F.min(F.when(F.col("ca") & F.col("spot_ca"), F.col("d")))).alias("min_ca_distance")
     )
-    joined = spot.join(near, "structure_id")
-    closest = lambda pts: F.array_min(F.transform(pts, lambda p: (p["x"] - F.col("x")) ** 2 + (p["y"] - F.col("y")) ** 2 + (p["z"] - F.col("z")) ** 2))
-    scored = joined.select(*keys, closest(F.col("_all")).alias("_d"), F.when(F.col("atom_name") == "CA", closest(F.col("_ca"))).alias("_c"))
-    out = scored.groupBy(*keys).agg(F.sqrt(F.min("_d")).alias("min_heavy_atom_distance"), F.sqrt(F.min("_c")).alias("min_ca_distance"))
     return out.withColumns({
         "heavy_atom_covered": F.col("min_heavy_atom_distance") < cutoff, "ca_covered": F.coalesce(F.col("min_ca_distance") < cutoff, F.lit(False)),
     })

@@ -8,9 +8,10 @@ from siftline.operators import cluster, ranking, select, similarity
 from siftline.operators.joins import range_pairs
 from siftline.plans.joins import points
 from siftline.plans.registry import query
+from siftline.session import stage_table
 
 # Settings of the shape queries: shared positions needed, anchors, and the three scales.
-MIN_COMMON, ANCHORS, SCALES = 4, 4, (1.2, 0.16, 0.045)
+MIN_COMMON, ANCHORS, SCALES = 4, 4, (1.2, 0.16, 0.06)
 
 
 def shapes(t):
@@ -24,17 +25,28 @@ def shapes(t):
 
 
 def shape_pairs(t, limit: float = 1.0):
-    pts = shapes(t)
-    anchors = pts.filter(F.col("pos") <= ANCHORS)
+    """Near pairs among distinct shapes, and the map of copies."""
+    pts = stage_table(shapes(t), "points")
+    every = similarity.point_profiles(pts, "vec_id", "pos", "letter", F.col("pos") <= ANCHORS)
+    profiles, copies = similarity.collapse_copies(every, "vec_id", [F.to_json(F.struct("pos", "let", "xs", "ys", "zs"))])
+    profiles, copies = stage_table(profiles, "profiles"), stage_table(copies, "copies")
+    anchors = pts.filter(F.col("pos") <= ANCHORS).join(profiles.select("vec_id"), "vec_id", "left_semi")
     candidates = similarity.shape_candidates(anchors, "vec_id", "pos", ANCHORS, limit * SCALES[2])
-    profiles = similarity.point_profiles(pts, "vec_id", "pos", "letter", F.col("pos") <= ANCHORS)
     scored = similarity.superpose_pairs(candidates, profiles, "vec_id", ANCHORS, MIN_COMMON)
-    return scored.withColumn("distance", similarity.combined_distance("identity", "rmsd", "anchor_rmsd", SCALES)).filter(F.col("distance") < limit)
+    near = scored.withColumn("distance", similarity.combined_distance("identity", "rmsd", "anchor_rmsd", SCALES)).filter(F.col("distance") < limit)
+    return near, copies
+
+
+def shape_clusters(t):
+    pairs, copies = shape_pairs(t)
+    pairs = stage_table(pairs, "pairs")
+    members = cluster.threshold_clusters(pairs, copies.select(F.col("representative").alias("vec_id")).distinct(), "vec_id", 1.0)
+    return cluster.expand_members(members, copies, "vec_id"), pairs
 
 
 @query("kabsch_pairs")
 def kabsch_pairs(spark, t):
-    return shape_pairs(t).select("id_a", "id_b", "common_positions", *[F.round(c, 6).alias(c) for c in ("identity", "rmsd", "anchor_rmsd", "distance")])
+    return shape_pairs(t)[0].select("id_a", "id_b", "common_positions", *[F.round(c, 6).alias(c) for c in ("identity", "rmsd", "anchor_rmsd", "distance")])
 
 
 @query("shape_signature", """
@@ -60,15 +72,13 @@ def combined_distance(spark, t):
 
 @query("threshold_clusters")
 def threshold_clusters(spark, t):
-    members = cluster.threshold_clusters(shape_pairs(t), t.embeddings.select("vec_id"), "vec_id", 1.0)
-    return cluster.number_clusters(members, "vec_id").select("vec_id", "cluster_id")
+    return cluster.number_clusters(shape_clusters(t)[0], "vec_id").select("vec_id", "cluster_id")
 
 
 @query("representatives")
 def representatives(spark, t):
-    pairs = shape_pairs(t).persist()
+    members, pairs = shape_clusters(t)
     nodes = t.embeddings.select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("quality"))
-    members = cluster.threshold_clusters(pairs, nodes, "vec_id", 1.0)
     metrics = pairs.select("id_a", "id_b", "identity", "rmsd", "anchor_rmsd")
     out = cluster.representatives(members, nodes, "vec_id", "cluster", ["label", F.col("quality").desc(), "vec_id"], metrics=metrics)
     return out.select("vec_id", "representative", "reason", "cluster_size", "is_representative", *[F.round(c, 6).alias(c) for c in ("identity", "rmsd", "anchor_rmsd")])

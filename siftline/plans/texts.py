@@ -210,7 +210,7 @@ SELECT conv_id, turn, role, length(text) AS size FROM conversations""")
 def io_json(spark, t):
     path = scratch_path(spark, "json")
     item = F.struct("conv_id", "turn", "role", F.length("text").alias("size"))
-    t.conversations.groupBy("conv_id").agg(F.collect_list(item).alias("turns")).write.json(path)
+    t.conversations.select("conv_id", F.array(item).alias("turns")).write.json(path)
     return tables.read_json(spark, path, "conv_id BIGINT, turns ARRAY<STRUCT<conv_id: BIGINT, turn: BIGINT, role: STRING, size: BIGINT>>", "turns", per_line=True)
 
 
