@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.clean import let
 from siftline.operators.joins import range_pairs, salted_join
+from siftline.session import stage_table
 
 
 def collapse_copies(df: DataFrame, id_col: str, content: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +101,8 @@ def shape_candidates(anchors: DataFrame, id_col: str, position: str, required: i
         for j in range(i + 1, required):
             names.append(f"g{i}_{j}")
             gaps.append(F.sqrt(sum(((F.col("_p")[i][c] - F.col("_p")[j][c]) ** 2 for c in "xyz"), F.lit(0.0))).alias(names[-1]))
-    sig = sig.join(points.select(id_col, *gaps), id_col)
+    # A few numbers per structure, read four times below: written once.
+    sig = stage_table(sig.join(points.select(id_col, *gaps), id_col), "signatures")
     # The closed form is off by up to 2e-4 of the largest value where eigenvalues meet.
     scale = sig.agg(F.max("s1")).first()[0] or 0.0
     near = range_pairs(sig, sig, [], ["s1", "s2", "s3"], max_rmsd + 5e-4 * scale + 1e-12, [id_col, *names], [id_col, *names])
@@ -221,7 +223,7 @@ def edit_candidates(texts: DataFrame, id_col: str, text: str, ratio: float, leng
     passes = [(2, F.length(text) > short)] if bigrams else []
     passes.append((1, F.length(text) <= math.ceil(short / length_ratio) if bigrams else F.lit(True)))
     for q, cond in passes:
-        g = _grams(texts.filter(cond), id_col, text, q, ratio)
+        g = stage_table(_grams(texts.filter(cond), id_col, text, q, ratio), "grams")
         side = lambda s: g.select("gram", F.col(id_col).alias(f"id_{s}"), F.col("n").alias(f"n_{s}"))
         hits = salted_join(side("a"), side("b"), ["gram"], ["id_a"]).filter(
             (F.col("id_a") < F.col("id_b"))

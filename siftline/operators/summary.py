@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.clean import padded_id
-from siftline.operators.ordered import chunk_digest, medians, number_rows, running
+from siftline.operators.ordered import PLAIN_GROUP_ROWS, chunk_digest, groups_fit, medians, number_rows, running
 from siftline.session import literal_rows
 
 
@@ -33,7 +33,10 @@ def rule_summary(long: DataFrame, keys: Sequence[str] = ("rule_order", "label"),
 
 def group_summary(df: DataFrame, by: Sequence[str], metrics: dict[str, Column], median_cols: Sequence[str] = ()) -> DataFrame:
     """Conditional counts, sums and maxima per group, with exact medians beside them (A2)."""
-    base = df.groupBy(*by).agg(*[m.alias(k) for k, m in metrics.items()])
+    named = [m.alias(k) for k, m in metrics.items()]
+    if median_cols and groups_fit(df, by, PLAIN_GROUP_ROWS):
+        return df.groupBy(*by).agg(*named, *[F.median(F.col(c).cast("double")).alias(f"median_{c}") for c in median_cols])
+    base = df.groupBy(*by).agg(*named)
     return _on(base, medians(df, by, median_cols), by, "left") if median_cols else base
 
 

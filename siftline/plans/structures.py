@@ -139,7 +139,7 @@ def max_coord_error(spark, t):
 
 
 def domain(t):
-    a = atoms(t, one_chain=True)
+    a = stage_table(atoms(t, one_chain=True), "atoms")
     wanted = t.embeddings.select(F.col("vec_id").alias("structure_id"), F.lit("H").alias("chain"))
     chains = stage_table(structure.choose_chain(a, wanted, SPEC), "chains")
     return a, chains, *structure.normalize_domain(a, chains, SPEC)
@@ -154,9 +154,10 @@ def normalize_domain(spark, t):
 
 @query("structure_qc")
 def structure_qc(spark, t):
-    a, chains, kept, residues = domain(t)
+    a, chains, _, residues = domain(t)
     residues = stage_table(residues, "residues")
-    bonds = structure.bond_rules(structure.bond_pairs(kept, 0.1, 0.3), residues, ("23", "104"))
+    sulfur = residues.filter("point_SG IS NOT NULL").select("structure_id", "label_seq_id", "comp_id", F.lit("SG").alias("atom_name"), "point_SG.*")
+    bonds = structure.bond_rules(structure.bond_pairs(sulfur, 0.1, 0.3), residues, ("23", "104"))
     qc = structure.structure_qc(residues, SPEC).unionByName(bonds).unionByName(structure.identity_problems(a, chains))
     return structure.reason_lists(qc, chains)
 

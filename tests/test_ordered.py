@@ -56,7 +56,7 @@ def test_lagged(skewed, bound):
             prev = (r[2], r[3])
 
 
-@pytest.mark.parametrize("bound", [0, 10**6])
+@pytest.mark.parametrize("bound", [0, 320, 10**6])
 def test_medians(skewed, bound):
     df, data = skewed
     got = {r["k"]: (r["median_v"], r["median_o"]) for r in ordered.medians(df, ["k"], ["v", "o"], bound=bound).collect()}
@@ -109,3 +109,10 @@ def test_empty(spark):
 def test_islands(spark, rows):
     df = spark.createDataFrame([("a", v) for v in (3, 1, 2, 2, 7)] + [("b", 5)], "k string, i int")
     assert rows(ranking.compress_ranges(df, ["k"], "i")) == [("a", "1..3,7"), ("b", "5")]
+
+
+def test_null_and_even_medians(spark, rows):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), ("b", None)], "k string, v double")
+    for bound in (0, 10):
+        got = {r["k"]: r["median_v"] for r in ordered.medians(df, ["k"], ["v"], bound=bound).collect()}
+        assert got.get("a") == 1.5 and got.get("b") is None
