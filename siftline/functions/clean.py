@@ -144,10 +144,7 @@ def bucket(position, regions: dict[str, tuple[int, int]], default: str) -> Colum
 
 def motif_count(col, motifs: Sequence[str] = LIABILITY_MOTIFS) -> Column:
     """Sum of non-overlapping matches over all motifs."""
-    total = F.lit(0)
-    for motif in motifs:
-        total = total + F.regexp_count(_c(col), F.lit(motif))
-    return total
+    return let(_c(col), lambda text: sum((F.regexp_count(text, F.lit(m)) for m in motifs), F.lit(0)))
 
 
 def clamp(col, lo: float, hi: float) -> Column:
@@ -178,15 +175,16 @@ def _literal_map(table: dict) -> Column:
 
 def hydropathy(seq) -> Column:
     """Mean hydropathy per residue; NULL on an empty text or an unknown letter."""
-    text = _c(seq)
-    # One pass per letter class instead of a lambda per character: stays in codegen.
-    total = F.lit(0.0)
-    known = F.lit(0)
-    for letter, value in HYDROPATHY.items():
-        hits = F.length(text) - F.length(F.translate(text, letter, ""))
-        total = total + hits * F.lit(value)
-        known = known + hits
-    return F.when((known == F.length(text)) & (known > 0), total / known)
+
+    def mean(text: Column) -> Column:
+        # Letters are counted by what is left without them, not one lambda call per character.
+        known = F.length(text) - F.length(F.translate(text, "".join(HYDROPATHY), ""))
+        total = F.lit(0.0)
+        for letter, value in HYDROPATHY.items():
+            total = total + (F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))) * F.lit(value)
+        return F.when((known == F.length(text)) & (known > 0), total / known)
+
+    return let(_c(seq), mean)
 
 
 def letters(residue_name) -> Column:
@@ -312,13 +310,18 @@ def kib_to_gib(col) -> Column:
     return _c(col) / (1024.0 * 1024.0)
 
 
+def half_even(col, digits: int) -> Column:
+    """Round to fixed digits, halves to the even neighbour."""
+    return F.bround(_c(col), digits)
+
+
 def pretty_bytes(col) -> Column:
     """Whole bytes below 1 KiB, then three decimals of the largest fitting unit."""
     n = _c(col).cast("double")
     out = F.when(F.abs(n) < 1024, F.format_string("%.0f B", n))
     for power, unit in enumerate(("KiB", "MiB", "GiB"), start=1):
-        out = out.when(F.abs(n) < 1024.0 ** (power + 1), F.format_string(f"%.3f {unit}", F.bround(n / 1024.0**power, 3)))
-    return out.otherwise(F.format_string("%.3f TiB", F.bround(n / 1024.0**4, 3)))
+        out = out.when(F.abs(n) < 1024.0 ** (power + 1), F.format_string(f"%.3f {unit}", half_even(n / 1024.0**power, 3)))
+    return out.otherwise(F.format_string("%.3f TiB", half_even(n / 1024.0**4, 3)))
 
 
 # Tolerances of the field comparison.

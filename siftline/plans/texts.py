@@ -185,6 +185,11 @@ def pretty_bytes(spark, t):
     return t.documents.select("doc_id", clean.pretty_bytes("n_chars").alias("size_text"), F.format_string("%.3f GiB", F.col("n_chars") * 1048576.0 / 1024).alias("unit_check"))
 
 
+@query("half_even", "SELECT p_partkey, round_even(p_size / 8.0::DOUBLE, 2) AS rounded FROM part")
+def half_even(spark, t):
+    return t.part.select("p_partkey", clean.half_even(F.col("p_size") / 8.0, 2).alias("rounded"))
+
+
 # ---- round trips: written from the given tables, read back with the contract readers ----
 
 

@@ -60,16 +60,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than ``limit + 1``."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def maybe_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Broadcast hint behind a row-count check; larger sides keep Spark's own join choice."""
-    return F.broadcast(df) if fits(df, limit) else df
-
-
 def literal_rows(spark: SparkSession, rows, names) -> DataFrame:
     """A small table of constants made inside the plan, without a Python worker."""
     cells = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]

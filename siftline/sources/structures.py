@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tarfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -135,6 +136,27 @@ def read_mmcif(spark: SparkSession, paths, categories: dict[str, Sequence[str]],
     }
 
 
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for content in batch["content"]:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+                for item in archive:
+                    if item.isfile() and item.name.endswith(".cif"):
+                        name = item.name.rsplit("/", 1)[-1].removesuffix(".cif")
+                        yield pd.DataFrame({"structure_id": [name], "member": [item.name], "value": [archive.extractfile(item).read().decode("utf-8", "replace")]})
+
+
+def read_archives(spark: SparkSession, paths, wanted: DataFrame | None = None) -> DataFrame:
+    """Structure texts inside tar archives as (structure_id, member, value).
+
+    An archive cannot be split and is one row: many archives of moderate size spread well, one huge
+    archive does not and should be unpacked first. Wanted members are kept before anything is parsed.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("content")
+    texts = files.mapInPandas(_members, "structure_id string, member string, value string")
+    return texts if wanted is None else texts.join(wanted.select("structure_id").distinct(), "structure_id", "left_semi")
+
+
 NPZ_SCHEMA_ROWS = "file string, name string, dtype string, shape array<int>"
 NPZ_VALUE_ROWS = "file string, name string, sample_index long, value double"
 

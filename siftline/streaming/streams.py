@@ -115,8 +115,12 @@ def acceptance_monitor(path: str, by: Sequence[str], order: Sequence[str], accep
         spark = df.sparkSession
         df = df.select(*by, *order, accepted)
         rows = acceptance_rate(df, by, order, accepted, 0, -1.0).select(*by, "seen_so_far", "accepted_so_far")
+        last = None
         if batch > 0:
-            old = spark.read.parquet(f"{path}/totals/batch={batch - 1}")
+            totals = spark.read.parquet(f"{path}/totals").filter(F.col("batch") < batch)
+            last = totals.agg(F.max("batch")).first()[0]
+        if last is not None:
+            old = totals.filter(F.col("batch") == last).drop("batch")
         else:
             old = spark.createDataFrame([], df.select(*by).schema).selectExpr("*", "0L AS seen", "0L AS taken", "CAST(NULL AS BIGINT) AS stopped_at")
         carried = rows.join(old, list(by), "left")

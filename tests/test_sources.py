@@ -1,6 +1,7 @@
 """Readers and writers on files made in the test."""
 
 import hashlib
+import tarfile
 
 import numpy as np
 import pytest
@@ -168,6 +169,16 @@ def test_loops(spark, tmp_path, rows):
     assert structures.read_mmcif(spark, str(tmp_path / "*.cif"), {"_atom_site": []}, wanted)["_atom_site"].count() == 0
 
 
+def test_archives(spark, tmp_path, rows):
+    put(tmp_path, "m.cif", CIF.replace("_atom_site.Cartn_y _ignored\n", "_atom_site.Cartn_y\n"))
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as out:
+        out.add(tmp_path / "m.cif", "deep/one.cif")
+        out.add(tmp_path / "m.cif", "two.cif")
+    texts = structures.read_archives(spark, str(tmp_path / "a.tar.gz"), spark.createDataFrame([("one",)], "structure_id string"))
+    assert rows(texts, "structure_id", "member") == [("one", "deep/one.cif")]
+    assert rows(structures.atom_site(texts, "structure_id", "value"), "structure_id", "atom_name") == [("one", "O5'")]
+
+
 def test_npz(spark, tmp_path, rows):
     np.savez(tmp_path / "a.npz", iptm=np.array([0.5, 0.25]), coords=np.zeros((2, 3, 3), dtype="float32"), flag=np.array([True]))
     schema, values = structures.read_npz(spark, str(tmp_path / "a.npz"))
