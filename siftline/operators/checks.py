@@ -114,7 +114,8 @@ def validate_events(lines: DataFrame, text: str, schema: str, rules: dict[str, C
     ]
     flat = parsed.select("*", "_e.*")
     reasons += [F.when(F.col("_keys").isNotNull() & ~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()]
-    judged = flat.withColumn("reasons", F.array_join(F.array_compact(F.array(*reasons)), ";"))
+    verdict = F.struct(F.array_join(F.array_compact(F.array(*reasons)), ";").alias("reasons"))
+    judged = flat.select("*", F.inline(F.array(verdict)))
     good = judged.filter(F.col("reasons") == "").select(*lines.columns, *[c for c in judged.columns if c in keys and c not in lines.columns])
     return good, judged.filter(F.col("reasons") != "").select(*lines.columns, "reasons")
 
