@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import decontam, neardup, quality, secret_scan
+from siftline.llm import decontam, neardup, pieces, quality, secret_scan
 from siftline.llm.registry import ORACLES, QUERIES, query, span_text
 
 __all__ = ["ORACLES", "QUERIES"]
 
+#: A public SentencePiece model; any other can be named where an operator is called.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _SPACED = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -99,3 +102,8 @@ def _op7(t):
 @query("op9_near_duplicates")
 def _op9(t):
     return neardup.near_duplicates(t.documents)
+
+
+@query("op10_pieces")
+def _op10(t):
+    return pieces.encode(t.documents, PIECE_MODEL)
