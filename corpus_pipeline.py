@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import decontam, neardup, quality, secret_scan
+from siftline.llm import decontam, neardup, pieces, quality, secret_scan
+from siftline.llm.plans import PIECE_MODEL
 from siftline.session import scratch_path
 
 
@@ -31,11 +32,17 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secret_scan.redact(docs)
 
 
+def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids and the best segmentations of every text."""
+    return pieces.encode(docs, PIECE_MODEL)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("secret_masking", secret_masking),
+    ("segmentation", segmentation),
 ]
 
 #: Near duplicates and N-best segmentation have no SQL form; tests compare with brute force.
