@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import decontam, neardup, pieces, quality, secret_scan
+from siftline.llm import decontam, neardup, pieces, quality, secret_scan, substrings
 from siftline.llm.registry import ORACLES, QUERIES, query, span_text
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -91,6 +91,21 @@ SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in base)}, sha256
 _SECRETS = ("assign", "access", "hex")
 
 
+@query("op5_substrings", f"""
+WITH d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+win AS (SELECT doc_id, p, w[p:p + 12] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+least AS (SELECT g, min(doc_id) AS low FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM win JOIN least USING (g) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+""")
+def _op5(t):
+    found = substrings.repeats(t.documents)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_secrets", _span_sql([(r.kind, r.pattern, r.group, r.least) for r in secret_scan.RULES], _SECRETS))
 def _op7(t):
     found, _ = secret_scan.scan_blobs(t.documents)
