@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontam, langid, neardup, pieces, quality, secret_scan, substrings
+from siftline.llm import chat, decontam, langid, neardup, pieces, pii, quality, secret_scan, substrings
 from siftline.llm.registry import ORACLES, QUERIES, query, span_text
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,6 +36,14 @@ def _op1(t):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op2_personal_data")
+def _op2(t):
+    found = pii.personal_data(t.documents)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
 
