@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontam, langid, neardup, pieces, pii, quality, secret_scan, substrings
+from siftline.llm import chat, decontam, langid, licences, neardup, pieces, pii, quality, secret_scan, substrings
 from siftline.llm.registry import ORACLES, QUERIES, query, span_text
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -99,6 +99,11 @@ SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in base)}, sha256
 _SECRETS = ("assign", "access", "hex")
 
 
+@query("op4_licences")
+def _op4(t):
+    return licences.licences(t.documents)
+
+
 @query("op5_substrings", f"""
 WITH d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 win AS (SELECT doc_id, p, w[p:p + 12] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
