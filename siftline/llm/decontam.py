@@ -267,14 +267,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     Null and empty texts have no words; an empty benchmark hits nothing. Repeated rows are judged
     each for itself. With several blocks, rows of one id with equal texts give one row.
     """
-    found = None
     keys = {doc_id: dict(docs.dtypes)[doc_id]}
     blocks = phrase_blocks(benchmark, block_bytes=block_bytes)
-    for phrases in blocks:
-        part = _scan(docs, phrases, keys, text)
-        found = part if found is None else found.unionByName(stage_table(part, "hits"))
-        if found is not part:
-            found = _merged(found, doc_id)
+    found, following = _scan(docs, next(blocks), keys, text), next(blocks, None)
+    if following is not None:  # one block at a time is on the driver
+        found = stage_table(found, "hits")
+        while following is not None:
+            found = found.unionByName(stage_table(_scan(docs, following, keys, text), "hits"))
+            following = next(blocks, None)
+        found = _merged(found, doc_id)
     spans = F.transform(F.arrays_zip("span_starts", "span_ends"), lambda s: F.struct(s["span_starts"].alias("start"), s["span_ends"].alias("end")))
     return found.select(
         doc_id, "n_words", "n_hit", "items", spans.alias("spans"),

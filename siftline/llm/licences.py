@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm.frames import settled
 from siftline.session import literal_rows, stage_table
 
 UNKNOWN = "unknown"
@@ -115,15 +116,17 @@ class Classifier:
 
     def classified(self, paragraphs: DataFrame, text: str) -> DataFrame:
         """Adds ``_words``, ``label`` (0: unknown) and ``probability``."""
-        scored = _rescaled(self.model.transform(_featured(paragraphs, text)), self.temperature)
+        scored = _rescaled(self.model.transform(_featured(paragraphs, text)), self.temperature, *paragraphs.columns, "_words")
         label = F.array_position("_raised", F.col("_best")).cast("int") - 1
         return scored.select(*paragraphs.columns, "_words", F.when(F.col("_best") / F.col("_total") >= self.least, label).otherwise(0).alias("label"), (F.col("_best") / F.col("_total")).alias("probability"))
 
 
-def _rescaled(scored: DataFrame, temperature: float) -> DataFrame:
-    """Adds the probabilities to the power 1/temperature, their sum, and the largest of a licence; a column each, so that none is computed twice."""
-    raised = scored.withColumn("_classes", vector_to_array("_probability")).withColumn("_raised", F.transform("_classes", lambda p: F.pow(p, F.lit(1 / temperature))))
-    return raised.withColumns({"_total": F.aggregate("_raised", F.lit(0.0), lambda a, x: a + x), "_best": F.array_max(F.slice("_raised", 2, len(FAMILIES) - 1))})
+def _rescaled(scored: DataFrame, temperature: float, *keep: str) -> DataFrame:
+    """``keep``, the probabilities to the power 1/temperature, their sum, and the largest of a licence."""
+    classes = settled(scored.withColumn("_classes", vector_to_array("_probability")), *keep, "_classes")
+    raised = settled(classes.withColumn("_raised", F.transform("_classes", lambda p: F.pow(p, F.lit(1 / temperature)))), *keep, "_raised")
+    summed = raised.withColumns({"_total": F.aggregate("_raised", F.lit(0.0), lambda a, x: a + x), "_best": F.array_max(F.slice("_raised", 2, len(FAMILIES) - 1))})
+    return settled(summed, *keep, "_raised", "_total", "_best")
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classifier:
@@ -141,9 +144,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classifi
     losses = {}
     for t in TEMPERATURES:
         own = F.element_at("_raised", F.col("label") + 1) / F.col("_total")
-        losses[t] = _rescaled(kept, t).agg(F.avg(-F.log(F.greatest(own, F.lit(1e-9)))).alias("loss")).first()["loss"] or 0.0
+        losses[t] = _rescaled(kept, t, "label").agg(F.avg(-F.log(F.greatest(own, F.lit(1e-9)))).alias("loss")).first()["loss"] or 0.0
     temperature = min(TEMPERATURES, key=lambda t: (losses[t], t))
-    plain = _rescaled(kept.filter("label = 0"), temperature).agg(F.percentile(F.col("_best") / F.col("_total"), F.lit(0.999)).alias("p")).first()["p"]
+    plain = _rescaled(kept.filter("label = 0"), temperature, "label").agg(F.percentile(F.col("_best") / F.col("_total"), F.lit(0.999)).alias("p")).first()["p"]
     return Classifier(model, temperature, max(0.5, plain or 0.0))
 
 

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.frames import settled
+
 _SPACE = "\\t\\n\\x0B\\f\\r "
 WINDOW = 3
 SYMBOLS = "#*$%&|<>"  # none is special inside brackets
@@ -46,8 +48,8 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
 
 
-def _measured(docs: DataFrame, text: str) -> DataFrame:
-    """Adds the base counts and measures; helper columns start with an underscore."""
+def _measured(docs: DataFrame, text: str, keep: str) -> DataFrame:
+    """``keep``, base counts and measures."""
     words, lines, n = F.col("_words"), F.col("_lines"), F.col("n_words")
     split = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumns({
         "_words": F.filter(F.split("_text", f"[{_SPACE}]+"), lambda w: w != ""),
@@ -79,10 +81,11 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
         "n_repeat_words": covered,
         "_stops": F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))),
     })
-    return counted.withColumns({
+    measured = counted.withColumns({
         "mean_word_chars": _ratio(F.col("word_chars"), n), "symbols_per_word": _ratio(F.col("n_symbols"), n),
         "stop_word_ratio": _ratio(F.col("_stops"), n), "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.size(lines)),
     })
+    return settled(measured, keep, *COUNTS, *MEASURES)
 
 
 MEASURES = ("mean_word_chars", "symbols_per_word", "stop_word_ratio", "dup_line_ratio")
@@ -113,13 +116,13 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules:
     Words are runs without white space; null and empty texts have none and fail the base rule;
     measures over nothing are 0. Repeated rows give repeated results.
     """
-    asked = docs.select(F.col(doc_id), F.col(text).alias("_source"))
-    judged = _measured(asked, "_source").withColumns({"base_failed": base_failed(), "failed_rules": compiled(rules)})
-    return judged.select(doc_id, *COUNTS, *MEASURES, "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
+    asked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_source"))
+    judged = _measured(asked, "_source", "_id").withColumns({"base_failed": base_failed(), "failed_rules": compiled(rules)})
+    return judged.select(F.col("_id").alias(doc_id), *COUNTS, *MEASURES, "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
 
 
 def drop_rejected(docs: DataFrame, text: str = "text", rules: Sequence[Threshold] = THRESHOLDS) -> DataFrame:
     """The rows of ``docs``, all columns, that pass; no join, the rules run in the same projection."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_source"))
-    judged = _measured(packed, "_source").filter(~base_failed() & (F.size(compiled(rules)) == 0))
+    judged = _measured(packed, "_source", "_row").filter(~base_failed() & (F.size(compiled(rules)) == 0))
     return judged.select("_row.*")
