@@ -90,14 +90,22 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_on:
     return spread.join(copied, [*keys, "_salt"]).drop("_salt")
 
 
+def _cell(value: Column, width: float) -> Column:
+    """Number of the cell of a finite value. Where doubles lie farther apart than cells are wide, each has its own."""
+    place = value / F.lit(width)
+    return F.when(F.abs(place) < 2.0**53, F.floor(place)).otherwise(F.shiftright(F.xxhash64(place), 2)).cast("long")
+
+
 def near_pairs(df: DataFrame, id_col: str, value: str, radius: float, block: Sequence[str] = (), carry: Sequence[str] = (),
                limit: int = 20_000) -> DataFrame:
     """Pairs a < b inside a block whose values differ by at most ``radius``.
 
     Values fall into bands as wide as the radius; a row meets its own and the next band only, so
-    the work follows the number of pairs found and not the square of the block.
+    the work follows the number of pairs found and not the square of the block. Missing and
+    non-finite values are in no pair.
     """
-    band = F.floor(F.col(value) / F.lit(radius)).cast("long")
+    df = df.filter(F.abs(F.col(value).cast("double")) < float("inf"))
+    band = _cell(F.col(value), radius)
     keep = [id_col, value, *carry]
     a = df.select(*block, *[F.col(c).alias(f"{c}_a") for c in keep], F.explode(F.array(band, band + 1)).alias("_band"), band.alias("_home"))
     b = df.select(*block, *[F.col(c).alias(f"{c}_b") for c in keep], band.alias("_band"))
@@ -120,8 +128,13 @@ def range_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], xyz: Sequence[s
 
     Space is cut into cells as wide as the cutoff; ``b`` is copied to the 27 cells around its own
     and the exact distance is tested after an equi-join on the cell, crowded cells being salted.
+    Points with a missing or non-finite coordinate are in no pair.
     """
-    cells = [F.floor(F.col(c) / F.lit(cutoff)).cast("long") for c in xyz]
+    placed = F.lit(True)
+    for c in xyz:
+        placed = placed & (F.abs(F.col(c).cast("double")) < float("inf"))
+    a, b = a.filter(placed), b.filter(placed)
+    cells = [_cell(F.col(c), cutoff) for c in xyz]
     around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     left = a.select(*keys, *[F.col(c).alias(f"{c}_a") for c in (*xyz, *carry_a)], *[g.alias(f"_c{i}") for i, g in enumerate(cells)])
     right = b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in (*xyz, *carry_b)], *[g.alias(f"_g{i}") for i, g in enumerate(cells)])
@@ -216,8 +229,11 @@ def paired(df: DataFrame, stem: str, kind: str, kinds: Sequence[str]) -> DataFra
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: Sequence[str], cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Base with updated or added columns, and the updates that did not hit exactly one row."""
-    new = updates.select(*key, *[F.col(c).alias(f"_u_{c}") for c in cols], F.lit(True).alias("_hit"))
+    """Base with updated or added columns, and the updates that did not hit exactly one row.
+
+    A key with several updates is only reported; its base rows stay as they are.
+    """
+    new = updates.groupBy(*key).agg(*[F.first(c).alias(f"_u_{c}") for c in cols], (F.count(F.lit(1)) == 1).alias("_hit")).filter("_hit")
     joined = base.join(new, list(key), "left")
     merged = joined.select(
         *[c for c in base.columns if c not in cols],

@@ -161,39 +161,16 @@ def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str], bound: int =
 
 
 def chunk_digest(df: DataFrame, by: Sequence[str], order: Sequence, line: Column, size: int = 65536) -> DataFrame:
-    """SHA-256 of ordered lines per group, as ``n_rows`` and ``digest``.
+    """Two-level SHA-256 of ordered lines per group, as ``n_rows`` and ``digest``.
 
-    Up to ``size`` lines the digest is that of all lines, each ended by a newline. Larger groups
-    are hashed in runs of ``size`` lines and the run digests are hashed the same way, again and
-    again until one is left, so no task ever holds more than ``size`` lines of a group.
+    Each run of ``size`` lines, every line ended by a newline, is hashed; the digest of a group is
+    the hash of its run digests, written the same way. The definition is the same for every group.
     """
-    level = number_rows(df.select(*by, *_order_names(df, order), line.alias("_line")), by, order, "_no")
-    level = level.select(*by, F.col("_no").alias("_no"), "_line")
-    counts = level.groupBy(*by).agg(F.max("_no").alias("n_rows"))
-    largest = counts.agg(F.max("n_rows")).first()[0] or 0
-    while True:
-        run = F.floor((F.col("_no") - 1) / size)
-        level = (
-            level.groupBy(*by, run.alias("_run"))
-            .agg(F.array_sort(F.collect_list(F.struct("_no", "_line"))).alias("_lines"))
-            .select(
-                *by, (F.col("_run") + 1).alias("_no"),
-                F.sha2(
-                    F.concat(F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n"), F.lit("\n")), 256
-                ).alias("_line"),
-            )
-        )
-        largest = -(-largest // size)
-        if largest <= 1:
-            break
-    digests = level.select(*by, F.col("_line").alias("digest"))
-    if not by:
-        return digests.select("digest", counts.scalar().alias("n_rows"))
-    renamed = digests.select(*[F.col(c).alias(f"_k_{c}") for c in by], "digest")
-    cond = F.lit(True)
-    for c in by:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return counts.join(renamed, cond).select(*by, "n_rows", "digest")
+    lines = number_rows(df.select(*by, *_order_names(df, order), line.alias("_line")), by, order, "_no")
+    text = lambda parts: F.concat(F.array_join(F.transform(F.array_sort(parts), lambda x: x["line"]), "\n"), F.lit("\n"))
+    pair = lambda no, value: F.collect_list(F.struct(F.col(no).alias("no"), F.col(value).alias("line")))
+    runs = lines.groupBy(*by, F.floor((F.col("_no") - 1) / size).alias("_run")).agg(F.sha2(text(pair("_no", "_line")), 256).alias("_digest"), F.count(F.lit(1)).alias("_n"))
+    return runs.groupBy(*by).agg(F.sum("_n").alias("n_rows"), F.sha2(text(pair("_run", "_digest")), 256).alias("digest"))
 
 
 def _order_names(df: DataFrame, order: Sequence) -> list[str]:

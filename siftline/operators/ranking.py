@@ -161,18 +161,13 @@ def next_number(df: DataFrame, by: Sequence[str], number: str, name: str = "next
 
 def prefix_pass(long: DataFrame, id_cols: Sequence[str], order: str, passed: str) -> DataFrame:
     """Leading passes before the first failure, next to all passes."""
-    fail_at = F.min(F.when(~F.col(passed), F.col(order)))
+    # One row per rule and candidate, so the list is as short as the rule list.
     stats = long.groupBy(*id_cols).agg(
-        fail_at.alias("_fail"), F.count(F.lit(1)).alias("_n"),
+        F.min(F.when(~F.col(passed), F.col(order))).alias("_fail"), F.collect_list(order).alias("_orders"),
         F.sum(F.col(passed).cast("int")).cast("long").alias("pass_count"),
-        F.min(order).alias("_first"),
-    )
-    # Rule orders are consecutive, so the first failing order tells how many passed before it.
-    return stats.select(
-        *id_cols,
-        F.coalesce(F.col("_fail") - F.col("_first"), F.col("_n")).cast("long").alias("prefix_pass_count"),
-        "pass_count",
     )
+    before = F.size(F.filter("_orders", lambda x: F.col("_fail").isNull() | (x < F.col("_fail"))))
+    return stats.select(*id_cols, before.cast("long").alias("prefix_pass_count"), "pass_count")
 
 
 def order_total(df: DataFrame, order: Sequence) -> DataFrame:

@@ -124,7 +124,7 @@ def parts_in_large_lines(spark, t):
 
 
 @query("ordered_total", """
-SELECT * FROM (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey)""")
+SELECT * FROM (SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey)""")
 def ordered_total(spark, t):
-    rows = t.orders.filter("o_orderstatus = 'P'").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
     return order_total(rows, ["o_orderpriority", F.col("o_totalprice").desc(), "o_orderkey"])

@@ -76,9 +76,10 @@ def stream_status(spark, t):
 
 
 @query("stream_peak_gate", """
-SELECT user_id, round(max(value) / min(200.0::DOUBLE + event_id % 7), 6) AS peak_fraction FROM events GROUP BY 1 HAVING max(value) / min(200.0::DOUBLE + event_id % 7) > 0.9""")
+WITH e AS (SELECT user_id, value, 200.0::DOUBLE + event_id % 7 - CASE WHEN event_id % 97 = 0 THEN 1000 ELSE 0 END AS total FROM events)
+SELECT user_id, round(max(value) / min(total) FILTER (total > 0), 6) AS peak_fraction, count(*) FILTER (total <= 0) AS bad_totals FROM e GROUP BY 1 HAVING max(value) / min(total) FILTER (total > 0) > 0.9 OR count(*) FILTER (total <= 0) > 0""")
 def stream_peak_gate(spark, t):
-    src = _feed(spark, t).select("user_id", "value", (F.lit(200.0) + F.col("event_id") % 7).alias("total"))
+    src = _feed(spark, t).select("user_id", "value", (F.lit(200.0) + F.col("event_id") % 7 - F.when(F.col("event_id") % 97 == 0, 1000).otherwise(0)).alias("total"))
     out = streams.stream_peak_gate(src, ["user_id"], "value", "total")
     path = scratch_path(spark, "gate")
     streams.run_available(out, path, "update")

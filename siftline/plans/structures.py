@@ -196,11 +196,11 @@ def mmcif_atoms(spark, t):
 
 
 @query("mmcif_sequences", """
-SELECT doc_id, lang AS entity_id, replace(text, ';', ',') AS seq FROM documents WHERE NOT regexp_matches(text, '[\\r]') AND text <> ''""")
+SELECT doc_id, lang AS entity_id, ' ' || replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) || ';', chr(10) || ' ;') AS seq FROM documents""")
 def mmcif_sequences(spark, t):
-    body = F.concat(F.lit("data_d\n_entity_poly.entity_id "), "lang", F.lit("\n_entity_poly.seq\n;"), F.translate("text", ";", ","), F.lit("\n;\n#\n"))
-    docs = t.documents.filter(~F.col("text").contains("\r") & (F.col("text") != "")).select("doc_id", body.alias("cif"))
-    return parse_loops(docs, "doc_id", "cif", "_entity_poly", ["entity_id", "seq"]).drop("row_order")
+    # A line of a text field can't start with a semicolon.
+    body = F.concat(F.lit("data_d\n_Entity_Poly.entity_id "), "lang", F.lit(" # note\n_entity_poly.seq\n; "), F.regexp_replace("text", "(\r\n|\r|\n);", "$1 ;"), F.lit("\n;\n#\n"))
+    return parse_loops(t.documents.select("doc_id", body.alias("cif")), "doc_id", "cif", "_entity_poly", ["entity_id", "seq"]).drop("row_order")
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -122,15 +122,14 @@ def dup_keys(spark, t):
 
 @query("set_digest", """
 WITH x AS (SELECT o_orderstatus, o_orderkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey::VARCHAR) AS rn FROM orders),
-l1 AS (SELECT o_orderstatus, (rn - 1) // 4096 AS r1, sha256(string_agg(id, chr(10) ORDER BY rn) || chr(10)) AS d, count(*) AS n FROM x GROUP BY 1, 2),
-m AS (SELECT o_orderstatus, count(*) AS runs, sum(n)::BIGINT AS n_rows, min(d) AS only_digest, sha256(string_agg(d, chr(10) ORDER BY r1) || chr(10)) AS d2 FROM l1 GROUP BY 1)
-SELECT o_orderstatus, n_rows, CASE WHEN runs = 1 THEN only_digest ELSE d2 END AS digest FROM m""")
+l1 AS (SELECT o_orderstatus, (rn - 1) // 4096 AS r1, sha256(string_agg(id, chr(10) ORDER BY rn) || chr(10)) AS d, count(*) AS n FROM x GROUP BY 1, 2)
+SELECT o_orderstatus, sum(n)::BIGINT AS n_rows, sha256(string_agg(d, chr(10) ORDER BY r1) || chr(10)) AS digest FROM l1 GROUP BY 1""")
 def set_digest(spark, t):
     return summary.set_digest(t.orders, "o_orderkey", ["o_orderstatus"], size=4096)
 
 
 @query("ordered_fingerprint", """
-SELECT conv_id, count(*) AS n_rows, sha256(string_agg(turn::VARCHAR || chr(9) || coalesce(role, '') || chr(9) || coalesce(text, ''), chr(10) ORDER BY turn) || chr(10)) AS digest FROM conversations GROUP BY 1""")
+SELECT conv_id, count(*) AS n_rows, sha256(sha256(string_agg(turn::VARCHAR || chr(9) || coalesce(role, '') || chr(9) || coalesce(text, ''), chr(10) ORDER BY turn) || chr(10)) || chr(10)) AS digest FROM conversations GROUP BY 1""")
 def ordered_fingerprint(spark, t):
     return summary.ordered_fingerprint(t.conversations, ["conv_id"], ["turn"], ["turn", "role", "text"])
 

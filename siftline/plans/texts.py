@@ -109,11 +109,12 @@ def position_parse(spark, t):
 
 
 @query("letters", """
-WITH x AS (SELECT doc_id, upper(substr(text, 1, 3)) AS name FROM documents)
-SELECT doc_id, CASE name WHEN 'ALA' THEN 'A' WHEN 'ARG' THEN 'R' WHEN 'THR' THEN 'T' WHEN 'SER' THEN 'S' WHEN 'LEU' THEN 'L' WHEN 'VAL' THEN 'V' WHEN 'PRO' THEN 'P' WHEN 'ASN' THEN 'N' WHEN 'ASP' THEN 'D' WHEN 'CYS' THEN 'C'
-  WHEN 'GLN' THEN 'Q' WHEN 'GLU' THEN 'E' WHEN 'GLY' THEN 'G' WHEN 'HIS' THEN 'H' WHEN 'ILE' THEN 'I' WHEN 'LYS' THEN 'K' WHEN 'MET' THEN 'M' WHEN 'PHE' THEN 'F' WHEN 'TRP' THEN 'W' WHEN 'TYR' THEN 'Y' ELSE 'X' END AS letter FROM x""")
+WITH x AS (SELECT doc_id, regexp_extract_all(upper(text), '(?s).{3}') AS names FROM documents)
+SELECT doc_id, array_to_string(list_transform(names, lambda name: CASE name WHEN 'ALA' THEN 'A' WHEN 'ARG' THEN 'R' WHEN 'THR' THEN 'T' WHEN 'SER' THEN 'S' WHEN 'LEU' THEN 'L' WHEN 'VAL' THEN 'V' WHEN 'PRO' THEN 'P' WHEN 'ASN' THEN 'N' WHEN 'ASP' THEN 'D' WHEN 'CYS' THEN 'C'
+  WHEN 'GLN' THEN 'Q' WHEN 'GLU' THEN 'E' WHEN 'GLY' THEN 'G' WHEN 'HIS' THEN 'H' WHEN 'ILE' THEN 'I' WHEN 'LYS' THEN 'K' WHEN 'MET' THEN 'M' WHEN 'PHE' THEN 'F' WHEN 'TRP' THEN 'W' WHEN 'TYR' THEN 'Y' ELSE 'X' END), '') AS letters FROM x""")
 def letters(spark, t):
-    return t.documents.select("doc_id", clean.letters(F.substring("text", 1, 3)).alias("letter"))
+    triplets = F.regexp_extract_all("text", F.lit("(?s).{3}"), F.lit(0))
+    return t.documents.select("doc_id", F.array_join(F.transform(triplets, clean.letters), "").alias("letters"))
 
 
 @query("range_slices", """

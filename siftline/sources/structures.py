@@ -8,10 +8,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions.clean import finite, let, null_token
+from siftline.functions.clean import finite, null_token
 
 # Fields of an atom line as (name, first column, width), columns counted from 1.
 ATOM_FIELDS = (
@@ -41,62 +42,142 @@ def parse_atom_lines(files: DataFrame, id_col: str, text: str) -> DataFrame:
     return atoms.select(id_col, "model_num", order.alias("line_order"), *cols)
 
 
-def read_pdb_atoms(spark: SparkSession, paths) -> DataFrame:
+def structure_texts(spark: SparkSession, paths, root: str | None = None) -> DataFrame:
+    """(structure_id, value): whole files. The id is the path below ``root`` without its suffix.
+
+    Without ``root`` it is the bare file name, which must then be unique.
+    """
+    files = spark.read.text(paths, wholetext=True)
+    if root is None:
+        name = F.col("_metadata.file_name")
+    else:
+        name = F.substring_index(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), root.rstrip("/") + "/", -1)
+    return files.select(F.regexp_replace(name, r"\.[^./]*$", "").alias("structure_id"), "value")
+
+
+def read_pdb_atoms(spark: SparkSession, paths, root: str | None = None) -> DataFrame:
     """Atoms of fixed-width structure files, one file per input row."""
-    files = spark.read.text(paths, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("structure_id"), "value"
-    )
+    files = structure_texts(spark, paths, root)
     return parse_atom_lines(files, "structure_id", "value")
 
 
-# One token: a text field between lines that start with a semicolon, a quoted value, or a bare word.
-_TOKEN = r"""(?ms)^;.*?^;|'(?:[^'\n]|'(?=\S))*'(?=\s|\z)|"(?:[^"\n]|"(?=\S))*"(?=\s|\z)|[^\s]+"""
+def cif_tokens(text: str) -> Iterator[tuple[str, bool]]:
+    """(token, bare) of a tagged text, line by line; quoted values and text fields are not bare.
+
+    Raises ValueError on a quote or text field that is still open at its end.
+    """
+    field: list[str] | None = None
+    for number, line in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n"), start=1):
+        if field is not None:
+            if not line.startswith(";"):
+                field.append(line)
+                continue
+            yield "\n".join(field), False
+            field, line = None, line[1:]
+        elif line.startswith(";"):
+            field = [line[1:]]
+            continue
+        at = 0
+        while at < len(line):
+            if line[at].isspace():
+                at += 1
+            elif line[at] == "#":
+                break
+            elif line[at] in "'\"":
+                end = line.find(line[at], at + 1)
+                while 0 <= end < len(line) - 1 and not line[end + 1].isspace():
+                    end = line.find(line[at], end + 1)
+                if end < 0:
+                    raise ValueError(f"open quote in line {number}")
+                yield line[at + 1 : end], False
+                at = end + 1
+            else:
+                word = line[at:].split(None, 1)[0]
+                yield word, True
+                at += len(word)
+    if field is not None:
+        raise ValueError("open text field")
+
+
+def cif_rows(text: str, category: str, columns: Sequence[str]) -> list[list[str | None]]:
+    """Rows of one category, a loop or single items, in the order of ``columns``; names ignore case."""
+    prefix, wanted = category.lower() + ".", [c.lower() for c in columns]
+    rows: list[list[str | None]] = []
+    single: dict[str, str] = {}
+    tags: list[str] = []
+    values: list[str] = []
+    state, tag = "", ""  # state: "" between items, "tags" and "values" of a loop, "item" after a lone tag
+
+    def close() -> None:
+        if tags and tags[0].startswith(prefix):
+            if len(values) % len(tags):
+                raise ValueError(f"incomplete row in {category}")
+            at = {t.removeprefix(prefix): k for k, t in enumerate(tags)}
+            for k in range(0, len(values), len(tags)):
+                rows.append([values[k + at[c]] if c in at else None for c in wanted])
+        tags.clear()
+        values.clear()
+
+    for token, bare in cif_tokens(text):
+        word = token.lower() if bare else ""
+        if bare and (word.startswith(("data_", "save_", "loop_", "global_", "stop_")) or (word.startswith("_") and state != "item")):
+            if state == "item":
+                raise ValueError(f"no value for {tag}")
+            if word.startswith("_"):
+                if state == "tags":
+                    tags.append(word)
+                    continue
+                close()
+                state, tag = "item", word
+            else:
+                close()
+                state = "tags" if word == "loop_" else ""
+        elif state == "item":
+            if tag.startswith(prefix):
+                single[tag.removeprefix(prefix)] = token
+            state = ""
+        elif state in ("tags", "values"):
+            state = "values"
+            values.append(token)
+        else:
+            raise ValueError(f"value without a tag: {token[:40]}")
+    if state == "item":
+        raise ValueError(f"no value for {tag}")
+    close()
+    return rows + ([[single.get(c) for c in wanted]] if single else [])
 
 
-def _unquote(token: Column) -> Column:
-    quoted = token.rlike(r"""(?s)^(['"]).*\1$""") & (F.length(token) >= 2)
-    block = token.startswith(";") & token.endswith(";") & (F.length(token) >= 2)
-    inner = F.substring(token, F.lit(2), F.length(token) - 2)
-    return F.when(quoted, inner).when(block, F.regexp_replace(inner, r"\n$", "")).otherwise(token)
+def _looped(files: DataFrame, id_col: str, text: str, category: str, columns: Sequence[str]) -> DataFrame:
+    """(id, row_order, values, reject): a text that can't be read gives one row, with the reason."""
+    names = list(columns)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, body in enumerate(batch.column(1).to_pylist()):
+                try:
+                    rows, reject = cif_rows(body or "", category, names), None
+                except ValueError as e:
+                    rows, reject = [[]], str(e)
+                if rows:
+                    ids = pa.concat_arrays([batch.column(0).slice(k, 1)] * len(rows)) if len(rows) < 2 else batch.column(0).take(pa.array([k] * len(rows)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string())), pa.array([reject] * len(rows), pa.string())], names=["id", "row_order", "row", "reject"])
+
+    return files.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(parse, f"id {dict(files.dtypes)[id_col]}, row_order int, row array<string>, reject string")
 
 
 def parse_loops(files: DataFrame, id_col: str, text: str, category: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of one tagged loop (or single key-value block) of whole texts, as string columns.
+    """Rows of one category of whole texts as string columns.
 
-    The category is cut out of the text first; only its own tokens are split. Absent columns are
-    NULL; ``?`` and ``.`` stay as written.
+    Absent columns are NULL; ``?`` and ``.`` stay as written. A text with an open quote, an
+    incomplete row or a value out of place gives no rows; ``loop_rejects`` lists it.
     """
-    cat = category.replace(".", r"\.")
-    body = F.regexp_replace(text, r"\r\n?", "\n")
-    # A loop runs until the next loop_, data_ or comment line, or the next tag of another category.
-    head = F.regexp_extract_all("_loop", F.lit(rf"(?m)^\s*{cat}\.(\S+)[ \t]*$"), F.lit(1))
-    tail = F.regexp_replace("_loop", rf"(?m)^\s*{cat}\.\S+[ \t]*$", "")
-    pairs = F.regexp_extract_all("_body", F.lit(rf"(?ms)^{cat}\.(\S+)\s+(?:{_TOKEN.removeprefix('(?ms)')})"), F.lit(0))
-
-    def rows_of(p: Column) -> Column:
-        """Tokens cut into rows as wide as the header; a key-value block is a single row."""
-        width = F.size(p["names"])
-        whole = F.floor(F.size(p["tokens"]) / width).cast("int")
-        return F.struct(
-            p["names"].alias("names"),
-            F.when((width > 0) & (whole > 0), F.transform(F.sequence(F.lit(0), whole - 1), lambda i: F.slice(p["tokens"], i * width + 1, width))).alias("rows"),
-        )
-
-    texts = files.select(id_col, body.alias("_body")).select(
-        id_col, "_body", F.regexp_extract("_body", rf"(?ms)^loop_[ \t]*\n((?:\s*{cat}\.\S+[ \t]*\n)+.*?)(?=^(?:loop_|data_|#|_)|\z)", 1).alias("_loop")
-    )
-    looped = F.struct(head.alias("names"), F.regexp_extract_all(tail, F.lit(_TOKEN), F.lit(0)).alias("tokens"))
-    single = let(pairs, lambda ps: F.struct(
-        F.transform(ps, lambda p: F.regexp_extract(p, rf"^{cat}\.(\S+)", 1)).alias("names"),
-        F.transform(ps, lambda p: F.regexp_replace(p, rf"(?s)^{cat}\.\S+\s+", "")).alias("tokens"),
-    ))
-    parts = texts.select(id_col, let(F.when(F.col("_loop") != "", looped).otherwise(single), rows_of).alias("_t"))
-    flat = parts.select(id_col, F.col("_t.names").alias("_names"), F.posexplode("_t.rows").alias("row_order", "_row"))
-    at = {c: F.array_position("_names", c) for c in columns}
-    return flat.select(
-        id_col, "row_order",
-        *[F.when(at[c] > 0, _unquote(F.try_element_at("_row", at[c].cast("int")))).alias(c) for c in columns],
-    )
+    found = _looped(files, id_col, text, category, columns).filter("reject IS NULL")
+    return found.select(F.col("id").alias(id_col), "row_order", *[F.get("row", k).alias(c) for k, c in enumerate(columns)])
+
+
+def loop_rejects(files: DataFrame, id_col: str, text: str, category: str) -> DataFrame:
+    """Texts whose category can't be read, with the reason."""
+    return _looped(files, id_col, text, category, []).filter("reject IS NOT NULL").select(F.col("id").alias(id_col), "reject")
 
 
 # atom_site items read, as (item, column).
@@ -123,11 +204,9 @@ def atom_site(files: DataFrame, id_col: str, text: str) -> DataFrame:
     return raw.select(id_col, F.col("row_order").alias("line_order"), *cols)
 
 
-def read_mmcif(spark: SparkSession, paths, categories: dict[str, Sequence[str]], wanted: DataFrame | None = None) -> dict[str, DataFrame]:
+def read_mmcif(spark: SparkSession, paths, categories: dict[str, Sequence[str]], wanted: DataFrame | None = None, root: str | None = None) -> dict[str, DataFrame]:
     """Tables of the named categories; ``wanted`` ids are selected before anything is parsed."""
-    files = spark.read.text(paths, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("structure_id"), "value"
-    )
+    files = structure_texts(spark, paths, root)
     if wanted is not None:
         files = files.join(wanted.select("structure_id").distinct(), "structure_id", "left_semi")
     return {

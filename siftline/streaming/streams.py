@@ -101,9 +101,10 @@ def stream_status(src: DataFrame, key: Sequence[str], order: Sequence[str], cols
 
 
 def stream_peak_gate(src: DataFrame, by: Sequence[str], used: str, total: str, limit: float = 0.90) -> DataFrame:
-    """Runs whose largest use over smallest total exceeds the limit (ST5)."""
-    peak = F.try_divide(F.max(used), F.min(total))
-    return src.groupBy(*by).agg(peak.alias("peak_fraction")).filter(F.col("peak_fraction") > limit)
+    """Runs whose largest use over smallest total exceeds the limit, or that have a total not above 0 (ST5)."""
+    peak = F.try_divide(F.max(used), F.min(F.when(F.col(total) > 0, F.col(total))))
+    bad = F.count_if(F.coalesce(F.col(total) <= 0, F.lit(True)))
+    return src.groupBy(*by).agg(peak.alias("peak_fraction"), bad.alias("bad_totals")).filter((F.col("peak_fraction") > limit) | (F.col("bad_totals") > 0))
 
 
 def acceptance_monitor(path: str, by: Sequence[str], order: Sequence[str], accepted: str, warmup: int, limit: float) -> Callable[[DataFrame, int], None]:

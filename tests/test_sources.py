@@ -184,3 +184,20 @@ def test_npz(spark, tmp_path, rows):
     schema, values = structures.read_npz(spark, str(tmp_path / "a.npz"))
     assert rows(schema, "name", "dtype", F.col("shape").cast("string").alias("s")) == [("coords", "float32", "[2, 3, 3]"), ("flag", "bool", "[1]"), ("iptm", "float64", "[2]")]
     assert rows(values, "name", "sample_index", "value") == [("flag", 0, 1.0), ("iptm", 0, 0.5), ("iptm", 1, 0.25)]
+
+
+def test_loop_tokens(spark, rows):
+    long = "q" * 100_000
+    good = f"data_x # note\nLOOP_\n_A.id\n_a.Text # tag\n1\n;first\n#no note\n_no.tag\n;\n# a note\n2 '{long}'\n3 \"it's\"\n_b.c 'x y'\nloop_\n_a.other\n9\n"
+    frame = spark.createDataFrame([(1, good), (2, "loop_\n_a.id\n_a.text\n1 2 3\n"), (3, "_a.id 'open\n"), (4, "_a.id\n;open\n"), (5, None), (6, "_a.id 5\n_a.text ?\n")], "id long, text string")
+    assert rows(structures.parse_loops(frame, "id", "text", "_a", ["id", "text"])) == [
+        (1, 0, "1", "first\n#no note\n_no.tag"), (1, 1, "2", long), (1, 2, "3", "it's"), (1, 3, None, None), (6, 0, "5", "?")]
+    assert rows(structures.loop_rejects(frame, "id", "text", "_a"), "id") == [(2,), (3,), (4,)]
+
+
+def test_structure_ids_below_a_root(spark, tmp_path, rows):
+    for folder in ("a", "b c"):
+        (tmp_path / folder).mkdir()
+        put(tmp_path / folder, "m.v1.cif", "_t.id 1\n")
+    texts = structures.structure_texts(spark, str(tmp_path / "*" / "*.cif"), str(tmp_path))
+    assert rows(texts, "structure_id") == [("a/m.v1",), ("b c/m.v1",)]

@@ -51,7 +51,11 @@ def test_status_and_gate(spark, rows):
     gate = streams.stream_peak_gate(src.withColumn("t", F.lit(100.0)), ["k"], "v", "t")
     path = scratch_path(spark, "g")
     streams.run_available(gate, path, "update")
-    assert rows(streams.latest_changes(spark, path, gate.schema, ["k"])) == [("a", 0.95)]
+    assert rows(streams.latest_changes(spark, path, gate.schema, ["k"])) == [("a", 0.95, 0)]
+    broken = streams.stream_peak_gate(src.withColumn("t", F.when(F.col("id") == 2, -1.0).otherwise(1000.0)), ["k"], "v", "t")
+    path = scratch_path(spark, "g")
+    streams.run_available(broken, path, "update")
+    assert rows(streams.latest_changes(spark, path, broken.schema, ["k"])) == [("b", None, 1)]
 
 
 def test_acceptance_carries_over_batches(spark, rows):

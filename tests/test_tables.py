@@ -236,3 +236,30 @@ def test_salted_join_splits_hot_keys(spark):
     got = joins.salted_join(left, right, ["k"], ["l"], limit=10)
     assert got.count() == left.join(right, "k").count() == 201
     assert got.select("k", "l", "r").distinct().count() == 201
+
+
+def test_cardinality_needs_the_exact_set(spark, rows):
+    data = [("bad", i) for i in (0, 0, 3, 4, 4, 5, 5, 7)] + [("good", i) for i in range(8)] + [("short", 0)]
+    df = spark.createDataFrame(data, "k string, i int")
+    assert rows(checks.cardinality(df, ["k"], 8, "i")) == [("bad", 8), ("short", 1)]
+
+
+def test_prefix_pass_counts_rows_not_orders(spark, rows):
+    df = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 5, False), ("b", 3, True), ("b", 9, True), ("c", 4, False)], "id string, o int, ok boolean")
+    assert rows(ranking.prefix_pass(df, ["id"], "o", "ok")) == [("a", 2, 2), ("b", 2, 2), ("c", 0, 0)]
+
+
+def test_upsert_withholds_repeated_updates(spark, rows):
+    base = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    updates = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    merged, bad = joins.upsert(base, updates, ["k"], ["v"])
+    assert rows(merged) == [(1, "x"), (2, "c")] and rows(bad) == [(1, 2, 1)]
+
+
+def test_pairs_of_non_finite_and_huge_values(spark, rows):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1, inf), (2, nan), (3, None), (4, 1e300), (5, 1e300), (6, -1e300), (7, 1.0), (8, 1.5)], "id int, v double")
+    assert rows(joins.near_pairs(df, "id", "v", 1.0), "id_a", "id_b") == [(4, 5), (7, 8)]
+    points = df.withColumns({"y": F.lit(0.0), "z": F.lit(0.0), "k": F.lit(1)})
+    found = joins.range_pairs(points, points, ["k"], ["v", "y", "z"], 1.0, ["id"], ["id"])
+    assert rows(found.filter("id_a < id_b"), "id_a", "id_b") == [(4, 5), (7, 8)]
