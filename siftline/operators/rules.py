@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.functions.clean import finite_of
 from siftline.operators.ordered import number_rows
@@ -216,14 +217,27 @@ def allowlist(df: DataFrame, condition: Column, level: str, wording: dict[str, s
 
 
 def find_reports(df: DataFrame, text_cols: Sequence[str], query: str, group_col: str | None = None, group: str | None = None) -> DataFrame:
-    """Rows whose joined text holds the trimmed query, in any letter case, inside a group."""
+    """Rows whose joined text holds the trimmed query, in any letter case, inside a group.
+
+    ``group_col`` holds one group or an array of groups, of which the asked one must be a member.
+    """
     joined = F.lower(F.concat_ws(" ", *text_cols))
     out = df.filter(joined.contains(query.strip().lower()))
     if group_col is not None and group not in (None, "all"):
-        out = out.filter(F.col(group_col) == group)
+        many = isinstance(df.schema[group_col].dataType, T.ArrayType)
+        out = out.filter(F.array_contains(group_col, group) if many else F.col(group_col) == group)
     return out
 
 
+def report_counts(df: DataFrame, text_cols: Sequence[str], query: str, group_col: str, groups: Sequence[str]) -> DataFrame:
+    """How many rows ``find_reports`` gives for each of ``groups``, 0 included, and for ``all``."""
+    found = find_reports(df, text_cols, query)
+    many = isinstance(df.schema[group_col].dataType, T.ArrayType)
+    inside = [F.array_contains(group_col, g) if many else F.col(group_col) == g for g in groups]
+    counts = found.agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate([*inside, F.lit(True)])])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(g).alias("group_name"), F.col(f"n{k}").alias("result_count")) for k, g in enumerate([*groups, "all"])])))
+
+
 def intake_sequences(df: DataFrame, seen: DataFrame, seq: str, score: str, forbidden: str, order: Sequence[str]) -> DataFrame:
     """New sequences free of forbidden letters, the last row of each kept, best score first."""
     clean = df.filter(~F.col(seq).rlike(f"[{re.escape(forbidden)}]"))

@@ -51,10 +51,18 @@ def policy_rules(spark, t):
     return rules.policy_check(_inventory(t), policy)
 
 
-@query("report_finder", "SELECT doc_id, lang FROM documents WHERE contains(lower(source || ' ' || text), 'the wh') AND lang = 'en'")
+@query("report_finder", "SELECT doc_id, lang FROM documents WHERE contains(lower(source || ' ' || text), 'the wh') AND 'en' IN (lang, source)")
 def report_finder(spark, t):
-    found = rules.find_reports(t.documents.select("doc_id", "lang", "source", "text"), ["source", "text"], "  The Wh ", "lang", "en")
-    return found.select("doc_id", "lang")
+    docs = t.documents.select("doc_id", "lang", "source", "text", F.array("lang", "source").alias("groups"))
+    return rules.find_reports(docs, ["source", "text"], "  The Wh ", "groups", "en").select("doc_id", "lang")
+
+
+@query("report_counts", """
+WITH x AS (SELECT lang, source FROM documents WHERE contains(lower(source || ' ' || text), 'the wh'))
+SELECT g AS group_name, (SELECT count(*) FROM x WHERE g IN (lang, source) OR g = 'all') AS result_count FROM (SELECT unnest(['en', 'src3', 'absent', 'all']) AS g)""")
+def report_counts(spark, t):
+    docs = t.documents.select("source", "text", F.array("lang", "source").alias("groups"))
+    return rules.report_counts(docs, ["source", "text"], "the wh", "groups", ["en", "src3", "absent"])
 
 
 @query("log_timings", """
