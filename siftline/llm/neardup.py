@@ -10,7 +10,7 @@ all registers of a document are filled, which takes about ``k * ln k`` points ho
 Equal word sequences form one class first; bands are taken over class representatives. Within a
 bucket members are compared with changing centers rather than with each other, so a group of n
 members costs about n comparisons. What is then still apart from others of its bucket is compared with
-all of them, so no link between different texts is lost in a bucket.
+all of them in blocks, so no link between different texts is lost in a bucket.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.words import SPACED, Words, mix, slices, window_hashes
+from siftline.llm.words import SPACED, Words, member, mix, slices, window_hashes
 from siftline.session import stage_table
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
 ROUNDS = 3
+BLOCK = 1000  # members of a bucket that are compared in one go
+SLACK = 0.01  # for prints of 32 bits that fall together
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
 
@@ -211,20 +213,11 @@ def _linked(reps: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataF
     spread = reps.select("id", "n_words", F.explode("bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[F.min_by("id", F.xxhash64("id", "band", F.lit(r))).alias(f"c{r}") for r in range(1, ROUNDS)], F.min("id").alias("c0")).filter("n > 1")
     buckets = stage_table(spread.join(sizes, "band"), "buckets")
-    # A bag can't reach the similarity if the other has too few shingles.
-    size = lambda c: F.greatest(F.col(c) - (SHINGLE - 1), F.lit(1))
-    near = lambda x, y: (size(x) >= similarity * size(y)) & (size(y) >= similarity * size(x))
     stars = buckets.select("id", F.explode(F.array_distinct(F.array(*[f"c{r}" for r in range(ROUNDS)]))).alias("center")).filter("id <> center")
     tried = stage_table(stars.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), "tried")
     links = stage_table(_verified(tried, texts, similarity), "verified")
     roots = components(links)
-    # Members of one bucket that are in different components by now, each pair once.
-    placed = buckets.select("id", "band", "n_words").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    rest = stage_table(placed.join(mixed, "band"), "rest")
-    other = rest.select(F.col("id").alias("id2"), "band", F.col("root").alias("root2"), F.col("n_words").alias("n2"))
-    apart = rest.join(other, "band").filter((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & near("n_words", "n2"))
-    pairs = apart.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = _still_apart(buckets, roots, texts, similarity).join(tried, ["a", "b"], "left_anti")
     late = stage_table(_verified(pairs, texts, similarity), "verified")
     if not late.isEmpty():
         links = links.unionByName(late)
@@ -232,6 +225,82 @@ def _linked(reps: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataF
     return links, roots
 
 
+def _still_apart(buckets: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components that may reach ``similarity``, each once.
+
+    Shingles that no other such document has can't be shared, which bounds the overlap of a bag with
+    any other: one with too many of them has no link at all, and needs no pair to show it.
+    """
+    placed = buckets.select("id", "band", "n_words").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    rest = stage_table(placed.join(mixed, "band"), "rest")
+    bags = _bags(texts.join(rest.select("id").distinct(), "id"))
+    alone = bags.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id"), F.first("copies").alias("copies")).filter("n = 1").groupBy("id").agg(F.sum("copies").alias("alone"))
+    weight = F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))
+    bounded = rest.join(alone, "id", "left").select("id", "band", "root", weight.alias("weight"), (weight - F.coalesce("alone", F.lit(0))).alias("shared"))
+    able = stage_table(bounded.filter(F.col("shared") >= similarity * F.col("weight") - 1e-9), "able")
+    # Members outside the largest component of their bucket meet all others of it, in blocks.
+    major = able.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(
+        F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("roots"),
+    ).filter("roots > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    minor_blocks = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")
+    members = able.join(major, "band").join(_prints(texts.join(able.select("id").distinct(), "id")), "id")
+    members = members.select("id", "band", "root", "prints", (F.col("root") != F.col("major")).alias("minor"), blocks.alias("blocks"), minor_blocks.alias("minor_blocks"))
+    dealt = stage_table(members, "members")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = dealt.filter("minor").select("band", own("minor_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "root", "prints")
+    right = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("i"), own("blocks").alias("j"), "id", "root", "prints")
+    kind, key = dict(able.dtypes)["id"], ["band", "i", "j"]
+
+    def meet(minors: pa.Table, all_members: pa.Table) -> pa.Table:
+        """Pairs whose bags of prints come near the similarity; the texts decide later."""
+        out = {"a": [], "b": []}
+        roots, ids = all_members.column("root").to_pylist(), all_members.column("id").to_pylist()
+        column = all_members.column("prints").combine_chunks()
+        values, at = np.asarray(column.flatten()), np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(column)))))
+        sizes = np.diff(at)
+        for x, root, prints in zip(minors.column("id").to_pylist(), minors.column("root").to_pylist(), minors.column("prints")):
+            bag = np.sort(np.asarray(prints.values))
+            hit = np.zeros(len(values) + 1, np.int64)
+            np.cumsum(member(values, bag) >= 0, out=hit[1:])
+            shared = hit[at[1:]] - hit[at[:-1]]
+            for k in np.flatnonzero(shared >= (similarity - SLACK) * (sizes + len(bag) - shared)).tolist():
+                if roots[k] != root:
+                    out["a"].append(min(x, ids[k]))
+                    out["b"].append(max(x, ids[k]))
+        return pa.table(out, schema=pa.schema([("a", minors.schema.field("id").type), ("b", minors.schema.field("id").type)]))
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, f"a {kind}, b {kind}").distinct()
+
+
+def _prints(texts: DataFrame) -> DataFrame:
+    """(id, prints): 32 bits of each copy of each shingle, for a first comparison."""
+    def prints(batches):
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                rows, grams, counts = shingle_bags(Words(part.column(1), SPACED))
+                copy = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+                values = mix(np.repeat(grams, counts) + copy.astype(np.uint64) * _GOLDEN).astype(np.uint32).view(np.int32)
+                at = np.searchsorted(np.repeat(rows, counts), np.arange(len(part) + 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))], names=["id", "prints"])
+
+    return texts.select("id", "text").mapInArrow(prints, f"id {dict(texts.dtypes)['id']}, prints array<int>")
+
+
+def _bags(texts: DataFrame) -> DataFrame:
+    """(id, gram, copies) of each distinct shingle."""
+    def bags(batches):
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                rows, grams, counts = shingle_bags(Words(part.column(1), SPACED))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(grams.view(np.int64)), pa.array(counts)], names=["id", "gram", "copies"])
+
+    return texts.select("id", "text").mapInArrow(bags, f"id {dict(texts.dtypes)['id']}, gram long, copies long")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, but those whose class has a smaller id; null ids stay."""
     classes = near_duplicates(docs, doc_id, text, similarity)
