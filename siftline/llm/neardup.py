@@ -162,7 +162,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     kind = dict(pairs.dtypes)["a"]
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(judge, f"a {kind}, b {kind}, overlap double")
 
 
@@ -213,6 +213,8 @@ def _linked(reps: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataF
     spread = reps.select("id", "n_words", F.explode("bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[F.min_by("id", F.xxhash64("id", "band", F.lit(r))).alias(f"c{r}") for r in range(1, ROUNDS)], F.min("id").alias("c0")).filter("n > 1")
     buckets = stage_table(spread.join(sizes, "band"), "buckets")
+    # Only texts that share a bucket are moved again. Ids grow with the corpus, so no side is broadcast.
+    texts = stage_table(texts.join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     stars = buckets.select("id", F.explode(F.array_distinct(F.array(*[f"c{r}" for r in range(ROUNDS)]))).alias("center")).filter("id <> center")
     tried = stage_table(stars.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), "tried")
     links = stage_table(_verified(tried, texts, similarity), "verified")
@@ -234,7 +236,7 @@ def _still_apart(buckets: DataFrame, roots: DataFrame, texts: DataFrame, similar
     placed = buckets.select("id", "band", "n_words").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
     rest = stage_table(placed.join(mixed, "band"), "rest")
-    bags = _bags(texts.join(rest.select("id").distinct(), "id"))
+    bags = _bags(texts.join(rest.select("id").distinct().hint("merge"), "id", "left_semi"))
     alone = bags.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("id"), F.first("copies").alias("copies")).filter("n = 1").groupBy("id").agg(F.sum("copies").alias("alone"))
     weight = F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1))
     bounded = rest.join(alone, "id", "left").select("id", "band", "root", weight.alias("weight"), (weight - F.coalesce("alone", F.lit(0))).alias("shared"))
@@ -245,7 +247,7 @@ def _still_apart(buckets: DataFrame, roots: DataFrame, texts: DataFrame, similar
     ).filter("roots > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     minor_blocks = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int")
-    members = able.join(major, "band").join(_prints(texts.join(able.select("id").distinct(), "id")), "id")
+    members = able.join(major, "band").join(_prints(texts.join(able.select("id").distinct().hint("merge"), "id", "left_semi")), "id")
     members = members.select("id", "band", "root", "prints", (F.col("root") != F.col("major")).alias("minor"), blocks.alias("blocks"), minor_blocks.alias("minor_blocks"))
     dealt = stage_table(members, "members")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
