@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.clean import RESIDUE_LETTERS, bucket, distance3, letters, null_token, parse_position
+from siftline.functions.clean import RESIDUE_LETTERS, bucket, distance3, hydropathy, letters, motif_count, null_token, parse_position
 from siftline.operators.joins import range_pairs
 from siftline.operators.ranking import best_per_key, first_n_distinct
 
@@ -379,6 +379,35 @@ def structure_qc(residues: DataFrame, spec: DomainSpec) -> DataFrame:
     return stats.select("structure_id", F.inline(F.array_compact(F.array(*found))))
 
 
+# Limits of the soft flags on a framework sequence.
+PI_RANGE, HYDROPATHY_LIMIT, MOTIF_LIMIT = (5.5, 9.5), 0.2, 5
+
+
+def sequence_flags(residues: DataFrame, pi: str | None = None) -> DataFrame:
+    """Soft rule rows from the framework sequence of each structure.
+
+    ``pi``: a column with the predicted isoelectric point, if there is one. A sequence with an
+    unknown letter, or none, has no hydropathy and is flagged for that.
+    """
+    framework = F.col("region").startswith("FR")
+    part = F.when(framework, F.struct(F.col("label_seq_id").alias("k"), F.col("one_letter").alias("t")))
+    point = F.max(pi) if pi else F.lit(None).cast("double")
+    stats = residues.groupBy("structure_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda e: e["t"]), "").alias("_seq"), point.alias("_pi"))
+    stats = stats.withColumns({"_gravy": hydropathy("_seq"), "_motifs": motif_count("_seq")})
+
+    def flag(cond: Column, name: str, detail: Column) -> Column:
+        return F.when(cond, F.struct(F.lit(name).alias("rule_id"), F.lit("soft").alias("severity"), detail.alias("detail")))
+
+    extreme = F.coalesce(F.abs("_pi") < float("inf"), F.lit(False)) & ~F.col("_pi").between(*PI_RANGE)
+    found = [
+        flag(F.col("_gravy").isNull(), "developability_sequence_metrics_failed", F.lit("")),
+        flag(extreme, "framework_predicted_pi_extreme", F.format_string("%.2f", "_pi")),
+        flag(F.col("_gravy") > HYDROPATHY_LIMIT, "framework_gravy_high", F.format_string("%.3f", "_gravy")),
+        flag(F.col("_motifs") >= MOTIF_LIMIT, "framework_liability_motif_count", F.col("_motifs").cast("string")),
+    ]
+    return stats.select("structure_id", F.inline(F.array_compact(F.array(*found))))
+
+
 def reason_lists(qc: DataFrame, chains: DataFrame) -> DataFrame:
     """Hard and soft reasons of each structure, sorted and joined, with its status.
 

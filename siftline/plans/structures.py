@@ -158,7 +158,7 @@ def structure_qc(spark, t):
     residues = stage_table(residues, "residues")
     sulfur = residues.filter("point_SG IS NOT NULL").select("structure_id", "label_seq_id", "comp_id", F.lit("SG").alias("atom_name"), "point_SG.*")
     bonds = structure.bond_rules(structure.bond_pairs(sulfur, 0.1, 0.3), residues, ("23", "104"))
-    qc = structure.structure_qc(residues, SPEC).unionByName(bonds).unionByName(structure.identity_problems(a, chains))
+    qc = structure.structure_qc(residues, SPEC).unionByName(bonds).unionByName(structure.identity_problems(a, chains)).unionByName(structure.sequence_flags(residues))
     return structure.reason_lists(qc, chains)
 
 

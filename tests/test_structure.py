@@ -155,3 +155,13 @@ def test_ambiguous_chain(spark, rows):
     twin = lambda r: r + [a[:11] + ("I", "H") + a[13:] for a in r]
     wanted = spark.createDataFrame([("s", "H")], "structure_id string, chain string")
     assert rows(structure.choose_chain(frame(spark, *sound(spark, twin)), wanted, SPEC), "status") == [("ambiguous_hchain_mapping",)]
+
+
+def test_sequence_flags(spark, rows):
+    data = [("sticky", i, "FR1", "I", 9.9) for i in range(5)] + [("sticky", 9, "CDR1", "D", 9.9)]
+    data += [("motifs", i, "FR2", c, 7.0) for i, c in enumerate("NGDSMWMKR")] + [("odd", 0, "FR1", "X", None), ("loops", 0, "CDR1", "A", float("nan"))]
+    df = spark.createDataFrame(data, "structure_id string, label_seq_id int, region string, one_letter string, pi double")
+    assert rows(structure.sequence_flags(df, "pi"), "structure_id", "rule_id", "detail") == [
+        ("loops", "developability_sequence_metrics_failed", ""), ("motifs", "framework_liability_motif_count", "5"), ("odd", "developability_sequence_metrics_failed", ""),
+        ("sticky", "framework_gravy_high", "4.500"), ("sticky", "framework_predicted_pi_extreme", "9.90")]
+    assert rows(structure.sequence_flags(df), "structure_id") == [("loops",), ("motifs",), ("odd",), ("sticky",)]
