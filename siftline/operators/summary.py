@@ -302,9 +302,12 @@ def compare_cohorts(df: DataFrame, cohort: str, metrics: dict[str, Column], medi
 
 def symbol_inventory(df: DataFrame, source: str, text: str, sep: str = ";") -> DataFrame:
     """Per letter: occurrences, distinct sources and their list."""
-    # Letters are counted per row before anything is shuffled.
-    chars = df.select(source, F.explode(F.split(text, "")).alias("symbol")).filter(F.col("symbol") != "")
-    pairs = chars.groupBy("symbol", source).agg(F.count(F.lit(1)).alias("_n"))
+    # A row per distinct letter of a text; how often it occurs is what the text is shorter by without it.
+    counted = F.transform(
+        F.array_remove(F.array_distinct(F.split(text, "")), ""),
+        lambda x: F.struct(x.alias("symbol"), (F.length(text) - F.length(F.replace(F.col(text), x, F.lit("")))).alias("_k")),
+    )
+    pairs = df.select(source, F.inline(counted)).groupBy("symbol", source).agg(F.sum("_k").alias("_n"))
     return pairs.groupBy("symbol").agg(
         F.sum("_n").alias("occurrences"), F.count(source).alias("source_count"),
         F.array_join(F.array_sort(F.collect_list(F.col(source).cast("string"))), sep).alias("sources"),

@@ -17,6 +17,10 @@ from siftline.operators.ranking import best_per_key
 from siftline.operators.summary import acceptance_rate
 
 
+ALL_PROGRESS = 1_000_000
+REGISTRY_BUCKETS = 256
+
+
 def read_feed(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
     """File feed under an explicit schema."""
     reader = spark.readStream.format(fmt).schema(schema)
@@ -39,8 +43,14 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", each: Call
             df.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
         writer = writer.foreachBatch(each or save)
-    running = writer.start()
-    running.awaitTermination()
+    conf, kept = stream.sparkSession.conf, "spark.sql.streaming.numRecentProgressUpdates"
+    before = conf.get(kept)
+    conf.set(kept, str(ALL_PROGRESS))  # else only the last 100 batches are counted
+    try:
+        running = writer.start()
+        running.awaitTermination()
+    finally:
+        conf.set(kept, before)
     dropped = 0
     for progress in running.recentProgress:
         dropped += sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in progress["stateOperators"])
@@ -83,14 +93,16 @@ def stream_dedupe(src: DataFrame, id_col: str, time: str, delay: str) -> DataFra
 def exact_dedupe(path: str, id_col: str, order: Sequence) -> Callable[[DataFrame, int], None]:
     """Per batch: the first row of every id no earlier batch holds (ST3, exact).
 
-    The registry is the output of all earlier batches, so no id is ever forgotten.
+    The registry is the output of all earlier batches, so no id is ever forgotten. It is kept in
+    buckets by a hash of the id; a batch reads only the buckets of its own ids.
     """
     def each(df: DataFrame, batch: int) -> None:
-        first = best_per_key(df, [id_col], order)
+        first = best_per_key(df, [id_col], order).withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(REGISTRY_BUCKETS)).cast("int"))
         if batch > 0:
-            known = df.sparkSession.read.parquet(f"{path}/rows").filter(F.col("batch") < batch).select(id_col)
+            touched = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # REGISTRY_BUCKETS numbers at most
+            known = df.sparkSession.read.schema(first.select(id_col, "bucket", F.lit(0).alias("batch")).schema).parquet(f"{path}/rows").filter((F.col("batch") < batch) & F.col("bucket").isin(touched)).select(id_col)
             first = first.join(known, id_col, "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        first.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={batch}")
 
     return each
 
