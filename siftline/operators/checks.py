@@ -146,6 +146,42 @@ def unmapped_resolved(atoms: DataFrame, edges: DataFrame, keys: Sequence[str], r
     return atoms.filter(F.col(resolved)).join(edges.select(*keys), list(keys), "left_anti").select(*keys)
 
 
+def axis_contracts(shapes: DataFrame, by: Sequence[str], axes: Sequence[tuple[str, int, str]]) -> DataFrame:
+    """Named axes on which the arrays of a file disagree, or that one of them lacks.
+
+    ``shapes``: rows with ``name`` and ``shape``. ``axes``: (array, place of the axis, its name).
+    """
+    listed = F.array(*[F.struct(F.lit(a).alias("array"), F.lit(k).alias("place"), F.lit(n).alias("axis")) for a, k, n in axes])
+    sized = shapes.select(*by, F.explode(F.filter(listed, lambda x: x["array"] == F.col("name"))).alias("x"), "shape").select(*by, "x.axis", F.get("shape", F.col("x.place")).alias("size"))
+    wanted = F.lit(0)
+    for axis in sorted({n for _, _, n in axes}):
+        wanted = F.when(F.col("axis") == axis, sum(n == axis for _, _, n in axes)).otherwise(wanted)
+    stats = sized.groupBy(*by, "axis").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count("size").alias("arrays"))
+    return stats.filter((F.col("least") != F.col("most")) | (F.col("arrays") != wanted) | F.col("least").isNull())
+
+
+def token_contracts(cells: DataFrame, resolved: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, reason, item): broken rules of an atom-to-token matrix.
+
+    ``cells``: ``atom``, ``token`` and ``value`` of the dense matrix; ``resolved``: ``atom`` and a
+    boolean ``resolved``. An atom has one token at most, a resolved atom exactly one, every token an
+    atom, and tokens are numbered from 0 without a gap.
+    """
+    def found(df: DataFrame, reason: str, item: str) -> DataFrame:
+        return df.select(*by, F.lit(reason).alias("reason"), F.col(item).cast("long").alias("item"))
+
+    atoms = cells.groupBy(*by, "atom").agg(F.count_if(F.col("value") != 0).alias("tokens"))
+    tokens = cells.groupBy(*by, "token").agg(F.max(F.abs("value")).alias("most"))
+    numbers = tokens.groupBy(*by).agg(F.min("token").alias("first"), F.max("token").alias("last"), F.count(F.lit(1)).alias("n"))
+    mapped = resolved.filter("resolved").select(*by, "atom").join(atoms, [*by, "atom"], "left")
+    return (
+        found(atoms.filter("tokens > 1"), "several_tokens", "atom")
+        .unionAll(found(mapped.filter("coalesce(tokens, 0) <> 1"), "resolved_without_one_token", "atom"))
+        .unionAll(found(tokens.filter("coalesce(most, 0) = 0"), "empty_token", "token"))
+        .unionAll(found(numbers.filter("first <> 0 OR last + 1 <> n"), "tokens_not_contiguous", "last"))
+    )
+
+
 def new_only(batch: DataFrame, registry: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose id the registry lacks, and rows refused: known ids or repeats in the batch."""
     counts = batch.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))

@@ -124,6 +124,30 @@ def unmapped_resolved(spark, t):
     return checks.unmapped_resolved(docs, t.labels, ["doc_id"], "resolved")
 
 
+@query("axis_contracts", """
+WITH s AS (SELECT doc_id, 'text' AS name, length(text)::INT AS size FROM documents UNION ALL SELECT doc_id, 'counted', n_chars::INT - CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END FROM documents WHERE doc_id % 11 <> 0)
+SELECT doc_id, 'chars' AS axis, min(size) AS least, max(size) AS most, count(*) AS arrays FROM s GROUP BY 1 HAVING min(size) <> max(size) OR count(*) <> 2""")
+def axis_contracts(spark, t):
+    text = t.documents.select("doc_id", F.lit("text").alias("name"), F.array(F.length("text")).alias("shape"))
+    size = F.col("n_chars").cast("int") - F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)
+    counted = t.documents.filter("doc_id % 11 <> 0").select("doc_id", F.lit("counted").alias("name"), F.array(F.lit(1), size).alias("shape"))
+    return checks.axis_contracts(text.unionAll(counted), ["doc_id"], [("text", 0, "chars"), ("counted", 1, "chars")])
+
+
+@query("token_contracts", """
+WITH a AS (SELECT vec_id, unnest(range(0, 64)) AS atom, unnest(embedding) AS e FROM embeddings),
+c AS (SELECT vec_id, atom, token, e, ((token = atom // 8 AND e > 0) OR (token = (atom + 1) // 8 AND e > 0.1)) AS hit FROM (SELECT *, unnest(range(0, 9)) AS token FROM a)),
+n AS (SELECT vec_id, atom, any_value(e) AS e, count(*) FILTER (hit) AS k FROM c GROUP BY 1, 2)
+SELECT vec_id, 'several_tokens' AS reason, atom AS item FROM n WHERE k > 1 UNION ALL SELECT vec_id, 'resolved_without_one_token', atom FROM n WHERE e > -0.05 AND k <> 1
+UNION ALL SELECT vec_id, 'empty_token', token FROM c GROUP BY vec_id, token HAVING NOT bool_or(hit)""")
+def token_contracts(spark, t):
+    atoms = t.embeddings.select("vec_id", F.posexplode("embedding").alias("atom", "e"))
+    own, following = F.floor(F.col("atom") / 8), F.floor((F.col("atom") + 1) / 8)
+    hit = ((F.col("token") == own) & (F.col("e") > 0)) | ((F.col("token") == following) & (F.col("e") > 0.1))
+    cells = atoms.select("*", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("token")).select("vec_id", "atom", "token", hit.cast("int").alias("value"))
+    return checks.token_contracts(cells, atoms.select("vec_id", "atom", (F.col("e") > -0.05).alias("resolved")), ["vec_id"])
+
+
 @query("new_only", """
 WITH b AS (SELECT l_orderkey AS id FROM lineitem WHERE l_quantity > 48), r AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'), c AS (SELECT id, count(*) AS n FROM b GROUP BY 1)
 SELECT id, CASE WHEN id IN (SELECT id FROM r) THEN 'known' WHEN n > 1 THEN 'repeated' ELSE 'new' END AS verdict FROM c""")

@@ -216,7 +216,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 @query("npz_values", """
 SELECT file, name, dtype, shape, n, round(total, 5) AS total FROM (
   SELECT vec_id::VARCHAR AS file, 'iptm' AS name, 'float32' AS dtype, len(embedding)::VARCHAR AS shape, len(embedding)::BIGINT AS n, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) AS total FROM embeddings
-  UNION ALL SELECT vec_id::VARCHAR, 'coords', 'float32', '1x21x3', 0, NULL FROM embeddings)""")
+  UNION ALL SELECT vec_id::VARCHAR, 'coords', 'float32', '1x21x3', 63, list_sum(list_transform(embedding[1:63], lambda v: v::DOUBLE)) FROM embeddings)""")
 def npz_values(spark, t):
     packed = t.embeddings.select(F.col("vec_id").cast("string").alias("file"), F.col("embedding").alias("v")).mapInPandas(_pack, "file string, content binary")
     schema, values = npz_tables(packed)

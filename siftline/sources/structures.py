@@ -236,8 +236,9 @@ def read_archives(spark: SparkSession, paths, wanted: DataFrame | None = None) -
     return texts if wanted is None else texts.join(wanted.select("structure_id").distinct(), "structure_id", "left_semi")
 
 
+NPZ_CHUNK = 65_536  # numbers per frame
 NPZ_SCHEMA_ROWS = "file string, name string, dtype string, shape array<int>"
-NPZ_VALUE_ROWS = "file string, name string, sample_index long, value double"
+NPZ_VALUE_ROWS = "file string, name string, sample_index long, position array<int>, value double"
 
 
 def _npz_schema(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,12 +256,20 @@ def _npz_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
                 for k in arrays.files:
                     a = arrays[k]
-                    if a.ndim == 1 and a.dtype.kind in "fiub":
-                        yield pd.DataFrame({"file": path, "name": k, "sample_index": np.arange(a.size), "value": a.astype("float64")})
+                    if a.dtype.kind not in "fiub":
+                        continue
+                    flat = a.reshape(-1)
+                    for low in range(0, flat.size, NPZ_CHUNK):
+                        at = np.arange(low, min(low + NPZ_CHUNK, flat.size))
+                        places = np.stack(np.unravel_index(at, a.shape), axis=1).astype("int32") if a.ndim else np.zeros((len(at), 0), "int32")
+                        yield pd.DataFrame({"file": path, "name": k, "sample_index": at, "position": list(places), "value": flat[at].astype("float64")})
 
 
 def npz_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Array schema rows, and one row per sample of every one-dimensional numeric array."""
+    """Array schema rows, and one row per number of every numeric array of any rank.
+
+    ``position`` has the place along each axis, ``sample_index`` the place in row-major order.
+    """
     return files.mapInPandas(_npz_schema, NPZ_SCHEMA_ROWS), files.mapInPandas(_npz_values, NPZ_VALUE_ROWS)
 
 

@@ -183,7 +183,9 @@ def test_npz(spark, tmp_path, rows):
     np.savez(tmp_path / "a.npz", iptm=np.array([0.5, 0.25]), coords=np.zeros((2, 3, 3), dtype="float32"), flag=np.array([True]))
     schema, values = structures.read_npz(spark, str(tmp_path / "a.npz"))
     assert rows(schema, "name", "dtype", F.col("shape").cast("string").alias("s")) == [("coords", "float32", "[2, 3, 3]"), ("flag", "bool", "[1]"), ("iptm", "float64", "[2]")]
-    assert rows(values, "name", "sample_index", "value") == [("flag", 0, 1.0), ("iptm", 0, 0.5), ("iptm", 1, 0.25)]
+    assert rows(values.filter("name <> 'coords'"), "name", "sample_index", "value") == [("flag", 0, 1.0), ("iptm", 0, 0.5), ("iptm", 1, 0.25)]
+    places = values.filter("name = 'coords'").select("sample_index", "position").collect()
+    assert {tuple(r["position"]): r["sample_index"] for r in places} == {(i, j, k): i * 9 + j * 3 + k for i in range(2) for j in range(3) for k in range(3)}
 
 
 def test_loop_tokens(spark, rows):

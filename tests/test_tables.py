@@ -263,3 +263,14 @@ def test_pairs_of_non_finite_and_huge_values(spark, rows):
     points = df.withColumns({"y": F.lit(0.0), "z": F.lit(0.0), "k": F.lit(1)})
     found = joins.range_pairs(points, points, ["k"], ["v", "y", "z"], 1.0, ["id"], ["id"])
     assert rows(found.filter("id_a < id_b"), "id_a", "id_b") == [(4, 5), (7, 8)]
+
+
+def test_array_axes_and_tokens(spark, rows):
+    shapes = spark.createDataFrame([("a", "x", [2, 3]), ("a", "y", [3]), ("b", "x", [2, 3]), ("b", "y", [4]), ("c", "x", [2, 3]), ("d", "x", [2]), ("d", "y", [3])], "file string, name string, shape array<int>")
+    bad = checks.axis_contracts(shapes, ["file"], [("x", 1, "n"), ("y", 0, "n")])
+    assert rows(bad, "file", "axis", "arrays") == [("b", "n", 2), ("c", "n", 1), ("d", "n", 1)]
+    grid = {"ok": [(0, 0), (1, 1)], "bad": [(0, 0), (0, 1)]}
+    cells = [(f, a, t, float((a, t) in on)) for f, on in grid.items() for a in range(3) for t in (0, 1)] + [("gap", 0, 0, 1.0), ("gap", 0, 2, 0.0)]
+    resolved = [("ok", 0, True), ("ok", 2, False), ("bad", 0, True), ("bad", 1, True), ("bad", 7, True)]
+    found = checks.token_contracts(spark.createDataFrame(cells, "file string, atom int, token int, value double"), spark.createDataFrame(resolved, "file string, atom int, resolved boolean"), ["file"])
+    assert rows(found) == [("bad", "resolved_without_one_token", 0), ("bad", "resolved_without_one_token", 1), ("bad", "resolved_without_one_token", 7), ("bad", "several_tokens", 0), ("gap", "empty_token", 2), ("gap", "tokens_not_contiguous", 2)]
