@@ -151,6 +151,10 @@ class Phrases:
     owners: np.ndarray  # item numbers, window by window
     owner_at: np.ndarray
 
+    def plain(self) -> tuple:
+        """The fields, to be shipped without their class."""
+        return tuple(vars(self).values())
+
     @staticmethod
     def of(names: list[str], texts: list[str | None], size: int = WINDOW) -> Phrases:
         words = Words(pa.array(texts, pa.string()), PLAIN, lower=True)
@@ -234,22 +238,23 @@ def _int_lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def _scan(docs: DataFrame, phrases: Phrases, columns: dict[str, str], text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
+    shared = docs.sparkSession.sparkContext.broadcast(phrases.plain())
 
     def shards(batches):
+        own = Phrases(*shared.value)
         for batch in batches:
             for lo, hi in slices(batch.column("_text")):
                 part = batch.slice(lo, hi - lo)
-                words, hit, pairs, firsts, lasts = shared.value.hits(part.column("_text"))
-                names = shared.value.names
+                words, hit, pairs, firsts, lasts = own.hits(part.column("_text"))
+                names = own.names
                 rows, n_names = len(part), max(len(names), 1)
                 item_at = np.searchsorted(pairs // n_names, np.arange(rows + 1))
                 span_at = np.searchsorted(firsts, words.at)
                 base = words.at[:-1]
                 span_rows = np.repeat(base, np.diff(span_at))
-                own = [sorted(set(names[i] for i in pairs[a:b] % n_names)) for a, b in zip(item_at[:-1], item_at[1:])]
+                named = [sorted(set(names[i] for i in pairs[a:b] % n_names)) for a, b in zip(item_at[:-1], item_at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in columns], pa.array(words.counts, pa.int64()), pa.array(sums_by_row(hit, words.at), pa.int64()), pa.array(own, pa.list_(pa.string())),
+                    [*[part.column(c) for c in columns], pa.array(words.counts, pa.int64()), pa.array(sums_by_row(hit, words.at), pa.int64()), pa.array(named, pa.list_(pa.string())),
                      _int_lists(firsts - span_rows, span_at), _int_lists(lasts + 1 - span_rows, span_at)],
                     names=[*columns, "n_words", "n_hit", "items", "span_starts", "span_ends"],
                 )
@@ -313,13 +318,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         rest = contamination(docs.withColumn("_key", F.xxhash64(F.coalesce(text, F.lit("")))), benchmark, "_key", text, block_bytes)
         bad = rest.filter("contaminated").select("_key").distinct()
         return docs.withColumn("_key", F.xxhash64(F.coalesce(text, F.lit("")))).join(bad, "_key", "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(first)
+    shared = docs.sparkSession.sparkContext.broadcast(first.plain())
 
     def clean(batches):
+        own = Phrases(*shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for lo, hi in slices(column):
-                words, hit, *_ = shared.value.hits(column.slice(lo, hi - lo))
+                words, hit, *_ = own.hits(column.slice(lo, hi - lo))
                 n_hit = sums_by_row(hit, words.at)
                 yield batch.slice(lo, hi - lo).filter(pa.array((n_hit == 0) | (20 * n_hit < words.counts)))
 

@@ -42,6 +42,10 @@ class Vocabulary:
     byte_cost: int
     parts: str
 
+    def plain(self) -> tuple:
+        """The fields, to be shipped without their class."""
+        return tuple(vars(self).values())
+
     @staticmethod
     def load(path: str) -> Vocabulary:
         import sentencepiece
@@ -206,10 +210,10 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     segmentations list all. Paths of equal cost are different segmentations; which comes first is
     not fixed. ``round_trip``: decoding the ids gives back the text byte by byte.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))  # bounded by the model file
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path).plain())  # bounded by the model file
 
     def segment(batches):
-        encoder = Encoder(shared.value, n)
+        encoder = Encoder(Vocabulary(*shared.value), n)
         for batch in batches:
             for lo, hi in slices(batch.column(1), 1 << 20):
                 part = batch.slice(lo, hi - lo)
@@ -262,10 +266,10 @@ def decode(encoded: DataFrame, model_path: str, doc_id: str = "doc_id", ids: str
 
     Bytes that are no UTF-8 become U+FFFD; control pieces give no text.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
+    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path).texts)
 
     def join(batches) -> Iterator[pa.RecordBatch]:
-        texts = shared.value.texts
+        texts = shared.value
         for batch in batches:
             rows = [b"".join([texts[i] for i in row or ()]) for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.removeprefix(b" ").decode(errors="replace") for r in rows], pa.string())], names=["_id", "text"])
