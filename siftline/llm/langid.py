@@ -13,25 +13,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.words import mix, slices, text_bytes
+from siftline.llm.words import Tables, mix, slices, text_bytes
 
 DIMENSIONS = 1024
 GRAM = 3
 MAX_LANGUAGES = 4096  # prototypes are broadcast: at most this many times 8 kB
 UNDECIDED = "und"
 _GAP = 0x20
-_folded: list[np.ndarray] = []
+_tables = Tables()
 
 
 def _fold() -> np.ndarray:
     """Code point to folded letter, or to the gap."""
-    if not _folded:
+    if "fold" not in _tables:
         table = np.full(0x110000, _GAP, np.int32)
         for c in range(0x110000):
             if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
                 table[c] = ord(chr(c).lower()[0])
-        _folded.append(table)
-    return _folded[0]
+        _tables["fold"] = table
+    return _tables["fold"]
 
 
 def letter_vectors(symbols: np.ndarray) -> np.ndarray:

@@ -17,7 +17,16 @@ _SPACES = (0x20, *range(0x09, 0x0E))
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _MULT, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[str, np.ndarray] = {}
+
+
+class Tables(dict):
+    """Tables that a process makes for itself: functions are shipped to workers without them."""
+
+    def __reduce__(self):
+        return Tables, ()
+
+
+_powers = Tables()
 
 #: Words between white space: [^\x20\x09-\x0D]+
 SPACED = np.ones(256, bool)
