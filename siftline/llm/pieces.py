@@ -204,8 +204,9 @@ class Encoder:
 
 
 def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """Id, ``ids`` (best pieces), ``n_best`` (cost in nats and SHA-256 of the ids as text) and ``round_trip``.
+    """Id, ``ids`` (best pieces), ``n_best`` (cost in nats, ids, SHA-256 of the ids) and ``round_trip``.
 
+    Each segmentation has all its ids; its digest is that of the ids as 32-bit little-endian numbers.
     Null and empty texts have no pieces and one segmentation of cost 0. Texts with fewer than ``n``
     segmentations list all. Paths of equal cost are different segmentations; which comes first is
     not fixed. ``round_trip``: decoding the ids gives back the text byte by byte.
@@ -221,9 +222,8 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
 
     kind = dict(docs.dtypes)[doc_id]
     asked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    found = asked.mapInArrow(segment, f"_id {kind}, ids array<int>, costs array<double>, digests array<string>, round_trip boolean")
-    pairs = F.transform(F.arrays_zip("costs", "digests"), lambda x: F.struct(x["costs"].alias("cost"), x["digests"].alias("ids_sha256")))
-    return found.select(F.col("_id").alias(doc_id), "ids", pairs.alias("n_best"), "round_trip")
+    found = asked.mapInArrow(segment, f"_id {kind}, ids array<int>, n_best array<struct<cost:double,ids:array<int>,ids_sha256:string>>, round_trip boolean")
+    return found.withColumnRenamed("_id", doc_id)
 
 
 def _segmented(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -241,7 +241,7 @@ def _segmented(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.ones(len(back), bool)
         keep[piece_at[doc_at[:-1]][lead > 0]] = False
         same = sums_by_row(back[keep] != data, rows) == 0
-    costs, digests, list_at = [], [], [0]
+    costs, digests, chosen, list_at = [], [], [], [0]
     for d in range(len(at) - 1):
         own = parts[at[d] : at[d + 1]]
         for cost, changed in encoder.choices(own):
@@ -251,19 +251,26 @@ def _segmented(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
                 last = int(begin[at[d] + p + 1])
             pieces.append(ids[last : doc_at[d + 1]])
             costs.append(cost / UNIT)
-            digests.append(sha256(np.concatenate(pieces).astype("<i4").tobytes()).hexdigest())
+            chosen.append(np.concatenate(pieces))
+            digests.append(sha256(chosen[-1].astype("<i4").tobytes()).hexdigest())
         list_at.append(len(costs))
-    offsets = pa.array(list_at, pa.int32())
+    paths = _int_lists(np.concatenate((*chosen, ids[:0])), np.cumsum([0, *map(len, chosen)]))
+    choices = pa.StructArray.from_arrays([pa.array(costs, pa.float64()), paths, pa.array(digests, pa.string())], names=["cost", "ids", "ids_sha256"])
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.ListArray.from_arrays(pa.array(doc_at, pa.int32()), pa.array(ids, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(costs, pa.float64())),
-         pa.ListArray.from_arrays(offsets, pa.array(digests, pa.string())), pa.array(same)],
-        names=["_id", "ids", "costs", "digests", "round_trip"],
+        [batch.column(0), _int_lists(ids, doc_at), pa.ListArray.from_arrays(pa.array(list_at, pa.int32()), choices), pa.array(same)],
+        names=["_id", "ids", "n_best", "round_trip"],
     )
 
 
+def _int_lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
+
+
 def decode(encoded: DataFrame, model_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Id and ``text`` of each row of piece ids; null and empty ids give the empty text.
 
+    Rows of ``F.inline("n_best")`` beside their id give the text of each segmentation.
+
     Bytes that are no UTF-8 become U+FFFD; control pieces give no text.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path).texts)

@@ -169,6 +169,22 @@ def test_n_best_pieces(spark, odd, nothing):
     assert sorted(texts_of(pieces.decode(coded, PIECE_MODEL)), key=str) == sorted([(d, t or "") for d, t in texts_of(odd)], key=str)
 
 
+def test_every_segmentation_can_be_read_and_decoded(spark):
+    vocabulary = pieces.Vocabulary.load(PIECE_MODEL)
+    texts = {1: "The cat.", 2: "  héé. ñó,ok", 3: "a", 4: "", 5: None, 6: "many more words stand here, 漢字 too"}
+    coded = pieces.encode(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PIECE_MODEL, n=4)
+    assert coded.schema["n_best"].dataType.simpleString() == "array<struct<cost:double,ids:array<int>,ids_sha256:string>>"
+    for row in coded.collect():
+        found = [tuple(x["ids"]) for x in row["n_best"]]
+        assert found[0] == tuple(row["ids"]) and len(set(found)) == len(found) == {1: 4, 2: 4, 3: 2, 6: 4}.get(row["doc_id"], 1)
+        assert all(x["ids_sha256"] == sha256(np.array(x["ids"], "<i4").tobytes()).hexdigest() for x in row["n_best"])
+        if 0 < len(texts[row["doc_id"]] or "") < 13:
+            paths = _paths(vocabulary, " " + texts[row["doc_id"]])
+            assert {(round(x["cost"] * pieces.UNIT), tuple(x["ids"])) for x in row["n_best"]} <= set(paths)
+    back = texts_of(pieces.decode(coded.select("doc_id", F.inline("n_best")), PIECE_MODEL))
+    assert len(back) == coded.agg(F.sum(F.size("n_best"))).first()[0] and all(t == (texts[d] or "") for d, t in back)
+
+
 RECORDS = {
     0: ('{"messages":[{"role":"human","content":"a<|b<\\\\|"},{"content":"x","role":"assistant"}]}', "messages", [("user", "a<|b<\\|"), ("assistant", "x")]),
     1: ('{"conversations":[{"from":"gpt","value":"q"}]}', "speakers", [("assistant", "q")]),
