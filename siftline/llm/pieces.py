@@ -237,10 +237,12 @@ def _segmented(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
     lead = (np.diff(rows) > 0).astype(np.int64)  # the space put before a text
     sizes = np.diff(piece_at[doc_at]) - lead
     same = sizes == np.diff(rows)
-    if same.all():
-        keep = np.ones(len(back), bool)
-        keep[piece_at[doc_at[:-1]][lead > 0]] = False
-        same = sums_by_row(back[keep] != data, rows) == 0
+    # The bytes of the rows whose lengths agree; no other row keeps them from being compared.
+    keep = np.repeat(same, np.diff(piece_at[doc_at]))
+    keep[piece_at[doc_at[:-1]][same & (lead > 0)]] = False
+    differ, asked = np.zeros(len(data), bool), np.repeat(same, np.diff(rows))
+    differ[asked] = back[keep] != data[asked]
+    same &= sums_by_row(differ, rows) == 0
     costs, digests, chosen, list_at = [], [], [], [0]
     for d in range(len(at) - 1):
         own = parts[at[d] : at[d + 1]]

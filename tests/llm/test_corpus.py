@@ -185,6 +185,15 @@ def test_every_segmentation_can_be_read_and_decoded(spark):
     assert len(back) == coded.agg(F.sum(F.size("n_best"))).first()[0] and all(t == (texts[d] or "") for d, t in back)
 
 
+def test_round_trip_compares_rows_beside_one_of_wrong_length():
+    # Without byte pieces a strange letter decodes to nothing; the piece of "b" decodes to other bytes of the same length.
+    known = {" ": (1, 1), "a": (2, 1), "b": (3, 1)}
+    encoder = pieces.Encoder(pieces.Vocabulary([b"", b" ", b"a", b"x"], known, [0] * 256, 9, r"(?s:.+)"), 2)
+    for texts, want in ((["aa", "ab", "é", None, "", "b"], [True, False, False, True, True, False]), (["aa", "ab"], [True, False]), (["é"], [False])):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["_id", "_text"])
+        assert pieces._segmented(encoder, batch).column("round_trip").to_pylist() == want
+
+
 RECORDS = {
     0: ('{"messages":[{"role":"human","content":"a<|b<\\\\|"},{"content":"x","role":"assistant"}]}', "messages", [("user", "a<|b<\\|"), ("assistant", "x")]),
     1: ('{"conversations":[{"from":"gpt","value":"q"}]}', "speakers", [("assistant", "q")]),
