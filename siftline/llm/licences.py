@@ -1,6 +1,8 @@
 """Licence scans: a trained paragraph classifier, calibrated, and confirmed against templates.
 
-Paragraphs are lines. Features are hashed words and word pairs; a multinomial logistic regression is
+Paragraphs are lines, and runs of lines with words: a run is judged as a whole and in overlapping
+windows of words, so that wrapped notices and notices inside long paragraphs are found. Only what
+covers a template can count, so runs and windows that cover none are left out first. Features are hashed words and word pairs; a multinomial logistic regression is
 fitted to notices of known licences (whole, shortened and with single words left out) and to a
 bounded sample of the corpus's own lines as the class ``unknown``. On examples kept aside its
 probabilities are rescaled by a temperature, and the probability that a licence needs is set so that
@@ -10,6 +12,8 @@ All in DataFrame functions and Spark's own estimators.
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -62,6 +66,7 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
 )
+_COMMENT = r"(?im)^[ \t]*(?:dnl|rem)\b"  # other comment marks have no letters and so are in no word
 FAMILIES = (UNKNOWN, *sorted({f for f, _ in TEMPLATES}))
 
 
@@ -108,6 +113,50 @@ def examples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return notices.unionByName(plain.select(F.lit(0).alias("label"), "line"))
 
 
+def runs_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_id, w, at) of runs of lines with a letter or digit: words, and the line of each word."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), _COMMENT, "")
+    told = settled(docs.select(F.col(doc_id).alias("_id"), F.transform(F.split(plain, "\n"), words).alias("told")), "_id", "told")
+    held = lambda i: F.coalesce(F.size(F.get("told", i)) > 0, F.lit(False))
+    every = F.sequence(F.lit(0), F.size("told") - 1)
+    begins, ends = F.filter(every, lambda i: held(i) & ~held(i - 1)), F.filter(every, lambda i: held(i) & ~held(i + 1))
+    bounds = told.withColumns({"begins": begins, "ends": ends}).withColumn("bounds", F.arrays_zip("begins", "ends"))
+    runs = bounds.select("_id", "told", F.inline("bounds").alias("a", "b"))
+    own = settled(runs.withColumn("own", F.slice("told", F.col("a") + 1, F.col("b") - F.col("a") + 1)), "_id", "a", "own")
+    lines = F.flatten(F.transform("own", lambda x, i: F.array_repeat(F.col("a") + i, F.size(x))))
+    return settled(own.withColumns({"w": F.flatten("own"), "at": lines}), "_id", "w", "at")
+
+
+def windows_of(runs: DataFrame) -> DataFrame:
+    """(_id, paragraph, line) of whole runs and windows that cover a template; ``paragraph``: the line they begin on.
+
+    Windows begin at each word of the template that is followed by enough others; they are a quarter
+    longer than the template, and than the longest one.
+    """
+    split = [re.findall(r"[^\W_]+", t.lower()) for _, t in TEMPLATES]
+    texts = lambda values: F.array(*[F.lit(v) for v in values])
+    least = [math.ceil(COVER * len(set(t))) for t in split]
+    known = F.array(*[F.struct(texts(sorted(set(t))).alias("t_words"), F.lit(need).alias("need"), F.lit(len(t)).alias("n")) for t, need in zip(split, least)])
+    vocabulary = texts(sorted(set().union(*split)))
+    met = settled(runs.withColumn("met", F.array_intersect("w", vocabulary)), "_id", "w", "at", "met").filter(F.size("met") >= min(least))
+    near = settled(met.withColumn("near", F.filter(known, lambda t: F.size(F.array_intersect(t["t_words"], "met")) >= t["need"])), "_id", "w", "at", "near")
+    near = near.filter(F.size("near") > 0).select("_id", "w", "at", F.inline("near"))
+    spots = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains("t_words", x), i)), lambda i: i.isNotNull())
+    near = settled(near.withColumn("spots", spots), "_id", "w", "at", "t_words", "need", "n", "spots")
+
+    def begun(size: Column) -> Column:
+        close = F.filter("spots", lambda p, j: F.coalesce(F.get("spots", j + F.col("need") - 1) < p + size, F.lit(False)))
+        return F.transform(close, lambda p: F.struct(p.alias("s"), size.alias("k")))
+
+    longest = max(map(len, split))
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.size("w").alias("k")))
+    spans = F.concat(whole, begun(F.col("n") + F.ceil(F.col("n") / 4).cast("int")), begun(F.lit(longest + -(-longest // 4))))
+    cut = near.withColumn("spans", spans).select("_id", "w", "at", "t_words", "need", F.inline("spans"))
+    own = settled(cut.withColumns({"own": F.slice("w", F.col("s") + 1, F.col("k")), "paragraph": F.get("at", F.col("s"))}), "_id", "t_words", "need", "own", "paragraph")
+    held = own.filter(F.size(F.array_intersect("t_words", "own")) >= F.col("need"))
+    return held.select("_id", "paragraph", F.array_join("own", " ").alias("line")).distinct()
+
+
 @dataclass
 class Classifier:
     model: LogisticRegressionModel
@@ -153,15 +202,18 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classifi
 def licences(docs: DataFrame, classifier: Classifier | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per id: ``families`` (sorted) and ``paragraphs`` that the classifier and a template agree on.
 
+    ``paragraph``: the number of a line, or of the line on which a window begins; overlapping windows
+    of one notice may begin on neighbouring lines.
     Null and empty texts have none. Rows of one id are one document; rows with a null id are one too.
     Equal probabilities go to the family that comes first by name.
     """
     classifier = classifier or fit(docs, doc_id, text)
-    lines = lines_of(docs, doc_id, text)
+    lines = lines_of(docs, doc_id, text).unionByName(windows_of(runs_of(docs, doc_id, text)))
     likely = classifier.classified(lines, "line").filter("label > 0")
     templates = _templates(docs.sparkSession).select("label", "family", "t_words")
     matched = likely.join(templates, "label").withColumn("cover", _cover(F.col("t_words"), F.array_distinct("_words")))
-    confirmed = matched.groupBy("_id", "paragraph", "family", "probability").agg(F.max("cover").alias("cover")).filter(F.col("cover") >= COVER)
+    best = F.max(F.struct("cover", "probability"))  # of a line and the windows that begin on it
+    confirmed = matched.groupBy("_id", "paragraph", "family").agg(best.alias("best")).select("_id", "paragraph", "family", "best.*").filter(F.col("cover") >= COVER)
     found = confirmed.groupBy(F.col("_id").alias("_key")).agg(
         F.array_sort(F.collect_set("family")).alias("families"), F.array_sort(F.collect_list(F.struct("paragraph", "family", "probability", "cover"))).alias("paragraphs"),
     )

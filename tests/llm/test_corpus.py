@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 from hashlib import sha256
 
@@ -137,6 +138,23 @@ def test_licences(spark, odd, nothing):
     assert licences.licences(odd, classifier).filter("size(families) > 0").count() == 0 and licences.licences(nothing, classifier).count() == 0
 
 
+def test_wrapped_licences(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    classifier = licences.fit(docs)
+    prose = " ".join(r["text"] for r in docs.filter("length(text) between 200 and 400").filter(~F.lower("text").contains("licen")).orderBy("doc_id").limit(4).collect())
+    prose = " ".join(prose.split())
+    cases = []
+    for k, (family, notice) in enumerate(licences.TEMPLATES):
+        for width, mark in ((60, ""), (72, "# "), (80, " * "), (66, "// "), (70, "dnl ")):
+            cases.append((family, "\n".join(mark + x for x in textwrap.wrap(notice, width - len(mark)))))
+        cases.append((family, "\n".join(textwrap.wrap(prose[:500] + ". " + notice + " " + prose[-500:], 72))))
+    cases += [(None, "\n".join(textwrap.wrap(prose, w))) for w in (60, 72, 80)]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in licences.licences(frame, classifier).collect()}
+    missed = [(f, t) for i, (f, t) in enumerate(cases) if (f not in got[i] if f else got[i])]
+    assert not missed, (len(missed), len(cases), missed[:5])
+
+
 def _paths(vocabulary, text):
     out = []
 
