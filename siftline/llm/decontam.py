@@ -270,17 +270,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     ``items``: names of test items with occurring windows, sorted as text. ``spans``: merged removal
     spans as word numbers, end exclusive. Contaminated: a hit, and at least one word in twenty hit.
     Null and empty texts have no words; an empty benchmark hits nothing. Repeated rows are judged
-    each for itself. With several blocks, rows of one id with equal texts give one row.
+    each for itself; with several blocks, rows are numbered once and their hits merged by number.
     """
     keys = {doc_id: dict(docs.dtypes)[doc_id]}
     blocks = phrase_blocks(benchmark, block_bytes=block_bytes)
-    found, following = _scan(docs, next(blocks), keys, text), next(blocks, None)
-    if following is not None:  # one block at a time is on the driver
-        found = stage_table(found, "hits")
+    block, following = next(blocks), next(blocks, None)
+    if following is not None:  # two blocks at a time are on the driver
+        docs = stage_table(docs.select(doc_id, text, F.monotonically_increasing_id().alias("_row")), "numbered")
+        keys["_row"] = "bigint"
+        found = stage_table(_scan(docs, block, keys, text), "hits")
         while following is not None:
-            found = found.unionByName(stage_table(_scan(docs, following, keys, text), "hits"))
-            following = next(blocks, None)
+            block, following = following, next(blocks, None)
+            found = found.unionByName(stage_table(_scan(docs, block, keys, text), "hits"))
         found = _merged(found, doc_id)
+    else:
+        found = _scan(docs, block, keys, text)
     spans = F.transform(F.arrays_zip("span_starts", "span_ends"), lambda s: F.struct(s["span_starts"].alias("start"), s["span_ends"].alias("end")))
     return found.select(
         doc_id, "n_words", "n_hit", "items", spans.alias("spans"),
@@ -289,8 +293,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def _merged(found: DataFrame, doc_id: str) -> DataFrame:
-    """Union of the spans and items that two blocks found in a document."""
-    pieces = found.groupBy(doc_id, "n_words").agg(
+    """Union of the spans and items that all blocks found in a row."""
+    pieces = found.groupBy("_row").agg(
+        F.any_value(doc_id).alias(doc_id), F.any_value("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends")))).alias("s"),
     )

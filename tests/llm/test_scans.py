@@ -67,6 +67,16 @@ def test_contamination(spark, block):
     assert left == {d for d, *_ in got} - bad
 
 
+@pytest.mark.parametrize("block", [8 << 20, 60])
+def test_contamination_keeps_every_row(spark, block):
+    frame, bench, docs, items = _bench(spark, random.Random(5))
+    more = [(None, "w1 w2 w3"), (None, "zz zz zz"), (None, None), (None, "w0 w0 w0 w0"), (3, "zz " * 40), (3, "w1 w2 w3"), (3, "zz zz zz")]
+    frame = frame.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    found = decontam.contamination(frame, bench, block_bytes=block)
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in found.collect()]
+    assert sorted(got, key=str) == contaminated_by_hand(docs + more, items)
+
+
 def test_contamination_awkward(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "one"), (2, "alpha3 beta3 gamma3")], "item_id long, text string")
     got = {(r["doc_id"], r["n_words"], r["n_hit"]) for r in decontam.contamination(odd, bench).collect()}
