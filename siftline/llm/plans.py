@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontam, langid, licences, neardup, pieces, pii, quality, secret_scan, substrings
+from siftline.llm import chat, decontam, langid, lexical, licences, neardup, pieces, pii, quality, secret_scan, substrings
 from siftline.llm.registry import ORACLES, QUERIES, query, span_text
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -168,3 +168,22 @@ def _op9(t):
 @query("op10_pieces")
 def _op10(t):
     return pieces.encode(t.documents, PIECE_MODEL)
+
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op13_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark),
+t AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, sum(len(w)) AS big_l FROM d),
+q AS (SELECT DISTINCT i, item_id, x FROM (SELECT i, item_id, unnest(w) AS x FROM b)),
+tf AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(w) AS x FROM d) SEMI JOIN q USING (x) GROUP BY ALL),
+df AS (SELECT x, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, t GROUP BY x),
+m AS (SELECT r, doc_id, CAST(100 - 50 + (50 * len(w) * big_n) // greatest(big_l, 1) AS BIGINT) AS m FROM d, t),
+s AS (SELECT i, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS score FROM q JOIN tf USING (x) JOIN df USING (x) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+""")
+def _op13(t):
+    return lexical.top_documents(t.documents, t.benchmark)
