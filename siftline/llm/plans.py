@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontam, langid, lexical, licences, neardup, pieces, pii, quality, secret_scan, substrings
+from siftline.llm import chat, decontam, langid, lexical, licences, neardup, packing, pieces, pii, quality, secret_scan, substrings
 from siftline.llm.registry import ORACLES, QUERIES, query, span_text
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -187,3 +187,12 @@ FROM s WHERE score > 0 QUALIFY rank <= 50
 """)
 def _op13(t):
     return lexical.top_documents(t.documents, t.benchmark)
+
+
+#: A public BPE vocabulary; any other can be named where an operator is called.
+PACK_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
+
+@query("op12_packing")
+def _op12(t):
+    return packing.pack(t.documents, PACK_TOKENIZER, with_ids=False)
