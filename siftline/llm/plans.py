@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, decontam, langid, lexical, licences, neardup, packing, pieces, pii, quality, secret_scan, substrings
+from siftline.llm import chat, collocations, decontam, langid, lexical, licences, neardup, packing, pieces, pii, quality, secret_scan, substrings
 from siftline.llm.registry import ORACLES, QUERIES, query, span_text
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -196,3 +196,24 @@ PACK_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 @query("op12_packing")
 def _op12(t):
     return packing.pack(t.documents, PACK_TOKENIZER, with_ids=False)
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, w[i:i + {k - 1}] AS g FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM p WHERE len(w) >= {k})" for k in (1, 2, 3, 4))
+
+
+@query("op11_collocations", f"""
+WITH p AS (SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS x FROM documents)),
+f AS (SELECT lang, g, count(*) AS f FROM ({_GRAMS}) GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, g, f, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+s AS (SELECT c.lang, c.g, c.f AS a, k, h.f AS l, t.f AS r, CAST((2000000::HUGEINT * c.f) // (h.f + t.f) AS BIGINT) AS score
+  FROM c JOIN f h ON h.lang = c.lang AND h.g = c.g[:k] JOIN f t ON t.lang = c.lang AND t.g = c.g[k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT lang, g, f, unnest(range(2, len(g))) AS w FROM f WHERE len(g) > 2),
+m AS (SELECT lang, g[j:j + w - 1] AS g, max(f) AS f FROM (SELECT lang, g, f, w, unnest(range(1, len(g) - w + 2)) AS j FROM i) GROUP BY ALL),
+x AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.g = b.g WHERE m.f IS NULL OR 100 * m.f < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM x JOIN n USING (lang) QUALIFY rank <= 2000
+""")
+def _op11(t):
+    return collocations.collocations(t.documents)
