@@ -5,7 +5,7 @@ packer keeps the number of open sequences for each residual gap and places every
 of their squares becomes smallest, a closed or a new sequence counting as no gap. Keeping the counts
 low and even leaves a gap for most lengths that may come.
 
-Pieces are dealt into shards of a bounded number and packed in shards, in an order given by a hash.
+Pieces are dealt into shards of a bounded number and packed in shards, longer ones first.
 A shard keeps the sequences that it has filled; the pieces of all others are dealt again, into far
 fewer shards, until few are left, which are packed for good. What a shard leaves open does not
 depend on how much it has packed, so the rounds are about as many as the digits of the input.
@@ -29,6 +29,7 @@ from siftline.session import stage_table
 
 SLICE = 1 << 20
 SHARD_PIECES = 1 << 16
+CLASSES = 16  # of length
 LAST_PIECES = 1 << 12  # so few pieces are packed for good, in the better of two orders
 CHUNKS_KEPT = 1 << 20  # chunks that one Python worker remembers
 IDS_KEPT = 1 << 23
@@ -160,10 +161,11 @@ def _packed(rest: DataFrame, level: int, shards: int, size: int) -> DataFrame:
 
     def pack(table: pa.Table) -> pa.Table:
         row, piece, length, shard = (table.column(c).to_numpy() for c in ("_row", "piece", "length", "_shard"))
-        mixed = np.lexsort((piece, row, table.column("_mixed").to_numpy()))
-        orders = [mixed]
+        # Longer pieces first, by rough classes; in a class the mixed order keeps the gaps apart.
+        mixed = (piece, row, table.column("_mixed").to_numpy())
+        orders = [np.lexsort((*mixed, -(length * CLASSES // size)))]
         if last and len(row) <= LAST_PIECES:
-            orders.append(np.lexsort((mixed.argsort(), -length)))
+            orders.append(np.lexsort((*mixed, -length)))
         tries = [(order, *sum_of_squares(length[order].tolist(), size)) for order in orders]
         order, where, offset, gaps = min(tries, key=lambda t: len(t[3]))
         sequence = (level << 56) + (int(shard[0]) << 20) + where if len(row) else where
