@@ -46,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
+    if name not in _powers or len(_powers[name]) < n:
         table = np.full(max(n, SLICE_BYTES), base, np.uint64)
         table[0] = 1
         _powers[name] = np.cumprod(table, dtype=np.uint64)
