@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from siftline.llm.words import SPACED, Tables, Words, slices
 from siftline.session import stage_table
 
-SLICE = 1 << 20
+SLICE = 2 << 20
 SHARD_PIECES = 1 << 16
 CLASSES = 16  # of length
 LAST_PIECES = 1 << 12  # so few pieces are packed for good, in the better of two orders
@@ -48,6 +48,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Ids that end a word, where the vocabulary has such: a chunk of letters has one, its last.
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._forget()
 
     @staticmethod
@@ -59,7 +65,36 @@ class Encoder:
 
     def _forget(self) -> None:
         self.number: dict[int, int] = {}
-        self.ids, self.at = [np.zeros(0, np.int32)], [0]
+        self.ids, self.at = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+
+    def _learn(self, prints: list[int], chunks: list[str]) -> None:
+        """Remember the ids of unseen chunks."""
+        plain = [i for i, c in enumerate(chunks) if c.isalpha()] if self.ends.any() else []
+        sizes, found = np.zeros(len(chunks), np.int64), {}
+        for lo in range(0, len(plain), 1000):
+            group = plain[lo : lo + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([chunks[i] for i in group])], add_special_tokens=False)[0].ids, np.int32)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            # Every chunk has one word at least; as many words as chunks, so each has one.
+            if len(at) == len(group) and (not len(at) or at[-1] == len(ids)):
+                sizes[group] = np.diff(np.concatenate(([0], at)))
+                found[group[0]] = ids, group
+        left = np.flatnonzero(sizes == 0).tolist()
+        single = self.tokenizer.encode_batch_fast([chunks[i] for i in left], add_special_tokens=False)
+        sizes[left] = [len(x.ids) for x in single]
+        base, first = int(self.at[len(self.number)]), np.concatenate(([0], np.cumsum(sizes)))
+        while base + first[-1] > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while len(self.number) + len(chunks) >= len(self.at):
+            self.at = np.concatenate((self.at, np.zeros_like(self.at)))
+        for ids, group in found.values():
+            own = sizes[group]
+            self.ids[base + np.arange(len(ids)) + np.repeat(first[group] - (np.cumsum(own) - own), own)] = ids
+        for i, x in zip(left, single):
+            self.ids[base + first[i] : base + first[i + 1]] = x.ids
+        k = len(self.number)
+        self.at[k + 1 : k + 1 + len(chunks)] = base + first[1:]
+        self.number.update(zip(prints, range(k, k + len(chunks))))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a column of texts, one after another, and where each row begins."""
@@ -69,27 +104,21 @@ class Encoder:
         cut = cut[~np.isin(cut, words.rows)]
         words.starts, words.ends = np.sort(np.concatenate((words.starts, cut))), np.sort(np.concatenate((words.ends, cut)))
         chunk_at = np.searchsorted(words.starts, words.rows)
-        if len(self.number) > CHUNKS_KEPT or self.at[-1] > IDS_KEPT:
+        if len(self.number) > CHUNKS_KEPT or self.at[len(self.number)] > IDS_KEPT:
             self._forget()
         prints, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        number = self.number
-        spots = [number.get(p, -1) for p in prints.tolist()]
-        new = [i for i, s in enumerate(spots) if s < 0]
+        values = prints.tolist()
+        spots = list(map(self.number.get, values))
+        new = [i for i, s in enumerate(spots) if s is None]
         if new:
             raw = data.tobytes()
             begin, end = words.starts[first].tolist(), words.ends[first].tolist()
-            found = self.tokenizer.encode_batch([raw[begin[i] : end[i]].decode() for i in new], add_special_tokens=False)
-            values = prints.tolist()
-            for i, one in zip(new, found):
-                spots[i] = number[values[i]] = len(self.at) - 1
-                self.at.append(self.at[-1] + len(one.ids))
-            self.ids.append(np.array([x for one in found for x in one.ids], np.int32))
-        known, at = np.concatenate(self.ids), np.array(self.at)
-        self.ids = [known]
+            self._learn([values[i] for i in new], [raw[begin[i] : end[i]].decode() for i in new])
+            spots = list(map(self.number.get, values))
         chunk = np.array(spots, np.int64)[inverse]
-        sizes = at[chunk + 1] - at[chunk]
+        sizes = self.at[chunk + 1] - self.at[chunk]
         begin = np.concatenate(([0], np.cumsum(sizes)))
-        return known[np.arange(int(begin[-1])) + np.repeat(at[chunk] - begin[:-1], sizes)], begin[chunk_at]
+        return self.ids[np.arange(int(begin[-1])) + np.repeat(self.at[chunk] - begin[:-1], sizes)], begin[chunk_at]
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
