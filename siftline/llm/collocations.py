@@ -32,8 +32,8 @@ from siftline.session import stage_table
 WIDTH = 4  # words of the longest phrase
 SLICE = 2 << 20
 SHARD_BYTES = 8 << 20  # of text whose suffixes are added up in a map task
-RANGE_BYTES = 16 << 20  # of text behind one range; 8 MB a range are the most that Python holds of it per word
-SAMPLE_ROWS, SAMPLE_WORDS = 1 / 16, 2500  # of the sampled rows one suffix in so many: some 64 a range
+RANGE_BYTES = 6 << 20  # of text behind one range: about a million suffixes of 32 bytes
+SAMPLE_ROWS, SAMPLE_WORDS = 1 / 16, 1000  # of the sampled rows one suffix in so many: some 64 a range
 CUTS_BYTES = 256 << 20  # bound of the cut table, which is broadcast
 _BREAKS = [*map(ord, ".,;:!?"), 0x0A, 0x0B, 0x0C, 0x0D]
 INSIDE = np.ones(256, bool)
