@@ -31,7 +31,7 @@ from siftline.session import stage_table
 
 WIDTH = 4  # words of the longest phrase
 SLICE = 2 << 20
-SHARD_BYTES = 8 << 20  # of text whose suffixes are added up in a map task
+SHARD_BYTES = 4 << 20  # of text whose suffixes are added up in a map task
 RANGE_BYTES = 6 << 20  # of text behind one range: about a million suffixes of 32 bytes
 SAMPLE_ROWS, SAMPLE_WORDS = 1 / 16, 1000  # of the sampled rows one suffix in so many: some 64 a range
 CUTS_BYTES = 256 << 20  # bound of the cut table, which is broadcast
@@ -189,14 +189,14 @@ def phrase_counts(docs: DataFrame, text: str, lang: str, least: int, range_bytes
 
         def shard() -> Iterator[pa.RecordBatch]:
             rows = []
-            for name, found in waiting.items():
+            while waiting:
+                name, found = waiting.popitem()
                 keys, weights = added_up(np.concatenate(found, axis=1))
                 at = [0, *places(keys, shared.value).tolist(), keys.shape[1]]
                 rows += [(r, name, b - a, *packed(keys[:, a:b], weights[a:b])) for r, (a, b) in enumerate(zip(at, at[1:])) if a < b]
             kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * (WIDTH + 2)]
-            for lo in range(0, len(rows), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 1000]), kinds)], names=names)
-            waiting.clear()
+            for lo in range(0, len(rows), 100):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 100]), kinds)], names=names)
 
         for batch in batches:
             for lo, hi in slices(batch.column(0), SLICE):
