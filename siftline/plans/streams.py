@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from siftline.plans.registry import query
 from siftline.session import scratch_path
-from siftline.streaming import streams
+from siftline.streaming import status, streams
 
 
 def _feed(spark, t):
@@ -95,3 +95,15 @@ def stream_acceptance(spark, t):
     streams.run_available(src, path, "append", streams.acceptance_monitor(path, ["user_id"], ["event_id"], "accepted", 20, 0.2))
     schema = T.StructType([t.events.schema["user_id"], T.StructField("stopped_at", T.LongType())])
     return streams.read_rows(spark, path, schema)
+
+
+@query("stream_current", """
+WITH e AS (SELECT event_id, event_id % 61 AS line, event_type, value, ts, CASE event_type WHEN 'error' THEN event_id - 61 WHEN 'signup' THEN event_id + 61 END AS supersedes FROM events)
+SELECT line, event_id, event_type, value FROM e WHERE event_id NOT IN (SELECT supersedes FROM e WHERE supersedes IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY line ORDER BY ts DESC, event_id DESC) = 1""")
+def stream_current(spark, t):
+    sup = F.when(F.col("event_type") == "error", F.col("event_id") - 61).when(F.col("event_type") == "signup", F.col("event_id") + 61)
+    src = _feed(spark, t).select("event_id", (F.col("event_id") % 61).alias("line"), "event_type", "value", "ts", sup.alias("supersedes"))
+    out = status.stream_current(src, ["line"], "event_id", "supersedes", "ts", ["event_type", "value"], "60 days", 90 * 86400, 365 * 86400)
+    path = scratch_path(spark, "current")
+    streams.run_available(out, path, "update", conf=dict([status.STATE_STORE]))
+    return streams.latest_changes(spark, path, out.schema, ["line"]).filter("event_id IS NOT NULL").select("line", "event_id", "event_type", "value")

@@ -29,9 +29,12 @@ def read_feed(spark: SparkSession, path: str, schema, fmt: str = "parquet", file
     return reader.load(path)
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> int:
+def run_available(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None,
+                  conf: dict[str, str] | None = None) -> int:
     """Process everything available, then stop; returns rows dropped as late.
 
+    ``conf``: session settings that hold while the stream runs, such as its state store.
+
     Append mode writes parquet rows. Update mode writes each batch of changed rows under its batch
     id; ``latest_changes`` reads the current view.
     """
@@ -43,14 +46,17 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", each: Call
             df.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
         writer = writer.foreachBatch(each or save)
-    conf, kept = stream.sparkSession.conf, "spark.sql.streaming.numRecentProgressUpdates"
-    before = conf.get(kept)
-    conf.set(kept, str(ALL_PROGRESS))  # else only the last 100 batches are counted
+    session = stream.sparkSession.conf
+    settings = {"spark.sql.streaming.numRecentProgressUpdates": str(ALL_PROGRESS), **(conf or {})}  # else only the last 100 batches are counted
+    before = {k: session.get(k) for k in settings}
+    for k, v in settings.items():
+        session.set(k, v)
     try:
         running = writer.start()
         running.awaitTermination()
     finally:
-        conf.set(kept, before)
+        for k, v in before.items():
+            session.set(k, v)
     dropped = 0
     for progress in running.recentProgress:
         dropped += sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in progress["stateOperators"])
