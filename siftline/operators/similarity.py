@@ -246,17 +246,45 @@ def _within(pairs: DataFrame, budget: Column) -> DataFrame:
     return limited.filter(F.call_function("levenshtein", "text_a", "text_b", "_budget") >= 0).drop("_budget")
 
 
-def _lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence by bit vectors: one big-integer step per letter of ``b``."""
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & masks.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+def _blocks(a: Sequence[str], b: Sequence[str], cells: int = 1 << 21):
+    """Pairs of equal lengths as code point arrays: (their places, letters of a, letters of b), in blocks of bounded size."""
+    la, lb = np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64)
+    order = np.lexsort((lb, la))
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(order), 1), bool), (np.diff(la[order]) != 0) | (np.diff(lb[order]) != 0))))
+    for lo, hi in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
+        n, m = int(la[order[lo]]), int(lb[order[lo]])
+        step = max(1, cells // max(n + m, 1))
+        for x in range(lo, hi, step):
+            at = order[x : min(x + step, hi)]
+            letters = lambda texts, width: np.frombuffer("".join([texts[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), width)
+            yield at, letters(a, n), letters(b, m)
+
+
+def _lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Longest common subsequences by bit vectors of 64 letters a word, a block of pairs at a time."""
+    out = np.zeros(len(a), np.int64)
+    for at, x, y in _blocks(a, b):
+        n, words = x.shape[1], -(-x.shape[1] // 64)
+        if not n or not y.shape[1]:
+            continue
+        full = np.zeros((words, 1), np.uint64)
+        for w in range(words):
+            full[w] = (1 << min(64, n - 64 * w)) - 1
+        row = np.repeat(full, len(at), axis=1)
+        for j in range(y.shape[1]):
+            same = np.zeros((len(at), words * 64), bool)
+            same[:, :n] = x == y[:, j : j + 1]
+            masks = np.packbits(same, axis=1, bitorder="little").view("<u8").T
+            carry = np.zeros(len(at), np.uint64)
+            for w in range(words):
+                hit = row[w] & masks[w]
+                total = row[w] + hit
+                over = total < hit
+                total = total + carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                row[w] = (total | (row[w] - hit)) & full[w]
+        out[at] = n - np.bitwise_count(row).sum(axis=0).astype(np.int64)
+    return out
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -264,7 +292,7 @@ def lcs_length(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("long")
     def kernel(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_lcs_length(p, q) for p, q in zip(x, y)], dtype="int64")
+        return pd.Series(_lcs_lengths(list(x), list(y)))
 
     return kernel(a, b)
 
@@ -297,54 +325,66 @@ def _better(cur, new):
     return tuple(np.where(take, y, x) for x, y in zip(cur, new))
 
 
-def _encode(texts: Sequence[str], width: int, pad: int) -> np.ndarray:
-    out = np.full((len(texts), width), pad, dtype=np.int64)
-    for i, s in enumerate(texts):
-        out[i, : len(s)] = [ord(c) for c in s]
-    return out
-
+def _band(x: np.ndarray, y: np.ndarray, radius: int):
+    """Best alignment (score, matches, length) of pairs of equal lengths within ``radius`` of both corners' diagonals.
 
-def _align(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
-    """Identity of the best global alignment for a batch of pairs, all pairs per cell at once."""
-    n = len(a)
-    wa, wb = max(map(len, a), default=0), max(map(len, b), default=0)
-    la, lb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-    ca, cb = _encode(a, wa, -1), _encode(b, wb, -2)
-    zero = np.zeros(n, dtype=np.int64)
-    low = (zero + _LOW, zero, zero)
-
-    def gap(cell, score):
-        return cell[0] + score, cell[1], cell[2] + 1
-
-    # Per column j: best ending in a letter pair, in a gap of b, in a gap of a.
-    first = [((zero, zero, zero), low, low)]
-    for j in range(1, wb + 1):
-        first.append((low, low, (zero + GAP_OPEN + GAP_EXTEND * (j - 1), zero, zero + j)))
-    above = first
-    result = np.ones(n)
-
-    def finish(row, i):
-        for j in np.unique(lb[la == i]):
-            done = (la == i) & (lb == j)
-            m, x, y = row[j]
-            best = _better(_better(m, x), y)
-            result[done] = (best[1] / np.maximum(best[2], 1))[done] if i or j else 1.0
-
-    finish(above, 0)
-    for i in range(1, wa + 1):
-        row = [(low, (zero + GAP_OPEN + GAP_EXTEND * (i - 1), zero, zero + i), low)]
-        for j in range(1, wb + 1):
-            m, x, y = above[j - 1]
-            prev = _better(_better(m, x), y)
-            same = ca[:, i - 1] == cb[:, j - 1]
-            pair = (prev[0] + np.where(same, MATCH, MISMATCH), prev[1] + same, prev[2] + 1)
-            m, x, y = above[j]
-            in_b = _better(_better(gap(m, GAP_OPEN), gap(x, GAP_EXTEND)), gap(y, GAP_OPEN))
-            m, x, y = row[j - 1]
-            in_a = _better(_better(gap(m, GAP_OPEN), gap(x, GAP_OPEN)), gap(y, GAP_EXTEND))
-            row.append((pair, in_b, in_a))
+    Cells are (row of x, diagonal); two rows of three states are kept, so memory follows the band.
+    """
+    pairs, n, m = len(x), x.shape[1], y.shape[1]
+    low, high = min(0, m - n) - radius, max(0, m - n) + radius  # diagonals j - i
+    none = np.full(pairs, _LOW, np.int64)
+    zero = np.zeros(pairs, np.int64)
+    off = (none, zero, zero)
+    wrong = (off, off, off)
+    best = lambda cell: _better(_better(cell[0], cell[1]), cell[2])
+    gap = lambda state, score: (state[0] + score, state[1], state[2] + 1)
+
+    def start(k):  # a gap of k letters from the corner on
+        return zero + GAP_OPEN + GAP_EXTEND * (k - 1), zero, zero + k
+
+    # States of a cell: ends in a letter pair, in a gap of y, in a gap of x.
+    above = [wrong if d < 0 or d > m else ((zero, zero, zero), off, off) if d == 0 else (off, off, start(d)) for d in range(low, high + 1)]
+    for i in range(1, n + 1):
+        row: list = []
+        for k, d in enumerate(range(low, high + 1)):
+            j = i + d
+            if j < 0 or j > m:
+                row.append(wrong)
+            elif j == 0:
+                row.append((off, start(i), off))
+            else:
+                before = best(above[k])
+                same = x[:, i - 1] == y[:, j - 1]
+                pair = (before[0] + np.where(same, MATCH, MISMATCH), before[1] + same, before[2] + 1)
+                p, u, v = above[k + 1] if k + 1 < len(above) else wrong
+                in_y = _better(_better(gap(p, GAP_OPEN), gap(u, GAP_EXTEND)), gap(v, GAP_OPEN))
+                p, u, v = row[k - 1] if k else wrong
+                in_x = _better(_better(gap(p, GAP_OPEN), gap(u, GAP_OPEN)), gap(v, GAP_EXTEND))
+                row.append((pair, in_y, in_x))
         above = row
-        finish(above, i)
+    return best(above[m - n - low])
+
+
+def _beyond(n: int, m: int, radius: int) -> int:
+    """No alignment that leaves the band scores more: it has a gap in both texts, and that many letters fewer in pairs."""
+    out, back = radius + 1 + max(0, m - n), radius + 1 + max(0, n - m)  # letters of y, of x in gaps
+    return MATCH * min(m - out, n - back) + 2 * GAP_OPEN + GAP_EXTEND * (out + back - 2)
+
+
+def _align(a: Sequence[str], b: Sequence[str], radius: int = 4) -> np.ndarray:
+    """Identity of the best global alignment of each pair.
+
+    A band is widened, for the pairs that need it, until no path outside can score as much as the best
+    one inside; the result is that of the full table.
+    """
+    result = np.ones(len(a))
+    for at, x, y in _blocks(a, b, 1 << 20):
+        n, m, r = x.shape[1], y.shape[1], radius
+        while len(at):
+            score, matches, length = _band(x, y, r)
+            result[at] = np.where(length > 0, matches / np.maximum(length, 1), 1.0)
+            open_ = score <= _beyond(n, m, r) if r < max(n, m) else np.zeros(len(at), bool)
+            at, x, y, r = at[open_], x[open_], y[open_], 2 * r
     return result
 
 

@@ -300,16 +300,22 @@ def compare_cohorts(df: DataFrame, cohort: str, metrics: dict[str, Column], medi
     return out if config is None else out.join(config, cohort, "left")
 
 
+def symbol_sources(df: DataFrame, source: str, text: str) -> DataFrame:
+    """Per letter and source: occurrences; one row each, so no list grows with the sources.
+
+    Letters are counted as they are split off, within map tasks first.
+    """
+    letters = df.select(source, F.explode(F.split(text, "")).alias("symbol")).filter("symbol != ''")
+    return letters.groupBy("symbol", source).agg(F.count(F.lit(1)).alias("occurrences"))
+
+
 def symbol_inventory(df: DataFrame, source: str, text: str, sep: str = ";") -> DataFrame:
-    """Per letter: occurrences, distinct sources and their list."""
-    # A row per distinct letter of a text; how often it occurs is what the text is shorter by without it.
-    counted = F.transform(
-        F.array_remove(F.array_distinct(F.split(text, "")), ""),
-        lambda x: F.struct(x.alias("symbol"), (F.length(text) - F.length(F.replace(F.col(text), x, F.lit("")))).alias("_k")),
-    )
-    pairs = df.select(source, F.inline(counted)).groupBy("symbol", source).agg(F.sum("_k").alias("_n"))
-    return pairs.groupBy("symbol").agg(
-        F.sum("_n").alias("occurrences"), F.count(source).alias("source_count"),
+    """Per letter: occurrences, distinct sources and their list.
+
+    The list is one cell, for sources of a bounded number; ``symbol_sources`` serves any number.
+    """
+    return symbol_sources(df, source, text).groupBy("symbol").agg(
+        F.sum("occurrences").alias("occurrences"), F.count(source).alias("source_count"),
         F.array_join(F.array_sort(F.collect_list(F.col(source).cast("string"))), sep).alias("sources"),
     )
 

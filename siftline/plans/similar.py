@@ -44,7 +44,55 @@ def shape_clusters(t):
     return cluster.expand_members(members, copies, "vec_id"), pairs
 
 
-@query("kabsch_pairs")
+def _det3(rows: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _cofactors(m: list[list[str]]) -> list[list[str]]:
+    minor = lambda r, c: [[m[x][y] for y in range(4) if y != c] for x in range(4) if x != r]
+    return [[f"({'-' if (r + c) % 2 else ''}{_det3(minor(r, c))})" for c in range(4)] for r in range(4)]
+
+
+def _shapes_sql() -> str:
+    """Superposition by quaternions: the largest root of the quartic by Newton steps, its vector from cofactors."""
+    k = [["s00 + s11 + s22", "s12 - s21", "s20 - s02", "s01 - s10"], ["", "s00 - s11 - s22", "s01 + s10", "s20 + s02"], ["", "", "s11 - s00 - s22", "s12 + s21"], ["", "", "", "s22 - s00 - s11"]]
+    name = lambda r, c: f"k{min(r, c)}{max(r, c)}"
+    own = [[f"({name(r, c)} - lam)" if r == c else name(r, c) for c in range(4)] for r in range(4)]
+    plain = [[name(r, c) for c in range(4)] for r in range(4)]
+    det = " + ".join(f"{plain[0][c]} * {x}" for c, x in enumerate(_cofactors(plain)[0]))
+    cof = _cofactors(own)
+    rows = ", ".join("[" + ", ".join(r) + "]" for r in cof)
+    axes = ("x", "y", "z")
+    sums = ", ".join(f"sum(p.{a} * q.{b}) - sum(p.{a}) * sum(q.{b}) / count(*) AS s{i}{j}" for i, a in enumerate(axes) for j, b in enumerate(axes))
+    turn = [
+        ["1 - 2 * (v[3] * v[3] + v[4] * v[4]) / n2", "2 * (v[2] * v[3] - v[1] * v[4]) / n2", "2 * (v[2] * v[4] + v[1] * v[3]) / n2"],
+        ["2 * (v[2] * v[3] + v[1] * v[4]) / n2", "1 - 2 * (v[2] * v[2] + v[4] * v[4]) / n2", "2 * (v[3] * v[4] - v[1] * v[2]) / n2"],
+        ["2 * (v[2] * v[4] - v[1] * v[3]) / n2", "2 * (v[3] * v[4] + v[1] * v[2]) / n2", "1 - 2 * (v[2] * v[2] + v[3] * v[3]) / n2"],
+    ]
+    error = " + ".join(f"power({' + '.join(f'({turn[i][j]}) * (p.{b} - pm{b})' for j, b in enumerate(axes))} - (q.{a} - qm{a}), 2)" for i, a in enumerate(axes))
+    return f"""
+raw AS (SELECT vec_id, label, i + 1 AS pos, embedding[3 * i + 1]::DOUBLE AS x, embedding[3 * i + 2]::DOUBLE AS y, embedding[3 * i + 3]::DOUBLE AS z FROM embeddings, range(6) r(i)),
+pts AS (SELECT *, CASE WHEN x > 0 THEN 'A' ELSE 'G' END || CASE WHEN y > 0 THEN 'K' ELSE 'L' END AS letter FROM raw WHERE pos <= {ANCHORS} OR x < 0.25),
+shape AS (SELECT vec_id, count(*) AS n, list((pos, letter, x, y, z) ORDER BY pos) AS s FROM pts GROUP BY 1),
+copies AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY s) AS representative, n FROM shape),
+d AS (SELECT vec_id, n FROM copies WHERE vec_id = representative),
+m AS (SELECT p.vec_id AS id_a, q.vec_id AS id_b, count(*) AS common, count(*) FILTER (p.letter = q.letter) AS same, any_value(a.n + b.n) AS both_n, {sums}, {', '.join(f'avg({t}.{c}) AS {t}m{c}' for t in 'pq' for c in axes)},
+  sum(p.x * p.x + p.y * p.y + p.z * p.z) - (sum(p.x) * sum(p.x) + sum(p.y) * sum(p.y) + sum(p.z) * sum(p.z)) / count(*) AS ga, sum(q.x * q.x + q.y * q.y + q.z * q.z) - (sum(q.x) * sum(q.x) + sum(q.y) * sum(q.y) + sum(q.z) * sum(q.z)) / count(*) AS gb
+  FROM pts p JOIN d a ON a.vec_id = p.vec_id JOIN pts q ON q.pos = p.pos AND q.vec_id > p.vec_id JOIN d b ON b.vec_id = q.vec_id GROUP BY 1, 2),
+k AS (SELECT *, {', '.join(f'{k[r][c]} AS k{r}{c}' for r in range(4) for c in range(r, 4))} FROM m),
+c AS (SELECT *, -2 * ({' + '.join(f's{i}{j} * s{i}{j}' for i in range(3) for j in range(3))}) AS c2, -8 * {_det3([[f's{i}{j}' for j in range(3)] for i in range(3)])} AS c1, {det} AS c0 FROM k),
+l AS (SELECT *, list_reduce(list_prepend((ga + gb) / 2, list_transform(range(60), lambda i: i::DOUBLE)), lambda t, i: t - coalesce((((t * t + c2) * t + c1) * t + c0) / nullif((4 * t * t + 2 * c2) * t + c1, 0), 0)) AS lam FROM c),
+w AS (SELECT *, list_sort(list_transform([{rows}], lambda r: [list_sum(list_transform(r, lambda e: e * e)), r[1], r[2], r[3], r[4]]))[-1] AS top FROM l),
+v AS (SELECT *, top[2:5] AS v, top[1] AS n2 FROM w),
+e AS (SELECT id_a, id_b, any_value(common) AS common_positions, any_value(same / (both_n - common)) AS identity, sqrt(avg({error})) AS rmsd, sqrt(avg({error}) FILTER (p.pos <= {ANCHORS})) AS anchor_rmsd
+  FROM v JOIN pts p ON p.vec_id = id_a JOIN pts q ON q.vec_id = id_b AND q.pos = p.pos GROUP BY 1, 2),
+near AS (SELECT *, greatest((1 - identity) / {SCALES[0]}, rmsd / {SCALES[1]}, anchor_rmsd / {SCALES[2]}) AS distance FROM e WHERE greatest((1 - identity) / {SCALES[0]}, rmsd / {SCALES[1]}, anchor_rmsd / {SCALES[2]}) < 1.0)"""
+
+
+@query("kabsch_pairs", f"""
+WITH {_shapes_sql()}
+SELECT id_a, id_b, common_positions::INTEGER AS common_positions, {', '.join(f'round({c}, 6) AS {c}' for c in ('identity', 'rmsd', 'anchor_rmsd', 'distance'))} FROM near""")
 def kabsch_pairs(spark, t):
     return shape_pairs(t)[0].select("id_a", "id_b", "common_positions", *[F.round(c, 6).alias(c) for c in ("identity", "rmsd", "anchor_rmsd", "distance")])
 
@@ -103,12 +151,46 @@ def _urls(t):
     return ranking.best_per_key(bare, ["address"], ["page_id"])
 
 
-@query("lcs_pairs")
+_ADDRESSES = """
+u AS (SELECT min(page_id) AS id, address FROM (SELECT page_id, regexp_replace(url, '^https?://(m[.]|www[.]|blog[.])?', '') AS address FROM pages) GROUP BY address),
+p AS (SELECT x.id AS id_a, y.id AS id_b, x.address AS a, y.address AS b FROM u x JOIN u y ON x.id < y.id AND levenshtein(x.address, y.address) <= {budget})"""
+
+
+# Row by row: a letter pair takes one more than the cell before both, then the largest so far is carried on.
+@query("lcs_pairs", f"""
+WITH RECURSIVE {_ADDRESSES.format(budget="length(x.address) + length(y.address) - 2 * 0.92 * greatest(length(x.address), length(y.address)) + 1e-9")},
+t(id_a, id_b, a, b, i, row) AS (
+  SELECT id_a, id_b, a, b, 0, list_transform(range(length(b) + 1), lambda x: 0::BIGINT) FROM p
+  UNION ALL
+  SELECT id_a, id_b, a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(cells[1:j])) FROM (
+    SELECT id_a, id_b, a, b, i, list_transform(range(1, length(b) + 2), lambda j: CASE WHEN j > 1 AND a[i + 1] = b[j - 1] THEN row[j - 1] + 1 ELSE row[j] END) AS cells FROM t WHERE i < length(a)))
+SELECT id_a, id_b, round(row[-1] / greatest(length(a), length(b)), 6) AS similarity FROM t WHERE i = length(a) AND row[-1] / greatest(length(a), length(b)) >= 0.92 - 1e-12""")
 def lcs_pairs(spark, t):
     return similarity.lcs_pairs(_urls(t), "page_id", "address", 0.92).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("align_identity")
+def _align_sql() -> str:
+    """Cell by cell. A state is score, matches and length in one number; a better score replaces it."""
+    unit, none = 1_000_000, 50_000 * 1_000_000
+    better = lambda x, y: f"(CASE WHEN {y} // {unit} > {x} // {unit} THEN {y} ELSE {x} END)"
+    best = lambda c: better(better(f"{c}[1]", f"{c}[2]"), f"{c}[3]")
+    begun, more = similarity.GAP_OPEN * unit + 1, similarity.GAP_EXTEND * unit + 1
+    start = lambda k: f"({100_000 * unit} + {similarity.GAP_OPEN * unit} + ({k} - 1) * {similarity.GAP_EXTEND * unit} + {k})"
+    gap = lambda c, steps: better(better(*[f"({c}[{k + 1}] + {steps[k]})" for k in (0, 1)]), f"({c}[3] + {steps[2]})")
+    pair = f"({best('d')} + CASE WHEN same THEN {similarity.MATCH * unit} + 1001 ELSE {similarity.MISMATCH * unit} + 1 END)"
+    return f"""
+WITH RECURSIVE {_ADDRESSES.format(budget="least(length(x.address), length(y.address)) * (0.12 / 0.88) + 1e-9")},
+t(id_a, id_b, a, b, i, j, above, row) AS (
+  SELECT id_a, id_b, a, b, 1, 0, list_transform(range(length(b) + 1), lambda k: CASE WHEN k = 0 THEN [{100_000 * unit}, {none}, {none}] ELSE [{none}, {none}, {start('k')}] END), CAST([] AS BIGINT[][]) FROM p
+  UNION ALL
+  SELECT id_a, id_b, a, b, CASE WHEN j = length(b) THEN i + 1 ELSE i END, CASE WHEN j = length(b) THEN 0 ELSE j + 1 END, CASE WHEN j = length(b) THEN list_append(row, cell) ELSE above END, CASE WHEN j = length(b) THEN [] ELSE list_append(row, cell) END FROM (
+    SELECT *, CASE WHEN j = 0 THEN [{none}, {start('i')}, {none}] ELSE [{pair}, {gap('u', (begun, more, begun))}, {gap('l', (begun, begun, more))}] END AS cell FROM (
+      SELECT *, above[j] AS d, above[j + 1] AS u, row[j] AS l, a[i] = b[j] AS same FROM t WHERE i <= length(a)))),
+e AS (SELECT id_a, id_b, {best('above[-1]')} AS v FROM t WHERE i = length(a) + 1)
+SELECT id_a, id_b, round((v // 1000 % 1000) / (v % 1000), 6) AS identity FROM e WHERE (v // 1000 % 1000) / (v % 1000) >= 0.88 - 1e-12"""
+
+
+@query("align_identity", _align_sql())
 def align_identity(spark, t):
     return similarity.align_pairs(_urls(t), "page_id", "address", 0.88).select("id_a", "id_b", F.round("identity", 6).alias("identity"))
 

@@ -253,6 +253,12 @@ def symbol_inventory(spark, t):
     return summary.symbol_inventory(t.documents.select("source", "text"), "source", "text")
 
 
+@query("symbol_sources", """
+SELECT symbol, source, count(*) AS occurrences FROM (SELECT source, unnest(regexp_extract_all(text, '(?s).')) AS symbol FROM documents) GROUP BY 1, 2""")
+def symbol_sources(spark, t):
+    return summary.symbol_sources(t.documents.select("source", "text"), "source", "text")
+
+
 @query("acceptance_rate", """
 WITH x AS (SELECT user_id, event_id, ts, sum((event_type = 'purchase')::INT) OVER w AS acc, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT user_id, min(n) AS stopped_at FROM x WHERE n >= 20 AND acc / n < 0.2 GROUP BY 1""")
