@@ -118,12 +118,35 @@ def combined_distance(spark, t):
     return near.select(F.col("vec_id_a").alias("id_a"), F.col("vec_id_b").alias("id_b"), F.round(d, 6).alias("distance"))
 
 
-@query("threshold_clusters")
+def _clusters_sql() -> str:
+    """The two nearest clusters merge, one pair a step, as long as all pairs across them are near."""
+    cross = "list_max(flatten(list_transform(c[i], lambda a: list_transform(c[j], lambda b: coalesce(m[least(a, b) * 1000000000 + greatest(a, b)], 'inf'::DOUBLE)))))"
+    options = f"flatten(list_transform(range(1, len(c)), lambda i: list_transform(range(i + 1, len(c) + 1), lambda j: [{cross}, least(c[i][1], c[j][1])::DOUBLE, greatest(c[i][1], c[j][1])::DOUBLE, i::DOUBLE, j::DOUBLE])))"
+    return f"""{_shapes_sql()},
+ends AS (SELECT id_a AS x FROM near UNION SELECT id_b FROM near),
+merge(step, m, c) AS (
+  SELECT 0, (SELECT map_from_entries(list((id_a * 1000000000 + id_b, distance))) FROM near), (SELECT list([x] ORDER BY x) FROM ends)
+  UNION ALL
+  SELECT step + 1, m, list_append(list_filter(c, lambda x, k: k <> top[4] AND k <> top[5]), list_sort(list_concat(c[top[4]::BIGINT], c[top[5]::BIGINT]))) FROM (
+    SELECT *, list_sort(list_filter({options}, lambda o: o[1] < 1))[1] AS top FROM merge WHERE len(c) > 1) WHERE top IS NOT NULL),
+last AS (SELECT unnest(c) AS own FROM merge WHERE step = (SELECT max(step) FROM merge)),
+grown AS (SELECT unnest(own) AS representative, own[1] AS cluster FROM last),
+members AS (SELECT vec_id, coalesce(cluster, representative) AS cluster FROM copies LEFT JOIN grown USING (representative))"""
+
+
+@query("threshold_clusters", f"""
+WITH RECURSIVE {_clusters_sql()}
+SELECT vec_id, printf('FWC%04d', dense_rank() OVER (ORDER BY low)) AS cluster_id FROM (SELECT vec_id, min(vec_id) OVER (PARTITION BY cluster) AS low FROM members)""")
 def threshold_clusters(spark, t):
     return cluster.number_clusters(shape_clusters(t)[0], "vec_id").select("vec_id", "cluster_id")
 
 
-@query("representatives")
+@query("representatives", f"""
+WITH RECURSIVE {_clusters_sql()},
+b AS (SELECT vec_id, cluster, first_value(vec_id) OVER w AS representative, count(*) OVER (PARTITION BY cluster) AS cluster_size
+  FROM members JOIN (SELECT vec_id, label, embedding[1]::DOUBLE AS quality FROM embeddings) USING (vec_id) WINDOW w AS (PARTITION BY cluster ORDER BY label, quality DESC, vec_id))
+SELECT vec_id, representative, 'quality_order' AS reason, cluster_size, vec_id = representative AS is_representative, {', '.join(f'round({c}, 6) AS {c}' for c in ('identity', 'rmsd', 'anchor_rmsd'))}
+FROM b LEFT JOIN near ON id_a = least(vec_id, representative) AND id_b = greatest(vec_id, representative)""")
 def representatives(spark, t):
     members, pairs = shape_clusters(t)
     nodes = t.embeddings.select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("quality"))
@@ -132,7 +155,17 @@ def representatives(spark, t):
     return out.select("vec_id", "representative", "reason", "cluster_size", "is_representative", *[F.round(c, 6).alias(c) for c in ("identity", "rmsd", "anchor_rmsd")])
 
 
-@query("diverse_select")
+@query("diverse_select", """
+WITH RECURSIVE n AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, abs(embedding[1]::DOUBLE) AS q FROM embeddings),
+t(k, picks, trail) AS (
+  SELECT 1, [first], [{'id': first.id, 'q': first.q, 'u': NULL::DOUBLE, 's': NULL::DOUBLE, 'g': NULL::DOUBLE}] FROM (SELECT arg_max({'id': id, 'label': label, 'v': v, 'q': q}, [q, id::DOUBLE]) AS first FROM n)
+  UNION ALL
+  SELECT k + 1, list_append(any_value(picks), arg_max({'id': id, 'label': label, 'v': v, 'q': q}, [u, q, id::DOUBLE])), list_append(any_value(trail), arg_max({'id': id, 'q': q, 'u': u, 's': s, 'g': g}, [u, q, id::DOUBLE])) FROM (
+    SELECT *, 0.5 * q + 0.3 * s + 0.2 * g AS u FROM (
+      SELECT k, picks, trail, id, label, v, q, list_min(list_transform(picks, lambda p: (p.label IS DISTINCT FROM n.label)::INTEGER::DOUBLE)) AS s, list_min(list_transform(picks, lambda p: least(1.0, list_distance(p.v, n.v) / 2.0))) AS g
+      FROM t, n WHERE k < 12 AND NOT list_contains(list_transform(picks, lambda p: p.id), n.id))) GROUP BY k)
+SELECT rank::INTEGER AS selection_rank, x.id AS vec_id, CASE WHEN rank <= 10 THEN 'primary' ELSE 'reserve' END AS role, round(x.q, 6) AS quality, round(x.u, 6) AS utility, round(x.s, 6) AS min_sequence_distance, round(x.g, 6) AS min_geometry_distance
+FROM (SELECT unnest(trail) AS x, unnest(range(1, len(trail) + 1)) AS rank FROM t WHERE k = (SELECT max(k) FROM t))""")
 def diverse_select(spark, t):
     nodes = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"), F.abs(F.element_at("embedding", 1)).cast("double").alias("quality"))
 
