@@ -18,6 +18,7 @@ import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from math import log
 
 import numpy as np
@@ -25,11 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.words import slices, sums_by_row, text_bytes
+from siftline.llm.words import Tables, slices, sums_by_row, text_bytes
 
 UNIT = 1_000_000
 UNKNOWN = 10 * UNIT  # beyond the dearest piece
+NEVER = 1 << 60  # the cost of a path that is none
 PARTS_KEPT = 1_000_000  # parts that one Python worker remembers
+LONGEST, BLOCK = 40, 1 << 14  # parts of so many letters, so many at once, take the forward pass in arrays
+_LETTER = 0x9E3779B97F4A7C15
+LISTS_KEPT = 50_000  # and parts whose n cheapest paths it remembers
+_encoders = Tables()  # of this process
 
 
 @dataclass
@@ -90,7 +96,7 @@ class Vocabulary:
         """Edges into each place (start, cost, piece or -1 for bytes), and the cheapest cost up to it."""
         n, find = len(part), self.known.get
         into: list[list[tuple[int, int, int]]] = [[] for _ in range(n + 1)]
-        best = [0] + [1 << 62] * n
+        best = [0] + [NEVER] * n
         for i in range(n):
             here = best[i]
             if not find(part[i]):
@@ -108,31 +114,148 @@ class Vocabulary:
                     break
         return into, best
 
+    def best_two(self, part: str) -> tuple[list[int], int, int]:
+        """The cheapest ids of a part, their cost, and the cost of the next path (or a huge number).
+
+        One forward pass carries the two cheapest costs up to each place. Of equally cheap paths the one
+        with the smallest ids counts as the best.
+        """
+        n, find = len(part), self.known.get
+        first, second = [0] + [NEVER] * n, [NEVER] * (n + 1)
+        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+
+        def settle(i: int, piece: int, j: int, x: int, y: int) -> None:
+            """An edge over which the two cheapest costs up to ``j`` are x and y."""
+            old = first[j]
+            if x < old:
+                first[j], second[j], back[j] = x, min(old, y), (i, piece)
+            else:
+                if x < second[j]:
+                    second[j] = x
+                if x == old and self._path(part, i, back) + self._ids(part, i, piece) < self._path(part, j, back):
+                    back[j] = i, piece
+
+        for i in range(n):
+            here, after = first[i], second[i]
+            if not find(part[i]):
+                settle(i, -1, i + 1, here + self.byte_cost, after + self.byte_cost)
+            for j in range(i + 1, n + 1):
+                entry = find(part[i:j], 0)
+                if entry:
+                    settle(i, entry[0], j, here + entry[1], after + entry[1])
+                elif entry == 0:
+                    break
+        return self._path(part, n, back), first[n], min(second[n], NEVER)
+
+    def _ids(self, part: str, start: int, piece: int) -> list[int]:
+        return [piece] if piece >= 0 else [self.byte_ids[b] for b in part[start].encode()]
+
+    def _path(self, part: str, place: int, back: list[tuple[int, int]]) -> list[int]:
+        steps = []
+        while place:
+            steps.append(back[place])
+            place = back[place][0]
+        return [x for start, piece in reversed(steps) for x in self._ids(part, start, piece)]
+
     def n_best(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` cheapest (cost, ids) of a part, from the end backwards; ties as the heap finds them."""
+        """The ``n`` cheapest (cost, ids) of a part by (cost, ids), searched from the end backwards.
+
+        The heap gives whole paths in the order of their costs; those as dear as the n-th are all taken,
+        then ordered by their ids.
+        """
         into, best = self.lattice(part)
         out: list[tuple[int, tuple[int, ...]]] = []
         order = itertools.count()
         heap = [(best[-1], len(part), 0, 0, None)]  # whole cost, place, tie, cost from here on, path
-        while heap and len(out) < n:
+        while heap and (len(out) < n or heap[0][0] == out[n - 1][0]):
             whole, place, _, rest, path = heapq.heappop(heap)
             if place == 0:
                 ids: list[int] = []
                 while path is not None:
                     (piece, start), path = path
-                    ids += [piece] if piece >= 0 else [self.byte_ids[b] for b in part[start].encode()]
+                    ids += self._ids(part, start, piece)
                 out.append((whole, tuple(ids)))
                 continue
             for start, cost, piece in into[place]:
                 heapq.heappush(heap, (best[start] + cost + rest, start, next(order), cost + rest, ((piece, start), path)))
-        return out
+        return sorted(out)[:n]
+
+
+class PieceTable:
+    """Pieces by 64-bit fingerprints of their letters: the forward pass for many parts of one length at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.byte_cost = vocabulary.byte_cost
+        pieces = [(p, *x) for p, x in vocabulary.known.items() if x]
+        self.longest = max(len(p) for p, *_ in pieces)
+        prints = np.array([self._print(p) for p, *_ in pieces], np.uint64)
+        order = np.argsort(prints)
+        self.prints, self.ids, self.costs = prints[order], np.array([x[1] for x in pieces], np.int64)[order], np.array([x[2] for x in pieces], np.int64)[order]
+
+    @staticmethod
+    def _print(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * _LETTER + ord(c) + 1) % (1 << 64)
+        return h
+
+    def two_cheapest(self, parts: list[str]) -> tuple[np.ndarray, ...]:
+        """Best ids (padded), their numbers, the two cheapest costs, and whether these are settled.
+
+        Not settled: equal costs on the way, or a letter that becomes bytes.
+        """
+        n, length = len(parts), len(parts[0])
+        letters = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).T.astype(np.uint64) + np.uint64(1)
+        first, second = np.full((length + 1, n), NEVER), np.full((length + 1, n), NEVER)
+        first[0] = 0
+        from_, piece = np.zeros((length + 1, n), np.int64), np.zeros((length + 1, n), np.int64)
+        sure = np.ones(n, bool)
+        for i in range(length):
+            prints = np.zeros(n, np.uint64)
+            for j in range(i + 1, min(length, i + self.longest) + 1):
+                prints = prints * np.uint64(_LETTER) + letters[j - 1]
+                spot = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+                hit = self.prints[spot] == prints
+                cost, own = self.costs[spot], self.ids[spot]
+                if j == i + 1:
+                    cost, own = np.where(hit, cost, self.byte_cost), np.where(hit, own, -1)
+                    hit = np.ones(n, bool)
+                elif not hit.any():
+                    continue
+                x, y, old = np.where(hit, first[i] + cost, NEVER), second[i] + cost, first[j]
+                better = x < old
+                sure &= ~hit | (x != old)
+                second[j] = np.where(better, np.minimum(old, y), np.minimum(second[j], x))
+                first[j] = np.where(better, x, old)
+                from_[j][better], piece[j][better] = i, own[better]
+        ids, counts = np.zeros((n, length), np.int32), np.zeros(n, np.int64)
+        place, rows = np.full(n, length), np.arange(n)
+        while (place > 0).any():
+            going = place > 0
+            here, at = rows[going], place[going]
+            own = piece[at, here]
+            sure[here[own < 0]] = False
+            ids[here, counts[here]] = own
+            counts[here] += 1
+            place[here] = from_[at, here]
+        back = np.arange(length)[None, :]
+        turned = np.take_along_axis(ids, np.maximum(counts[:, None] - 1 - back, 0), axis=1)
+        return turned, counts, first[length], np.minimum(second[length], NEVER), sure
 
 
 class Encoder:
     """Segments columns of texts; remembers the parts it has seen."""
 
+    @staticmethod
+    def of(key: tuple, plain: tuple, n: int) -> Encoder:
+        """One for each model and worker process: what it has learned serves its later tasks."""
+        if key not in _encoders:
+            _encoders.clear()
+            _encoders[key] = Encoder(Vocabulary(*plain), n)
+        return _encoders[key]
+
     def __init__(self, vocabulary: Vocabulary, n: int):
-        self.vocabulary, self.n = vocabulary, n
+        self.vocabulary, self.n, self.table = vocabulary, n, PieceTable(vocabulary)
         self.split = re.compile(vocabulary.parts).findall
         sizes = np.array([len(t) for t in vocabulary.texts])
         self.piece_at = np.concatenate(([0], np.cumsum(sizes)))
@@ -142,36 +265,49 @@ class Encoder:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.names: list[str] = []
+        self.lists: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
         self.ids, self.at, self.cost, self.next = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _learn(self, part: str) -> int:
-        k = len(self.number)
-        found = self.vocabulary.n_best(part, 2)
-        cost, ids = found[0]
-        begin = int(self.at[k])
-        if k + 2 > len(self.at):
+    def _learn(self, new: list[str]) -> None:
+        """Remember the best ids and the two cheapest costs of unseen parts."""
+        found: dict[str, tuple] = {}
+        by_length: dict[int, list[str]] = {}
+        for part in new:
+            by_length.setdefault(len(part), []).append(part)
+        for length, group in by_length.items():
+            for lo in range(0, len(group), BLOCK):
+                block = group[lo : lo + BLOCK]
+                left = range(len(block))
+                if length <= LONGEST:
+                    ids, counts, first, second, sure = self.table.two_cheapest(block)
+                    found.update((block[i], (ids[i, : counts[i]], first[i], second[i])) for i in np.flatnonzero(sure).tolist())
+                    left = np.flatnonzero(~sure).tolist()
+                found.update((block[i], self.vocabulary.best_two(block[i])) for i in left)
+        k, rows = len(self.number), [found[part] for part in new]
+        sizes = np.array([len(r[0]) for r in rows], np.int64)
+        ends = int(self.at[k]) + np.cumsum(sizes)
+        while k + len(new) >= len(self.at):
             self.at, self.cost, self.next = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.cost, self.next))
-        while begin + len(ids) > len(self.ids):
+        while ends[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[begin : begin + len(ids)] = ids
-        self.at[k + 1], self.cost[k] = begin + len(ids), cost
-        self.next[k] = found[1][0] - cost if len(found) > 1 else 1 << 62
-        self.number[part] = k
-        self.names.append(part)
-        return k
+        self.ids[self.at[k] : ends[-1]] = np.concatenate([r[0] for r in rows])
+        self.at[k + 1 : k + 1 + len(new)] = ends
+        self.cost[k : k + len(new)] = cost = np.array([r[1] for r in rows], np.int64)
+        after = np.array([r[2] for r in rows], np.int64)
+        self.next[k : k + len(new)] = np.where(after < NEVER, after - cost, NEVER)
+        self.number.update(zip(new, range(k, k + len(new))))
+        self.names += new
 
     def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Part numbers of all texts, and where each text's parts begin."""
         if len(self.number) > PARTS_KEPT:
             self._forget()
-        out: list[int] = []
-        at = [0]
-        number = self.number
-        for text in texts:
-            if text:
-                out += [number[p] if p in number else self._learn(p) for p in self.split(" " + text)]
-            at.append(len(out))
-        return np.array(out, np.int64), np.array(at, np.int64)
+        own = [self.split(" " + text) if text else [] for text in texts]
+        flat = list(itertools.chain.from_iterable(own))
+        new = [p for p in dict.fromkeys(flat) if p not in self.number]
+        if new:
+            self._learn(new)
+        return np.array(list(map(self.number.__getitem__, flat)), np.int64), np.cumsum([0, *map(len, own)])
 
     def gather(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best ids of the parts, one after another, and where each part begins."""
@@ -179,22 +315,33 @@ class Encoder:
         begin = np.concatenate(([0], np.cumsum(sizes)))
         return self.ids[np.arange(int(begin[-1])) + np.repeat(self.at[parts] - begin[:-1], sizes)], begin
 
+    def _list(self, part: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The n cheapest paths of a part, searched once."""
+        name = self.names[part]
+        if name not in self.lists:
+            if len(self.lists) > LISTS_KEPT:
+                self.lists.clear()
+            self.lists[name] = self.vocabulary.n_best(name, self.n)
+        return self.lists[name]
+
     def choices(self, parts: np.ndarray) -> list[tuple[int, dict[int, tuple[int, ...]]]]:
         """The n cheapest (cost, ids of the parts that differ from their best) of one text."""
         base = int(self.cost[parts].sum())
         m = min(self.n - 1, len(parts))
         if not m:
             return [(base, {})]
-        # Only the n - 1 parts with the nearest second choice can differ in one of the n best.
+        # Only the n - 1 parts with the nearest second choice can differ in one of the n best; of parts
+        # with equally near ones the first are taken.
         change = self.next[parts]
-        near = np.argpartition(change, m - 1)[:m] if m < len(parts) else np.arange(m)
-        near = [int(p) for p in near if change[p] < 1 << 62]
-        lists = [self.vocabulary.n_best(self.names[parts[p]], self.n) for p in near]
-        combined = ((sum(x[0] - own[0][0] for x, own in zip(pick, lists)), pick) for pick in itertools.product(*lists))
-        out = []
-        for extra, pick in heapq.nsmallest(self.n, combined, key=lambda c: c[0]):
-            out.append((base + extra, {p: ids for p, (_, ids), own in zip(near, pick, lists) if ids != own[0][1]}))
-        return out
+        near = np.flatnonzero(change <= np.partition(change, m - 1)[m - 1])
+        near = sorted(near[np.argsort(change[near], kind="stable")][:m].tolist())
+        # Part by part, the n cheapest sums so far; sums of equal cost go by their ids.
+        sums: list[tuple[int, tuple]] = [(0, ())]
+        for p in near:
+            if change[p] < NEVER:
+                own = self._list(int(parts[p]))
+                sums = heapq.nsmallest(self.n, [(cost + x[0] - own[0][0], (*picks, (p, x[1], x is own[0]))) for cost, picks in sums for x in own])
+        return [(base + extra, {p: ids for p, ids, same in picks if not same}) for extra, picks in sums]
 
     def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the pieces, one after another, and where each piece's bytes begin."""
@@ -208,13 +355,15 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
 
     Each segmentation has all its ids; its digest is that of the ids as 32-bit little-endian numbers.
     Null and empty texts have no pieces and one segmentation of cost 0. Texts with fewer than ``n``
-    segmentations list all. Paths of equal cost are different segmentations; which comes first is
-    not fixed. ``round_trip``: decoding the ids gives back the text byte by byte.
+    segmentations list all. Paths of equal cost are different segmentations: in a part of a text the
+    smaller ids come first, of equally near changes those in earlier parts. ``round_trip``: decoding the ids gives back the text byte by byte.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path).plain())  # bounded by the model file
+    vocabulary = Vocabulary.load(model_path)
+    key = sha256(repr((vocabulary.texts, vocabulary.byte_cost, vocabulary.parts, sorted(vocabulary.known.items(), key=str))).encode()).hexdigest(), n
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.plain())  # bounded by the model file
 
     def segment(batches):
-        encoder = Encoder(Vocabulary(*shared.value), n)
+        encoder = Encoder.of(key, shared.value, n)
         for batch in batches:
             for lo, hi in slices(batch.column(1), 1 << 20):
                 part = batch.slice(lo, hi - lo)
@@ -227,8 +376,6 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
 
 
 def _segmented(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
-    from hashlib import sha256
-
     parts, at = encoder.parts(batch.column(1).to_pylist())
     ids, begin = encoder.gather(parts)
     doc_at = begin[at]

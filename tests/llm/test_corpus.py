@@ -187,6 +187,32 @@ def test_n_best_pieces(spark, odd, nothing):
     assert sorted(texts_of(pieces.decode(coded, PIECE_MODEL)), key=str) == sorted([(d, t or "") for d, t in texts_of(odd)], key=str)
 
 
+def test_forward_pass_and_merged_choices():
+    vocabulary, rng = pieces.Vocabulary.load(PIECE_MODEL), random.Random(4)
+    table = pieces.PieceTable(vocabulary)
+    letters = list("aabcdetheing é漢ñ.,'①1 ")
+    for length in range(1, 10):
+        parts = list({"".join(rng.choice(letters) for _ in range(length)) for _ in range(300)})
+        ids, counts, first, second, sure = table.two_cheapest(parts)
+        for i, part in enumerate(parts):
+            ids_, cost, after = vocabulary.best_two(part)
+            if length < 8:
+                paths = _paths(vocabulary, part)
+                assert (cost, tuple(ids_)) == paths[0] and after == (paths[1][0] if len(paths) > 1 else pieces.NEVER)
+                assert vocabulary.n_best(part, 5) == paths[:5]
+            assert not sure[i] or (ids[i, : counts[i]].tolist(), int(first[i]), int(second[i])) == (ids_, cost, after)
+    for n in (3, 10):
+        encoder = pieces.Encoder(vocabulary, n)
+        for text in ("the, (in).", "a a a a", "see the cat", "éa ,."):
+            parts, _ = encoder.parts([text])
+            got = []
+            for cost, changed in encoder.choices(parts):
+                ids = [x for p, k in enumerate(parts.tolist()) for x in changed.get(p, encoder.ids[encoder.at[k] : encoder.at[k + 1]].tolist())]
+                got.append((cost, tuple(ids)))
+            paths = _paths(vocabulary, " " + text)
+            assert [c for c, _ in got] == [c for c, _ in paths[:n]] and len(set(got)) == len(got) and set(got) <= set(paths)
+
+
 def test_every_segmentation_can_be_read_and_decoded(spark):
     vocabulary = pieces.Vocabulary.load(PIECE_MODEL)
     texts = {1: "The cat.", 2: "  héé. ñó,ok", 3: "a", 4: "", 5: None, 6: "many more words stand here, 漢字 too"}
