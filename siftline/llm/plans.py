@@ -48,14 +48,15 @@ _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
 
 def _rules_sql() -> str:
+    latin = "CASE WHEN 2 * latin >= word_chars THEN {} END"
     measures = {
-        "mean_word_chars": "coalesce(CAST(word_chars AS DOUBLE) / nullif(n_words, 0), 0)", "symbols_per_word": "coalesce(CAST(n_symbols AS DOUBLE) / nullif(n_words, 0), 0)",
-        "stop_word_ratio": "coalesce(CAST(stops AS DOUBLE) / nullif(n_words, 0), 0)", "dup_line_ratio": "coalesce(CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0), 0)",
+        "latin_word_chars": latin.format("coalesce(CAST(word_chars AS DOUBLE) / nullif(n_words, 0), 0)"), "marks_per_word": "coalesce(CAST(marks AS DOUBLE) / nullif(n_words, 0), 0)", "symbols_per_word": "coalesce(CAST(n_symbols AS DOUBLE) / nullif(n_words, 0), 0)",
+        "stop_word_ratio": latin.format("coalesce(CAST(stops AS DOUBLE) / nullif(n_words, 0), 0)"), "dup_line_ratio": "coalesce(CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0), 0)",
     }
     parts = []
     for rule in quality.THRESHOLDS:
-        parts += [f"{measures[rule.measure]} >= {rule.low}"] if rule.low is not None else []
-        parts += [f"{measures[rule.measure]} <= {rule.high}"] if rule.high is not None else []
+        parts += [f"coalesce({measures[rule.measure]} >= {rule.low}, true)"] if rule.low is not None else []
+        parts += [f"coalesce({measures[rule.measure]} <= {rule.high}, true)"] if rule.high is not None else []
     return " AND ".join(parts)
 
 
@@ -65,8 +66,9 @@ grams AS (SELECT doc_id, w[i:i + 2] AS g, i FROM (SELECT doc_id, w, unnest(range
 rep AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM rep GROUP BY doc_id),
 m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l, len(list_filter(w, lambda x: x IN ({_STOPS}))) AS stops FROM d),
-c AS (SELECT doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, stops, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)),
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l, len(list_filter({_PLAIN.replace("coalesce(text, '')", "t")}, lambda x: x IN ({_STOPS}))) AS stops,
+  length(t) - length(translate(t, '{quality.MARKS}', '')) AS marks, length(t) - length(regexp_replace(t, '[{quality.LATIN}]', '', 'g')) AS latin FROM d),
+c AS (SELECT doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, stops, marks, latin, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {_rules_sql()} AS kept FROM f

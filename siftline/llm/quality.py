@@ -17,18 +17,35 @@ from siftline.llm.frames import settled
 _SPACE = "\\t\\n\\x0B\\f\\r "
 WINDOW = 3
 SYMBOLS = "#*$%&|<>"  # none is special inside brackets
-#: Function words of the corpus languages (English, German, French, Spanish), in lower case.
+#: Letters of the script whose languages STOP_WORDS covers: Latin with its accented forms.
+LATIN = "A-Za-z\u00C0-\u024F"
+MARKS = "!?"
+#: What separates the words that are compared with STOP_WORDS, after A-Z are lower-cased.
+STRIPPED = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Function words of languages in Latin script, in lower case: English, German, French, Spanish,
+#: Italian, Portuguese, Dutch, Swedish, Polish, Turkish, Indonesian.
 STOP_WORDS = (
     "the", "and", "of", "to", "in", "is", "that", "with", "for", "as", "was", "on", "are", "it", "an", "this", "have", "not", "be", "by",
     "der", "die", "das", "und", "ist", "von", "zu", "mit", "den", "auf", "ein", "eine", "im", "nicht", "auch", "sich", "für",
     "le", "la", "les", "des", "et", "en", "un", "une", "du", "que", "qui", "dans", "pas", "pour",
     "el", "los", "las", "y", "de", "por", "con", "para", "una", "del", "se", "lo", "es",
+    "il", "di", "che", "non", "per", "sono", "come", "della", "nel",
+    "os", "não", "uma", "com", "como", "mais", "dos", "ao",
+    "het", "een", "van", "dat", "niet", "voor", "zijn", "op",
+    "och", "att", "det", "som", "är", "inte", "av", "till",
+    "nie", "się", "na", "jest", "że", "do", "jak", "od",
+    "ve", "bir", "bu", "için", "ile", "da", "çok", "olarak",
+    "yang", "dan", "ini", "itu", "dengan", "untuk", "tidak", "dari",
 )
 
 
 @dataclass(frozen=True)
 class Threshold:
-    """``measure`` must be at least ``low`` and at most ``high``, where these are given."""
+    """``measure`` must be at least ``low`` and at most ``high``, where these are given.
+
+    A measure is null where it says nothing about a text; the rule then holds.
+    """
 
     name: str
     measure: str
@@ -37,9 +54,10 @@ class Threshold:
 
 
 THRESHOLDS = (
-    Threshold("word_length", "mean_word_chars", 2.0, 15.0),
+    Threshold("word_length", "latin_word_chars", 2.0, 15.0),
     Threshold("symbols", "symbols_per_word", None, 0.1),
     Threshold("stop_words", "stop_word_ratio", 0.02, None),
+    Threshold("exclamations", "marks_per_word", None, 0.5),
     Threshold("lines_repeated", "dup_line_ratio", None, 0.5),
 )
 
@@ -79,16 +97,21 @@ def _measured(docs: DataFrame, text: str, keep: str) -> DataFrame:
         "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", f"[{SYMBOLS}]+", ""))).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": covered,
-        "_stops": F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))),
+        "_stops": F.size(F.filter(F.split(F.translate("_text", _UPPER, _LOWER), f"[{STRIPPED}]+"), lambda w: w.isin(*STOP_WORDS))),
+        "_marks": F.length("_text") - F.length(F.translate("_text", MARKS, "")),
+        "_latin": F.length("_text") - F.length(F.regexp_replace("_text", f"[{LATIN}]+", "")),
     })
+    # Word lengths and function words say something only of a text half of which is Latin letters.
+    latin = 2 * F.col("_latin") >= F.col("word_chars")
     measured = counted.withColumns({
         "mean_word_chars": _ratio(F.col("word_chars"), n), "symbols_per_word": _ratio(F.col("n_symbols"), n),
-        "stop_word_ratio": _ratio(F.col("_stops"), n), "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.size(lines)),
+        "latin_word_chars": F.when(latin, _ratio(F.col("word_chars"), n)), "marks_per_word": _ratio(F.col("_marks"), n),
+        "stop_word_ratio": F.when(latin, _ratio(F.col("_stops"), n)), "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.size(lines)),
     })
     return settled(measured, keep, *COUNTS, *MEASURES)
 
 
-MEASURES = ("mean_word_chars", "symbols_per_word", "stop_word_ratio", "dup_line_ratio")
+MEASURES = ("mean_word_chars", "latin_word_chars", "symbols_per_word", "marks_per_word", "stop_word_ratio", "dup_line_ratio")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -114,7 +137,8 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules:
     """Id, base counts, measures, ``base_failed``, ``failed_rules`` and ``kept`` of each row.
 
     Words are runs without white space; null and empty texts have none and fail the base rule;
-    measures over nothing are 0. Repeated rows give repeated results.
+    measures over nothing are 0. Repeated rows give repeated results. Texts of any length are judged
+    whole; other columns are not looked at.
     """
     asked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_source"))
     judged = _measured(asked, "_source", "_id").withColumns({"base_failed": base_failed(), "failed_rules": compiled(rules)})
@@ -122,7 +146,10 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules:
 
 
 def drop_rejected(docs: DataFrame, text: str = "text", rules: Sequence[Threshold] = THRESHOLDS) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass; no join, the rules run in the same projection."""
+    """The rows of ``docs``, all columns, that pass; no join, the rules run in the same projection.
+
+    Null and empty texts fail. Repeated rows stay or go together; columns may have any names.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_source"))
     judged = _measured(packed, "_source", "_row").filter(~base_failed() & (F.size(compiled(rules)) == 0))
     return judged.select("_row.*")

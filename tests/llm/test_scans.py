@@ -109,6 +109,22 @@ def test_quality(spark, odd, nothing):
     assert quality.quality(nothing).count() == 0
 
 
+CLEAN = {
+    "Russian": "Вчера утром мы долго гуляли вдоль реки и говорили о том, как быстро меняется наш город. Старые дома на набережной давно требуют ремонта, но жители надеются, что городские власти найдут на это деньги ещё до зимы. Дети играли у воды, рыбаки сидели молча, а над крышами медленно поднимался густой серый дым. Потом начался сильный дождь.",
+    "Greek": "Χθες το πρωί περπατήσαμε για πολλή ώρα δίπλα στο ποτάμι και μιλήσαμε για το πόσο γρήγορα αλλάζει η πόλη μας. Τα παλιά σπίτια στην παραλία χρειάζονται εδώ και καιρό επισκευή, αλλά οι κάτοικοι ελπίζουν ότι ο δήμος θα βρει χρήματα πριν από τον χειμώνα. Τα παιδιά έπαιζαν κοντά στο νερό, οι ψαράδες κάθονταν σιωπηλοί και ύστερα άρχισε δυνατή βροχή.",
+    "Turkish": "Dün sabah nehir boyunca uzun süre yürüdük ve şehrimizin ne kadar hızlı değiştiğini konuştuk. Kıyıdaki eski evler çok uzun zamandır onarım bekliyor, ama orada yaşayanlar belediyenin bu iş için kıştan önce bir bütçe bulacağını umuyor. Çocuklar suyun yanında oynuyor, balıkçılar sessizce oturuyor ve çatıların üzerinde ağır ağır gri bir duman yükseliyordu. Sonra kuvvetli bir yağmur başladı.",
+    "English": "Yesterday morning we walked along the river for a long time and talked about how quickly our town is changing. The old houses on the bank have needed repairs for years, but the people who live there hope that the council will find the money before winter. Children played near the water, fishermen sat in silence, and a thick grey smoke rose slowly above the roofs.",
+}
+
+
+def test_quality_keeps_clean_text_of_any_language_and_case(spark):
+    rng = random.Random(1)
+    noise = lambda tail: " ".join("".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 9))) + tail for _ in range(90))
+    rows = {**CLEAN, "capitals": CLEAN["English"].upper(), "shouted": " ".join(w + "!!" for w in CLEAN["English"].upper().split()), "symbols": noise("x&&&"), "letters": noise("x")}
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(list(rows.items()), "doc_id string, text string")).collect()}
+    assert {k: r["failed_rules"] for k, r in got.items() if not r["kept"]} == {"shouted": ["exclamations"], "symbols": ["symbols", "stop_words"], "letters": ["stop_words"]}
+
+
 def test_quality_thresholds_are_data(spark):
     frame = spark.createDataFrame([(1, " ".join(f"the{i} and" for i in range(60)))], "doc_id long, text string")
     assert quality.quality(frame).first()["kept"]
