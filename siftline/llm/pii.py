@@ -1,15 +1,18 @@
 """Personal data, and terms that give it away, by how strongly the corpus ties them to it.
 
-Base patterns find entities (addresses, numbers). A term is a word near an entity. Over all documents
-the operator counts how many hold an entity, a term, and both near each other. The information that
-term t gives about entity e is PMI(e;t) = log2(N n(e,t) / (n(e) n(t))); the entity itself carries
-IC(e) = log2(N / n(e)). A term that gives away at least ``remove`` of that information is removed next
-to the entity, one that gives away at least ``generalise`` of it is replaced by its shape.
+Base patterns find entities (addresses, numbers). Over all documents the operator counts how many hold
+an entity, a term (a word outside entities), and both, anywhere in their whole texts. The information
+that term t gives about entity e is PMI(e;t) = log2(N n(e,t) / (n(e) n(t))); the entity itself carries
+IC(e) = log2(N / n(e)). In the documents that hold the entity, a term that gives away at least
+``REMOVE`` of that information is removed at all its places, one that gives away at least
+``GENERALISE`` of it is replaced by its shape.
+
+Pairs are formed only where they can count. An entity in fewer than ``SUPPORT`` documents has none, and
+as n(e,t) <= n(e), a term with n(t) > N^(1-g) n(e)^g, g = GENERALISE, cannot give away enough of e.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -19,12 +22,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.llm.words import PLAIN, Words, mix, slices
 from siftline.session import stage_table
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 8  # words on each side of an entity
 SUPPORT = 3  # documents in which a term and an entity meet: fewer estimate nothing
 FLUSH = 2_000_000  # words that a task counts before it hands them on
 REMOVE, GENERALISE = 0.95, 0.8  # shares of the entity's information
@@ -78,9 +81,8 @@ def _key(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else re.sub('[^0-9.]', '', value) if kind == 'ip' else re.sub('[^0-9]', '', value)}"
 
 
-def contexts(text: str, found: list[tuple[int, int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near each entity, outside all entities."""
-    folded = text.translate(_FOLD)
+def terms(text: str, found: list) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the lower-cased words outside all entities, in code points."""
     begins, ends = [], []  # the union of the entities
     for a, b, *_ in found:
         if ends and a <= ends[-1]:
@@ -89,45 +91,51 @@ def contexts(text: str, found: list[tuple[int, int, int, str]]) -> list[tuple[st
             begins.append(a)
             ends.append(b)
     out = []
-    for a, b, _, kind in found:
-        entity = _key(kind, text[a:b])
-        near = [m.span() for m in itertools.islice(_TERM.finditer(folded, b), NEAR)]
-        reach = 32 * NEAR
-        while True:  # a stretch to the left that has one word more than needed, as its first may be cut
-            left = [m.span() for m in _TERM.finditer(folded, max(0, a - reach), a)]
-            if reach >= a or len(left) > NEAR:
-                break
-            reach *= 2
-        for s, e in left[-NEAR:] + near:
-            k = bisect_left(ends, s + 1)
-            if k == len(ends) or begins[k] >= e:
-                out.append((entity, folded[s:e], s, e))
+    for m in _TERM.finditer(text.translate(_FOLD)):
+        k = bisect_left(ends, m.start() + 1)
+        if k == len(ends) or begins[k] >= m.end():
+            out.append((m[0], *m.span()))
     return out
 
 
-def _scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, spans, near) of each row; ``near`` has the terms near entities as fingerprints."""
+def _prints(words: list[str]) -> list[int]:
+    return Words(pa.array(words, pa.string()), PLAIN).hashes().view(np.int64).tolist()
+
+
+def _scanned(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
+    """A row number, ``own`` (the carried columns), ``spans``, ``entities``, and the text of rows that hold any."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("rank", pa.int32()), ("kind", pa.string())])
-    term = pa.struct([("entity", pa.string()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def scan(batches):
         for batch in batches:
-            likely = pc.fill_null(pc.match_substring_regex(batch.column(1), _LIKELY), False).to_numpy(zero_copy_only=False)
-            spans, near = [[]] * len(batch), [[]] * len(batch)
+            column = batch.column(2)
+            likely = pc.fill_null(pc.match_substring_regex(column, _LIKELY), False).to_numpy(zero_copy_only=False)
+            spans, names, bodies = [[]] * len(batch), [[]] * len(batch), [None] * len(batch)
             for i in np.flatnonzero(likely).tolist():
-                body = batch.column(1)[i].as_py()
+                body = column[i].as_py()
                 found = entities(body)
                 if found:
-                    terms = contexts(body, found)
-                    prints = Words(pa.array([t for _, t, _, _ in terms], pa.string()), PLAIN).hashes().view(np.int64).tolist()
                     spans[i] = [dict(zip(("start", "end", "rank", "kind"), x)) for x in found]
-                    near[i] = [{"entity": e, "term": p, "start": a, "end": b} for (e, _, a, b), p in zip(terms, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span)), pa.array(near, pa.list_(term))], names=["id", "spans", "near"])
+                    names[i], bodies[i] = sorted({_key(kind, body[a:b]) for a, b, _, kind in found}), body
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(names, pa.list_(pa.string())), pa.array(bodies, pa.string())], names=["row", "own", "spans", "entities", "body"],
+            )
 
-    kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(
-        scan, f"id {kind}, spans {SPANS}, near array<struct<entity:string,term:bigint,start:bigint,end:bigint>>",
-    )
+    asked = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in carry]).alias("own"), F.col(text).alias("text"))
+    rest = T.StructType.fromDDL(f"spans {SPANS}, entities array<string>, body string")
+    return stage_table(asked.mapInArrow(scan, T.StructType([asked.schema["row"], asked.schema["own"], *rest])), "scanned")
+
+
+def _row_terms(held: DataFrame) -> DataFrame:
+    """(row, term) of the distinct terms of each row."""
+    def distinct_terms(batches):
+        for batch in batches:
+            for row, spans, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = sorted({t for t, *_ in terms(body, [tuple(x.values()) for x in spans])})
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(own), pa.int64()), pa.array(_prints(own), pa.int64())], names=["row", "term"])
+
+    return held.select("row", "spans", "body").mapInArrow(distinct_terms, "row long, term long")
 
 
 def term_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -165,37 +173,61 @@ def _merged(terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return terms[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def disclosures(scanned: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, share) of the terms that give away at least ``GENERALISE`` of an entity."""
-    total = scanned.count()
-    held = scanned.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    meet = scanned.select(F.inline(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))))).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    counted = meet.join(held, "entity").join(term_documents(docs, text).withColumnRenamed("n", "n_term"), "term")
-    own = F.log2(F.lit(float(total)) / F.col("n_entity"))
+def _hits(scanned: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """``row`` and ``told``: for each row the terms (prints) that give away an entity it holds, with their share."""
+    every = scanned.select("row", F.explode("entities").alias("entity"))
+    living = every.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
+    held = stage_table(every.join(living, "entity"), "held")  # a crowded entity is a hot key here: adaptive execution splits it
+    most = held.agg(F.max("n_entity")).first()[0]
+    if most is None:
+        return scanned.limit(0).select("row", F.lit(None).cast("array<struct<term:bigint,share:double>>").alias("told"))
+    reach = lambda n: F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) * F.pow(n.cast("double"), F.lit(GENERALISE)) * (1 + 1e-9)
+    own = stage_table(_row_terms(scanned.join(held.select("row").distinct(), "row", "left_semi")), "terms")
+    rare = counts.filter((F.col("n") >= SUPPORT) & (F.col("n") <= reach(F.lit(most)))).withColumnRenamed("n", "n_term")
+    # Terms of many documents are hot keys on the left but have no partner; they leave before the join.
+    crowded = counts.filter(F.col("n") > reach(F.lit(most))).select("term")
+    near = own.join(crowded, "term", "left_anti").join(rare, "term")
+    pairs = stage_table(held.join(near, "row").filter(F.col("n_term") <= reach(F.col("n_entity"))), "pairs")
+    meet = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term")).filter(F.col("n_both") >= SUPPORT)
+    carried = F.log2(F.lit(float(total)) / F.col("n_entity"))
     given = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    return counted.select("entity", "term", F.when(own > 0, given / own).otherwise(0.0).alias("share")).filter(F.col("share") >= GENERALISE)
+    shares = meet.select("entity", "term", F.when(carried > 0, given / carried).otherwise(0.0).alias("share")).filter(F.col("share") >= GENERALISE)
+    found = pairs.select("row", "entity", "term").join(shares, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    return found.groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("told"))  # the terms of one text at most
+
+
+def _found(docs: DataFrame, carry: list[str], text: str) -> DataFrame:
+    """``own`` and all ``spans`` of each row of ``docs``."""
+    scanned = _scanned(docs, carry, text)
+    hits = _hits(scanned, term_documents(docs, text), scanned.count())
+
+    def place(batches):
+        for batch in batches:
+            spans = batch.column(1).to_pylist()
+            for i, (body, told) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if told:
+                    share = {x["term"]: x["share"] for x in told}
+                    own = terms(body, [tuple(x.values()) for x in spans[i]])
+                    for (_, a, b), p in zip(own, _prints([t for t, *_ in own])):
+                        if p in share:
+                            rank, kind = (4, "term") if share[p] >= REMOVE else (5, "hint")
+                            spans[i].append({"start": a, "end": b, "rank": rank, "kind": kind})
+                    spans[i].sort(key=lambda x: (x["start"], x["rank"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, batch.schema.field(1).type)], names=["own", "spans"])
+
+    told = hits.withColumnRenamed("row", "_hit")
+    placed = scanned.join(told, F.col("row") == F.col("_hit"), "left").select("own", "spans", "body", "told")
+    return placed.mapInArrow(place, T.StructType([scanned.schema["own"], scanned.schema["spans"]]))
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Id and ``spans`` of each row: base matches, and terms (``term`` to remove, ``hint`` to generalise).
 
-    Null and empty texts have no spans. Rows are judged each for itself, repeated ids too; equal rows
-    count as so many documents. A term near two entities takes the stricter of its two actions.
+    Null and empty texts have no spans. Rows are judged each for itself, repeated and null ids too; equal
+    rows count as so many documents. A term that gives away two entities of a text takes the stricter of
+    its two actions. Texts of any length are whole; other columns are not looked at.
     """
-    scanned = stage_table(_scanned(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "scanned")
-    told = disclosures(scanned, docs, text)
-    near = scanned.filter(F.size("near") > 0).select("row", F.inline("near"))
-    removed = F.max("share") >= REMOVE
-    hits = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(removed.alias("removed"))
-    span = F.struct("start", "end", F.when(F.col("removed"), 4).otherwise(5).alias("rank"), F.when(F.col("removed"), "term").otherwise("hint").alias("kind"))
-    added = hits.groupBy(F.col("row").alias("_row")).agg(F.collect_list(span).cast(SPANS).alias("_added"))
-    joined = scanned.join(added, F.col("row") == F.col("_row"), "left")
-    spans = F.when(F.col("_added").isNotNull(), F.array_sort(F.concat("spans", "_added"), _by_start)).otherwise(F.col("spans"))
-    return joined.select(F.col("id").alias(doc_id), spans.alias("spans"))
-
-
-def _by_start(x, y):
-    return F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(x["rank"] - y["rank"])
+    return _found(docs, [doc_id], text).select(F.col("own")[doc_id].alias(doc_id), "spans")
 
 
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "", "hint": "[WORD]"}
@@ -211,15 +243,17 @@ def sanitised(text: str, spans: list) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Id and sanitised ``text`` of each row; ids must name one row. A null text stays null."""
+def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with ``text`` sanitised; a null text stays null.
+
+    Rows are carried by number, so ids may repeat or be null and columns may have any names.
+    """
     def rewrite(batches):
         for batch in batches:
             bodies, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             new = [b if b is None or not s else sanitised(b, [tuple(x.values()) for x in s]) for b, s in zip(bodies, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["own", "new"])
 
-    kind = dict(docs.dtypes)[doc_id]
-    found = personal_data(docs, doc_id, text).select(F.col(doc_id).alias("_own"), "spans")
-    joined = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(found, F.col("_id") == F.col("_own"), "left").select("_id", "_text", "spans")
-    return joined.mapInArrow(rewrite, f"_id {kind}, text string").withColumnRenamed("_id", doc_id)
+    found = _found(docs, docs.columns, text)
+    done = found.select("own", F.col("own")[text].alias("body"), "spans").mapInArrow(rewrite, T.StructType([found.schema["own"], T.StructField("new", T.StringType())]))
+    return done.select(*[F.col("new").alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 """Decontamination, quality, secrets and personal data against brute force and on awkward rows."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -215,9 +216,59 @@ def test_terms_that_give_an_entity_away(spark, odd, nothing):
         assert "zyxel" in {text[s["start"] : s["end"]] for s in rows[d] if s["kind"] == "term"}
     out = dict(texts_of(pii.sanitise(frame)))
     assert "[PHONE]" in out[0] and "zyxel" not in out[0] and out[100] == clean[0][1]
+    assert pii.sanitise(odd).columns == odd.columns and pii.sanitise(odd).count() == odd.count()
     assert pii.personal_data(odd).count() == odd.count() and pii.personal_data(nothing).count() == 0
 
 
+def spans_by_hand(texts):
+    """Base spans and disclosing terms of each text, over all pairs of entities and terms."""
+    n, base = len(texts), [base_by_hand(t or "") for t in texts]
+    names = [{pii._key(k, t[a:b]) for a, b, _, k in f} for t, f in zip(texts, base)]
+    words = [[m for m in re.finditer(r"[a-z0-9\x80-\U0010ffff]+", (t or "").translate(pii._FOLD)) if not any(a < m.end() and m.start() < b for a, b, *_ in f)] for t, f in zip(texts, base)]
+    in_docs = Counter(x for t in texts for x in set(plain(t)))
+    held = Counter(e for own in names for e in own)
+    both = Counter((e, x) for own, w in zip(names, words) for e in own for x in {m[0] for m in w})
+    share = {}
+    for (e, x), c in both.items():
+        if c >= pii.SUPPORT:
+            own = math.log2(n / held[e])
+            share[e, x] = math.log2(n * c / (held[e] * in_docs[x])) / own if own > 0 else 0.0
+    out = []
+    for f, own, w in zip(base, names, words):
+        told = []
+        for m in w:
+            most = max((share.get((e, m[0]), 0.0) for e in own), default=0.0)
+            if most >= pii.GENERALISE:
+                told.append((*m.span(), *((4, "term") if most >= pii.REMOVE else (5, "hint"))))
+        out.append(sorted([*f, *told], key=lambda x: (x[0], x[2])))
+    return out
+
+
+def test_disclosure_over_whole_documents(spark):
+    rng = random.Random(9)
+    people = [(f"p{k}@mail.example", f"name{k}", f"+1 555 000 {1000 + k}") for k in range(12)]
+    texts = []
+    for _ in range(260):
+        words = [f"w{rng.randint(0, 150)}" for _ in range(rng.randint(0, 60))]
+        if rng.random() < 0.4:
+            mail, name, phone = rng.choice(people)
+            words = [name if rng.random() < 0.9 else "someone", *words, *(["Account"] if rng.random() < 0.3 else []), mail, *([phone] if rng.random() < 0.5 else []), *words[:3], name]
+        elif rng.random() < 0.15:
+            words.append(rng.choice(people)[1])
+        texts.append(" ".join(words))
+    texts += [texts[0], texts[0], None, "", "far name3 " + "x " * 900 + people[3][0]] + [f"pad{i} pad" for i in range(400)]
+    rows = [(rng.choice([None, 5, i]), t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, place long")
+    got = pii._found(frame.repartition(3), ["doc_id", "place"], "text").collect()
+    want = spans_by_hand(texts)
+    for r in got:
+        assert [(s["start"], s["end"], s["rank"], s["kind"]) for s in r["spans"]] == want[r["own"]["place"]]
+    assert len(got) == len(rows) and sum(k == "term" for w in want for *_, k in w) > 50 and sum(k == "hint" for w in want for *_, k in w) > 0
+    out = {r["place"]: r["text"] for r in pii.sanitise(frame).collect()}
+    assert all(not t or people[3][0] not in t for t in out.values()) and "name3" not in out[len(texts) - 401]
+    assert len(out) == len(rows) and all(out[i] == pii.sanitised(t, want[i]) for i, t in enumerate(texts) if t is not None)
+
+
 def test_term_documents(spark, odd):
     counted = pii.term_documents(odd).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("terms")).first()
     sets = [set(plain(t)) for _, t in texts_of(odd)]
