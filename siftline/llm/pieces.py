@@ -23,19 +23,21 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.words import Tables, slices, sums_by_row, text_bytes
+from siftline.llm.words import Tables, Words, slices, sums_by_row, text_bytes
 
 UNIT = 1_000_000
 UNKNOWN = 10 * UNIT  # beyond the dearest piece
 NEVER = 1 << 60  # the cost of a path that is none
 PARTS_KEPT = 1_000_000  # parts that one Python worker remembers
 LONGEST, BLOCK = 40, 1 << 14  # parts of so many letters, so many at once, take the forward pass in arrays
-_LETTER = 0x9E3779B97F4A7C15
+_LETTER, _SLOTS = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 LISTS_KEPT = 50_000  # and parts whose n cheapest paths it remembers
 _encoders = Tables()  # of this process
+_ANY = np.ones(256, bool)
 
 
 @dataclass
@@ -189,8 +191,33 @@ class PieceTable:
         pieces = [(p, *x) for p, x in vocabulary.known.items() if x]
         self.longest = max(len(p) for p, *_ in pieces)
         prints = np.array([self._print(p) for p, *_ in pieces], np.uint64)
-        order = np.argsort(prints)
-        self.prints, self.ids, self.costs = prints[order], np.array([x[1] for x in pieces], np.int64)[order], np.array([x[2] for x in pieces], np.int64)[order]
+        self.ids, self.costs = np.array([x[1] for x in pieces], np.int64), np.array([x[2] for x in pieces], np.int64)
+        # Two tables of slots: each piece is in one of its two, so a look-up reads four numbers.
+        bits = max(8, int(len(pieces)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        slots = [x.tolist() for x in self._slots(prints)]
+        held = [-1] * (1 << bits), [-1] * (1 << bits)
+        for new in range(len(pieces)):
+            item, side = new, 0
+            for _ in range(500):
+                at = slots[side][item]
+                item, held[side][at] = held[side][at], item
+                if item < 0:
+                    break
+                side = 1 - side
+            else:
+                raise ValueError("the pieces fit into no table")
+        self.held = [np.array(h, np.int64) for h in held]
+        self.keys = [np.where(h >= 0, prints[h], 0) for h in self.held]  # no piece has the fingerprint 0
+
+    def _slots(self, prints: np.ndarray) -> list[np.ndarray]:
+        return [(prints * np.uint64(m)) >> self.shift for m in _SLOTS]
+
+    def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each fingerprint among the pieces, and whether it is one."""
+        one, two = self._slots(prints)
+        first = (self.keys[0][one] == prints) & (prints != 0)
+        return np.where(first, self.held[0][one], self.held[1][two]), first | ((self.keys[1][two] == prints) & (prints != 0))
 
     @staticmethod
     def _print(piece: str) -> int:
@@ -214,8 +241,7 @@ class PieceTable:
             prints = np.zeros(n, np.uint64)
             for j in range(i + 1, min(length, i + self.longest) + 1):
                 prints = prints * np.uint64(_LETTER) + letters[j - 1]
-                spot = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-                hit = self.prints[spot] == prints
+                spot, hit = self.find(prints)
                 cost, own = self.costs[spot], self.ids[spot]
                 if j == i + 1:
                     cost, own = np.where(hit, cost, self.byte_cost), np.where(hit, own, -1)
@@ -243,6 +269,13 @@ class PieceTable:
         return turned, counts, first[length], np.minimum(second[length], NEVER), sure
 
 
+def _gathered(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``values``, one after another, and where each begins."""
+    sizes = at[which + 1] - at[which]
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    return values[np.arange(int(begin[-1])) + np.repeat(at[which] - begin[:-1], sizes)], begin
+
+
 class Encoder:
     """Segments columns of texts; remembers the parts it has seen."""
 
@@ -257,6 +290,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.vocabulary, self.n, self.table = vocabulary, n, PieceTable(vocabulary)
         self.split = re.compile(vocabulary.parts).findall
+        self.cuts = vocabulary.parts.startswith(" *")
         sizes = np.array([len(t) for t in vocabulary.texts])
         self.piece_at = np.concatenate(([0], np.cumsum(sizes)))
         self.piece_bytes = np.frombuffer(b"".join(vocabulary.texts), np.uint8)
@@ -265,55 +299,101 @@ class Encoder:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.names: list[str] = []
+        self.chunks: dict[int, int] = {}
+        self.chunk_parts, self.chunk_at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.lists: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
         self.ids, self.at, self.cost, self.next = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _learn(self, new: list[str]) -> None:
         """Remember the best ids and the two cheapest costs of unseen parts."""
-        found: dict[str, tuple] = {}
         by_length: dict[int, list[str]] = {}
         for part in new:
             by_length.setdefault(len(part), []).append(part)
+        names: list[str] = []
+        ids, sizes, costs, after = [], [], [], []
         for length, group in by_length.items():
             for lo in range(0, len(group), BLOCK):
                 block = group[lo : lo + BLOCK]
-                left = range(len(block))
                 if length <= LONGEST:
-                    ids, counts, first, second, sure = self.table.two_cheapest(block)
-                    found.update((block[i], (ids[i, : counts[i]], first[i], second[i])) for i in np.flatnonzero(sure).tolist())
-                    left = np.flatnonzero(~sure).tolist()
-                found.update((block[i], self.vocabulary.best_two(block[i])) for i in left)
-        k, rows = len(self.number), [found[part] for part in new]
-        sizes = np.array([len(r[0]) for r in rows], np.int64)
-        ends = int(self.at[k]) + np.cumsum(sizes)
-        while k + len(new) >= len(self.at):
+                    own, counts, first, second, sure = self.table.two_cheapest(block)
+                    names += [block[i] for i in np.flatnonzero(sure).tolist()]
+                    ids.append(own[sure][np.arange(length) < counts[sure, None]])
+                    sizes.append(counts[sure])
+                    costs.append(first[sure])
+                    after.append(second[sure])
+                    block = [block[i] for i in np.flatnonzero(~sure).tolist()]
+                found = [self.vocabulary.best_two(part) for part in block]
+                names += block
+                ids.append(np.array([x for f in found for x in f[0]], np.int32))
+                for out, values in ((sizes, [len(f[0]) for f in found]), (costs, [f[1] for f in found]), (after, [f[2] for f in found])):
+                    out.append(np.array(values, np.int64))
+        k, flat, cost, second = len(self.number), np.concatenate(ids), np.concatenate(costs), np.concatenate(after)
+        ends = int(self.at[k]) + np.cumsum(np.concatenate(sizes))
+        while k + len(names) >= len(self.at):
             self.at, self.cost, self.next = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.cost, self.next))
         while ends[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.at[k] : ends[-1]] = np.concatenate([r[0] for r in rows])
-        self.at[k + 1 : k + 1 + len(new)] = ends
-        self.cost[k : k + len(new)] = cost = np.array([r[1] for r in rows], np.int64)
-        after = np.array([r[2] for r in rows], np.int64)
-        self.next[k : k + len(new)] = np.where(after < NEVER, after - cost, NEVER)
-        self.number.update(zip(new, range(k, k + len(new))))
-        self.names += new
-
-    def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Part numbers of all texts, and where each text's parts begin."""
-        if len(self.number) > PARTS_KEPT:
-            self._forget()
-        own = [self.split(" " + text) if text else [] for text in texts]
+        self.ids[self.at[k] : ends[-1]] = flat
+        self.at[k + 1 : k + 1 + len(names)] = ends
+        self.cost[k : k + len(names)] = cost
+        self.next[k : k + len(names)] = np.where(second < NEVER, second - cost, NEVER)
+        self.number.update(zip(names, range(k, k + len(names))))
+        self.names += names
+
+    def _numbers(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """Part numbers of texts, one after another, and how many each has."""
+        own = [self.split(text) for text in texts]
         flat = list(itertools.chain.from_iterable(own))
         new = [p for p in dict.fromkeys(flat) if p not in self.number]
         if new:
             self._learn(new)
-        return np.array(list(map(self.number.__getitem__, flat)), np.int64), np.cumsum([0, *map(len, own)])
+        return list(map(self.number.__getitem__, flat)), list(map(len, own))
+
+    def parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Part numbers of all texts, and where each text's parts begin.
+
+        Where parts don't go over the start of a run of spaces, a text is cut there and the parts of each
+        distinct chunk are remembered.
+        """
+        if len(self.number) > PARTS_KEPT or len(self.chunks) > PARTS_KEPT:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+        if not self.cuts:
+            flat, counts = self._numbers(texts.to_pylist())
+            return np.array(flat, np.int64), np.cumsum([0, *counts])
+        words = Words(texts, _ANY)
+        space = words.data == 0x20
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        begins[words.rows[:-1][np.diff(words.rows) > 0]] = True
+        words.starts = np.flatnonzero(begins)
+        words.ends = np.append(words.starts[1:], len(words.data))[: len(words.starts)]
+        chunk_at = np.searchsorted(words.starts, words.rows)
+        prints, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        values = prints.tolist()
+        spots = list(map(self.chunks.get, values))
+        new = [i for i, s in enumerate(spots) if s is None]
+        if new:
+            raw, begin, end = words.data.tobytes(), words.starts[first].tolist(), words.ends[first].tolist()
+            flat, counts = self._numbers([raw[begin[i] : end[i]].decode() for i in new])
+            k = len(self.chunks)
+            ends = int(self.chunk_at[k]) + np.cumsum(counts)
+            while k + len(new) >= len(self.chunk_at):
+                self.chunk_at = np.concatenate((self.chunk_at, np.zeros_like(self.chunk_at)))
+            while ends[-1] > len(self.chunk_parts):
+                self.chunk_parts = np.concatenate((self.chunk_parts, np.zeros_like(self.chunk_parts)))
+            self.chunk_parts[self.chunk_at[k] : ends[-1]] = flat
+            self.chunk_at[k + 1 : k + 1 + len(new)] = ends
+            self.chunks.update(zip([values[i] for i in new], range(k, k + len(new))))
+            spots = list(map(self.chunks.get, values))
+        chunk = np.array(spots, np.int64)[inverse]
+        parts, begin = _gathered(self.chunk_parts, self.chunk_at, chunk)
+        return parts, begin[chunk_at]
 
     def gather(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best ids of the parts, one after another, and where each part begins."""
-        sizes = self.at[parts + 1] - self.at[parts]
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        return self.ids[np.arange(int(begin[-1])) + np.repeat(self.at[parts] - begin[:-1], sizes)], begin
+        return _gathered(self.ids, self.at, parts)
 
     def _list(self, part: int) -> list[tuple[int, tuple[int, ...]]]:
         """The n cheapest paths of a part, searched once."""
@@ -345,9 +425,7 @@ class Encoder:
 
     def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the pieces, one after another, and where each piece's bytes begin."""
-        sizes = self.piece_at[ids + 1] - self.piece_at[ids]
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        return self.piece_bytes[np.arange(int(begin[-1])) + np.repeat(self.piece_at[ids] - begin[:-1], sizes)], begin
+        return _gathered(self.piece_bytes, self.piece_at, ids)
 
 
 def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
@@ -365,7 +443,7 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     def segment(batches):
         encoder = Encoder.of(key, shared.value, n)
         for batch in batches:
-            for lo, hi in slices(batch.column(1), 1 << 20):
+            for lo, hi in slices(batch.column(1), 2 << 20):
                 part = batch.slice(lo, hi - lo)
                 yield _segmented(encoder, part)
 
@@ -376,7 +454,7 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
 
 
 def _segmented(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
-    parts, at = encoder.parts(batch.column(1).to_pylist())
+    parts, at = encoder.parts(batch.column(1))
     ids, begin = encoder.gather(parts)
     doc_at = begin[at]
     back, piece_at = encoder.decoded(ids)

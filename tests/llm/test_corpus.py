@@ -204,7 +204,7 @@ def test_forward_pass_and_merged_choices():
     for n in (3, 10):
         encoder = pieces.Encoder(vocabulary, n)
         for text in ("the, (in).", "a a a a", "see the cat", "éa ,."):
-            parts, _ = encoder.parts([text])
+            parts, _ = encoder.parts(pa.array([text]))
             got = []
             for cost, changed in encoder.choices(parts):
                 ids = [x for p, k in enumerate(parts.tolist()) for x in changed.get(p, encoder.ids[encoder.at[k] : encoder.at[k + 1]].tolist())]
