@@ -93,15 +93,31 @@ def representatives(members: DataFrame, nodes: DataFrame, id_col: str, group: st
 
 
 def closure(edges: DataFrame, roots: DataFrame, parent: str, child: str, node: str = "node") -> DataFrame:
-    """Every node reached from the roots, with its depth; cycles end by themselves."""
-    reached = cut(roots.select(F.col(node), F.lit(0).alias("depth")).distinct())
-    frontier = reached
-    while not frontier.isEmpty():
-        step = edges.join(frontier.select(F.col(node).alias(parent), "depth"), parent)
-        fresh = step.groupBy(F.col(child).alias(node)).agg((F.min("depth") + 1).alias("depth"))
-        frontier = cut(fresh.join(reached.select(node), node, "left_anti"))
-        reached = reached.unionAll(frontier)
-    return reached
+    """Every node reached from the roots, with its least depth; cycles end by themselves.
+
+    A node with one parent is one deeper than it. Such runs are contracted by doubling pointers
+    (``chain_roots``), so a chain or a tree of any depth takes rounds in the order of its logarithm.
+    What is left are edges with lengths between roots and nodes of several parents; their depths are
+    relaxed, and only nodes whose depth has fallen go into the next round.
+    """
+    start = cut(roots.select(F.col(node).alias("_node")).distinct())
+    links = edges.select(F.col(parent).alias("_up"), F.col(child).alias("_node")).filter("_up IS NOT NULL AND _node IS NOT NULL AND _up != _node").distinct()
+    links = cut(links.join(start, "_node", "left_anti"))
+    one = links.groupBy("_node").agg(F.count(F.lit(1)).alias("_n"), F.min("_up").alias("_up"))
+    ups = links.select(F.col("_up").alias("_node")).union(start).distinct().join(one.select("_node"), "_node", "left_anti")
+    tops = ups.select("_node", F.lit(None).alias("_up"))
+    held = one.select("_node", F.when(F.col("_n") == 1, F.col("_up")).alias("_up")).unionByName(tops)
+    chains = cut(chain_roots(held, "_node", "_up").filter("root IS NOT NULL").select(F.col("node").alias("_node"), F.col("root").alias("_top"), "hops"))
+    many = one.filter("_n > 1").select("_node")
+    long = cut(links.join(many, "_node", "left_semi").join(chains.withColumnRenamed("_node", "_up"), "_up").groupBy("_top", "_node").agg((F.min("hops") + 1).alias("_length")))
+    best = cut(start.withColumn("depth", F.lit(0).cast("long")))
+    fallen = best
+    while not fallen.isEmpty():
+        offered = long.join(fallen.withColumnRenamed("_node", "_top"), "_top").groupBy("_node").agg(F.min(F.col("depth") + F.col("_length")).alias("_new"))
+        fallen = cut(offered.join(best, "_node", "left").filter("depth IS NULL OR _new < depth").select("_node", F.col("_new").alias("depth")))
+        best = cut(best.join(fallen.select("_node"), "_node", "left_anti").unionByName(fallen))
+    reached = chains.join(best.withColumnRenamed("_node", "_top"), "_top")
+    return reached.select(F.col("_node").alias(node), (F.col("depth") + F.col("hops")).cast("int").alias("depth"))
 
 
 def chain_roots(links: DataFrame, node: str, parent: str) -> DataFrame:

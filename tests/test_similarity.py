@@ -140,6 +140,47 @@ def test_closure_and_chains(spark, rows):
     assert got[100] == (None, None) and got[200] == (200, 0)
 
 
+def test_closure_of_deep_and_tangled_graphs(spark, rows):
+    deep = spark.range(10000).select(F.col("id").alias("p"), (F.col("id") + 1).alias("c"))
+    got = cluster.closure(deep, spark.createDataFrame([(0,)], "node long"), "p", "c")
+    assert got.filter("depth = node").count() == 10001 == got.count()
+    rng = random.Random(12)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(75)] + [(i, i + 1) for i in range(100, 140)] + [(5, 100), (140, 7), (None, 3), (3, None), (2, 2)]
+    roots = [0, 5, 77, 5]
+    depth = {r: 0 for r in roots}
+    todo = list(depth)
+    while todo:
+        x = todo.pop(0)
+        for p, c in edges:
+            if p == x and c is not None and c not in depth:
+                depth[c] = depth[x] + 1
+                todo.append(c)
+    got = cluster.closure(spark.createDataFrame(edges, "p int, c int"), spark.createDataFrame([(r,) for r in roots], "node int"), "p", "c")
+    assert rows(got) == sorted(depth.items(), key=str)
+    assert rows(cluster.closure(spark.createDataFrame([], "p int, c int"), spark.createDataFrame([(4,)], "node int"), "p", "c")) == [(4, 0)]
+
+
+def test_selection_scans_less_than_it_picks(spark, monkeypatch):
+    rng = random.Random(3)
+    data = [(i, rng.random(), rng.random(), rng.random()) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, q double, x double, y double")
+
+    def measure(p):
+        return F.abs(F.col("x") - F.lit(p["x"])), F.abs(F.col("y") - F.lit(p["y"]))
+
+    scans, plain = [], select._scan
+    monkeypatch.setattr(select, "_scan", lambda *a: scans.append(1) or plain(*a))
+    got = [(r["id"], round(r["utility"] or 0, 12)) for r in select.select_diverse(df, 8, "id", "q", measure, (0.6, 0.2, 0.2), shortlist=64).orderBy("selection_rank").collect()]
+    picks, want = [max(data, key=lambda r: (r[1], r[0]))], []
+    want.append((picks[0][0], 0))
+    while len(picks) < 8:
+        worth = lambda r: 0.6 * r[1] + 0.2 * min(abs(r[2] - p[2]) for p in picks) + 0.2 * min(abs(r[3] - p[3]) for p in picks)
+        best = max((r for r in data if r not in picks), key=lambda r: (worth(r), r[1], r[0]))
+        want.append((best[0], round(worth(best), 12)))
+        picks.append(best)
+    assert got == want and 0 < len(scans) < 7
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -258,7 +299,7 @@ def test_selection_matches_greedy_loop(spark):
         geo = F.least(F.lit(1.0), similarity.vector_distance(F.col("v"), F.array(*[F.lit(x) for x in pick["v"]])) / 2.0)
         return (F.col("g") != pick["g"]).cast("double"), geo
 
-    got = [(r["id"], r["utility"]) for r in select.select_diverse(df, 6, "id", "q", measure, (0.5, 0.3, 0.2), cut_every=2).orderBy("selection_rank").collect()]
+    got = [(r["id"], r["utility"]) for r in select.select_diverse(df, 6, "id", "q", measure, (0.5, 0.3, 0.2), shortlist=3).orderBy("selection_rank").collect()]
     chosen = [max(nodes, key=lambda n: (n[1], n[0]))]
     scores = [None]
     while len(chosen) < 6:
