@@ -118,46 +118,58 @@ def lagged(df: DataFrame, by: Sequence[str], order: Sequence, cols: Sequence[str
     return out.select(*df.columns, *[f"prev_{c}" for c in cols])
 
 
-def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str], bound: int = PLAIN_GROUP_ROWS) -> DataFrame:
-    """Exact interpolated medians per group, one row per group, columns ``median_<col>``.
+DIGITS = (6, 22, 38)  # bits behind the point of the place of a value at each pass
 
-    While no group exceeds ``bound`` rows Spark's own median does it. Otherwise equal values are
-    counted first; groups still above ``bound`` distinct values take the middle ranks from chunked
-    running counts.
+
+def value_place(value: Column) -> Column:
+    """A number that rises with the value: its binary logarithm, straight between powers of two, and its sign.
+
+    Where the logarithm is rounded up to the next power, the place stays below that of the power.
     """
-    if groups_fit(df, by, bound):
-        return df.groupBy(*by).agg(*[F.median(F.col(c).cast("double")).alias(f"median_{c}") for c in cols])
-    long = df.select(
-        *by,
-        F.explode(F.array(*[
-            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols
-        ])).alias("_m"),
-    ).select(*by, "_m.metric", "_m.value")
-    counts = stage_table(
-        long.filter(F.col("value").isNotNull()).groupBy(*by, "metric", "value").agg(F.count(F.lit(1)).alias("_n")),
-        "values",
-    )
-    keys = [*by, "metric"]
-    if groups_fit(counts, keys, bound):
-        return counts.groupBy(*by).agg(*[
-            F.percentile(F.when(F.col("metric") == c, F.col("value")), F.lit(0.5), F.col("_n")).alias(f"median_{c}")
-            for c in cols
-        ])
-    placed = running(counts, keys, ["value"], {"_upto": F.col("_n")}, bound=bound)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    renamed = totals.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_total")
-    cond = F.lit(True)
-    for c in keys:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    joined = placed.join(renamed, cond)
-    lo = F.floor((F.col("_total") + 1) / 2)
-    hi = F.floor(F.col("_total") / 2) + 1
-    first = F.col("_upto") - F.col("_n") + 1
-    picked = joined.filter((F.col("_upto") >= lo) & (first <= hi))
-    # One value covering both middle ranks, or two values covering one each: the mean either way.
-    return picked.groupBy(*by).agg(
-        *[F.avg(F.when(F.col("metric") == c, F.col("value"))).alias(f"median_{c}") for c in cols]
-    )
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    # 2^-exponent in two factors, as one of them alone can be beyond the range of a double.
+    scaled = size * F.pow(F.lit(2.0), -F.floor(exponent / 2)) * F.pow(F.lit(2.0), -(exponent - F.floor(exponent / 2)))
+    own = F.signum(value) * (exponent + scaled - 1 + 1100)
+    return F.when(F.isnan(value), F.lit(8000.0)).when(size == float("inf"), F.signum(value) * 4000).when(size == 0, F.lit(0.0)).otherwise(own)
+
+
+def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Exact interpolated medians per group, one row per group with a value, columns ``median_<col>``.
+
+    Radix selection. Equal values are counted, in map tasks first. Each pass counts the values of a
+    group by a few more digits of their place, finds the digits of both middle ranks by a running sum
+    over at most 2^18 counts, and keeps only the values there; the last pass sees at most 2^15 values.
+    No group is sorted whole, one plan serves groups of any size, and nothing runs before the action.
+    NaN is the largest value; missing values don't count.
+    """
+    key = F.struct(F.lit(0).alias("_0"), *by).alias("_g")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("_m")
+    long = df.select(key, cells).select("_g", "_m.metric", "_m.value").filter("value IS NOT NULL")
+    counts = long.groupBy("_g", "metric", "value").agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", value_place(F.col("value")))
+    digit = lambda bits: F.floor(F.col("_place") * F.lit(2.0**bits))
+    keys = ["_g", "metric"]
+
+    def middle(found: DataFrame, keys: Sequence[str], order: str, rank: Column) -> DataFrame:
+        """Of each running sum in ``order`` the rows that hold a rank, with the rank among their own values."""
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        placed = found.withColumns({"_upto": upto, "_rank": rank})
+        return placed.filter((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))).withColumn("_rank", F.col("_rank") - F.col("_upto") + F.col("_n"))
+
+    first = counts.groupBy(*keys, digit(DIGITS[0]).alias("_digit")).agg(F.sum("_n").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor((F.col("_total") + 1) / 2).alias("r")), F.struct(F.lit(1).alias("which"), (F.floor(F.col("_total") / 2) + 1).alias("r")))).alias("_q")
+    both = first.withColumn("_total", total).select("*", ranks).select(*keys, "_digit", "_n", "_q.which", "_q.r")
+    target = middle(both, [*keys, "which"], "_digit", F.col("r")).select(*keys, "which", "_rank", "_digit")
+    for bits, finer in zip(DIGITS, (*DIGITS[1:], None)):
+        here = counts.withColumn("_digit", digit(bits)).join(target, [*keys, "_digit"])
+        order = "value" if finer is None else "_finer"
+        if finer is not None:
+            here = here.groupBy(*keys, "which", "_rank", digit(finer).alias("_finer")).agg(F.sum("_n").alias("_n"))
+        found = middle(here, [*keys, "which"], order, F.col("_rank"))
+        target = found.select(*keys, "which", "_rank", F.col(order).alias("_digit"))
+    half = lambda c: F.sum(F.when(F.col("metric") == c, 0.5 * F.col("_digit"))).alias(f"median_{c}")
+    return target.groupBy("_g").agg(*[half(c) for c in cols]).select(*[F.col("_g")[c].alias(c) for c in by], *[f"median_{c}" for c in cols])
 
 
 def chunk_digest(df: DataFrame, by: Sequence[str], order: Sequence, line: Column, size: int = 65536) -> DataFrame:

@@ -56,10 +56,9 @@ def test_lagged(skewed, bound):
             prev = (r[2], r[3])
 
 
-@pytest.mark.parametrize("bound", [0, 320, 10**6])
-def test_medians(skewed, bound):
+def test_medians(skewed):
     df, data = skewed
-    got = {r["k"]: (r["median_v"], r["median_o"]) for r in ordered.medians(df, ["k"], ["v", "o"], bound=bound).collect()}
+    got = {r["k"]: (r["median_v"], r["median_o"]) for r in ordered.medians(df, ["k"], ["v", "o"]).collect()}
     for k, members in grouped(data).items():
         assert got[k] == (statistics.median(r[3] for r in members), statistics.median(r[1] for r in members))
 
@@ -98,6 +97,27 @@ def test_islands(spark, rows):
 
 def test_null_and_even_medians(spark, rows):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), ("b", None)], "k string, v double")
-    for bound in (0, 10):
-        got = {r["k"]: r["median_v"] for r in ordered.medians(df, ["k"], ["v"], bound=bound).collect()}
-        assert got.get("a") == 1.5 and got.get("b") is None
+    got = {r["k"]: r["median_v"] for r in ordered.medians(df, ["k"], ["v"]).collect()}
+    assert got.get("a") == 1.5 and got.get("b") is None
+
+
+def test_medians_of_all_doubles(spark):
+    rng, inf = random.Random(7), float("inf")
+    tiny = [5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 0.0, -0.0, inf, -inf]
+    draw = {
+        "near": lambda: 100 + rng.random() * 1e-9, "wide": lambda: rng.choice([-1, 1]) * 2.0 ** rng.uniform(-1074, 1023), "edges": lambda: rng.choice(tiny) * rng.choice([-1, 1]),
+        "powers": lambda: 2.0 ** rng.randint(-1070, 1020) * (1 + rng.choice([0, 2**-52, -(2**-53)])), None: lambda: float(rng.randint(-3, 3)), "one": lambda: 7.5,
+    }
+    data = [(k, f()) for k, f in draw.items() for _ in range(rng.choice([200, 301]))]
+    df = spark.createDataFrame(data, "k string, v double")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    plan = ordered.medians(df, ["k"], ["v"])
+    assert not jobs.getJobIdsForGroup("plan")  # nothing runs before the action
+    got = {r["k"]: r["median_v"] for r in plan.collect()}
+    spark.sparkContext.setJobGroup("tests", "tests")
+    for k in draw:
+        own = sorted(v for g, v in data if g == k)
+        assert got[k] == 0.5 * own[(len(own) - 1) // 2] + 0.5 * own[len(own) // 2], k
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "v double")
+    assert ordered.medians(nan, [], ["v"]).first()["median_v"] == 2.0
