@@ -225,10 +225,11 @@ def phrase_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text
     A null item id is named ``null``; null texts have no phrases.
     """
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("name"), F.coalesce(text, F.lit("")).alias("text"))
+    items = stage_table(items.withColumn("row", F.monotonically_increasing_id()), "phrases")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     blocks = 1 + total // block_bytes
     for b in range(blocks):
-        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
+        block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b)
         found = block.collect()
         yield Phrases.of([r["name"] for r in found], [r["text"] for r in found])
 
@@ -314,15 +315,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """The rows of ``docs``, all columns, that are not contaminated in any block of ``benchmark``.
 
     Whether a document is contaminated depends on all blocks together, so with several blocks the
-    hit words of a row are gathered as spans first; with one block rows are filtered as they pass.
+    hit words of a row are gathered as spans first, by row number; with one block rows are filtered as
+    they pass. Null and empty texts stay. Repeated rows stay or go together; columns may have any names.
     """
     blocks = phrase_blocks(benchmark, block_bytes=block_bytes)
     first = next(blocks)
     second = next(blocks, None)
     if second is not None:
-        rest = contamination(docs.withColumn("_key", F.xxhash64(F.coalesce(text, F.lit("")))), benchmark, "_key", text, block_bytes)
-        bad = rest.filter("contaminated").select("_key").distinct()
-        return docs.withColumn("_key", F.xxhash64(F.coalesce(text, F.lit("")))).join(bad, "_key", "left_anti").select(*docs.columns)
+        numbered = stage_table(docs.select(F.struct(*docs.columns).alias("own"), F.monotonically_increasing_id().alias("number")), "numbered")
+        asked = numbered.select("number", F.col("own")[text].alias("text"))
+        bad = contamination(asked, benchmark, "number", "text", block_bytes).filter("contaminated").select("number")
+        return numbered.join(bad, "number", "left_anti").select(*[F.col("own")[c].alias(c) for c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(first.plain())
 
     def clean(batches):

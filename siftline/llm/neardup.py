@@ -186,26 +186,38 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """One row per id: ``class_id`` (smallest id of its class), ``copy_of``, ``n_links``.
+    """One row per row of ``docs``: its id, ``class_id`` (smallest id of its class), ``copy_of``, ``links_found``.
 
     Classes are the components of links of at least ``similarity`` between word sequences; equal word
-    sequences are copies of their smallest id. ``n_links`` counts the links found between ``copy_of``
-    and other texts. Ids are taken to name one text; null ids give no row. Null texts and texts
-    without words are each a class of their own. With the default bands a link at 0.8 is missed with
-    probability 3e-6, above it less.
+    sequences are copies of their smallest id. ``links_found`` counts the links that the search has met
+    between the text and other texts; members of a large class are joined without trying all its pairs.
+    Rows are told apart by number: repeated ids are rows of their own, a null id is larger than all.
+    Null texts and texts without words are each a class of their own. Texts of any length are whole;
+    other columns are not looked at. With the default bands a link at 0.8 is missed with probability
+    3e-6, above it less.
     """
-    ids = docs.filter(F.col(doc_id).isNotNull())
-    signed = stage_table(_signed(ids, doc_id, text, bands, band_rows), "signed")
+    numbered = stage_table(docs.select(F.monotonically_increasing_id().alias("number"), F.col(doc_id).alias("id"), F.col(text).alias("text")), "numbered")
+    found = _classed(numbered, similarity, bands, band_rows)
+    return found.select(F.col("own.id").alias(doc_id), F.col("least.id").alias("class_id"), F.col("first.id").alias("copy_of"), "links_found")
+
+
+def _classed(numbered: DataFrame, similarity: float, bands: int, band_rows: int) -> DataFrame:
+    """``number``, and as (null id, id, number): ``own``, ``first`` of its copies and ``least`` of its class."""
+    signed = stage_table(_signed(numbered, "number", "text", bands, band_rows), "signed")
     some = signed.filter("n_words > 0")
     copies = some.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"))
     reps = some.join(copies.select(F.col("rep").alias("id")), "id", "left_semi")
-    texts = ids.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    texts = numbered.select(F.col("number").alias("id"), "text")
     links, roots = _linked(reps, texts, similarity)
-    members = signed.join(copies, ["key_a", "key_b"], "left").select("id", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("id")).alias("copy_of"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    members = signed.join(copies, ["key_a", "key_b"], "left").select("id", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links_found"))
     known = degree.join(roots, "node", "left")
-    out = members.join(known, F.col("copy_of") == F.col("node"), "left")
-    return out.select(F.col("id").alias(doc_id), F.coalesce("root", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    placed = members.join(known, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("number"), "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("links_found", F.lit(0).cast("long")).alias("links_found"))
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "number").alias("own")
+    placed = stage_table(placed.join(numbered.select("number", own), "number"), "placed")
+    first = placed.groupBy("rep").agg(F.min("own").alias("first"))
+    least = placed.groupBy("root").agg(F.min("own").alias("least"))
+    return placed.join(first, "rep").join(least, "root").select("number", "own", "first", "least", "links_found")
 
 
 def _linked(reps: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +316,12 @@ def _bags(texts: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, but those whose class has a smaller id; null ids stay."""
-    classes = near_duplicates(docs, doc_id, text, similarity)
-    gone = classes.filter(F.col(doc_id) != F.col("class_id")).select(F.col(doc_id).alias("_gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, all columns, but one row stays of each class: the one of the smallest id.
+
+    Of rows that repeat an id one stays; rows without id stay only where no row of their class has one.
+    Rows without words all stay. Columns may have any names.
+    """
+    numbered = stage_table(docs.select(F.monotonically_increasing_id().alias("number"), F.col(doc_id).alias("id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row")), "numbered")
+    found = _classed(numbered, similarity, BANDS, BAND_ROWS)
+    kept = found.filter(F.col("own.number") == F.col("least.number")).select("number")
+    return numbered.join(kept, "number", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import chat, collocations, decontam, langid, lexical, licences, neardup, packing, pieces, pii, quality, secret_scan, substrings
 from siftline.llm.registry import ORACLES, QUERIES, query, span_text
+from siftline.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -130,7 +131,7 @@ def _op6(t):
 
 @query("op7_secrets", _span_sql([(r.kind, r.pattern, r.group, r.least) for r in secret_scan.RULES], _SECRETS))
 def _op7(t):
-    found, _ = secret_scan.scan_blobs(t.documents)
+    found = secret_scan.scan_version(t.documents, scratch_path(t.documents.sparkSession, "ledger"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin(*_SECRETS))
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in _SECRETS], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))

@@ -69,31 +69,60 @@ def scan_blobs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
 
     ``ledger`` rows: ``blob``, ``rule`` (kind@version), ``spans``; one row per scanned pair. Findings
     have one row per row of ``docs``: id, ``blob``, ``spans`` sorted by start, then by order of the
-    rules. A null text is the blob of the empty text. Equal texts are scanned once and share their
-    findings; null and repeated ids are fine.
+    rules. A null text is the blob of the empty text. Equal texts are scanned once, whatever their ids,
+    and share their findings; null and repeated ids are fine. Texts of any length are whole; other
+    columns are not looked at.
     """
+    versions = _versions(docs, doc_id, text)
+    new = _unseen(versions, rules, ledger)
+    names = [r.name for r in rules]
+    known = new if ledger is None else ledger.filter(F.col("rule").isin(names)).select("blob", "rule", "spans").unionByName(new)
+    return _by_path(versions, known, doc_id), new
+
+
+def _versions(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    versions = docs.select(F.col(doc_id).alias("_path"), body.alias("_text"), F.sha2(body, 256).alias("_blob"))
+    return docs.select(F.col(doc_id).alias("_path"), body.alias("_text"), F.sha2(body, 256).alias("_blob"))
+
+
+def _unseen(versions: DataFrame, rules: Sequence[SecretRule], ledger: DataFrame | None) -> DataFrame:
+    """(blob, rule, spans) of the pairs that the ledger doesn't have. Copies are put together in map tasks first."""
     names = [r.name for r in rules]
-    carriers = versions.groupBy("_blob").agg(F.min("_path").alias("_carrier"))
+    blobs = versions.groupBy("_blob").agg(F.first("_text").alias("_text"))
     if ledger is not None:
         seen = ledger.filter(F.col("rule").isin(names)).groupBy("blob").agg(F.collect_set("rule").alias("_seen"))
-        carriers = carriers.join(seen, F.col("_blob") == F.col("blob"), "left").drop("blob").withColumn("_seen", F.coalesce("_seen", F.array().cast("array<string>")))
-        carriers = carriers.filter(F.size("_seen") < len(names))
-    picked = carriers.withColumnRenamed("_blob", "_wanted")
-    unseen = versions.join(picked, F.col("_path").eqNullSafe(F.col("_carrier")) & (F.col("_blob") == F.col("_wanted")))
+        blobs = blobs.join(seen, F.col("_blob") == F.col("blob"), "left").drop("blob").withColumn("_seen", F.coalesce("_seen", F.array().cast("array<string>")))
+        blobs = blobs.filter(F.size("_seen") < len(names))
     fresh = lambda rule: F.lit(True) if ledger is None else ~F.array_contains("_seen", rule.name)
     scans = F.array(*[F.when(fresh(r), F.struct(F.lit(r.name).alias("rule"), _spans(F.col("_text"), r, k).alias("spans"))) for k, r in enumerate(rules)])
-    # Rows that repeat both id and text would scan a blob twice; the count of a blob's rows is small.
-    scanned = unseen.select(F.col("_blob").alias("blob"), F.array_compact(scans).alias("_scans"))
-    scanned = scanned.groupBy("blob").agg(F.first("_scans").alias("_scans"))
-    new = scanned.select("blob", F.inline("_scans"))
-    known = new if ledger is None else ledger.filter(F.col("rule").isin(names)).select("blob", "rule", "spans").unionByName(new)
+    return blobs.select(F.col("_blob").alias("blob"), F.inline(F.array_compact(scans)))
+
+
+def _by_path(versions: DataFrame, known: DataFrame, doc_id: str) -> DataFrame:
     # Only blobs with a finding go back to paths; a path without one has no spans.
     found = known.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     paths = versions.select(F.col("_path").alias(doc_id), F.col("_blob").alias("_at"))
     joined = paths.join(found, F.col("_at") == F.col("blob"), "left")
-    return joined.select(doc_id, F.col("_at").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), new
+    return joined.select(doc_id, F.col("_at").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+LEDGER = "blob string, rule string, spans " + SPANS
+
+
+def scan_version(docs: DataFrame, ledger_path: str, doc_id: str = "doc_id", text: str = "text", rules: Sequence[SecretRule] = RULES) -> DataFrame:
+    """Findings by path, as ``scan_blobs`` gives them, from a ledger kept at ``ledger_path``.
+
+    Pairs of blob and rule version that the ledger has are not scanned; the others are, and are appended
+    to it. The first version of a history makes the ledger. One run at a time may append. A run that
+    dies leaves the ledger as it was.
+    """
+    spark = docs.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    ledger = spark.read.schema(LEDGER).parquet(ledger_path) if there else None
+    versions = _versions(docs, doc_id, text)
+    _unseen(versions, rules, ledger).write.mode("append").parquet(ledger_path)
+    return _by_path(versions, spark.read.schema(LEDGER).parquet(ledger_path).filter(F.col("rule").isin([r.name for r in rules])), doc_id)
 
 
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
@@ -113,10 +142,12 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: S
     """The rows of ``docs``, all columns, with secrets in ``text`` masked.
 
     Each blob is scanned once and its findings go to all rows that hold it. A null text stays null.
+    Repeated rows and null ids are fine; columns may have any names.
     """
     found, _ = scan_blobs(docs, doc_id, text, rules)
-    hit = found.filter(F.size("spans") > 0).groupBy(F.col("blob").alias("_hit_blob")).agg(F.first("spans").alias("_spans"))
-    keyed = docs.withColumn("_own_blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    joined = keyed.join(hit, F.col("_own_blob") == F.col("_hit_blob"), "left")
-    clean = F.when(F.col("_spans").isNotNull(), masked(F.col(text), F.col("_spans"))).otherwise(F.col(text))
-    return joined.withColumn(text, clean).select(*docs.columns)
+    hit = found.filter(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    keyed = docs.select(F.struct(*docs.columns).alias("own"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("at"))
+    joined = keyed.join(hit, F.col("at") == F.col("blob"), "left")
+    body = F.col("own")[text]
+    clean = F.when(F.col("spans").isNotNull(), masked(body, F.col("spans"))).otherwise(body)
+    return joined.select(*[clean.alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ words holds one whole block. Every rolling seven-word window probes the block in
 around a hit are extended: a window of thirteen words is a repeat if the same words start in a
 document with a smaller id. Runs of repeated windows are the maximal exact repeats.
 
-Documents are dealt into shards by a hash of their id, once. A shard sends each of its distinct
+Rows are dealt into shards by their number, so that neither an id nor a text makes a shard large, once. A shard sends each of its distinct
 fingerprints once to the bucket that owns it, packed with all others for that bucket; a bucket
 answers with the fingerprints that are alive. So a passage held by a third of all rows sends one entry per shard, no
 group holds pairs, and shards and buckets are sized by the input.
@@ -138,12 +138,14 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     A word is removed if a window of 13 words that covers it also starts in a document with a smaller
     id. Ids are whole numbers; rows of one id are the same document, each judged for itself; a row
     without id counts as larger than all. Null texts and texts of fewer than 13 words lose nothing.
-    ``kept`` has its words joined by one space. Sequences are told apart by 64-bit fingerprints, on
+    ``kept`` has its words joined by one space. Texts of any length are whole; other columns are not
+    looked at. The numbers of the rows must be the same if an executor is lost: ``docs`` is a table, or
+    made from one without a shuffle. Sequences are told apart by 64-bit fingerprints, on
     top of the anchor that they share.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     shards, buckets = 1 + total // SHARD_BYTES, 1 + total // BUCKET_BYTES
-    dealt = docs.select(F.pmod(F.xxhash64(doc_id, F.when(F.col(doc_id).isNull(), F.col(text))), F.lit(shards)).alias("shard"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     blob, long = pa.binary(), pa.int64()
 
     def send_probes(table: pa.Table) -> pa.Table:

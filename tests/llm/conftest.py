@@ -1,6 +1,6 @@
 import pytest
 
-CLASH = ("id", "n", "n_words", "spans", "blob", "band", "root", "row", "term", "node", "label", "line", "_text", "_id", "shard", "w")
+CLASH = ("id", "n", "n_words", "spans", "blob", "band", "root", "row", "term", "node", "label", "line", "_text", "_id", "shard", "w", "_hit_blob", "_spans", "_own_blob", "_gone", "_key", "own", "number", "at", "body", "_row")
 
 
 @pytest.fixture(scope="session")

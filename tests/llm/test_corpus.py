@@ -92,8 +92,19 @@ def test_near_duplicates(spark, odd, nothing):
     kept = {r["doc_id"] for r in neardup.keep_one(frame).collect()}
     assert kept == {d for d, c in got.items() if d == c}
     rows = [(r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(odd).collect()]
-    assert dict(rows) == classes_by_hand(dict(texts_of(odd)).items()) and neardup.keep_one(odd).columns == odd.columns
-    assert neardup.near_duplicates(nothing).count() == 0
+    assert len(rows) == odd.count() and {d: c for d, c in rows if d is not None} == classes_by_hand(dict(texts_of(odd)).items())
+    assert neardup.keep_one(odd).columns == odd.columns and neardup.near_duplicates(nothing).count() == 0
+
+
+def test_near_duplicates_without_and_with_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    near = long.replace("w40", "changed")
+    docs = [(None, long, 1), (None, long, 2), (3, near, 3), (3, near, 4), (3, "another text under the same number", 5), (None, "alone", 6), (None, "alone", 7), (9, None, 8), (9, None, 9), (None, "", 10)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, place int").repartition(3)
+    got = sorted(map(tuple, neardup.near_duplicates(frame).select("doc_id", "class_id", "copy_of").collect()), key=str)
+    assert got == sorted([(None, 3, None)] * 2 + [(3, 3, 3)] * 3 + [(None, None, None)] * 3 + [(9, 9, 9)] * 2, key=str)
+    kept = {r["place"] for r in neardup.keep_one(frame).collect()}
+    assert len(kept & {3, 4}) == 1 and not kept & {1, 2} and len(kept & {6, 7}) == 1 and {5, 8, 9, 10} <= kept
 
 
 def test_bagminhash_estimates_weighted_jaccard():

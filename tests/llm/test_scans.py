@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import decontam, pii, quality, secret_scan
+from siftline.session import scratch_path
 from tests.llm.conftest import texts_of
 
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -155,6 +156,14 @@ def test_secrets(spark, odd, nothing):
     got = sorted([(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in found.collect()], key=str)
     assert got == sorted([(d, secrets_by_hand(t)) for d, t in rows], key=str)
     assert secret_scan.scan_blobs(odd)[0].count() == odd.count() and secret_scan.scan_blobs(nothing)[0].count() == 0
+    copies = spark.createDataFrame([(None, SECRET_TEXTS[0]), (None, SECRET_TEXTS[0]), (1, SECRET_TEXTS[0]), (1, SECRET_TEXTS[0])], "doc_id long, text string")
+    assert secret_scan.scan_blobs(copies)[1].count() == len(secret_scan.RULES)  # one blob, each rule once
+    path = scratch_path(spark, "ledger")
+    for part in (frame.filter("doc_id < 4"), frame, frame):
+        want = {r["doc_id"]: r["spans"] for r in secret_scan.scan_blobs(part)[0].collect()}
+        assert {r["doc_id"]: r["spans"] for r in secret_scan.scan_version(part, path).collect()} == want
+        kept = spark.read.parquet(path)
+        assert kept.count() == kept.select("blob", "rule").distinct().count() == len(secret_scan.RULES) * part.select(F.coalesce("text", F.lit(""))).distinct().count()
     clean = secret_scan.redact(odd)
     assert clean.columns == odd.columns and sorted(texts_of(clean), key=str) == sorted(texts_of(odd), key=str)
     masked = dict(texts_of(secret_scan.redact(frame)))
