@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.clean import finite, null_token
+from siftline.operators.cluster import closure
+from siftline.session import stage_table
 
 # Fields of an atom line as (name, first column, width), columns counted from 1.
 ATOM_FIELDS = (
@@ -215,25 +217,100 @@ def read_mmcif(spark: SparkSession, paths, categories: dict[str, Sequence[str]],
     }
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for content in batch["content"]:
-            with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-                for item in archive:
-                    if item.isfile() and item.name.endswith(".cif"):
-                        name = item.name.rsplit("/", 1)[-1].removesuffix(".cif")
-                        yield pd.DataFrame({"structure_id": [name], "member": [item.name], "value": [archive.extractfile(item).read().decode("utf-8", "replace")]})
+def _members(suffix: str):
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+                    for item in archive:
+                        if item.isfile() and item.name.endswith(suffix):
+                            yield pd.DataFrame({"member": [item.name], "value": [archive.extractfile(item).read().decode("utf-8", "replace")]})
+
+    return members
+
+
+def _named(texts: DataFrame, wanted: DataFrame | None, suffix: str, by_path: bool) -> DataFrame:
+    path = F.substring(F.col("member"), F.lit(1), F.length("member") - len(suffix))
+    named = texts.select((path if by_path else F.substring_index(path, "/", -1)).alias("structure_id"), "member", "value")
+    return named if wanted is None else named.join(wanted.select("structure_id").distinct(), "structure_id", "left_semi")
 
 
-def read_archives(spark: SparkSession, paths, wanted: DataFrame | None = None) -> DataFrame:
-    """Structure texts inside tar archives as (structure_id, member, value).
+def read_archives(spark: SparkSession, paths, wanted: DataFrame | None = None, suffix: str = ".cif", by_path: bool = False) -> DataFrame:
+    """Structure texts inside compressed tar archives as (structure_id, member, value).
 
-    An archive cannot be split and is one row: many archives of moderate size spread well, one huge
-    archive does not and should be unpacked first. Wanted members are kept before anything is parsed.
+    A compressed archive cannot be split and is one row: many of moderate size spread well; a large plain
+    one is for ``read_plain_archive``. The id is the bare name of the member, which must then be unique,
+    or its path in the archive ``by_path``. Wanted members are kept before anything is parsed.
     """
     files = spark.read.format("binaryFile").load(paths).select("content")
-    texts = files.mapInPandas(_members, "structure_id string, member string, value string")
-    return texts if wanted is None else texts.join(wanted.select("structure_id").distinct(), "structure_id", "left_semi")
+    return _named(files.mapInPandas(_members(suffix), "member string, value string"), wanted, suffix, by_path)
+
+
+BLOCK = 512  # bytes of a tar block
+_LONG_NAME, _EXTENDED = "L", "x"
+
+
+def _header(record: tuple[bytes, int]) -> list[tuple[int, int, str, str, int]]:
+    """(place, place after the data, type, name, size) of a block that reads as a member header."""
+    block, at = record
+    try:
+        item = tarfile.TarInfo.frombuf(bytes(block), "utf-8", "surrogateescape")
+    except tarfile.HeaderError:
+        return []
+    kind = item.type.decode("latin-1")
+    size = item.size if item.isreg() or kind in (_LONG_NAME, "K", _EXTENDED, "g", "X") else 0
+    return [(at, at + 1 + -(-size // BLOCK), kind, item.name, size)]
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """The data blocks of one member, in order, without the filling of the last."""
+    table = table.sort_by("block")
+    data = b"".join(table.column("content").to_pylist())[: table.column("size")[0].as_py()]
+    return pa.table({"at": table.column("at").slice(0, 1), "data": pa.array([data], pa.binary())})
+
+
+def _real_name(kind, data):
+    """The name that an extra header gives the member after it."""
+    if kind == _LONG_NAME:
+        return data.rstrip(b"\0").decode("utf-8", "surrogateescape")
+    while data:
+        length = int(data.split(b" ", 1)[0])
+        key, _, value = data[:length].split(b" ", 1)[1].partition(b"=")
+        if key == b"path":
+            return value[:-1].decode("utf-8", "surrogateescape")
+        data = data[length:]
+    return None
+
+
+def read_plain_archive(spark: SparkSession, path: str, wanted: DataFrame | None = None, suffix: str = ".cif", by_path: bool = True) -> DataFrame:
+    """Structure texts inside one uncompressed tar of any size, read in splits.
+
+    The archive is a row of 512-byte blocks, which Hadoop's fixed-length reader splits. Any block may
+    look like a header, also inside a member, but only those that lie on the chain from the first block
+    on are; the chain is followed by ``closure``, in rounds in the order of its logarithm. Data blocks
+    are moved for members of the wanted suffix only. A member's text is one cell.
+    """
+    blocks = spark.sparkContext.binaryRecords(path, BLOCK).zipWithIndex()
+    found = spark.createDataFrame(blocks.flatMap(_header), "at long, next long, kind string, name string, size long")
+    found = stage_table(found, "headers")
+    first = spark.range(1).select(F.col("id").alias("node"))
+    chain = closure(found.select("at", "next"), first, "at", "next")
+    headers = stage_table(found.join(chain, F.col("at") == F.col("node")).drop("node"), "chain")
+    rows = spark.createDataFrame(blocks.map(lambda x: (x[1], bytearray(x[0]))), "block long, content binary")
+
+    def data(members: DataFrame) -> DataFrame:
+        """(at, data) of members with any data."""
+        parts = members.filter("size > 0").select("at", "size", F.explode(F.sequence(F.col("at") + 1, F.col("next") - 1)).alias("block"))
+        return parts.join(rows, "block").groupBy("at").applyInArrow(_joined, "at long, data binary")
+
+    extra = headers.filter(F.col("kind").isin(_LONG_NAME, _EXTENDED))
+    given = F.udf(_real_name, "string")  # one short row for each long name
+    names = extra.join(data(extra), "at").select(given("kind", "data").alias("_given"), (F.col("depth") + 1).alias("depth"))
+    named = headers.join(names, "depth", "left").withColumn("member", F.coalesce("_given", "name"))
+    members = named.filter(F.col("kind").isin("0", "\0", "7") & F.col("member").endswith(suffix))
+    body = members.join(data(members), "at", "left")
+    texts = body.select("member", F.coalesce(F.decode("data", "UTF-8"), F.lit("")).alias("value"))
+    return _named(texts, wanted, suffix, by_path)
 
 
 NPZ_CHUNK = 65_536  # numbers per frame

@@ -179,6 +179,39 @@ def test_archives(spark, tmp_path, rows):
     assert rows(structures.atom_site(texts, "structure_id", "value"), "structure_id", "atom_name") == [("one", "O5'")]
 
 
+def test_plain_archives_are_read_in_splits(spark, tmp_path):
+    want = {}
+    with tarfile.open(tmp_path / "inner.tar", "w") as out:  # its headers must not count as those of the outer one
+        put(tmp_path, "x.cif", "inner")
+        out.add(tmp_path / "x.cif", "hidden.cif")
+    for name, form in (("pax.tar", tarfile.PAX_FORMAT), ("gnu.tar", tarfile.GNU_FORMAT)):
+        with tarfile.open(tmp_path / name, "w", format=form) as out:
+            for i in range(60):
+                body = f"data_{i}\n" + "é line\n" * (i * 37 % 400)
+                put(tmp_path, "m.cif", body)
+                member = f"d{i % 7}/" + ("long/" * 40 if i % 9 == 0 else "") + f"same{i % 3}_{i // 3}.cif"
+                out.add(tmp_path / "m.cif", member)
+                want[name, member] = body
+                if i % 20 == 0:
+                    out.add(tmp_path / "inner.tar", f"d/{i}.tar")
+                    out.add(tmp_path, f"folder{i}", recursive=False)
+    conf, key = spark.sparkContext._jsc.hadoopConfiguration(), "mapreduce.input.fileinputformat.split.maxsize"
+    conf.set(key, "16384")
+    try:
+        for name in ("pax.tar", "gnu.tar"):
+            path = str(tmp_path / name)
+            assert spark.sparkContext.binaryRecords(path, structures.BLOCK).getNumPartitions() > 5
+            got = structures.read_plain_archive(spark, path).collect()
+            assert {r["member"]: r["value"] for r in got} == {m: v for (n, m), v in want.items() if n == name} and len(got) == 60
+            assert all(r["structure_id"] + ".cif" == r["member"] for r in got)
+            one = structures.read_plain_archive(spark, path, spark.createDataFrame([("same1_5",)], "structure_id string"), by_path=False)
+            assert [r["member"] for r in one.collect()] == ["d2/same1_5.cif"]
+    finally:
+        conf.unset(key)
+    paths = structures.read_archives(spark, str(tmp_path / "pax.tar"), by_path=True)
+    assert paths.select("structure_id").distinct().count() == 60
+
+
 def test_npz(spark, tmp_path, rows):
     np.savez(tmp_path / "a.npz", iptm=np.array([0.5, 0.25]), coords=np.zeros((2, 3, 3), dtype="float32"), flag=np.array([True]))
     schema, values = structures.read_npz(spark, str(tmp_path / "a.npz"))
