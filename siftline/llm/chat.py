@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,18 @@ def value_paths(value: Column) -> Column:
     return text
 
 
+def _part(value: Column, m: Mapping) -> Column:
+    """Whether the part of a record that a mapping needs has the mapping's fingerprint."""
+    inner = lambda p: F.try_variant_get(value, f"$.{p}", "variant")
+    if m.turns:
+        paths = F.concat(F.lit(f"{{{m.turns}:"), value_paths(inner(m.turns)), F.lit("}"))
+    else:
+        names = [p for _, own in m.fields for p in own]
+        plain = [F.coalesce(F.schema_of_variant(inner(p)).rlike("^[A-Z][A-Z0-9_]*(\\([0-9, ]+\\))?$"), F.lit(False)) for p in names]
+        paths = F.when(reduce(Column.__and__, plain), "{" + ",".join(sorted(names)) + "}")
+    return F.coalesce(F.sha2(paths, 256) == m.fingerprint, F.lit(False))
+
+
 def _turn(role: Column, text: Column, roles: dict[str, str]) -> Column:
     role = F.coalesce(role, F.lit(""))
     for name, canonical in roles.items():
@@ -106,13 +119,16 @@ def canonical_rows(table: DataFrame, conv_id: str = "conv_id", mappings: Sequenc
 def canonical_json(records: DataFrame, record: str = "record", conv_id: str = "conv_id", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """(conv_id, layout, turns) of JSON records of mixed layouts, a row each.
 
-    Records that are null, no JSON or of an unknown layout have a null ``layout`` and no turns.
+    A record whose whole fingerprint is unknown takes the mapping of the most fields whose own part of the
+    record, other keys left out, has the mapping's fingerprint; of equally many the later one. Records that
+    are null, no JSON or of an unknown layout have a null ``layout`` and no turns.
     """
     value = F.col("_value")
     parsed = records.select(F.col(conv_id), F.try_parse_json(F.col(record)).alias("_value")).withColumn("_print", F.sha2(value_paths(value), 256))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for m in mappings:
-        here = F.col("_print") == m.fingerprint
+    parts = sorted((m for m in mappings if m.turns or m.fields), key=lambda m: len([p for _, paths in m.fields for p in paths]))
+    # Parts first, whole layouts after them: the last that holds is taken.
+    for m, here in [(m, _part(value, m)) for m in parts] + [(m, F.col("_print") == m.fingerprint) for m in mappings]:
         if m.turns:
             kind = f"array<struct<`{m.role}`:string,`{m.text}`:string>>"
             found = F.transform(F.try_variant_get(value, f"$.{m.turns}", kind), _reader(m))

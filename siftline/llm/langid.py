@@ -19,6 +19,7 @@ DIMENSIONS = 1024
 GRAM = 3
 MAX_LANGUAGES = 4096  # prototypes are broadcast: at most this many times 8 kB
 UNDECIDED = "und"
+CELLS, BLOCK, ROWS = 1 << 24, 4096, 8192  # of a dense table of counts; grams, and rows, taken at once
 _GAP = 0x20
 _tables = Tables()
 
@@ -93,12 +94,36 @@ def gram_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def bundled(column: pa.Array, group: np.ndarray, n_groups: int) -> np.ndarray:
-    """Vectors of groups of texts; ``group`` is the group of each row."""
+    """Vectors of groups of texts; ``group`` is the group of each row.
+
+    Few groups with many grams in common take one dense product; else the counts are taken as they are,
+    in blocks of grams, so memory follows the number of counts. Sums are whole numbers, and equal.
+    """
     row, gram, count, letters = gram_counts(column)
-    table = np.bincount(group[row] * max(len(letters), 1) + gram, count, n_groups * max(len(letters), 1)).astype(np.float32)
+    out = np.zeros((n_groups, DIMENSIONS), np.float32)
     if not len(letters):
-        return np.zeros((n_groups, DIMENSIONS), np.float32)
-    return table.reshape(n_groups, len(letters)) @ gram_vectors(letters)
+        return out
+    own = group[row]
+    if n_groups * len(letters) <= CELLS:
+        table = np.bincount(own * len(letters) + gram, count, n_groups * len(letters)).astype(np.float32)
+        return table.reshape(n_groups, len(letters)) @ gram_vectors(letters)
+    order = np.lexsort((own, gram // BLOCK))
+    own, gram, count = own[order], gram[order], count[order].astype(np.float32)
+    edges = np.searchsorted(gram // BLOCK, np.arange(-(-len(letters) // BLOCK) + 1))
+    for b, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        vectors = gram_vectors(letters[b * BLOCK : (b + 1) * BLOCK])
+        for x in range(lo, hi, BLOCK):
+            part = slice(x, min(x + BLOCK, hi))
+            first = np.flatnonzero(np.concatenate(([True], own[part][1:] != own[part][:-1])))
+            out[own[part][first]] += np.add.reduceat(vectors[gram[part] - b * BLOCK] * count[part, None], first, axis=0)
+    return out
+
+
+def _parts(column: pa.Array):
+    """Slices of about 1 MB and at most ``ROWS`` rows."""
+    for lo, hi in slices(column, 1 << 20):
+        for x in range(lo, hi, ROWS):
+            yield x, min(x + ROWS, hi)
 
 
 def held_out(doc_id: str) -> Column:
@@ -111,7 +136,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             names = batch.column(0).dictionary_encode()
-            for lo, hi in slices(batch.column(1), 1 << 20):
+            for lo, hi in _parts(batch.column(1)):
                 table = bundled(batch.column(1).slice(lo, hi - lo), np.asarray(names.indices)[lo:hi].astype(np.int64), len(names.dictionary))
                 for name, vector in zip(names.dictionary.to_pylist(), table):
                     sums[name] = sums.get(name, 0) + vector.astype(np.float64)
@@ -128,7 +153,8 @@ def predict(docs: DataFrame, prototypes: DataFrame, doc_id: str = "doc_id", text
     """Id, ``lang_pred`` and ``score`` (cosine, at least 0) of each row.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Equally close
-    languages: the first in order of names. Repeated rows give repeated results.
+    languages: the first in order of names. Repeated rows give repeated results. Texts of any length
+    are whole; other columns are not looked at.
     """
     learned = prototypes.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()  # a guard, not a cap
     if len(learned) > MAX_LANGUAGES:
@@ -141,7 +167,7 @@ def predict(docs: DataFrame, prototypes: DataFrame, doc_id: str = "doc_id", text
     def compare(batches):
         names, table = shared.value
         for batch in batches:
-            for lo, hi in slices(batch.column(1), 1 << 20):
+            for lo, hi in _parts(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 n = len(part)
                 vectors = bundled(part.column(1), np.arange(n), n)

@@ -1,5 +1,6 @@
 """Repeats, near duplicates, languages, licences, pieces, chats and the pipeline."""
 
+import json
 import random
 import re
 import textwrap
@@ -129,6 +130,31 @@ def test_languages(spark, odd, nothing):
     assert empty.filter("lang_pred <> 'und'").count() == 0 and langid.predict(nothing, langid.learn(odd)).count() == 0
 
 
+def test_sparse_and_dense_bundles_agree(monkeypatch):
+    rng = random.Random(5)
+    texts = pa.array(["".join(chr(0x4E00 + rng.randint(0, 5000)) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["abc abd", None, ""])
+    group = np.array([rng.randint(0, 50) for _ in range(len(texts))])
+    dense = langid.bundled(texts, group, 51)
+    monkeypatch.setattr(langid, "CELLS", 0)
+    monkeypatch.setattr(langid, "BLOCK", 97)
+    assert (langid.bundled(texts, group, 51) == dense).all()
+
+
+def test_layout_by_the_part_that_a_mapping_needs(spark):
+    turn = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    records = {
+        1: {"id": 7, "messages": turn, "source": {"url": "x", "tags": [1, "b"]}}, 2: {"instruction": "i", "output": "o", "input": "more", "meta": {"a": [1]}}, 3: {"instruction": "i", "output": "o", "split": "train"},
+        4: {"prompt": "p", "completion": "c", "score": 0.5}, 5: {"messages": "no turns", "id": 1}, 6: {"instruction": ["i"], "output": "o"}, 7: {"messages": turn}, 8: {"text": "plain"}, 9: [1, 2], 10: "x",
+    }
+    frame = spark.createDataFrame([(k, json.dumps(v)) for k, v in records.items()] + [(11, None), (12, "{")], "conv_id long, record string")
+    got = {r["conv_id"]: (r["layout"], [tuple(x) for x in r["turns"]]) for r in chat.canonical_json(frame).collect()}
+    said = [("user", "q"), ("assistant", "a")]
+    assert got == {
+        1: ("messages", said), 2: ("instruction_input", [("user", "i\n\nmore"), ("assistant", "o")]), 3: ("instruction", [("user", "i"), ("assistant", "o")]), 4: ("prompt", [("user", "p"), ("assistant", "c")]),
+        5: (None, []), 6: (None, []), 7: ("messages", said), 8: (None, []), 9: (None, []), 10: (None, []), 11: (None, []), 12: (None, []),
+    }
+
+
 def test_language_vectors_are_sums_of_bound_letters():
     row, gram, count, letters = langid.gram_counts(pa.array(["ab", "", "A b!", None, "1 2", "xyz"]))
     grams = {(r, "".join(map(chr, letters[g]))): c for r, g, c in zip(row.tolist(), gram.tolist(), count.tolist())}
