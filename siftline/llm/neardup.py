@@ -321,7 +321,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     Of rows that repeat an id one stays; rows without id stay only where no row of their class has one.
     Rows without words all stay. Columns may have any names.
     """
-    numbered = stage_table(docs.select(F.monotonically_increasing_id().alias("number"), F.col(doc_id).alias("id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row")), "numbered")
+    staged = stage_table(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*docs.columns).alias("row")), "numbered")
+    numbered = staged.select("number", F.col("row")[doc_id].alias("id"), F.col("row")[text].alias("text"))
     found = _classed(numbered, similarity, BANDS, BAND_ROWS)
     kept = found.filter(F.col("own.number") == F.col("least.number")).select("number")
-    return numbered.join(kept, "number", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return staged.join(kept, "number", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
