@@ -179,7 +179,8 @@ def phrase_counts(docs: DataFrame, text: str, lang: str, least: int, range_bytes
     """``lang``, the keys and ``f`` of all frequent phrases of up to four words; without keys, all words of a language."""
     asked = docs.select(F.coalesce(text, F.lit("")).alias("_text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"))
     total = asked.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("n")).first()["n"]
-    cuts = _cuts(asked, 1 + total // range_bytes)
+    ranges = 1 + total // range_bytes
+    cuts = _cuts(asked, ranges)
     shared = docs.sparkSession.sparkContext.broadcast(cuts)
     names = ["range", "lang", "n", *_KEYS, "marks", "weights"]
 
@@ -245,7 +246,8 @@ def phrase_counts(docs: DataFrame, text: str, lang: str, least: int, range_bytes
 
     longs = ", ".join(f"{k} long" for k in _KEYS)
     sent = asked.mapInArrow(send, "range long, lang string, n long, " + ", ".join(f"{k} binary" for k in _KEYS) + ", marks binary, weights binary")
-    found = stage_table(sent.groupBy("range").applyInArrow(count, f"lang string, {longs}, f long, part boolean"), "phrases")
+    # As many partitions as ranges, so that a task's share doesn't grow with the input.
+    found = stage_table(sent.repartition(ranges, "range").groupBy("range").applyInArrow(count, f"lang string, {longs}, f long, part boolean"), "phrases")
     ends = found.filter("part").groupBy("lang", *_KEYS).agg(F.sum("f").alias("f"))  # at most some eight rows a range
     return found.filter("NOT part").drop("part").unionByName(ends.filter((F.col("f") >= least) | (F.col("k1") == 0)))
 
