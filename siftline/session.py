@@ -53,11 +53,12 @@ def stage_table(df: DataFrame, tag: str = "stage") -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop state with a reliable checkpoint."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(_shared_root(spark))
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a loop state, written and read back.
+
+    A checkpoint would keep the plan's estimated size, in a loop with joins a number whose digits
+    double each round; a file has its own.
+    """
+    return stage_table(df, "cut")
 
 
 def literal_rows(spark: SparkSession, rows, names) -> DataFrame:

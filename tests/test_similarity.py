@@ -324,3 +324,14 @@ def test_sentinel(spark):
     df = spark.createDataFrame([(1.0, 0.5, 0.2), (0.5, float("inf"), 0.1), (0.5, 0.1, None)], "i double, r double, a double")
     got = [r["d"] for r in df.select(similarity.combined_distance("i", "r", "a", (0.5, 1.0, 1.0)).alias("d")).collect()]
     assert got == [0.5, 999.0, 999.0]
+
+
+def test_loop_state_keeps_its_size(spark):
+    """Joins of a loop's state with itself must not multiply its estimated size round by round."""
+    from siftline.session import cut
+
+    state = cut(spark.range(100).withColumn("next", F.col("id")))
+    for _ in range(6):
+        state = cut(state.join(state.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")))
+    assert state.count() == 100
+    assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
