@@ -7,8 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siftline.functions.clean import let
 from siftline.operators.joins import range_pairs, salted_join
@@ -183,6 +185,105 @@ def superpose_pairs(pairs: DataFrame, profiles: DataFrame, id_col: str, required
     return both.select("id_a", "id_b", kernel(*[f"{c}_{s}" for s in "ab" for c in _PROFILE]).alias("m")).select("id_a", "id_b", "m.*")
 
 
+def block_pairs(rows: DataFrame, id_col: str, meet, schema: str, size: int) -> DataFrame:
+    """``meet`` of every two blocks of about ``size`` rows, Arrow tables with the numbers ``i`` <= ``j`` of the blocks.
+
+    Every two rows meet in one task, a block also meets itself. A pair that ``meet`` refuses is never
+    written anywhere; rows travel once for each block, so the shuffle is rows times blocks and a task
+    holds two blocks.
+    """
+    blocks = max(1, -(-rows.count() // size))
+    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    left = rows.select("*", own.alias("i"), F.explode(F.sequence(own, F.lit(blocks - 1))).alias("j"))
+    right = rows.select("*", F.explode(F.sequence(F.lit(0), own)).alias("i"), own.alias("j"))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
+
+
+def _gaps(points: np.ndarray) -> np.ndarray:
+    """Distances between the points of each structure."""
+    i, j = np.triu_indices(points.shape[1], 1)
+    return np.sqrt(((points[:, i] - points[:, j]) ** 2).sum(axis=2))
+
+
+def _may_be_near(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of all pairs whose best RMSD of numbered points may lie below ``limit``.
+
+    Distances between the points bound it from below: sqrt(sum of squared differences) / points <= RMSD.
+    What passes is bounded by Newton steps from above to the largest root of the characteristic
+    quartic of the superposition, whose excess over the root can only let a pair through.
+    """
+    n = a.shape[1]
+    ga, gb = _gaps(a), _gaps(b)
+    na, nb = (ga**2).sum(axis=1), (gb**2).sum(axis=1)
+    apart = na[:, None] + nb[None, :] - 2 * ga @ gb.T
+    x, y = np.nonzero(apart <= (n * limit) ** 2 + 1e-9 * (na[:, None] + nb[None, :]))
+    p, q = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
+    total = (p**2).sum(axis=(1, 2))[x] + (q**2).sum(axis=(1, 2))[y]
+    s = np.matmul(p[x].transpose(0, 2, 1), q[y])
+    square = np.matmul(s.transpose(0, 2, 1), s)
+    c2 = -2 * (s**2).sum(axis=(1, 2))
+    c1 = -8 * (s[:, 0] * np.cross(s[:, 1], s[:, 2])).sum(axis=1)
+    c0 = 2 * (square**2).sum(axis=(1, 2)) - c2**2 / 4
+    root = total / 2
+    for _ in range(8):
+        value, slope = ((root**2 + c2) * root + c1) * root + c0, (4 * root**2 + 2 * c2) * root + c1
+        root = np.where((value > 0) & (slope > 0), root - value / np.where(slope > 0, slope, 1.0), root)
+    near = root >= total / 2 - n * limit**2 / 2 - 1e-6 * total
+    return x[near], y[near]
+
+
+SHAPE_BLOCK = 1024  # structures of a block
+SHAPE_PAIRS = 1 << 13  # pairs that are superposed in one go
+
+
+def near_shapes(profiles: DataFrame, id_col: str, required: int, min_common: int, limit: float) -> DataFrame:
+    """Superposed pairs (id_a < id_b) whose anchor RMSD may lie below ``limit``; none that does is lost (G1).
+
+    Structures meet in blocks, so the pairs refused by the bounds of ``_may_be_near`` are never written.
+    Structures without all anchors are at the sentinel distance from every other and have no pairs; so
+    have those with a missing or non-finite anchor coordinate.
+    """
+    kind = dict(profiles.dtypes)[id_col]
+    schema = f"id_a {kind}, id_b {kind}, {SUPERPOSE_RESULT}"
+
+    def anchors(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the structures with all anchors, and these."""
+        held = [np.asarray(k, bool) for k in frame["anc"]]
+        points = [np.array([np.asarray(row[c], float)[k] for c in ("xs", "ys", "zs")]).T for k, (_, row) in zip(held, frame.iterrows())]
+        whole = np.array([len(p) == required and bool(np.isfinite(p).all()) for p in points], bool)
+        return np.flatnonzero(whole), np.array([p for p, w in zip(points, whole) if w]).reshape(-1, required, 3)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if len(left) and len(right):
+            alone = left.column("i")[0].as_py() == left.column("j")[0].as_py()
+            a, b = left.drop_columns(["i", "j"]).to_pandas(), right.drop_columns(["i", "j"]).to_pandas()
+            (at_a, near_a), (at_b, near_b) = anchors(a), anchors(b)
+            ids_a, ids_b = a[id_col].to_numpy()[at_a], b[id_col].to_numpy()[at_b]
+            every = pd.concat([a.iloc[at_a], b.iloc[at_b]], ignore_index=True)
+            for low in range(0, len(at_a), 256):
+                x, y = _may_be_near(near_a[low : low + 256], near_b, limit)
+                x = x + low
+                first = ids_a[x] < ids_b[y]
+                keep = first if alone else ids_a[x] != ids_b[y]
+                x, y, first = x[keep], y[keep] + len(at_a), first[keep]
+                lo, hi = np.where(first, x, y), np.where(first, y, x)
+                for at in range(0, len(lo), SHAPE_PAIRS):
+                    i, j = lo[at : at + SHAPE_PAIRS], hi[at : at + SHAPE_PAIRS]
+                    both = pd.DataFrame({f"{c}_{s}": every[c].to_numpy()[k] for s, k in (("a", i), ("b", j)) for c in _PROFILE})
+                    scores = _superpose(both, min_common, required)
+                    scores.insert(0, "id_a", every[id_col].to_numpy()[i])
+                    scores.insert(1, "id_b", every[id_col].to_numpy()[j])
+                    found.append(scores[scores["anchor_rmsd"] <= limit * (1 + 1e-9)])
+        if not found:
+            return empty
+        return pa.Table.from_pandas(pd.concat(found), preserve_index=False).cast(empty.schema)
+
+    id_type = to_arrow_type(profiles.schema[id_col].dataType)
+    empty = pa.schema([("id_a", id_type), ("id_b", id_type), *[(c, pa.float64()) for c in ("identity", "rmsd", "anchor_rmsd")], ("common_positions", pa.int32())]).empty_table()
+    return block_pairs(profiles.select(id_col, *_PROFILE), id_col, meet, schema, SHAPE_BLOCK)
+
+
 def combined_distance(identity, rmsd, anchor_rmsd, scales: tuple[float, float, float], sentinel: float = 999.0) -> Column:
     """Largest of the three scaled terms; the sentinel when a term is not finite."""
     i, r, a = (F.col(c) if isinstance(c, str) else c for c in (identity, rmsd, anchor_rmsd))

@@ -30,9 +30,7 @@ def shape_pairs(t, limit: float = 1.0):
     every = similarity.point_profiles(pts, "vec_id", "pos", "letter", F.col("pos") <= ANCHORS)
     profiles, copies = similarity.collapse_copies(every, "vec_id", [F.to_json(F.struct("pos", "let", "xs", "ys", "zs"))])
     profiles, copies = stage_table(profiles, "profiles"), stage_table(copies, "copies")
-    anchors = pts.filter(F.col("pos") <= ANCHORS).join(profiles.select("vec_id"), "vec_id", "left_semi")
-    candidates = similarity.shape_candidates(anchors, "vec_id", "pos", ANCHORS, limit * SCALES[2])
-    scored = similarity.superpose_pairs(candidates, profiles, "vec_id", ANCHORS, MIN_COMMON)
+    scored = similarity.near_shapes(profiles, "vec_id", ANCHORS, MIN_COMMON, limit * SCALES[2])
     near = scored.withColumn("distance", similarity.combined_distance("identity", "rmsd", "anchor_rmsd", SCALES)).filter(F.col("distance") < limit)
     return near, copies
 

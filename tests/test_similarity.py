@@ -326,6 +326,24 @@ def test_sentinel(spark):
     assert got == [0.5, 999.0, 999.0]
 
 
+@pytest.mark.parametrize("size", [7, 1024])
+def test_near_shapes_in_blocks(spark, shapes, monkeypatch, size):
+    """Every near pair once, with its scores, however the structures fall into blocks."""
+    df, table = shapes
+    monkeypatch.setattr(similarity, "SHAPE_BLOCK", size)
+    prof = similarity.point_profiles(df, "sid", "pos", "l", F.col("pos") <= 4)
+    ids = [i for i in table if all(k in table[i][0] for k in range(4))]
+    pairs = spark.createDataFrame(list(itertools.combinations(ids, 2)), "id_a int, id_b int")
+    every = {(r["id_a"], r["id_b"]): tuple(r)[2:] for r in similarity.superpose_pairs(pairs, prof, "sid", 4, 4).collect()}
+    for limit in (0.05, 0.2, 1.0):
+        rows = similarity.near_shapes(prof, "sid", 4, 4, limit).collect()
+        got = {(r["id_a"], r["id_b"]): tuple(r)[2:] for r in rows}
+        assert len(got) == len(rows)
+        want = {k: v for k, v in every.items() if v[2] < limit}
+        assert want and want.keys() == {k for k, v in got.items() if v[2] < limit}
+        assert all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_loop_state_keeps_its_size(spark):
     """Joins of a loop's state with itself must not multiply its estimated size round by round."""
     from siftline.session import cut
