@@ -8,12 +8,12 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from siftline.functions.clean import let
-from siftline.operators.joins import range_pairs, salted_join
+from siftline.operators.joins import range_pairs
 from siftline.session import stage_table
 
 
@@ -192,11 +192,16 @@ def block_pairs(rows: DataFrame, id_col: str, meet, schema: str, size: int) -> D
     written anywhere; rows travel once for each block, so the shuffle is rows times blocks and a task
     holds two blocks.
     """
+    rows = stage_table(rows, "rows")
     blocks = max(1, -(-rows.count() // size))
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     left = rows.select("*", own.alias("i"), F.explode(F.sequence(own, F.lit(blocks - 1))).alias("j"))
-    right = rows.select("*", F.explode(F.sequence(F.lit(0), own)).alias("i"), own.alias("j"))
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
+    # Other names on the right: columns that both sides share by identity may be pruned from one of them.
+    right = rows.select(*[F.col(c).alias(f"_{c}") for c in rows.columns], F.explode(F.sequence(F.lit(0), own)).alias("_i"), own.alias("_j"))
+    # Little data makes much work here, so the number of tasks follows the pairs of blocks, not the bytes.
+    tasks = min(blocks * (blocks + 1) // 2, 1000)
+    pairs = left.repartition(tasks, "i", "j").groupBy("i", "j").cogroup(right.repartition(tasks, "_i", "_j").groupBy("_i", "_j"))
+    return pairs.applyInArrow(lambda a, b: meet(a, b.rename_columns(a.column_names) if len(a) else b), schema)
 
 
 def _gaps(points: np.ndarray) -> np.ndarray:
@@ -294,53 +299,6 @@ def combined_distance(identity, rmsd, anchor_rmsd, scales: tuple[float, float, f
 # ---- sequence pairs above a similarity threshold ----
 
 
-def _grams(texts: DataFrame, id_col: str, text: str, q: int, ratio: float) -> DataFrame:
-    """Rare grams each text must share with any partner within its edit budget.
-
-    A partner within K edits shares all but K*q of the grams (numbered per repeat), so one of the
-    K*q + 1 rarest must be shared.
-    """
-    n = F.length(text)
-    pieces = F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(F.col(text), i, F.lit(q)))
-    rows = texts.filter(n >= q).select(id_col, n.alias("n"), F.floor(n * F.lit(ratio) + 1e-9).alias("budget"), F.posexplode(pieces).alias("at", "gram"))
-    repeat = F.row_number().over(Window.partitionBy(id_col, "gram").orderBy("at"))
-    rows = rows.withColumn("gram", F.concat_ws("\x1f", "gram", repeat.cast("string")))
-    counts = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    ranked = rows.join(counts, "gram").withColumn("place", F.row_number().over(Window.partitionBy(id_col).orderBy("texts", "gram")))
-    return ranked.filter(F.col("place") <= F.col("budget") * q + 1).select(id_col, "n", "gram")
-
-
-def edit_candidates(texts: DataFrame, id_col: str, text: str, ratio: float, length_ratio: float) -> DataFrame:
-    """Pairs (id_a < id_b) of distinct texts that may be within ``ratio * length`` edits.
-
-    Bigrams serve all texts long enough for them to prove anything; single letters serve the rest
-    and every text a short one could be paired with.
-    """
-    if ratio >= 1:
-        raise ValueError("the threshold is too low for an exact candidate search")
-    bigrams = 2 * ratio < 1
-    short = math.ceil(1 / (1 - 2 * ratio)) + 1 if bigrams else None
-    found = None
-    passes = [(2, F.length(text) > short)] if bigrams else []
-    passes.append((1, F.length(text) <= math.ceil(short / length_ratio) if bigrams else F.lit(True)))
-    for q, cond in passes:
-        g = stage_table(_grams(texts.filter(cond), id_col, text, q, ratio), "grams")
-        side = lambda s: g.select("gram", F.col(id_col).alias(f"id_{s}"), F.col("n").alias(f"n_{s}"))
-        hits = salted_join(side("a"), side("b"), ["gram"], ["id_a"]).filter(
-            (F.col("id_a") < F.col("id_b"))
-            & (F.least("n_a", "n_b") >= F.floor(F.greatest("n_a", "n_b") * F.lit(length_ratio) - 1e-9))
-        )
-        part = hits.select("id_a", "id_b")
-        found = part if found is None else found.unionAll(part)
-    return found.distinct()
-
-
-def attach_texts(pairs: DataFrame, texts: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Both texts of each pair."""
-    side = lambda s: texts.select(F.col(id_col).alias(f"id_{s}"), F.col(text).alias(f"text_{s}"))
-    return pairs.join(side("a"), "id_a").join(side("b"), "id_b")
-
-
 def _within(pairs: DataFrame, budget: Column) -> DataFrame:
     """Pairs within the edit budget, by Spark's own bounded edit distance, before any Python runs."""
     limited = pairs.withColumn("_budget", F.floor(budget + 1e-9).cast("int"))
@@ -406,13 +364,70 @@ def lcs_similarity(pairs: DataFrame, a: str = "text_a", b: str = "text_b", name:
     return pairs.withColumn(name, value)
 
 
+TEXT_BLOCK = 2048  # texts of a block
+LETTER_BINS = 64
+
+
+def _letter_counts(texts: Sequence[str]) -> np.ndarray:
+    """How often each text holds letters of each bin, one row per bin; capped counts would be no bound."""
+    sizes = np.array([len(s) for s in texts], np.int64)
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    cells = (letters % LETTER_BINS) * len(texts) + np.repeat(np.arange(len(texts)), sizes)
+    counts = np.bincount(cells, minlength=LETTER_BINS * len(texts)).reshape(LETTER_BINS, len(texts))
+    return counts.astype(np.uint8 if sizes.max(initial=0) < 256 else np.int64)
+
+
+def common_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
+    """Pairs (id_a < id_b) of texts whose common subsequence has ``threshold`` of the longer length: ids, texts, ``common``.
+
+    Texts meet in blocks. A common subsequence is no longer than the letters that two texts share, counted
+    with repeats in bins, which refuses most pairs; the rest are measured in the task. No candidate is written.
+    Missing and empty texts are in no pair.
+    """
+    kind = texts.schema[id_col].dataType
+    schema = pa.schema([("id_a", to_arrow_type(kind)), ("id_b", to_arrow_type(kind)), ("text_a", pa.string()), ("text_b", pa.string()), ("common", pa.int64())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        alone = left.column("i")[0].as_py() == left.column("j")[0].as_py()
+        ids_a, ids_b = (side.column("id").to_numpy() for side in (left, right))
+        texts_a, texts_b = (side.column("text").to_pylist() for side in (left, right))
+        size_a, size_b = (np.array([len(s) for s in side], np.int64) for side in (texts_a, texts_b))
+        in_a, in_b = _letter_counts(texts_a), _letter_counts(texts_b)
+        wide = in_a.dtype if in_a.dtype == in_b.dtype else np.int64
+        in_a, in_b = in_a.astype(wide), in_b.astype(wide)
+        used = np.flatnonzero(in_a.any(axis=1) & in_b.any(axis=1))
+        every = pa.concat_tables([side.select(["id", "text"]) for side in (left, right)])
+        found = []
+        for low in range(0, len(ids_a), 128):
+            here = in_a[:, low : low + 128]
+            shared = np.zeros((here.shape[1], len(ids_b)), wide)
+            for k in used:
+                shared += np.minimum(here[k][:, None], in_b[k][None, :])
+            least = threshold * np.maximum(size_a[low : low + 128, None], size_b[None, :]) - 1e-6
+            x, y = np.nonzero(shared >= least)
+            x = x + low
+            keep = ids_a[x] < ids_b[y] if alone else ids_a[x] != ids_b[y]
+            x, y = x[keep], y[keep]
+            common = _lcs_lengths([texts_a[k] for k in x], [texts_b[k] for k in y])
+            good = common >= threshold * np.maximum(size_a[x], size_b[y]) - 1e-6
+            x, y, common = x[good], y[good], common[good]
+            first = ids_a[x] < ids_b[y]
+            lo, hi = np.where(first, x, y + len(ids_a)), np.where(first, y + len(ids_a), x)
+            cells = {"id_a": every.column("id").take(lo), "id_b": every.column("id").take(hi), "text_a": every.column("text").take(lo), "text_b": every.column("text").take(hi)}
+            found.append(pa.table({**cells, "common": common}).cast(schema))
+        return pa.concat_tables(found)
+
+    some = texts.filter(F.length(text) > 0).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    id_kind = kind.simpleString()
+    return block_pairs(some, "id", meet, f"id_a {id_kind}, id_b {id_kind}, text_a string, text_b string, common long", TEXT_BLOCK)
+
+
 def lcs_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
     """All pairs of distinct texts whose common-subsequence similarity reaches the threshold."""
-    # At most la + lb - 2*t*max edits, and the longer text has at most n/t letters.
-    near = edit_candidates(texts, id_col, text, 2 * (1 - threshold) / threshold, threshold)
-    la, lb = F.length("text_a"), F.length("text_b")
-    budget = la + lb - 2 * threshold * F.greatest(la, lb)
-    return lcs_similarity(_within(attach_texts(near, texts, id_col, text), budget)).filter(F.col("similarity") >= threshold - 1e-12).select("id_a", "id_b", "similarity")
+    value = F.col("common") / F.greatest(F.length("text_a"), F.length("text_b"))
+    return common_pairs(texts, id_col, text, threshold).select("id_a", "id_b", value.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
 
 
 # Match, mismatch, gap opening and gap extension scores, times ten.
@@ -504,10 +519,10 @@ def alignment_identity(a, b) -> Column:
 
 def align_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
     """All pairs of distinct texts whose alignment identity reaches the threshold."""
-    # L - m edits at most, with m >= t*L and L >= the longer text.
-    near = edit_candidates(texts, id_col, text, (1 - threshold) / threshold, threshold)
+    # The m matches are a common subsequence, and m >= t*L with L >= the longer text; L - m edits at most.
+    near = common_pairs(texts, id_col, text, threshold)
     budget = F.least(F.length("text_a"), F.length("text_b")) * ((1 - threshold) / threshold)
-    both = _within(attach_texts(near, texts, id_col, text), budget)
+    both = _within(near, budget)
     return both.select("id_a", "id_b", alignment_identity("text_a", "text_b").alias("identity")).filter(F.col("identity") >= threshold - 1e-12)
 
 

@@ -353,3 +353,26 @@ def test_loop_state_keeps_its_size(spark):
         state = cut(state.join(state.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")))
     assert state.count() == 100
     assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
+
+
+@pytest.mark.parametrize("size", [9, 2048])
+def test_common_pairs_in_blocks(spark, monkeypatch, size):
+    """Texts that share most letters but few in order are refused; every pair that reaches the threshold is there once."""
+    rng = random.Random(11)
+    texts = {i: "".join(rng.choice("abé\U0001f600") for _ in range(rng.choice((3, 8, 70, 300)))) for i in range(25)}
+    texts |= {25 + i: t[: len(t) // 2] + "z" + t[len(t) // 2 + 1 :] for i, t in texts.items()}
+    texts |= {60: "", 61: None}
+    monkeypatch.setattr(similarity, "TEXT_BLOCK", size)
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(len(b)), lambda left, j: row[j] + 1 if x == b[j] else max(left, row[j + 1]), initial=0))
+        return row[-1]
+
+    rows = similarity.common_pairs(df, "id", "t", 0.85).collect()
+    got = {(r["id_a"], r["id_b"]): (r["text_a"], r["text_b"], r["common"]) for r in rows}
+    real = {i: t for i, t in texts.items() if t}
+    want = {(i, j): (a, b, n) for (i, a), (j, b) in itertools.combinations(sorted(real.items()), 2) if (n := common(a, b)) >= 0.85 * max(len(a), len(b)) - 1e-9}
+    assert len(rows) == len(got) and got == want and len(want) > 15
