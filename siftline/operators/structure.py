@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.clean import RESIDUE_LETTERS, bucket, distance3, hydropathy, letters, motif_count, null_token, parse_position
 from siftline.operators.joins import range_pairs
-from siftline.operators.ranking import best_per_key, first_n_distinct
+from siftline.operators.ranking import best_per_key
 
 # Backbone atom names.
 BACKBONE = ("N", "CA", "C", "O")
@@ -184,15 +184,23 @@ def contact_count(atoms: DataFrame, target_chain: str, binder_chain: str, n: int
     0 for a structure with fewer than n target residues or without binder atoms.
     """
     heavy = atoms.filter(~F.col("atom_name").startswith("H"))
-    target = heavy.filter(F.col("label_asym_id") == target_chain).select("structure_id", "label_seq_id", "line_order", "x", "y", "z")
-    binder = heavy.filter(F.col("label_asym_id") == binder_chain).select("structure_id", "line_order", "x", "y", "z")
-    lead = first_n_distinct(target, ["structure_id"], ["label_seq_id"], ["line_order"], n)
-    touching = range_pairs(lead, binder, ["structure_id"], ["x", "y", "z"], cutoff, ["label_seq_id"], ["line_order"])
-    hits = touching.groupBy("structure_id", "label_seq_id_a").agg(F.lit(1).alias("_h")).groupBy("structure_id").agg(F.sum("_h").alias("_hits"))
-    sizes = target.select("structure_id", "label_seq_id").distinct().groupBy("structure_id").agg(F.count(F.lit(1)).alias("_n"))
+    chain, point = F.col("label_asym_id"), F.struct("x", "y", "z")
+    placed = lambda p: (F.abs(p["x"].cast("double")) < float("inf")) & (F.abs(p["y"].cast("double")) < float("inf")) & (F.abs(p["z"].cast("double")) < float("inf"))
+    residues = heavy.filter(chain == target_chain).groupBy("structure_id", "label_seq_id").agg(
+        F.min(F.struct("line_order")).alias("_first"), F.collect_list(F.when(placed(point), point)).alias("_points")
+    )
+    w = Window.partitionBy("structure_id").orderBy("_first", "label_seq_id")
+    lead = residues.withColumn("_no", F.row_number().over(w)).filter(F.col("_no") <= n).groupBy("structure_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.collect_list(F.when(F.col("label_seq_id").isNotNull(), F.struct("_no", "_points"))).alias("_lead")
+    ).filter(F.col("_n") >= n)
+    # The few lead residues of a structure travel to its binder atoms, which are moved once and never copied.
+    binder = heavy.filter((chain == binder_chain) & placed({c: F.col(c) for c in "xyz"})).select("structure_id", "x", "y", "z")
+    squared = lambda p: (p["x"] - F.col("x")) ** 2 + (p["y"] - F.col("y")) ** 2 + (p["z"] - F.col("z")) ** 2
+    touched = F.transform(F.filter("_lead", lambda r: F.exists(r["_points"], lambda p: squared(p) <= cutoff**2)), lambda r: r["_no"])
+    hits = binder.join(lead.select("structure_id", "_lead").hint("merge"), "structure_id").select("structure_id", F.explode(touched).alias("_no"))
+    hits = hits.distinct().groupBy("structure_id").agg(F.count(F.lit(1)).alias("_hits"))
     every = atoms.select("structure_id").distinct()
-    out = every.join(sizes, "structure_id", "left").join(hits, "structure_id", "left")
-    return out.select("structure_id", F.when(F.col("_n") >= n, F.coalesce("_hits", F.lit(0))).otherwise(0).cast("long").alias("contact_count"))
+    return every.join(hits, "structure_id", "left").select("structure_id", F.coalesce("_hits", F.lit(0)).cast("long").alias("contact_count"))
 
 
 def max_coordinate_error(a: DataFrame, b: DataFrame, keys: Sequence[str], tol: float = 5e-4) -> DataFrame:

@@ -59,6 +59,19 @@ def test_contacts_use_strict_and_inclusive_limits(spark, rows):
     assert structure.hotspot_coverage(structure.hotspot_contacts(df, t, d, 5.1)).first()["heavy_coverage"] == 0.5
 
 
+def test_contact_count_moves_no_copies(spark, rows):
+    inf, nan = float("inf"), float("nan")
+    df = frame(
+        spark, atom(1, 1, "CA", (0, 0, 0), chain="A"), atom(2, 1, "CB", (inf, 0, 0), chain="A"), atom(3, 2, "CA", (0, 10, 0), chain="A"), atom(4, 3, "CA", (0, 20, 0), chain="A"),
+        atom(5, 1, "CA", (0, 5, 0), chain="B"), atom(6, 1, "CB", (nan, 0, 0), chain="B"), atom(7, 2, "CA", (inf, 0, 0), chain="B"), atom(8, 2, "CB", (0, 20, 0), chain="B"),
+        atom(1, 1, "CA", (0, 0, 0), chain="A", sid="t"), atom(2, 2, "CA", (nan, 0, 0), chain="A", sid="t"), atom(3, 1, "CA", (0, 0, 0), chain="B", sid="t"),
+        atom(1, 1, "CA", (0, 0, 0), chain="A", sid="u"), atom(2, 2, "CA", (0, 0, 0), chain="A", sid="u"))
+    got = structure.contact_count(df, "A", "B", 2, 5.0)
+    assert rows(got) == [("s", 2), ("t", 1), ("u", 0)]
+    # One generator, of the touched residues: no point is copied to the cells around it.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+
+
 def test_bonds(spark, rows):
     df = frame(spark, atom(1, 1, "SG", (0, 0, 0), "CYS"), atom(2, 5, "SG", (2.0, 0, 0), "CYS"), atom(3, 9, "SG", (0, 2.4, 0), "CYS"), atom(4, 7, "SG", (1, 1, 0), "ALA"))
     bonds = structure.bond_pairs(df, 2.2, 2.5)
