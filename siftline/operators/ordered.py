@@ -134,18 +134,43 @@ def value_place(value: Column) -> Column:
     return F.when(F.isnan(value), F.lit(8000.0)).when(size == float("inf"), F.signum(value) * 4000).when(size == 0, F.lit(0.0)).otherwise(own)
 
 
-def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str], bound: int = PLAIN_GROUP_ROWS) -> DataFrame:
     """Exact interpolated medians per group, one row per group with a value, columns ``median_<col>``.
 
-    Radix selection. Equal values are counted, in map tasks first. Each pass counts the values of a
-    group by a few more digits of their place, finds the digits of both middle ranks by a running sum
-    over at most 2^18 counts, and keeps only the values there; the last pass sees at most 2^15 values.
-    No group is sorted whole, one plan serves groups of any size, and nothing runs before the action.
-    NaN is the largest value; missing values don't count.
+    Groups of up to ``bound`` rows are moved once and ranked by windows. Larger ones, of which there are at
+    most as many as ``bound`` goes into the table, are listed, and their values are selected by radix. Both
+    are parts of one plan, and nothing runs before the action; where no group is larger, the second is
+    dropped while running. NaN is the largest value; missing values don't count.
     """
-    key = F.struct(F.lit(0).alias("_0"), *by).alias("_g")
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("_m")
-    long = df.select(key, cells).select("_g", "_m.metric", "_m.value").filter("value IS NOT NULL")
+    keys, values = [f"_k{i}" for i in range(max(len(by), 1))], [f"_v{i}" for i in range(len(cols))]
+    given = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_k0")]
+    rows = df.select(*given, *[(F.col(c).cast("double") + F.lit(0.0)).alias(v) for c, v in zip(cols, values)])
+    rows = rows.withColumn("_g", F.struct(F.lit(0).alias("_0"), *keys))
+    large = F.broadcast(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).select("_g"))
+    few = rows.join(large, "_g", "left_anti").drop("_g")
+    middle, halves = F.lit(False), []
+    for i, v in enumerate(values):
+        w = Window.partitionBy(*keys).orderBy(F.col(v).asc_nulls_last())
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        few = few.withColumns({f"_r{i}": F.row_number().over(w), f"_n{i}": F.count(v).over(whole)})
+        low, high = (F.col(f"_r{i}") == F.floor((F.col(f"_n{i}") + 1) / 2)), (F.col(f"_r{i}") == F.floor(F.col(f"_n{i}") / 2) + 1)
+        middle = middle | (F.col(v).isNotNull() & (low | high))
+        halves.append(F.max(F.when(low, 0.5 * F.col(v))) + F.max(F.when(high, 0.5 * F.col(v))))
+    names = [*[F.col(k).alias(c) for k, c in zip(keys, by)], *[f"median_{c}" for c in cols]]
+    ranked = few.filter(middle).groupBy(*keys).agg(*[h.alias(f"median_{c}") for h, c in zip(halves, cols)]).select(*names)
+    selected = _radix_medians(rows.join(large, "_g", "left_semi"), dict(zip(values, cols)))
+    return ranked.unionAll(selected.select(*[F.col("_g")[k].alias(c) for k, c in zip(keys, by)], *[f"median_{c}" for c in cols]))
+
+
+def _radix_medians(rows: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Medians of the values named in ``cols`` per ``_g``, in groups of any size.
+
+    Equal values are counted, in map tasks first. Each pass counts the values of a group by a few more
+    digits of their place, finds the digits of both middle ranks by a running sum over at most 2^18 counts,
+    and keeps only the values there; the last pass sees at most 2^15 values. No group is sorted whole.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(v).alias("value")) for v, c in cols.items()])).alias("_m")
+    long = rows.select("_g", cells).select("_g", "_m.metric", "_m.value").filter("value IS NOT NULL")
     counts = long.groupBy("_g", "metric", "value").agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", value_place(F.col("value")))
     digit = lambda bits: F.floor(F.col("_place") * F.lit(2.0**bits))
     keys = ["_g", "metric"]
@@ -169,7 +194,7 @@ def medians(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
         found = middle(here, [*keys, "which"], order, F.col("_rank"))
         target = found.select(*keys, "which", "_rank", F.col(order).alias("_digit"))
     half = lambda c: F.sum(F.when(F.col("metric") == c, 0.5 * F.col("_digit"))).alias(f"median_{c}")
-    return target.groupBy("_g").agg(*[half(c) for c in cols]).select(*[F.col("_g")[c].alias(c) for c in by], *[f"median_{c}" for c in cols])
+    return target.groupBy("_g").agg(*[half(c) for c in cols.values()])
 
 
 def chunk_digest(df: DataFrame, by: Sequence[str], order: Sequence, line: Column, size: int = 65536) -> DataFrame:

@@ -63,6 +63,20 @@ def test_medians(skewed):
         assert got[k] == (statistics.median(r[3] for r in members), statistics.median(r[1] for r in members))
 
 
+@pytest.mark.parametrize("bound", [0, 150, 10**6])
+def test_medians_of_small_and_large_groups(skewed, bound):
+    df, data = skewed
+    wide = df.withColumns({"none": F.lit(None).cast("double"), "some": F.when(F.col("id") % 2 == 0, F.col("v"))})
+    plan = ordered.medians(wide, ["k"], ["v", "some", "none"], bound)
+    got = {r["k"]: tuple(r)[1:] for r in plan.collect()}
+    assert len(got) == len(grouped(data))
+    for k, members in grouped(data).items():
+        assert got[k] == (statistics.median(r[3] for r in members), statistics.median(r[3] for r in members if r[2] % 2 == 0), None)
+    if bound == 10**6:  # rows are moved once; the other shuffle is of the sizes of groups
+        final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("Exchange hashpartitioning") <= 2
+
+
 @pytest.mark.parametrize("size", [1, 5, 150, 10**5])
 def test_digest(skewed, size):
     df, data = skewed
