@@ -6,7 +6,7 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftline.operators import structure
@@ -203,14 +203,15 @@ def mmcif_sequences(spark, t):
     return parse_loops(t.documents.select("doc_id", body.alias("cif")), "doc_id", "cif", "_entity_poly", ["entity_id", "seq"]).drop("row_order")
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for name, v in zip(batch["file"], batch["v"]):
-            buffer = io.BytesIO()
-            np.savez(buffer, iptm=np.asarray(v, dtype="float32"), coords=np.asarray(v[:63], dtype="float32").reshape(1, 21, 3))
-            out.append((name, buffer.getvalue()))
-        yield pd.DataFrame(out, columns=["file", "content"])
+        for low in range(0, len(batch), 1000):
+            part, out = batch.slice(low, 1000), []
+            for v in part.column("v"):
+                v, buffer = np.asarray(v.values, dtype="float32"), io.BytesIO()
+                np.savez(buffer, iptm=v, coords=v[:63].reshape(1, 21, 3))
+                out.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([part.column("file"), pa.array(out, pa.binary())], names=["file", "content"])
 
 
 @query("npz_values", """
@@ -218,7 +219,7 @@ SELECT file, name, dtype, shape, n, round(total, 5) AS total FROM (
   SELECT vec_id::VARCHAR AS file, 'iptm' AS name, 'float32' AS dtype, len(embedding)::VARCHAR AS shape, len(embedding)::BIGINT AS n, list_sum(list_transform(embedding, lambda v: v::DOUBLE)) AS total FROM embeddings
   UNION ALL SELECT vec_id::VARCHAR, 'coords', 'float32', '1x21x3', 63, list_sum(list_transform(embedding[1:63], lambda v: v::DOUBLE)) FROM embeddings)""")
 def npz_values(spark, t):
-    packed = t.embeddings.select(F.col("vec_id").cast("string").alias("file"), F.col("embedding").alias("v")).mapInPandas(_pack, "file string, content binary")
+    packed = t.embeddings.select(F.col("vec_id").cast("string").alias("file"), F.col("embedding").alias("v")).mapInArrow(_pack, "file string, content binary")
     schema, values = npz_tables(packed)
     sums = values.groupBy("file", "name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("total"))
     shape = F.array_join(F.col("shape").cast("array<string>"), "x")

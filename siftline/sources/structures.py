@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -313,33 +314,46 @@ def read_plain_archive(spark: SparkSession, path: str, wanted: DataFrame | None
     return _named(texts, wanted, suffix, by_path)
 
 
-NPZ_CHUNK = 65_536  # numbers per frame
+NPZ_CHUNK, NPZ_ARRAYS = 65_536, 4096  # numbers, and arrays, of one batch
 NPZ_SCHEMA_ROWS = "file string, name string, dtype string, shape array<int>"
 NPZ_VALUE_ROWS = "file string, name string, sample_index long, position array<int>, value double"
 
 
-def _npz_schema(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _npz_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, np.ndarray]]:
+    """File, name and array, one array at a time."""
     for batch in batches:
-        rows = []
-        for path, content in zip(batch["file"], batch["content"]):
-            with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
-                rows += [(path, k, str(arrays[k].dtype), list(arrays[k].shape)) for k in arrays.files]
-        yield pd.DataFrame(rows, columns=["file", "name", "dtype", "shape"])
+        for path, content in zip(batch.column("file"), batch.column("content")):
+            with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as arrays:
+                for k in arrays.files:
+                    yield path.as_py(), k, arrays[k]
 
 
-def _npz_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["file"], batch["content"]):
-            with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
-                for k in arrays.files:
-                    a = arrays[k]
-                    if a.dtype.kind not in "fiub":
-                        continue
-                    flat = a.reshape(-1)
-                    for low in range(0, flat.size, NPZ_CHUNK):
-                        at = np.arange(low, min(low + NPZ_CHUNK, flat.size))
-                        places = np.stack(np.unravel_index(at, a.shape), axis=1).astype("int32") if a.ndim else np.zeros((len(at), 0), "int32")
-                        yield pd.DataFrame({"file": path, "name": k, "sample_index": at, "position": list(places), "value": flat[at].astype("float64")})
+def _npz_schema(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = ((path, k, str(a.dtype), list(a.shape)) for path, k, a in _npz_arrays(batches))
+    types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()))
+    while rows := list(islice(found, NPZ_ARRAYS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["file", "name", "dtype", "shape"])
+
+
+def _npz_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["file", "name", "sample_index", "position", "value"]
+    parts, held = [], 0
+    for path, k, a in _npz_arrays(batches):
+        if a.dtype.kind not in "fiub":
+            continue
+        flat = a.reshape(-1)
+        for low in range(0, flat.size, NPZ_CHUNK):
+            at = np.arange(low, min(low + NPZ_CHUNK, flat.size))
+            places = np.stack(np.unravel_index(at, a.shape), axis=1) if a.ndim else np.zeros((len(at), 0))
+            position = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * a.ndim, pa.int32()), pa.array(places.reshape(-1).astype("int32")))
+            value = pa.array(flat[low : low + len(at)].astype("float64"), from_pandas=True)
+            parts.append([pa.repeat(path, len(at)), pa.repeat(k, len(at)), pa.array(at, pa.int64()), position, value])
+            held += len(at)
+            if held >= NPZ_CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names=names)
+                parts, held = [], 0
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names=names)
 
 
 def npz_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -347,7 +361,7 @@ def npz_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``position`` has the place along each axis, ``sample_index`` the place in row-major order.
     """
-    return files.mapInPandas(_npz_schema, NPZ_SCHEMA_ROWS), files.mapInPandas(_npz_values, NPZ_VALUE_ROWS)
+    return files.mapInArrow(_npz_schema, NPZ_SCHEMA_ROWS), files.mapInArrow(_npz_values, NPZ_VALUE_ROWS)
 
 
 def read_npz(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:

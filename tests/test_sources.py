@@ -1,9 +1,11 @@
 """Readers and writers on files made in the test."""
 
 import hashlib
+import io
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +223,26 @@ def test_npz(spark, tmp_path, rows):
     assert {tuple(r["position"]): r["sample_index"] for r in places} == {(i, j, k): i * 9 + j * 3 + k for i in range(2) for j in range(3) for k in range(3)}
 
 
+def test_npz_batches_are_bounded():
+    def packed(**arrays):
+        buffer = io.BytesIO()
+        np.savez(buffer, **arrays)
+        return buffer.getvalue()
+
+    files = [packed(v=np.arange(64.0), point=np.array(2.5), text=np.array(["a"])) for _ in range(3000)] + [packed(v=np.arange(150_000.0).reshape(3, 50_000), none=np.zeros((0, 2)))]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(files))]), pa.array(files, pa.binary())], names=["file", "content"])
+    found = list(structures._npz_values(iter([batch])))
+    # Few batches, none of many more numbers than a chunk, whatever the sizes of the arrays are.
+    assert len(found) <= 7 and max(len(b) for b in found) < 2 * structures.NPZ_CHUNK
+    table = pa.Table.from_batches(found)
+    assert len(table) == 3000 * 65 + 150_000
+    last = table.filter(pa.compute.equal(table["file"], "3000")).to_pydict()
+    assert last["value"] == [float(i) for i in range(150_000)] == last["sample_index"] and last["position"][50_001] == [1, 1]
+    assert table.filter(pa.compute.equal(table["name"], "point")).slice(0, 1).to_pylist() == [{"file": "0", "name": "point", "sample_index": 0, "position": [], "value": 2.5}]
+    schema = list(structures._npz_schema(iter([batch])))
+    assert max(len(b) for b in schema) <= structures.NPZ_ARRAYS and sum(len(b) for b in schema) == 9002
+
+
 def test_loop_tokens(spark, rows):
     long = "q" * 100_000
     good = f"data_x # note\nLOOP_\n_A.id\n_a.Text # tag\n1\n;first\n#no note\n_no.tag\n;\n# a note\n2 '{long}'\n3 \"it's\"\n_b.c 'x y'\nloop_\n_a.other\n9\n"
