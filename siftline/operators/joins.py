@@ -87,7 +87,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_on:
     copied = right.join(crowded, list(keys), "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))
     ).drop("_salts")
-    return spread.join(copied, [*keys, "_salt"]).drop("_salt")
+    # Sides are often copied to many cells before, which their estimated sizes don't show; none is broadcast.
+    return spread.join(copied.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def _cell(value: Column, width: float) -> Column:

@@ -1,7 +1,8 @@
 """Structures as tables: residues, conformers, contacts, bonds, chains, profiles, rule lists.
 
 Atoms carry a structure id and label columns; every operator groups by structure and residue or
-chain, so the work is spread by structure and no structure is handled as one object.
+chain, so the work is spread by structure and no structure is handled as one object. Joins on them are
+merged: residues and chains grow with the structures, and files of their repeated labels look small.
 """
 
 from __future__ import annotations
@@ -51,12 +52,12 @@ def choose_conformer(atoms: DataFrame, keys: Sequence[str] = RESIDUE) -> DataFra
     complete = F.lit(True)
     for n in BACKBONE:
         complete = complete & (F.greatest(F.col(f"_h_{n}"), F.col(f"_c_{n}")) == 1)
-    scored = named.join(shared, list(keys)).select(
+    scored = named.join(shared.hint("merge"), list(keys)).select(
         *keys, "_alt", complete.alias("_complete"), (F.col("_occ") + F.coalesce("_cocc", F.lit(0.0))).alias("_total")
     )
     order = [F.col("_complete").desc(), F.col("_total").desc(), (F.col("_alt") == "A").desc(), F.col("_alt").desc()]
     chosen = best_per_key(scored, list(keys), order).select(*keys, F.col("_alt").alias("selected_altloc"))
-    kept = rows.join(chosen, list(keys), "left").withColumn("selected_altloc", F.coalesce("selected_altloc", F.lit("")))
+    kept = rows.join(chosen.hint("merge"), list(keys), "left").withColumn("selected_altloc", F.coalesce("selected_altloc", F.lit("")))
     kept = kept.filter((F.col("_alt") == "") | (F.col("_alt") == F.col("selected_altloc")))
     # A name left over twice is resolved by occupancy and flagged.
     kept = kept.withColumn("repeated_name", F.count(F.lit(1)).over(Window.partitionBy(*keys, "atom_name")) > 1)
@@ -116,7 +117,7 @@ def bond_rules(bonds: DataFrame, residues: DataFrame, canonical: tuple[str, str]
         return residues.select("structure_id", F.col("label_seq_id").alias(f"p{n}_label_seq_id"),
                                F.col("position").alias(f"position_{n}"), F.col("region").alias(f"region_{n}"))
 
-    both = bonds.join(side(1), ["structure_id", "p1_label_seq_id"]).join(side(2), ["structure_id", "p2_label_seq_id"])
+    both = bonds.join(side(1).hint("merge"), ["structure_id", "p1_label_seq_id"]).join(side(2).hint("merge"), ["structure_id", "p2_label_seq_id"])
     is_canonical = F.col("position_1").isin(*canonical) & F.col("position_2").isin(*canonical)
     inside = F.col("region_1").startswith("CDR") | F.col("region_2").startswith("CDR")
     return both.filter(~is_canonical).select(
@@ -239,7 +240,7 @@ def choose_chain(atoms: DataFrame, wanted: DataFrame, spec: DomainSpec) -> DataF
     ``wanted``: structure_id, chain. Order: exact author name, anchors present, residues in range.
     """
     base = parse_position("auth_seq_id", "ins_code")["base"]
-    rows = atoms.join(wanted, "structure_id").filter((F.col("label_asym_id") == F.col("chain")) | (F.col("auth_asym_id") == F.col("chain")))
+    rows = atoms.join(wanted.hint("merge"), "structure_id").filter((F.col("label_asym_id") == F.col("chain")) | (F.col("auth_asym_id") == F.col("chain")))
     inside = rows.withColumn("_base", base).withColumn("_in", F.coalesce(F.col("_base").between(spec.first, spec.last), F.lit(False)))
     anchors = F.lit(0)
     for a in spec.required_anchors:
@@ -251,7 +252,7 @@ def choose_chain(atoms: DataFrame, wanted: DataFrame, spec: DomainSpec) -> DataF
     w = Window.partitionBy("structure_id").orderBy(F.desc("_exact"), F.desc("_anchors"), F.desc("_residues"))
     top = score.withColumn("_rank", F.rank().over(w)).filter("_rank = 1")
     found = top.groupBy("structure_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("label_asym_id", "auth_asym_id")).alias("_c"))
-    out = wanted.join(found, "structure_id", "left")
+    out = wanted.join(found.hint("merge"), "structure_id", "left")
     status = F.when(F.col("_n").isNull(), "hchain_not_found").when(F.col("_n") > 1, "ambiguous_hchain_mapping").otherwise("OK")
     return out.select("structure_id", F.when(F.col("_n") == 1, F.col("_c.label_asym_id")).alias("label_asym_id"), status.alias("status"))
 
@@ -262,7 +263,7 @@ def _domain_rows(atoms: DataFrame, chains: DataFrame, model: int) -> DataFrame:
     # An absent group or model number does not exclude an atom.
     polymer = F.coalesce(F.col("group_PDB"), F.lit("ATOM")) == "ATOM"
     in_model = F.coalesce(F.col("model_num"), F.lit(model)) == model
-    rows = atoms.filter(polymer & in_model & F.col("label_seq_id").isNotNull()).join(picked, ["structure_id", "label_asym_id"])
+    rows = atoms.filter(polymer & in_model & F.col("label_seq_id").isNotNull()).join(picked.hint("merge"), ["structure_id", "label_asym_id"])
     return rows.withColumn("_pos", parse_position("auth_seq_id", "ins_code"))
 
 
@@ -290,7 +291,7 @@ def normalize_domain(atoms: DataFrame, chains: DataFrame, spec: DomainSpec, mode
     rows = _domain_rows(atoms, chains, model)
     inside = _identities(rows).filter("_unique").select(*RESIDUE, F.col("_p.base").alias("base"), F.col("_p.insertion").alias("insertion"))
     inside = inside.filter(F.col("base").between(spec.first, spec.last))
-    filled = rows.drop("_pos").join(inside, list(RESIDUE)).withColumns({
+    filled = rows.drop("_pos").join(inside.hint("merge"), list(RESIDUE)).withColumns({
         "occupancy_missing": F.col("occupancy").isNull(), "occupancy": F.coalesce("occupancy", F.lit(1.0)), "b_factor": F.coalesce("b_factor", F.lit(0.0)),
     })
     one = choose_conformer(filled)
@@ -309,7 +310,7 @@ def normalize_domain(atoms: DataFrame, chains: DataFrame, spec: DomainSpec, mode
     w = Window.partitionBy("structure_id").orderBy("label_seq_id")  # at most one residue per position and insertion
     residue_map = residues.withColumn("ordinal", F.row_number().over(w))
     numbers = residue_map.select(*RESIDUE, F.col("ordinal").alias("normalized_label_seq_id"), "position", "region")
-    return one.filter(is_heavy()).join(numbers, list(RESIDUE)), residue_map
+    return one.filter(is_heavy()).join(numbers.hint("merge"), list(RESIDUE)), residue_map
 
 
 def structure_qc(residues: DataFrame, spec: DomainSpec) -> DataFrame:
@@ -426,7 +427,7 @@ def reason_lists(qc: DataFrame, chains: DataFrame) -> DataFrame:
     lists = qc.withColumn("_t", detailed).groupBy("structure_id").agg(*[
         F.array_sort(F.collect_set(F.when(F.col("severity") == s, F.col("_t")))).alias(s) for s in ("hard", "soft")
     ])
-    out = chains.select("structure_id", "status").join(lists, "structure_id", "left")
+    out = chains.select("structure_id", "status").join(lists.hint("merge"), "structure_id", "left")
     empty = F.array().cast("array<string>")
     alone = F.when(F.col("status") != "OK", F.array("status")).when(F.col("hard").isNull(), F.array(F.lit("no_variable_domain_residues"))).otherwise(empty)
     out = out.withColumns({"hard": F.array_sort(F.concat(F.coalesce("hard", empty), alone)), "soft": F.coalesce("soft", empty)})

@@ -80,6 +80,19 @@ def test_bonds(spark, rows):
     assert rows(structure.bond_rules(bonds, res, ("23", "104")), "rule_id", "severity", "detail") == [("extra_disulfide_involves_design_region", "hard", "23|30")]
 
 
+def test_joins_on_structures_are_not_broadcast(spark, tmp_path):
+    # Files of repeated labels look small, and points copied to cells look like points.
+    put = lambda df, name: (df.write.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1]
+    a = put(frame(spark, *sound(spark)), "atoms")
+    wanted = put(spark.createDataFrame([("s", "H")], "structure_id string, chain string"), "wanted")
+    chains = put(structure.choose_chain(a, wanted, SPEC), "chains")
+    residues = put(structure.normalize_domain(a, chains, SPEC)[1], "residues")
+    bonds = structure.bond_rules(structure.bond_pairs(a, 1.8, 2.5), residues, ("23", "104"))
+    for df, few in ((structure.choose_chain(a, wanted, SPEC), 0), (structure.identity_problems(a, chains), 0), (residues, 0), (bonds, 2)):
+        # Only the lists of crowded cells, which are empty but for cells of very many points.
+        assert df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= few
+
+
 def test_chain_identity(spark, rows):
     c = spark.createDataFrame([("a", "A", "HAEG"), ("a", "B", "QV"), ("b", "A", "HAEG"), ("b", "B", "HAEG"), ("c", "A", "X")], "structure_id string, label_asym_id string, sequence string")
     assert rows(structure.identify_chain(c, "HAEG"), "structure_id", "target_chain", "status") == [("a", "A", "OK"), ("b", None, "AMBIGUOUS"), ("c", None, "MISSING")]
