@@ -28,6 +28,7 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
 ROUNDS = 3
 BLOCK = 1000  # members of a bucket that are compared in one go
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 512  # of texts taken at once; a row draws some 1,800 points however short it is
 SLACK = 0.01  # for prints of 32 bits that fall together
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -103,7 +104,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str, bands: int, band_rows: int)
     """Id, number of words, two-word fingerprint of the word sequence, band hashes."""
     def sign(batches):
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), SLICE_BYTES, SLICE_ROWS):
                 part = batch.slice(lo, hi - lo)
                 words = Words(part.column(1), SPACED)
                 n = len(part)
@@ -152,7 +153,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             size = pa.compute.add(pa.compute.binary_length(batch.column(2)), pa.compute.binary_length(batch.column(3)))
             upto, start = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)), 0
             while start < len(batch):
-                end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + (4 << 20), "right")))
+                end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + 2 * SLICE_BYTES, "right")))
                 part = batch.slice(start, end - start)
                 score = overlap(part.column(2), part.column(3))
                 good = pa.array(score >= similarity)
@@ -292,7 +293,7 @@ def _prints(texts: DataFrame) -> DataFrame:
     """(id, prints): 32 bits of each copy of each shingle, for a first comparison."""
     def prints(batches):
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), SLICE_BYTES, SLICE_ROWS):
                 part = batch.slice(lo, hi - lo)
                 rows, grams, counts = shingle_bags(Words(part.column(1), SPACED))
                 copy = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -307,7 +308,7 @@ def _bags(texts: DataFrame) -> DataFrame:
     """(id, gram, copies) of each distinct shingle."""
     def bags(batches):
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), SLICE_BYTES, SLICE_ROWS):
                 part = batch.slice(lo, hi - lo)
                 rows, grams, counts = shingle_bags(Words(part.column(1), SPACED))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(grams.view(np.int64)), pa.array(counts)], names=["id", "gram", "copies"])

@@ -47,19 +47,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
     if name not in _powers or len(_powers[name]) < n:
-        table = np.full(max(n, SLICE_BYTES), base, np.uint64)
+        table = np.full(1 << max(n - 1, (1 << 20) - 1).bit_length(), base, np.uint64)
         table[0] = 1
         _powers[name] = np.cumprod(table, dtype=np.uint64)
     return _powers[name][:n]
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes of text, or of one row."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes of text and ``rows`` rows, or of one row."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     upto, start = np.cumsum(sizes), 0
     while start < len(sizes):
         base = upto[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(upto, base + limit, "right")))
+        end = min(end, start + rows) if rows else end
         yield start, end
         start = end
 

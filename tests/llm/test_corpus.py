@@ -332,3 +332,13 @@ def test_pipeline_by_hand(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.filter("not round_trip").count() == 0
     assert dict(texts_of(pieces.decode(got, PIECE_MODEL))) == want
+
+
+def test_slices_of_short_texts_are_bounded():
+    from siftline.llm import neardup
+    from siftline.llm.words import slices
+
+    column = pa.array(["a b"] * 3000 + ["c " * 400_000] * 3 + [None])
+    found = list(slices(column, neardup.SLICE_BYTES, neardup.SLICE_ROWS))
+    assert max(hi - lo for lo, hi in found) <= neardup.SLICE_ROWS
+    assert [lo for lo, _ in found] == [0, *[hi for _, hi in found[:-1]]] and found[-1][1] == len(column)
