@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -185,15 +186,20 @@ def superpose_pairs(pairs: DataFrame, profiles: DataFrame, id_col: str, required
     return both.select("id_a", "id_b", kernel(*[f"{c}_{s}" for s in "ab" for c in _PROFILE]).alias("m")).select("id_a", "id_b", "m.*")
 
 
-def block_pairs(rows: DataFrame, id_col: str, meet, schema: str, size: int) -> DataFrame:
-    """``meet`` of every two blocks of about ``size`` rows, Arrow tables with the numbers ``i`` <= ``j`` of the blocks.
+BLOCKS = 32  # blocks of a large table
+BLOCK_CELLS = 1 << 23  # letters or points of a block, 32 more a row
+
+
+def block_pairs(rows: DataFrame, id_col: str, cells: Column, meet, schema: str, size: int) -> DataFrame:
+    """``meet`` of every two blocks, Arrow tables with the numbers ``i`` <= ``j`` of the blocks.
 
     Every two rows meet in one task, a block also meets itself. A pair that ``meet`` refuses is never
-    written anywhere; rows travel once for each block, so the shuffle is rows times blocks and a task
-    holds two blocks.
+    written anywhere. Rows travel once for each block: a table has blocks of ``size`` rows up to ``BLOCKS``
+    of them, then their rows grow, so the shuffle grows with the table alone, until a block is full.
     """
     rows = stage_table(rows, "rows")
-    blocks = max(1, -(-rows.count() // size))
+    count, held = rows.agg(F.count(F.lit(1)), F.sum(F.coalesce(cells.cast("long"), F.lit(0)) + 32)).first()
+    blocks = max(1, min(BLOCKS, -(-count // size)), -(-(held or 0) // BLOCK_CELLS))
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     left = rows.select("*", own.alias("i"), F.explode(F.sequence(own, F.lit(blocks - 1))).alias("j"))
     # Other names on the right: columns that both sides share by identity may be pruned from one of them.
@@ -204,41 +210,171 @@ def block_pairs(rows: DataFrame, id_col: str, meet, schema: str, size: int) -> D
     return pairs.applyInArrow(lambda a, b: meet(a, b.rename_columns(a.column_names) if len(a) else b), schema)
 
 
-def _gaps(points: np.ndarray) -> np.ndarray:
-    """Distances between the points of each structure."""
-    i, j = np.triu_indices(points.shape[1], 1)
-    return np.sqrt(((points[:, i] - points[:, j]) ** 2).sum(axis=2))
+def _roots_of_grams(points: np.ndarray) -> np.ndarray:
+    """Entries of the square root of each structure's matrix of products of its centred points, whose distance is that of the roots."""
+    n = points.shape[1]
+    basis = np.linalg.qr(np.hstack((np.ones((n, 1)), np.eye(n)[:, 1:])))[0][:, 1:]  # orthogonal to a shift
+    u, s, _ = np.linalg.svd(np.einsum("kj,nki->nji", basis, points), full_matrices=False)
+    i, j = np.triu_indices(n - 1)
+    return np.einsum("nik,nk,njk->nij", u, s, u)[:, i, j] * np.where(i == j, 1.0, math.sqrt(2))
 
 
-def _may_be_near(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of all pairs whose best RMSD of numbered points may lie below ``limit``.
+def _may_be_near(a: np.ndarray, b: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in a, in b) of all pairs whose best RMSD of numbered points may lie below ``limit``, a strip of a at a time.
 
-    Distances between the points bound it from below: sqrt(sum of squared differences) / points <= RMSD.
-    What passes is bounded by Newton steps from above to the largest root of the characteristic
-    quartic of the superposition, whose excess over the root can only let a pair through.
+    |X| and |Y| are never further apart than sqrt(2) times X and Y (Araki, Yamagami), for turned points
+    as well, which refuses most. The best RMSD follows from the largest eigenvalue of a matrix of the
+    moments: it is below a number exactly if all pivots of their difference are positive. Both tests are
+    in single precision, with a margin beyond its rounding.
     """
-    n = a.shape[1]
-    ga, gb = _gaps(a), _gaps(b)
-    na, nb = (ga**2).sum(axis=1), (gb**2).sum(axis=1)
-    apart = na[:, None] + nb[None, :] - 2 * ga @ gb.T
-    x, y = np.nonzero(apart <= (n * limit) ** 2 + 1e-9 * (na[:, None] + nb[None, :]))
+    n, high, wide = a.shape[1], 96, 1536
     p, q = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True)
-    total = (p**2).sum(axis=(1, 2))[x] + (q**2).sum(axis=(1, 2))[y]
-    s = np.matmul(p[x].transpose(0, 2, 1), q[y])
-    square = np.matmul(s.transpose(0, 2, 1), s)
-    c2 = -2 * (s**2).sum(axis=(1, 2))
-    c1 = -8 * (s[:, 0] * np.cross(s[:, 1], s[:, 2])).sum(axis=1)
-    c0 = 2 * (square**2).sum(axis=(1, 2)) - c2**2 / 4
-    root = total / 2
-    for _ in range(8):
-        value, slope = ((root**2 + c2) * root + c1) * root + c0, (4 * root**2 + 2 * c2) * root + c1
-        root = np.where((value > 0) & (slope > 0), root - value / np.where(slope > 0, slope, 1.0), root)
-    near = root >= total / 2 - n * limit**2 / 2 - 1e-6 * total
-    return x[near], y[near]
+    scale = max(np.sqrt(max((p**2).sum(axis=(1, 2)).max(initial=0), (q**2).sum(axis=(1, 2)).max(initial=0))), 1e-300)
+    p, q, limit = p / scale, q / scale, limit / scale
+    size_p, size_q = ((side**2).sum(axis=(1, 2)).astype(np.float32) for side in (p, q))
+    # Squared distance as one product; columns that fill the last tile are far from all.
+    left = np.hstack((-2 * _roots_of_grams(p), size_p[:, None], np.ones((len(p), 1)))).astype(np.float32)
+    right = np.hstack((_roots_of_grams(q), np.ones((len(q), 1)), size_q[:, None])).astype(np.float32).T
+    right = np.hstack((right, np.repeat(np.eye(len(right), 1, 1 - len(right), dtype=np.float32) * 9, -len(q) % wide, axis=1)))
+    p, q = (np.ascontiguousarray(side.reshape(len(side), -1).astype(np.float32).T) for side in (p, q))
+    most, near = np.float32(2 * n * limit**2 + 1e-5), np.float32(n * limit**2 / 2)
+    for low in range(0, len(left), high):
+        x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, right.shape[1], wide):
+            hit = np.flatnonzero(left[low : low + high] @ right[:, at : at + wide] <= most)
+            i, j = hit // wide + low, hit % wide + at
+            u, v = p.take(i, axis=1), q.take(j, axis=1)
+            (s00, s01, s02), (s10, s11, s12), (s20, s21, s22) = [[np.einsum("kn,kn->n", u[e::3], v[f::3]) for f in range(3)] for e in range(3)]
+            size = (size_p[i] + size_q[j]) / 2
+            t = size - near - size * np.float32(1e-5)
+            one, two = t - s00, t + s00
+            add, less = s11 + s22, s11 - s22
+            k00, k11, k22, k33 = one - add, one + add, two - less, two + less
+            k01, k02, k03, k12, k13, k23 = s21 - s12, s02 - s20, s10 - s01, -s01 - s10, -s20 - s02, -s12 - s21
+            with np.errstate(all="ignore"):
+                f1, f2, f3 = k01 / k00, k02 / k00, k03 / k00
+                k11, k12, k13, k22, k23, k33 = k11 - f1 * k01, k12 - f1 * k02, k13 - f1 * k03, k22 - f2 * k02, k23 - f2 * k03, k33 - f3 * k03
+                f2, f3 = k12 / k11, k13 / k11
+                k22, k23, k33 = k22 - f2 * k12, k23 - f2 * k13, k33 - f3 * k13
+                k33 = k33 - k23 / k22 * k23
+            pick = ~((k00 > 0) & (k11 > 0) & (k22 > 0) & (k33 > 0))
+            x.append(i[pick])
+            y.append(j[pick])
+        yield np.concatenate(x), np.concatenate(y)
+
+
+def _quartic(s: list) -> tuple:
+    """Coefficients of the characteristic quartic of superpositions from the nine entries of their moments, their cofactors, determinant."""
+    minors = [s[(i + 1) % 3][(j + 1) % 3] * s[(i + 2) % 3][(j + 2) % 3] - s[(i + 1) % 3][(j + 2) % 3] * s[(i + 2) % 3][(j + 1) % 3] for i in range(3) for j in range(3)]
+    square = sum(s[i][j] * s[i][j] for i in range(3) for j in range(3))
+    det = s[0][0] * minors[0] + s[0][1] * minors[1] + s[0][2] * minors[2]
+    return -2 * square, -8 * det, square * square - 4 * sum(m * m for m in minors), minors, det
+
+
+class _Shapes:
+    """Structures of a block as dense arrays over the numbers of their points."""
+
+    def __init__(self, table: pa.Table, id_col: str, names: tuple[pa.Array, pa.Array]):
+        rows, (places, letters) = len(table), names
+        self.ids = table.column(id_col).to_numpy()
+        lists = {c: table.column(c).combine_chunks() for c in _PROFILE}
+        row = np.repeat(np.arange(rows), lists["pos"].value_lengths().to_numpy(zero_copy_only=False))
+        flat = {c: lists[c].flatten() for c in _PROFILE}
+        place = pc.index_in(flat["pos"], places).to_numpy()
+        self.held, self.anchor = np.zeros((2, len(places), rows), bool)
+        self.held[place, row] = True
+        self.anchor[place, row] = flat["anc"].fill_null(False).to_numpy(zero_copy_only=False)
+        self.letter = np.full((len(places), rows), -1, np.int32)
+        self.letter[place, row] = pc.index_in(flat["let"], letters).fill_null(-1).to_numpy()
+        self.points = np.zeros((3, len(places), rows))
+        for k, c in enumerate(("xs", "ys", "zs")):
+            self.points[k, place, row] = flat[c].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        bad = ~np.isfinite(self.points).all(axis=0)
+        self.points[:, bad] = 0.0
+        self.whole = ~(self.anchor & bad).any(axis=0)
+        self.marks = (self.held + 2 * self.anchor + 4 * (self.held & ~bad)).astype(np.uint8)
+        # Centred, so that single precision serves; places without a point stay at zero.
+        self.points -= self.points.sum(axis=1, keepdims=True) / np.maximum(self.held.sum(axis=0), 1)
+        self.points *= self.held
+
+    def anchors(self, required: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the structures with all anchors, and these."""
+        whole = (self.anchor.sum(axis=0) == required) & self.whole
+        rows, place = np.nonzero((self.anchor & whole).T)
+        return np.flatnonzero(whole), self.points[:, place, rows].T.reshape(-1, required, 3)
+
+
+def _names(left: pa.Table, right: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """Numbers of the points in order, and letters, of both blocks."""
+    every = lambda c: pc.unique(pa.concat_arrays([t.column(c).combine_chunks().flatten() for t in (left, right)]).drop_null())
+    places = every("pos")
+    return places.take(pc.sort_indices(places)), every("let")
+
 
+def _moments(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> tuple:
+    """Points shared by both sides of each pair about their centres, and the nine entries of their moments."""
+    many = np.maximum(both.sum(axis=0), 1).astype(a.dtype)
+    p, q = ((side - np.einsum("ikn,kn->in", side, both)[:, None] / many) * both for side in (a, b))
+    return p, q, [[np.einsum("kn,kn->n", p[i], q[j]) for j in range(3)] for i in range(3)]
+
+
+def _may_fit(a: np.ndarray, b: np.ndarray, both: np.ndarray, held: np.ndarray, most: float) -> np.ndarray:
+    """Pairs whose error at the anchors, all shared points superposed, may lie below ``most``, by single precision.
+
+    The largest root comes by Newton steps from above, the rotation from it in closed form,
+    ((k + |S|^2) S + root * cofactors - S S^T S) / (k * root - det) with k = (root^2 - |S|^2) / 2.
+    Where roots come close or the steps have not ended a pair passes.
+    """
+    p, q, s = _moments(a, b, both.astype(np.float32))
+    c2, c1, c0, minors, det = _quartic(s)
+    size = (np.einsum("ikn,ikn->n", p, p) + np.einsum("ikn,ikn->n", q, q)) / 2
+    root = np.minimum(size, np.sqrt(np.float32(-1.5) * c2))
+    for _ in range(10):
+        square = root * root
+        slope = (4 * square + 2 * c2) * root + c1
+        step = (((square + c2) * root + c1) * root + c0) / np.where(slope > 0, slope, np.float32(np.inf))
+        root -= step
+    apart = (np.abs(step) <= np.float32(1e-4) * root) & (slope > np.float32(0.05) * size * size * size)
+    square = c2 / -2
+    k = (root * root - square) / 2
+    below = np.where(apart, k * root - det, np.float32(1))
+    inner = [[s[i][0] * s[j][0] + s[i][1] * s[j][1] + s[i][2] * s[j][2] for j in range(3)] for i in range(3)]
+    error = np.zeros_like(size)
+    for j in range(3):
+        turn = np.stack([((k + square) * s[i][j] + root * minors[3 * i + j] - inner[i][0] * s[0][j] - inner[i][1] * s[1][j] - inner[i][2] * s[2][j]) / below for i in range(3)])
+        off = (np.einsum("ikn,in->kn", p, turn) - q[j]) * held
+        error += np.einsum("kn,kn->n", off, off)
+    return ~(apart & (error > np.float32(1.02 * most) + np.float32(1e-5) * size))
+
+
+def _superposed(a: _Shapes, b: _Shapes, x: np.ndarray, y: np.ndarray, min_common: int, required: int, limit: float) -> tuple:
+    """Places of the pairs whose anchor RMSD, all shared points superposed, is within ``limit``, and the columns of SUPERPOSE_RESULT."""
+    marks = a.marks.take(x, axis=1) & b.marks.take(y, axis=1)
+    both, held, sound = (marks & 1).astype(bool), (marks & 2).astype(bool), (marks >> 2) & 1
+    fine = (both.sum(axis=0) >= min_common) & (held.sum(axis=0) >= required) & (sound.sum(axis=0) == both.sum(axis=0))
+    if not fine.all():
+        x, y, both, held = x[fine], y[fine], both[:, fine], held[:, fine]
+    fits = _may_fit(a.light.take(x, axis=2), b.light.take(y, axis=2), both, held, required * (limit / a.scale) ** 2)
+    x, y, both, held = x[fits], y[fits], both[:, fits], held[:, fits]
+    p, q, s = _moments(a.points.take(x, axis=2), b.points.take(y, axis=2), both)
+    u, _, vt = np.linalg.svd(np.array(s).transpose(2, 0, 1))
+    flip = np.linalg.det(u @ vt) < 0
+    vt[flip, 2, :] *= -1
+    # Points are rows, hence R = U Vt.
+    error = ((np.einsum("ikn,nij->jkn", p, u @ vt) - q) ** 2).sum(axis=0) * both
+    common = both.sum(axis=0)
+    rmsd = np.sqrt(error.sum(axis=0) / np.maximum(common, 1))
+    anchor_rmsd = np.sqrt((error * held).sum(axis=0) / np.maximum(held.sum(axis=0), 1))
+    near = anchor_rmsd <= limit * (1 + 1e-9)
+    x, y, both = x[near], y[near], both[:, near]
+    letter = a.letter[:, x]
+    same = (both & (letter >= 0) & (letter == b.letter[:, y])).sum(axis=0)
+    union = (a.held[:, x] | b.held[:, y]).sum(axis=0)
+    return x, y, same / np.maximum(union, 1), rmsd[near], anchor_rmsd[near], common[near].astype(np.int32)
 
-SHAPE_BLOCK = 1024  # structures of a block
-SHAPE_PAIRS = 1 << 13  # pairs that are superposed in one go
+
+SHAPE_BLOCK = 512  # structures of a block, until there are BLOCKS of them
+SHAPE_CELLS = 3 << 13  # points of the pairs that are superposed in one go
 
 
 def near_shapes(profiles: DataFrame, id_col: str, required: int, min_common: int, limit: float) -> DataFrame:
@@ -246,47 +382,37 @@ def near_shapes(profiles: DataFrame, id_col: str, required: int, min_common: int
 
     Structures meet in blocks, so the pairs refused by the bounds of ``_may_be_near`` are never written.
     Structures without all anchors are at the sentinel distance from every other and have no pairs; so
-    have those with a missing or non-finite anchor coordinate.
+    have those with a missing or non-finite coordinate at an anchor or a shared point. A structure has a
+    numbered point once.
     """
     kind = dict(profiles.dtypes)[id_col]
-    schema = f"id_a {kind}, id_b {kind}, {SUPERPOSE_RESULT}"
-
-    def anchors(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the structures with all anchors, and these."""
-        held = [np.asarray(k, bool) for k in frame["anc"]]
-        points = [np.array([np.asarray(row[c], float)[k] for c in ("xs", "ys", "zs")]).T for k, (_, row) in zip(held, frame.iterrows())]
-        whole = np.array([len(p) == required and bool(np.isfinite(p).all()) for p in points], bool)
-        return np.flatnonzero(whole), np.array([p for p, w in zip(points, whole) if w]).reshape(-1, required, 3)
+    id_type = to_arrow_type(profiles.schema[id_col].dataType)
+    empty = pa.schema([("id_a", id_type), ("id_b", id_type), *[(c, pa.float64()) for c in ("identity", "rmsd", "anchor_rmsd")], ("common_positions", pa.int32())]).empty_table()
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if len(left) and len(right):
-            alone = left.column("i")[0].as_py() == left.column("j")[0].as_py()
-            a, b = left.drop_columns(["i", "j"]).to_pandas(), right.drop_columns(["i", "j"]).to_pandas()
-            (at_a, near_a), (at_b, near_b) = anchors(a), anchors(b)
-            ids_a, ids_b = a[id_col].to_numpy()[at_a], b[id_col].to_numpy()[at_b]
-            every = pd.concat([a.iloc[at_a], b.iloc[at_b]], ignore_index=True)
-            for low in range(0, len(at_a), 256):
-                x, y = _may_be_near(near_a[low : low + 256], near_b, limit)
-                x = x + low
-                first = ids_a[x] < ids_b[y]
-                keep = first if alone else ids_a[x] != ids_b[y]
-                x, y, first = x[keep], y[keep] + len(at_a), first[keep]
-                lo, hi = np.where(first, x, y), np.where(first, y, x)
-                for at in range(0, len(lo), SHAPE_PAIRS):
-                    i, j = lo[at : at + SHAPE_PAIRS], hi[at : at + SHAPE_PAIRS]
-                    both = pd.DataFrame({f"{c}_{s}": every[c].to_numpy()[k] for s, k in (("a", i), ("b", j)) for c in _PROFILE})
-                    scores = _superpose(both, min_common, required)
-                    scores.insert(0, "id_a", every[id_col].to_numpy()[i])
-                    scores.insert(1, "id_b", every[id_col].to_numpy()[j])
-                    found.append(scores[scores["anchor_rmsd"] <= limit * (1 + 1e-9)])
-        if not found:
+        if not len(left) or not len(right):
             return empty
-        return pa.Table.from_pandas(pd.concat(found), preserve_index=False).cast(empty.schema)
+        alone = left.column("i")[0].as_py() == left.column("j")[0].as_py()
+        names = _names(left, right)
+        a, b = _Shapes(left, id_col, names), _Shapes(right, id_col, names)
+        scale = max(np.abs(a.points).max(initial=0), np.abs(b.points).max(initial=0), 1e-300)
+        for side in (a, b):
+            side.light, side.scale = (side.points / scale).astype(np.float32), scale
+        (at_a, near_a), (at_b, near_b) = a.anchors(required), b.anchors(required)
+        step = max(1, SHAPE_CELLS // max(len(names[0]), 1))
+        found = [empty]
+        for x, y in _may_be_near(near_a, near_b, limit):
+            x, y = at_a[x], at_b[y]
+            keep = a.ids[x] < b.ids[y] if alone else a.ids[x] != b.ids[y]
+            x, y = x[keep], y[keep]
+            for at in range(0, len(x), step):
+                i, j, *scores = _superposed(a, b, x[at : at + step], y[at : at + step], min_common, required, limit)
+                first = a.ids[i] < b.ids[j]
+                ids = np.where(first, a.ids[i], b.ids[j]), np.where(first, b.ids[j], a.ids[i])
+                found.append(pa.table([pa.array(v, f.type) for v, f in zip((*ids, *scores), empty.schema)], schema=empty.schema))
+        return pa.concat_tables(found).combine_chunks()
 
-    id_type = to_arrow_type(profiles.schema[id_col].dataType)
-    empty = pa.schema([("id_a", id_type), ("id_b", id_type), *[(c, pa.float64()) for c in ("identity", "rmsd", "anchor_rmsd")], ("common_positions", pa.int32())]).empty_table()
-    return block_pairs(profiles.select(id_col, *_PROFILE), id_col, meet, schema, SHAPE_BLOCK)
+    return block_pairs(profiles.select(id_col, *_PROFILE), id_col, F.size("pos"), meet, f"id_a {kind}, id_b {kind}, {SUPERPOSE_RESULT}", SHAPE_BLOCK)
 
 
 def combined_distance(identity, rmsd, anchor_rmsd, scales: tuple[float, float, float], sentinel: float = 999.0) -> Column:
@@ -421,7 +547,7 @@ def common_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) ->
 
     some = texts.filter(F.length(text) > 0).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     id_kind = kind.simpleString()
-    return block_pairs(some, "id", meet, f"id_a {id_kind}, id_b {id_kind}, text_a string, text_b string, common long", TEXT_BLOCK)
+    return block_pairs(some, "id", F.length("text"), meet, f"id_a {id_kind}, id_b {id_kind}, text_a string, text_b string, common long", TEXT_BLOCK)
 
 
 def lcs_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:

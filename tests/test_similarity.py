@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,3 +377,38 @@ def test_common_pairs_in_blocks(spark, monkeypatch, size):
     real = {i: t for i, t in texts.items() if t}
     want = {(i, j): (a, b, n) for (i, a), (j, b) in itertools.combinations(sorted(real.items()), 2) if (n := common(a, b)) >= 0.85 * max(len(a), len(b)) - 1e-9}
     assert len(rows) == len(got) and got == want and len(want) > 15
+
+
+def test_rows_travel_a_bounded_number_of_times(spark):
+    """However many blocks a table would fill, a row goes to so many tasks at most, and every two rows meet once."""
+    n = 200
+
+    def meet(a, b):
+        alone = len(a) and len(b) and a["i"][0].as_py() == a["j"][0].as_py()
+        pairs = [(x, y) for x in a["id"].to_pylist() for y in b["id"].to_pylist() if (x < y if alone else x != y)]
+        return pa.table({"x": [min(p) for p in pairs], "y": [max(p) for p in pairs], "sent": [len(a) + len(b)] * len(pairs)}, pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sent", pa.int64())]))
+
+    met = similarity.block_pairs(spark.range(n), "id", F.lit(1), meet, "x long, y long, sent long", 1).collect()
+    assert len(met) == n * (n - 1) // 2 == len({(r["x"], r["y"]) for r in met})
+    assert max(r["sent"] for r in met) < n
+    plan = similarity.block_pairs(spark.range(n), "id", F.lit(1), lambda a, b: pa.table({"n": [len(a) + len(b)]}), "n long", 1)
+    assert n < plan.agg(F.sum("n")).first()[0] <= n * (similarity.BLOCKS + 1)
+
+
+def test_near_shapes_far_out_and_broken(spark):
+    """Shapes far from the origin lose no pair in single precision; one with a missing shared coordinate is in none."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 3))
+    data, pts = [], {}
+    for i in range(60):
+        turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        turn[:, 0] *= np.sign(np.linalg.det(turn))
+        pts[i] = (base + rng.normal(scale=0.04, size=(6, 3))) @ turn + rng.normal(size=3) * 1e4
+        data += [(i, k + 1, "A", *map(float, pts[i][k])) for k in range(6)]
+    data += [(70, k + 1, "A", *(float(v) if k < 5 else None for v in pts[0][k])) for k in range(6)]
+    df = spark.createDataFrame(data, "sid int, pos int, l string, x double, y double, z double")
+    prof = similarity.point_profiles(df, "sid", "pos", "l", F.col("pos") <= 4)
+    got = {(r["id_a"], r["id_b"]): r["anchor_rmsd"] for r in similarity.near_shapes(prof, "sid", 4, 4, 0.06).collect()}
+    value = {(i, j): math.sqrt((kabsch(pts[i], pts[j])[:4] ** 2).sum(1).mean()) for i, j in itertools.combinations(pts, 2)}
+    want = {k for k, v in value.items() if v < 0.06}
+    assert 5 < len(want) < 1700 and want == {k for k, v in got.items() if v < 0.06} and all(abs(got[k] - value[k]) < 1e-6 for k in want)
