@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 from siftline.functions.clean import let
 from siftline.operators.joins import range_pairs
@@ -186,7 +187,7 @@ def superpose_pairs(pairs: DataFrame, profiles: DataFrame, id_col: str, required
     return both.select("id_a", "id_b", kernel(*[f"{c}_{s}" for s in "ab" for c in _PROFILE]).alias("m")).select("id_a", "id_b", "m.*")
 
 
-BLOCKS = 32  # blocks of a large table
+BLOCKS = 24  # blocks of a large table
 BLOCK_CELLS = 1 << 23  # letters or points of a block, 32 more a row
 
 
@@ -425,51 +426,87 @@ def combined_distance(identity, rmsd, anchor_rmsd, scales: tuple[float, float, f
 # ---- sequence pairs above a similarity threshold ----
 
 
-def _within(pairs: DataFrame, budget: Column) -> DataFrame:
-    """Pairs within the edit budget, by Spark's own bounded edit distance, before any Python runs."""
-    limited = pairs.withColumn("_budget", F.floor(budget + 1e-9).cast("int"))
-    return limited.filter(F.call_function("levenshtein", "text_a", "text_b", "_budget") >= 0).drop("_budget")
+class _Letters:
+    """Texts as one array of code points, the starts and the lengths."""
 
+    def __init__(self, texts: Sequence[str]):
+        self.size = np.array([len(s) for s in texts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def _blocks(a: Sequence[str], b: Sequence[str], cells: int = 1 << 21):
-    """Pairs of equal lengths as code point arrays: (their places, letters of a, letters of b), in blocks of bounded size."""
-    la, lb = np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64)
-    order = np.lexsort((lb, la))
-    first = np.flatnonzero(np.concatenate((np.ones(min(len(order), 1), bool), (np.diff(la[order]) != 0) | (np.diff(lb[order]) != 0))))
-    for lo, hi in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
-        n, m = int(la[order[lo]]), int(lb[order[lo]])
-        step = max(1, cells // max(n + m, 1))
-        for x in range(lo, hi, step):
-            at = order[x : min(x + step, hi)]
-            letters = lambda texts, width: np.frombuffer("".join([texts[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), width)
-            yield at, letters(a, n), letters(b, m)
+    def columns(self, at: np.ndarray) -> np.ndarray:
+        """Letters of texts, a text per column; what comes after its end is to be left alone."""
+        return self.flat.take(self.start[at] + np.arange(self.size[at].max(initial=0))[:, None], mode="clip")
 
 
-def _lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
-    """Longest common subsequences by bit vectors of 64 letters a word, a block of pairs at a time."""
-    out = np.zeros(len(a), np.int64)
-    for at, x, y in _blocks(a, b):
-        n, words = x.shape[1], -(-x.shape[1] // 64)
-        if not n or not y.shape[1]:
-            continue
-        full = np.zeros((words, 1), np.uint64)
-        for w in range(words):
-            full[w] = (1 << min(64, n - 64 * w)) - 1
-        row = np.repeat(full, len(at), axis=1)
-        for j in range(y.shape[1]):
-            same = np.zeros((len(at), words * 64), bool)
-            same[:, :n] = x == y[:, j : j + 1]
-            masks = np.packbits(same, axis=1, bitorder="little").view("<u8").T
-            carry = np.zeros(len(at), np.uint64)
-            for w in range(words):
-                hit = row[w] & masks[w]
-                total = row[w] + hit
+LETTER_MASKS = 1 << 18  # words of the letter masks that are held at a time
+LCS_PAIRS = 1 << 13  # pairs that are measured in one go
+
+
+class _Subsequences:
+    """Longest common subsequences of texts of a and of b, by bit vectors of 64 letters a word.
+
+    Each text of a has a mask of its places per letter. A letter that it lacks, the end of a text and
+    places beyond it change nothing, so texts of all lengths are measured side by side.
+    """
+
+    def __init__(self, a: _Letters, b: _Letters):
+        seen = np.zeros(int(max(a.flat.max(initial=0), b.flat.max(initial=0))) + 1, bool)
+        seen[a.flat] = True
+        self.none = int(seen.sum())  # the letter that no text of a has
+        code = np.where(seen, np.cumsum(seen) - 1, self.none)
+        self.a, self.b, self.code_a, self.code_b = a, b, code[a.flat], np.append(code[b.flat], self.none)
+        self.words = -(-a.size // 64)
+
+    def lengths(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of text ``x[k]`` of a and ``y[k]`` of b; ``x`` ascends."""
+        out = np.zeros(len(x), np.int64)
+        lo, letters = 0, self.none + 1
+        while lo < len(x):
+            row, last = int(x[lo]), int(x[-1]) + 1
+            most = np.maximum.accumulate(self.words[row:last]) * np.arange(1, last - row + 1) * letters
+            high = row + max(1, int(np.searchsorted(most, LETTER_MASKS, "right")))
+            size, start = self.a.size[row:high], self.a.start[row]
+            masks = np.zeros((max(1, int(self.words[row:high].max())), (high - row) * letters), np.uint64)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            letter = self.code_a[start : start + size.sum()] + np.repeat(np.arange(high - row), size) * letters
+            np.bitwise_or.at(masks, (place // 64, letter), np.uint64(1) << (place % 64).astype(np.uint64))
+            end = int(np.searchsorted(x, high))
+            for k in range(lo, end, LCS_PAIRS):
+                i, j = x[k : min(k + LCS_PAIRS, end)] - row, y[k : min(k + LCS_PAIRS, end)]
+                out[k : k + len(i)] = _measured(masks, i * letters, self.code_b, self.b.start[j], self.b.size[j], self.none)
+            lo = end
+        return out
+
+
+def _measured(masks: np.ndarray, base: np.ndarray, code: np.ndarray, start: np.ndarray, size: np.ndarray, none: int) -> np.ndarray:
+    full = np.uint64(2**64 - 1)
+    rows = [np.full(len(base), full) for _ in masks]
+    least = size.min(initial=0)
+    for j in range(int(size.max(initial=0))):
+        letter = code.take(start + j, mode="clip")
+        if j >= least:
+            letter = np.where(j < size, letter, none)
+        letter = letter + base
+        carry = None
+        for w, mask in enumerate(masks):
+            row = rows[w]
+            hit = row & mask.take(letter)
+            total = row + hit
+            if len(masks) > 1:
                 over = total < hit
-                total = total + carry
-                carry = (over | (total < carry)).astype(np.uint64)
-                row[w] = (total | (row[w] - hit)) & full[w]
-        out[at] = n - np.bitwise_count(row).sum(axis=0).astype(np.int64)
-    return out
+                if carry is not None:
+                    total = total + carry
+                    over = over | (total < carry)
+                carry = over.astype(np.uint64)
+            rows[w] = total | (row - hit)
+    return 64 * len(masks) - sum(np.bitwise_count(row).astype(np.int64) for row in rows)
+
+
+def _lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Longest common subsequence of each pair."""
+    at = np.arange(len(a))
+    return _Subsequences(_Letters(a), _Letters(b)).lengths(at, at)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -490,70 +527,128 @@ def lcs_similarity(pairs: DataFrame, a: str = "text_a", b: str = "text_b", name:
     return pairs.withColumn(name, value)
 
 
-TEXT_BLOCK = 2048  # texts of a block
+TEXT_BLOCK = 512  # texts of a block, until there are BLOCKS of them
 LETTER_BINS = 64
 
 
-def _letter_counts(texts: Sequence[str]) -> np.ndarray:
+def _letter_counts(texts: _Letters) -> np.ndarray:
     """How often each text holds letters of each bin, one row per bin; capped counts would be no bound."""
-    sizes = np.array([len(s) for s in texts], np.int64)
-    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    cells = (letters % LETTER_BINS) * len(texts) + np.repeat(np.arange(len(texts)), sizes)
-    counts = np.bincount(cells, minlength=LETTER_BINS * len(texts)).reshape(LETTER_BINS, len(texts))
-    return counts.astype(np.uint8 if sizes.max(initial=0) < 256 else np.int64)
+    n = len(texts.size)
+    cells = (texts.flat.astype(np.int64) % LETTER_BINS) * n + np.repeat(np.arange(n), texts.size)
+    counts = np.bincount(cells, minlength=LETTER_BINS * n).reshape(LETTER_BINS, n)
+    most = texts.size.max(initial=0)
+    return counts.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64)
+
+
+def _may_be_common(a: _Letters, b: _Letters, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs that share enough letters, counted with repeats in bins; both sides ascend in length, a strip of a at a time."""
+    in_a, in_b = _letter_counts(a), _letter_counts(b)
+    wide = max(in_a.dtype, in_b.dtype)
+    in_a, in_b = in_a.astype(wide), in_b.astype(wide)
+    for low in range(0, len(a.size), 64):
+        here, sizes = in_a[:, low : low + 64], a.size[low : low + 64]
+        used = np.flatnonzero(here.any(axis=1))
+        x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        first = int(np.searchsorted(b.size, threshold * sizes[0] - 1e-6))
+        last = int(np.searchsorted(b.size, (sizes[-1] + 1e-6) / threshold, "right"))
+        for at in range(first, last, 512):
+            there = in_b[:, at : min(at + 512, last)]
+            shared, least = np.zeros((2, len(sizes), there.shape[1]), wide)
+            for k in used:
+                np.minimum(here[k][:, None], there[k][None, :], out=least)
+                shared += least
+            need = threshold * np.maximum(sizes[:, None], b.size[None, at : at + there.shape[1]]) - 1e-6
+            i, j = np.nonzero(shared >= np.ceil(need).astype(wide))
+            x.append(i + low)
+            y.append(j + at)
+        x, y = np.concatenate(x), np.concatenate(y)
+        order = np.argsort(x, kind="stable")
+        yield x[order], y[order]
 
 
-def common_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
-    """Pairs (id_a < id_b) of texts whose common subsequence has ``threshold`` of the longer length: ids, texts, ``common``.
+PAIRS_HELD = 1 << 19  # pairs of a block that are finished in one go
+
+
+def _gathered(strips: Iterator[tuple]) -> Iterator[tuple]:
+    """Strips put together until they have ``PAIRS_HELD`` pairs."""
+    held, count = [], 0
+    for strip in strips:
+        held.append(strip)
+        count += len(strip[0])
+        if count >= PAIRS_HELD:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, count = [], 0
+    if count:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _text_pairs(texts: DataFrame, id_col: str, text: str, threshold: float, fields: list, finish) -> DataFrame:
+    """Pairs (id_a < id_b) of texts whose common subsequence has ``threshold`` of the longer length, with what ``finish`` makes of them.
 
     Texts meet in blocks. A common subsequence is no longer than the letters that two texts share, counted
     with repeats in bins, which refuses most pairs; the rest are measured in the task. No candidate is written.
-    Missing and empty texts are in no pair.
+    ``finish``: both sides as lists of texts and as letters, places of the pairs, their subsequences; gives the
+    pairs it keeps and the columns of ``fields``. Missing and empty texts are in no pair.
     """
     kind = texts.schema[id_col].dataType
-    schema = pa.schema([("id_a", to_arrow_type(kind)), ("id_b", to_arrow_type(kind)), ("text_a", pa.string()), ("text_b", pa.string()), ("common", pa.int64())])
+    id_type = to_arrow_type(kind)
+    schema = pa.schema([("id_a", id_type), ("id_b", id_type), *[(name, to_arrow_type(t)) for name, t in fields]])
+
+    def side(table: pa.Table):
+        order = np.argsort(pc.utf8_length(table.column("text")).to_numpy(), kind="stable")
+        held = table.column("text").take(order).to_pylist()
+        return table.column("id").to_numpy()[order], held, _Letters(held)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        alone = left.column("i")[0].as_py() == left.column("j")[0].as_py()
-        ids_a, ids_b = (side.column("id").to_numpy() for side in (left, right))
-        texts_a, texts_b = (side.column("text").to_pylist() for side in (left, right))
-        size_a, size_b = (np.array([len(s) for s in side], np.int64) for side in (texts_a, texts_b))
-        in_a, in_b = _letter_counts(texts_a), _letter_counts(texts_b)
-        wide = in_a.dtype if in_a.dtype == in_b.dtype else np.int64
-        in_a, in_b = in_a.astype(wide), in_b.astype(wide)
-        used = np.flatnonzero(in_a.any(axis=1) & in_b.any(axis=1))
-        every = pa.concat_tables([side.select(["id", "text"]) for side in (left, right)])
-        found = []
-        for low in range(0, len(ids_a), 128):
-            here = in_a[:, low : low + 128]
-            shared = np.zeros((here.shape[1], len(ids_b)), wide)
-            for k in used:
-                shared += np.minimum(here[k][:, None], in_b[k][None, :])
-            least = threshold * np.maximum(size_a[low : low + 128, None], size_b[None, :]) - 1e-6
-            x, y = np.nonzero(shared >= least)
-            x = x + low
-            keep = ids_a[x] < ids_b[y] if alone else ids_a[x] != ids_b[y]
-            x, y = x[keep], y[keep]
-            common = _lcs_lengths([texts_a[k] for k in x], [texts_b[k] for k in y])
-            good = common >= threshold * np.maximum(size_a[x], size_b[y]) - 1e-6
-            x, y, common = x[good], y[good], common[good]
-            first = ids_a[x] < ids_b[y]
-            lo, hi = np.where(first, x, y + len(ids_a)), np.where(first, y + len(ids_a), x)
-            cells = {"id_a": every.column("id").take(lo), "id_b": every.column("id").take(hi), "text_a": every.column("text").take(lo), "text_b": every.column("text").take(hi)}
-            found.append(pa.table({**cells, "common": common}).cast(schema))
-        return pa.concat_tables(found)
+        found = [schema.empty_table()]
+        if len(left) and len(right):
+            alone = left.column("i")[0].as_py() == left.column("j")[0].as_py()
+            (ids_a, texts_a, a), (ids_b, texts_b, b) = side(left), side(right)
+            measure = _Subsequences(a, b)
+
+            def strips():
+                for x, y in _may_be_common(a, b, threshold):
+                    keep = ids_a[x] < ids_b[y] if alone else ids_a[x] != ids_b[y]
+                    x, y = x[keep], y[keep]
+                    common = measure.lengths(x, y)
+                    good = common >= threshold * np.maximum(a.size[x], b.size[y]) - 1e-6
+                    yield x[good], y[good], common[good]
+
+            for x, y, common in _gathered(strips()):
+                first = ids_a[x] < ids_b[y]
+                kept, values = finish((texts_a, a), (texts_b, b), x, y, common, first)
+                x, y, first = x[kept], y[kept], first[kept]
+                ids = np.where(first, ids_a[x], ids_b[y]), np.where(first, ids_b[y], ids_a[x])
+                found.append(pa.table([pa.array(v, f.type) for v, f in zip((*ids, *values), schema)], schema=schema))
+        return pa.concat_tables(found).combine_chunks()
 
     some = texts.filter(F.length(text) > 0).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    id_kind = kind.simpleString()
-    return block_pairs(some, "id", F.length("text"), meet, f"id_a {id_kind}, id_b {id_kind}, text_a string, text_b string, common long", TEXT_BLOCK)
+    names = ", ".join(f"{name} {t.simpleString()}" for name, t in (("id_a", kind), ("id_b", kind), *fields))
+    return block_pairs(some, "id", F.length("text"), meet, names, TEXT_BLOCK)
+
+
+def common_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
+    """Pairs (id_a < id_b) of texts whose common subsequence has ``threshold`` of the longer length: ids, texts, ``common``."""
+
+    def finish(left, right, x, y, common, first):
+        one, two = [left[0][k] for k in x], [right[0][k] for k in y]
+        both = [(u, v) if f else (v, u) for u, v, f in zip(one, two, first)]
+        return slice(None), ([u for u, _ in both], [v for _, v in both], common)
+
+    return _text_pairs(texts, id_col, text, threshold, [("text_a", StringType()), ("text_b", StringType()), ("common", LongType())], finish)
 
 
 def lcs_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
     """All pairs of distinct texts whose common-subsequence similarity reaches the threshold."""
-    value = F.col("common") / F.greatest(F.length("text_a"), F.length("text_b"))
-    return common_pairs(texts, id_col, text, threshold).select("id_a", "id_b", value.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)
+    if threshold <= 2 / 3:
+        raise ValueError("below two thirds, pairs of texts need not be alike")
+
+    def finish(left, right, x, y, common, first):
+        value = common / np.maximum(left[1].size[x], right[1].size[y])
+        kept = value >= threshold - 1e-12
+        return kept, (value[kept],)
+
+    return _text_pairs(texts, id_col, text, threshold, [("similarity", DoubleType())], finish)
 
 
 # Match, mismatch, gap opening and gap extension scores, times ten.
@@ -567,66 +662,124 @@ def _better(cur, new):
     return tuple(np.where(take, y, x) for x, y in zip(cur, new))
 
 
-def _band(x: np.ndarray, y: np.ndarray, radius: int):
-    """Best alignment (score, matches, length) of pairs of equal lengths within ``radius`` of both corners' diagonals.
+def _one_gap(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, more: int) -> np.ndarray:
+    """Most matches of alignments with no gap but one in the shorter text, which are columns x with ``sizes`` letters."""
+    total, ahead, most = np.zeros((3, len(sizes)), np.int32)
+    for i in range(len(x)):
+        here = i < sizes
+        late = here & (x[i] == y[i + more])
+        total += late
+        if more:
+            ahead += here & (x[i] == y[i])
+            ahead -= late
+            np.maximum(most, ahead, out=most)
+    return total + most
+
 
-    Cells are (row of x, diagonal); two rows of three states are kept, so memory follows the band.
+def _band(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, more: int, radius: int) -> np.ndarray:
+    """Best alignments (score, matches, length) of pairs within ``radius`` of both corners' diagonals.
+
+    Texts are columns, those of x have ``sizes`` letters, ascending, and those of y ``more`` than that. Cells are
+    (row of x, diagonal); two rows of three states are kept, so memory follows the band. A pair leaves with its last row;
+    cells beyond the end of y lead nowhere.
     """
-    pairs, n, m = len(x), x.shape[1], y.shape[1]
-    low, high = min(0, m - n) - radius, max(0, m - n) + radius  # diagonals j - i
-    none = np.full(pairs, _LOW, np.int64)
-    zero = np.zeros(pairs, np.int64)
-    off = (none, zero, zero)
-    wrong = (off, off, off)
+    low, high = min(0, more) - radius, max(0, more) + radius  # diagonals j - i
+    none = np.full(len(sizes), _LOW, np.int32)
+    zero = np.zeros(len(sizes), np.int32)
     best = lambda cell: _better(_better(cell[0], cell[1]), cell[2])
-    gap = lambda state, score: (state[0] + score, state[1], state[2] + 1)
+    gap = lambda state, score: (state[0] + np.int32(score), state[1], state[2] + np.int32(1))
 
     def start(k):  # a gap of k letters from the corner on
-        return zero + GAP_OPEN + GAP_EXTEND * (k - 1), zero, zero + k
+        return zero + np.int32(GAP_OPEN + GAP_EXTEND * (k - 1)), zero, zero + np.int32(k)
 
+    out = np.zeros((3, len(sizes)), np.int64)
     # States of a cell: ends in a letter pair, in a gap of y, in a gap of x.
-    above = [wrong if d < 0 or d > m else ((zero, zero, zero), off, off) if d == 0 else (off, off, start(d)) for d in range(low, high + 1)]
-    for i in range(1, n + 1):
-        row: list = []
-        for k, d in enumerate(range(low, high + 1)):
-            j = i + d
-            if j < 0 or j > m:
-                row.append(wrong)
-            elif j == 0:
-                row.append((off, start(i), off))
-            else:
-                before = best(above[k])
-                same = x[:, i - 1] == y[:, j - 1]
-                pair = (before[0] + np.where(same, MATCH, MISMATCH), before[1] + same, before[2] + 1)
-                p, u, v = above[k + 1] if k + 1 < len(above) else wrong
-                in_y = _better(_better(gap(p, GAP_OPEN), gap(u, GAP_EXTEND)), gap(v, GAP_OPEN))
-                p, u, v = row[k - 1] if k else wrong
-                in_x = _better(_better(gap(p, GAP_OPEN), gap(u, GAP_OPEN)), gap(v, GAP_EXTEND))
-                row.append((pair, in_y, in_x))
-        above = row
-    return best(above[m - n - low])
+    off = (none, zero, zero)
+    above = [(off, off, off) if d < 0 else ((zero, zero, zero), off, off) if d == 0 else (off, off, start(d)) for d in range(low, high + 1)]
+    done = 0
+    for i in range(len(x) + 1):
+        if i:
+            row: list = []
+            for k, d in enumerate(range(low, high + 1)):
+                j = i + d
+                if j < 0 or j > len(y):
+                    row.append((off, off, off))
+                elif j == 0:
+                    row.append((off, start(i), off))
+                else:
+                    before = best(above[k])
+                    same = x[i - 1, done:] == y[j - 1, done:]
+                    pair = (before[0] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), before[1] + same, before[2] + np.int32(1))
+                    in_y = in_x = off
+                    if k + 1 < len(above):
+                        p, u, v = above[k + 1]
+                        in_y = _better(_better(gap(p, GAP_OPEN), gap(u, GAP_EXTEND)), gap(v, GAP_OPEN))
+                    if k:
+                        p, u, v = row[k - 1]
+                        in_x = _better(_better(gap(p, GAP_OPEN), gap(u, GAP_OPEN)), gap(v, GAP_EXTEND))
+                    row.append((pair, in_y, in_x))
+            above = row
+        ended = int(np.searchsorted(sizes, i, "right")) - done
+        if ended:
+            out[:, done : done + ended] = [v[:ended] for v in best(above[more - low])]
+            none, zero = none[ended:], zero[ended:]
+            off = (none, zero, zero)
+            above = [tuple(tuple(v[ended:] for v in state) for state in cell) for cell in above]
+            done += ended
+    return out
 
 
-def _beyond(n: int, m: int, radius: int) -> int:
-    """No alignment that leaves the band scores more: it has a gap in both texts, and that many letters fewer in pairs."""
-    out, back = radius + 1 + max(0, m - n), radius + 1 + max(0, n - m)  # letters of y, of x in gaps
-    return MATCH * min(m - out, n - back) + 2 * GAP_OPEN + GAP_EXTEND * (out + back - 2)
+def _beyond(least: np.ndarray, more: int, radius: int, common: np.ndarray) -> np.ndarray:
+    """No alignment that leaves the band scores more: it has a gap in both texts, that many letters fewer in pairs than
+    the shorter text (``least``), and no more matches than a common subsequence."""
+    return MATCH * np.minimum(common, least - radius - 1) + 2 * GAP_OPEN + GAP_EXTEND * (2 * radius + abs(more))
 
 
-def _align(a: Sequence[str], b: Sequence[str], radius: int = 4) -> np.ndarray:
-    """Identity of the best global alignment of each pair.
+ALIGN_CELLS = 1 << 18  # letters of the pairs that are aligned in one go
+
+
+def _alike(longest: np.ndarray, more: np.ndarray) -> Iterator[slice]:
+    """Runs of pairs with one difference of lengths, which ascends, and letters within ALIGN_CELLS."""
+    low = 0
+    while low < len(more):
+        end = int(np.searchsorted(more, more[low], "right"))
+        fits = np.maximum.accumulate(longest[low:end]) * np.arange(1, end - low + 1)
+        high = low + max(1, int(np.searchsorted(fits, ALIGN_CELLS, "right")))
+        yield slice(low, high)
+        low = high
+
+
+def _align(a: _Letters, b: _Letters, x: np.ndarray, y: np.ndarray, common: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Identity of the best global alignment of each pair, whose longest common subsequences have ``common`` letters.
 
     A band is widened, for the pairs that need it, until no path outside can score as much as the best
-    one inside; the result is that of the full table.
+    one inside; the result is that of the full table. Below ``least`` any identity below it may be given:
+    a path outside has that many letters more than the longer text, and no more matches than ``common``.
     """
-    result = np.ones(len(a))
-    for at, x, y in _blocks(a, b, 1 << 20):
-        n, m, r = x.shape[1], y.shape[1], radius
-        while len(at):
-            score, matches, length = _band(x, y, r)
-            result[at] = np.where(length > 0, matches / np.maximum(length, 1), 1.0)
-            open_ = score <= _beyond(n, m, r) if r < max(n, m) else np.zeros(len(at), bool)
-            at, x, y, r = at[open_], x[open_], y[open_], 2 * r
+    result = np.ones(len(x))
+    la, lb = a.size[x], b.size[y]
+    every, r = np.lexsort((la, lb - la)), 0
+    while len(every):
+        wider = []
+        for at in _alike(np.maximum(la, lb)[every], (lb - la)[every]):
+            at = every[at]
+            more, most = int(lb[at[0]] - la[at[0]]), common[at]
+            short, long = np.minimum(la[at], lb[at]), np.maximum(la[at], lb[at])
+            one, two = a.columns(x[at]), b.columns(y[at])
+            if r:
+                score, matches, length = _band(one, two, la[at], more, r)
+                beyond, letters = _beyond(short, more, r, most), long + r + 1
+            else:
+                matches = _one_gap(one, two, short, more) if more >= 0 else _one_gap(two, one, short, -more)
+                score = MATCH * matches + MISMATCH * (short - matches) + (GAP_OPEN + GAP_EXTEND * (abs(more) - 1) if more else 0)
+                # Any other has two gaps: one in each text, or two in the shorter.
+                beyond, letters, length = _beyond(short, more, 0, most), long + 1, long
+                if abs(more) > 1:
+                    beyond, letters = MATCH * np.minimum(most, short) + 2 * GAP_OPEN + GAP_EXTEND * (abs(more) - 2), long
+            identity = np.where(length > 0, matches / np.maximum(length, 1), 1.0)
+            result[at] = identity
+            wider.append(at[(r < long) & (score <= beyond) & ((identity >= least - 1e-9) | (most / np.maximum(letters, 1) >= least - 1e-9))])
+        every, r = np.concatenate(wider), max(1, 4 * r)
     return result
 
 
@@ -638,18 +791,27 @@ def alignment_identity(a, b) -> Column:
 
     @F.pandas_udf("double")
     def kernel(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(_align(list(x), list(y)))
+        left, right, at = _Letters(list(x)), _Letters(list(y)), np.arange(len(x))
+        return pd.Series(_align(left, right, at, at, np.minimum(left.size, right.size)))
 
     return kernel(a, b)
 
 
 def align_pairs(texts: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
     """All pairs of distinct texts whose alignment identity reaches the threshold."""
-    # The m matches are a common subsequence, and m >= t*L with L >= the longer text; L - m edits at most.
-    near = common_pairs(texts, id_col, text, threshold)
-    budget = F.least(F.length("text_a"), F.length("text_b")) * ((1 - threshold) / threshold)
-    both = _within(near, budget)
-    return both.select("id_a", "id_b", alignment_identity("text_a", "text_b").alias("identity")).filter(F.col("identity") >= threshold - 1e-12)
+    if threshold <= 0.5:
+        raise ValueError("below one half, pairs of texts need not be alike")
+
+    def finish(left, right, x, y, common, first):
+        (_, a), (_, b) = left, right
+        value = np.empty(len(x))
+        for u, v, i, j, pick in ((a, b, x, y, first), (b, a, y, x, ~first)):  # ties depend on the order of the texts
+            value[pick] = _align(u, v, i[pick], j[pick], common[pick], threshold)
+        kept = value >= threshold - 1e-12
+        return kept, (value[kept],)
+
+    # The matches are a common subsequence, and the alignment is no shorter than the longer text.
+    return _text_pairs(texts, id_col, text, threshold, [("identity", DoubleType())], finish)
 
 
 def vector_distance(a, b) -> Column:

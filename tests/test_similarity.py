@@ -412,3 +412,23 @@ def test_near_shapes_far_out_and_broken(spark):
     value = {(i, j): math.sqrt((kabsch(pts[i], pts[j])[:4] ** 2).sum(1).mean()) for i, j in itertools.combinations(pts, 2)}
     want = {k for k, v in value.items() if v < 0.06}
     assert 5 < len(want) < 1700 and want == {k for k, v in got.items() if v < 0.06} and all(abs(got[k] - value[k]) < 1e-6 for k in want)
+
+
+def test_alignments_of_odd_lengths():
+    """Closed forms and narrow bands give the identity of the whole table, with and without a least identity that matters."""
+    rnd = random.Random(8)
+    one = ["".join(rnd.choice("ab1") for _ in range(rnd.choice((0, 1, 5, 12, 30, 70)))) for _ in range(150)]
+    two = []
+    for s in one:
+        t = list(s)
+        for _ in range(rnd.randrange(5)):
+            k = rnd.randrange(len(t) + 1)
+            t[k : k + rnd.choice((0, 0, 1, 2))] = rnd.choice(("", "a", "1b"))
+        two.append("".join(t))
+    a, b, at = similarity._Letters(one), similarity._Letters(two), np.arange(len(one))
+    common = similarity._lcs_lengths(one, two)
+    assert common.tolist() == [lcs(s, t) for s, t in zip(one, two)]
+    want = np.array([gotoh(s, t) for s, t in zip(one, two)])
+    assert np.allclose(similarity._align(a, b, at, at, common), want, atol=1e-12)
+    some = similarity._align(a, b, at, at, common, 0.8)
+    assert np.array_equal(some >= 0.8, want >= 0.8) and np.allclose(some[want >= 0.8], want[want >= 0.8], atol=1e-12)
