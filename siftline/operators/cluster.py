@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators.ranking import best_per_key, number_groups
-from siftline.session import cut
+from siftline.session import LoopState, cut, stage_table
 
 
 def threshold_clusters(edges: DataFrame, nodes: DataFrame, id_col: str, threshold: float) -> DataFrame:
@@ -18,13 +18,16 @@ def threshold_clusters(edges: DataFrame, nodes: DataFrame, id_col: str, threshol
     that are each other's nearest neighbour merge, all in one round: complete linkage is
     reducible, so this gives the clusters of the one-at-a-time method. Two clusters are linked
     only while every cross pair is below the threshold, hence the pair count beside the distance;
-    a broken link can never heal and is dropped. No component is gathered anywhere.
+    a broken link can never heal and is dropped. No component is gathered anywhere. Of the states of
+    links, members and merges the last two are kept, so disk follows the links of the first rounds.
     """
+    spark = edges.sparkSession
+    keep_links, keep_merges, keep_members = (LoopState(spark, tag) for tag in ("links", "merges", "members"))
     links = edges.filter(F.col("distance") < threshold).select(
         F.col("id_a").alias("lo"), F.col("id_b").alias("hi"), "distance", F.lit(1).cast("long").alias("n"),
         F.lit(1).cast("long").alias("lo_size"), F.lit(1).cast("long").alias("hi_size"),
     )
-    links = cut(links)
+    links = keep_links(links)
     members = nodes.select(id_col, F.col(id_col).alias("cluster"))
     while not links.isEmpty():
         rank = F.struct("distance", "lo", "hi", "lo_size", "hi_size").alias("edge")
@@ -32,7 +35,7 @@ def threshold_clusters(edges: DataFrame, nodes: DataFrame, id_col: str, threshol
         best = ends.groupBy("node").agg(F.min("edge").alias("edge"))
         # An edge that is best for both ends appears twice.
         merges = best.groupBy("edge").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") == 2)
-        merges = cut(merges.select("edge.lo", "edge.hi", (F.col("edge.lo_size") + F.col("edge.hi_size")).alias("size")))
+        merges = keep_merges(merges.select("edge.lo", "edge.hi", (F.col("edge.lo_size") + F.col("edge.hi_size")).alias("size")))
         moved = merges.select(F.explode(F.array(
             F.struct(F.col("lo").alias("node"), F.col("lo").alias("new"), "size"), F.struct(F.col("hi").alias("node"), F.col("lo").alias("new"), "size"),
         )).alias("m")).select("m.*")
@@ -44,7 +47,7 @@ def threshold_clusters(edges: DataFrame, nodes: DataFrame, id_col: str, threshol
                 out = out.withColumn(f"{side}_size", F.coalesce("_size", f"{side}_size"))
             return out.drop("_new", "_size")
 
-        members = cut(relabel(members, "cluster"))
+        members = keep_members(relabel(members, "cluster"))
         shifted = relabel(relabel(links, "lo"), "hi").filter(F.col("lo") != F.col("hi"))
         swap = F.col("lo") > F.col("hi")
         flipped = shifted.select(
@@ -53,7 +56,7 @@ def threshold_clusters(edges: DataFrame, nodes: DataFrame, id_col: str, threshol
             F.when(swap, F.col("lo_size")).otherwise(F.col("hi_size")).alias("hi_size"),
         )
         grouped = flipped.groupBy("lo", "hi", "lo_size", "hi_size").agg(F.max("distance").alias("distance"), F.sum("n").alias("n"))
-        links = cut(grouped.filter(F.col("n") == F.col("lo_size") * F.col("hi_size")).select("lo", "hi", "distance", "n", "lo_size", "hi_size"))
+        links = keep_links(grouped.filter(F.col("n") == F.col("lo_size") * F.col("hi_size")).select("lo", "hi", "distance", "n", "lo_size", "hi_size"))
     return members.select(id_col, "cluster")
 
 
@@ -73,10 +76,11 @@ def number_clusters(members: DataFrame, id_col: str, prefix: str = "FWC") -> Dat
 
 
 def representatives(members: DataFrame, nodes: DataFrame, id_col: str, group: str, order: Sequence, pinned: Column | None = None,
-                    metrics: DataFrame | None = None) -> DataFrame:
+                    metrics: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Representative per cluster, cluster size, and each member's metrics to it.
 
-    A pinned member wins over the quality order. ``metrics``: id_a, id_b and metric columns.
+    A pinned member wins over the quality order. ``metrics``: id_a, id_b and metric columns, or a function
+    that gives them for pairs (id_a < id_b), so that only members and their representatives are compared.
     """
     pin = F.coalesce(pinned, F.lit(False)) if pinned is not None else F.lit(False)
     detailed = members.join(nodes, id_col).withColumn("_pin", pin)
@@ -89,6 +93,9 @@ def representatives(members: DataFrame, nodes: DataFrame, id_col: str, group: st
         return out
     lo, hi = F.least(id_col, "representative"), F.greatest(id_col, "representative")
     keyed = out.withColumns({"id_a": lo, "id_b": hi})
+    if callable(metrics):
+        keyed = stage_table(keyed, "members")
+        metrics = metrics(keyed.filter(~F.col("is_representative")).select("id_a", "id_b"))
     return keyed.join(metrics, ["id_a", "id_b"], "left").drop("id_a", "id_b")
 
 

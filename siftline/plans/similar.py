@@ -25,21 +25,21 @@ def shapes(t):
 
 
 def shape_pairs(t, limit: float = 1.0):
-    """Near pairs among distinct shapes, and the map of copies."""
+    """Near pairs among distinct shapes, the map of copies, and the shapes."""
     pts = stage_table(shapes(t), "points")
     every = similarity.point_profiles(pts, "vec_id", "pos", "letter", F.col("pos") <= ANCHORS)
     profiles, copies = similarity.collapse_copies(every, "vec_id", [F.to_json(F.struct("pos", "let", "xs", "ys", "zs"))])
     profiles, copies = stage_table(profiles, "profiles"), stage_table(copies, "copies")
     scored = similarity.near_shapes(profiles, "vec_id", ANCHORS, MIN_COMMON, limit * SCALES[2])
     near = scored.withColumn("distance", similarity.combined_distance("identity", "rmsd", "anchor_rmsd", SCALES)).filter(F.col("distance") < limit)
-    return near, copies
+    return near, copies, profiles
 
 
 def shape_clusters(t):
-    pairs, copies = shape_pairs(t)
-    pairs = stage_table(pairs, "pairs")
+    """Clusters of all shapes; the pairs are written once, as the links that the loop starts from."""
+    pairs, copies, profiles = shape_pairs(t)
     members = cluster.threshold_clusters(pairs, copies.select(F.col("representative").alias("vec_id")).distinct(), "vec_id", 1.0)
-    return cluster.expand_members(members, copies, "vec_id"), pairs
+    return cluster.expand_members(members, copies, "vec_id"), profiles
 
 
 def _det3(rows: list[list[str]]) -> str:
@@ -146,9 +146,12 @@ b AS (SELECT vec_id, cluster, first_value(vec_id) OVER w AS representative, coun
 SELECT vec_id, representative, 'quality_order' AS reason, cluster_size, vec_id = representative AS is_representative, {', '.join(f'round({c}, 6) AS {c}' for c in ('identity', 'rmsd', 'anchor_rmsd'))}
 FROM b LEFT JOIN near ON id_a = least(vec_id, representative) AND id_b = greatest(vec_id, representative)""")
 def representatives(spark, t):
-    members, pairs = shape_clusters(t)
+    members, profiles = shape_clusters(t)
     nodes = t.embeddings.select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("quality"))
-    metrics = pairs.select("id_a", "id_b", "identity", "rmsd", "anchor_rmsd")
+
+    def metrics(pairs):  # distinct shapes of one cluster are near; copies have no pairs
+        return similarity.superpose_pairs(pairs, profiles, "vec_id", ANCHORS, MIN_COMMON).drop("common_positions")
+
     out = cluster.representatives(members, nodes, "vec_id", "cluster", ["label", F.col("quality").desc(), "vec_id"], metrics=metrics)
     return out.select("vec_id", "representative", "reason", "cluster_size", "is_representative", *[F.round(c, 6).alias(c) for c in ("identity", "rmsd", "anchor_rmsd")])
 

@@ -61,6 +61,22 @@ def cut(df: DataFrame) -> DataFrame:
     return stage_table(df, "cut")
 
 
+class LoopState:
+    """A loop state written and read back like ``cut``, in two places by turns: the state before the last is written over.
+
+    Each state may depend on the one before it and on nothing older; the last one stays.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.path, self.turn = scratch_path(spark, tag), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{self.turn % 2}"
+        self.turn += 1
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def literal_rows(spark: SparkSession, rows, names) -> DataFrame:
     """A small table of constants made inside the plan, without a Python worker."""
     cells = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siftline import session
 from siftline.operators import cluster, joins, select, similarity
 
 
@@ -432,3 +433,32 @@ def test_alignments_of_odd_lengths():
     assert np.allclose(similarity._align(a, b, at, at, common), want, atol=1e-12)
     some = similarity._align(a, b, at, at, common, 0.8)
     assert np.array_equal(some >= 0.8, want >= 0.8) and np.allclose(some[want >= 0.8], want[want >= 0.8], atol=1e-12)
+
+
+def test_clustering_keeps_two_states(spark, tmp_path, monkeypatch):
+    """A chain of links merges over several rounds; of each state two are left on disk, not one a round."""
+    n = 64
+    d = {(i, j): abs(i - j) + min(i, j) / 1000 for i, j in itertools.combinations(range(n), 2)}
+    edges = spark.createDataFrame([(i, j, v) for (i, j), v in d.items()], "id_a long, id_b long, distance double")
+    tags = itertools.count()
+    monkeypatch.setattr(session, "scratch_path", lambda spark, tag: f"{tmp_path}/{tag}-{next(tags)}")
+    members = cluster.threshold_clusters(edges, spark.range(n).withColumnRenamed("id", "node"), "node", 20.0).collect()
+    got = {}
+    for r in members:
+        got.setdefault(r["cluster"], set()).add(r["node"])
+    assert {frozenset(g) for g in got.values()} == naive_complete_linkage(n, d, 20.0)
+    written = list(tmp_path.rglob("_SUCCESS"))
+    assert 3 <= len(written) <= 6
+
+
+def test_representatives_compare_only_their_members(spark, rows):
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id int, cluster int")
+    nodes = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.1)], "id int, q double")
+    asked = []
+
+    def metrics(pairs):
+        asked.extend(rows(pairs))
+        return pairs.withColumn("rmsd", F.lit(0.25))
+
+    out = cluster.representatives(members, nodes, "id", "cluster", [F.col("q").desc(), "id"], metrics=metrics)
+    assert rows(out, "id", "representative", "cluster_size", "rmsd") == [(1, 2, 2, 0.25), (2, 2, 2, None), (3, 3, 1, None)] and asked == [(1, 2)]
